@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["ingest"]
+MODULES = ["masks"]
 
 
 def load_all() -> None:

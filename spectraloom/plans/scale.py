@@ -92,7 +92,10 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     if hot is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
-    lead = F.col(order[0]).cast("double")
+    lead = F.col(order[0])
+    if dict(df.dtypes)[order[0]].startswith(("timestamp", "date")):
+        lead = lead.cast("timestamp")
+    lead = lead.cast("double")
     parts = _with_sub_ranges(df, hot, keys, lead)
     starts = _block_starts(parts, keys).drop("_t")
     w = Window.partitionBy(*keys, "_blk").orderBy(*order)
