@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["masks"]
+MODULES = ["scoring", "selection"]
 
 
 def load_all() -> None:
