@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scoring", "selection"]
+MODULES = ["masks", "histograms", "resampling"]
 
 
 def load_all() -> None:

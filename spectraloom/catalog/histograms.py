@@ -101,11 +101,10 @@ def count_peaks(spark, sf):
     return S.count_peaks(hist(spark, sf), KEY)
 
 
-@query("fractions", """
-SELECT vec_id AS object_id, tpl, round(w / sum(w) OVER (PARTITION BY vec_id), 6) AS fraction
-FROM (SELECT vec_id, tpl - 1 AS tpl, 1 + CAST(embedding[tpl] AS DOUBLE) AS w FROM (SELECT *, unnest(range(1, 6)) AS tpl FROM embeddings))""")
+@query("fractions", f"""
+WITH {HIST} SELECT object_id, CAST(bin AS BIGINT) AS tpl, round((1 + raw) / sum(1 + raw) OVER (PARTITION BY object_id), 6) AS fraction FROM hist""")
 def fractions(spark, sf):
-    w = hist(spark, sf).filter("bin < 5").select("object_id", F.col("bin").cast("long").alias("tpl"), (1 + F.col("raw")).alias("w"))
+    w = hist(spark, sf).select("object_id", F.col("bin").cast("long").alias("tpl"), (1 + F.col("raw")).alias("w"))
     return S.fractions(w, KEY).select("object_id", "tpl", r6("fraction"))
 
 
@@ -171,16 +170,18 @@ def draw_summary(spark, sf):
 
 
 @query("losvd_error_table", f"""
-WITH {BOUNDS}, sp AS (SELECT object_id, bin, stddev_samp(b) AS err FROM reps GROUP BY 1, 2)
-SELECT object_id, bin, round(v, 6) AS v, round(b, 6) AS b, round(CASE WHEN object_id % 2 = 0 THEN err ELSE 0 END, 6) AS err,
-  round(CASE WHEN object_id % 3 = 0 THEN lo WHEN object_id % 2 = 0 THEN b - err ELSE b END, 6) AS lo, round(CASE WHEN object_id % 3 = 0 THEN hi WHEN object_id % 2 = 0 THEN b + err ELSE b END, 6) AS hi
+WITH {BOUNDS}, sp AS (SELECT object_id, bin, CASE WHEN stddev_samp(b) > 0.07e0 THEN stddev_samp(b) END AS e FROM reps GROUP BY 1, 2)
+SELECT object_id, bin, round(v, 6) AS v, round(b, 6) AS b, round(coalesce(e, 0), 6) AS err,
+  round(CASE WHEN hi - b > 0.06e0 THEN lo ELSE b - coalesce(e, 0) END, 6) AS lo, round(CASE WHEN hi - b > 0.06e0 THEN hi ELSE b + coalesce(e, 0) END, 6) AS hi
 FROM bd JOIN sp USING (object_id, bin)""")
 def losvd_error_table(spark, sf):
+    # Errors and bounds are missing where they are small, to exercise the defaults.
     by = ["object_id", "bin"]
     r = reps(spark, sf)
     point = _point(spark, sf)
-    err = S.replicate_spread(r, by).filter("object_id % 2 = 0").select(*by, F.col("spread").alias("err"))
-    iv = S.anchored_bounds(point, r, by).filter("object_id % 3 = 0").select(*by, "lo", "hi")
+    err = S.replicate_spread(r, by).select(*by, F.when(F.col("spread") > 0.07, F.col("spread")).alias("err"))
+    wide = F.col("hi") - F.col("b") > 0.06
+    iv = S.anchored_bounds(point, r, by).select(*by, F.when(wide, F.col("lo")).alias("lo"), F.when(wide, F.col("hi")).alias("hi"))
     return products.losvd_error_table(point, err, iv).select(*by, r6("v"), r6("b"), r6("err"), r6("lo"), r6("hi"))
 
 
@@ -205,13 +206,13 @@ def moment_error_table(spark, sf):
 @query("simulation_table", f"""
 WITH {REPS}, {POINT}, s AS (SELECT object_id, bin, v, -1 AS rep, b FROM pt UNION ALL SELECT object_id, bin, v, rep, b FROM reps)
 SELECT object_id, 'losvd' AS kind, CAST(bin AS BIGINT) AS row, rep, round(b, 6) AS value FROM s
-UNION ALL SELECT object_id, 'weight', bin, rep, round(b + 1, 6) FROM s WHERE bin < 3
+UNION ALL SELECT object_id, 'weight', bin, rep, round(b + 1, 6) FROM s
 UNION ALL SELECT object_id, 'centre', 0, rep, round(sum(v * b) / CASE WHEN sum(b) > 0 THEN sum(b) ELSE 1 END, 6) FROM s GROUP BY object_id, rep""")
 def simulation_table(spark, sf):
     r, p = reps(spark, sf), _point(spark, sf)
 
     def weights(d):
-        return d.filter("bin < 3").withColumn("tpl", F.col("bin")).withColumn("w", F.col("b") + 1)
+        return d.withColumn("tpl", F.col("bin")).withColumn("w", F.col("b") + 1)
 
     out = products.simulation_table(p, r, weights(p), weights(r))
     return out.select("object_id", "kind", "row", "rep", r6("value"))
