@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["masks", "histograms", "resampling"]
+MODULES = ["ingest", "columns", "masks", "histograms", "scoring", "selection", "resampling", "fits", "mocks", "flows"]
 
 
 def load_all() -> None:

@@ -16,6 +16,7 @@ per key (map-side combined) decides which one is built.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,9 +34,8 @@ def setting(spark: SparkSession, item: tuple[str, int]) -> int:
     return int(spark.conf.get(item[0], str(item[1])))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint in the folder the cluster names."""
-    spark = df.sparkSession
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names; a folder of our own only in local mode."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -44,9 +44,20 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage through a reliable checkpoint, which outlives lost executors."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for written tables next to the checkpoints."""
+    return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     """Keys above the hot-row limit, or None when there is none (the usual case)."""
     spark = df.sparkSession
