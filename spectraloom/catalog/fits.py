@@ -35,9 +35,9 @@ def planted(spark, sf):
     px = h.select("object_id", F.col("bin").cast("long").alias("pix"), (8470 + STEP * F.col("bin")).alias("x"), "raw").withColumn("t", shapes.forest_template("x"))
     truth = truth_losvd(planted_truth(spark, sf), NB, vmin=VLO, vmax=VHI)
     model = convolve_losvd(px, fine_losvd(truth, OBJ, 22), STEP).select(*OBJ, "pix", "model")
-    return px.join(model, [*OBJ, "pix"]).select(
+    return cut(px.join(model, [*OBJ, "pix"]).select(
         *OBJ, "pix", "x", (F.col("model") + 0.04 * F.col("raw")).alias("g"), F.lit(0.005).alias("gerr"), F.lit(True).alias("good"), "t"
-    )
+    ))
 
 
 @query("asymmetric_baseline")

@@ -68,7 +68,7 @@ def fit_products(spark, sf):
 
 
 @query("append_run_log", f"""
-WITH {RUNS} SELECT scenario_id, mode, count(*) AS n, count(*) FILTER (WHERE crashed) AS n_crashed, round(sum(bias_v), 6) AS sum_bias_v, round(sum(wall_time_s), 4) AS sum_wall FROM runs GROUP BY 1, 2""")
+WITH {RUNS} SELECT scenario_id, mode, count(*) AS n, count(*) FILTER (WHERE crashed) AS n_crashed, round(sum(bias_v), 6) AS sum_bias_v, round(sum(wall_time_s), 5) AS sum_wall FROM runs GROUP BY 1, 2""")
 def append_run_log(spark, sf):
     path = shared_folder(spark, "runlog")
     r = runs(spark, sf).withColumn("scenario_id", F.col("scenario_id").cast("string"))
@@ -76,7 +76,7 @@ def append_run_log(spark, sf):
     runlog.append_run_log(r.filter("NOT crashed"), path)
     back = runlog.read_run_log(spark, path)
     return back.groupBy(F.col("scenario_id").cast("long").alias("scenario_id"), "mode").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("crashed").alias("n_crashed"), r6(F.sum("bias_v"), "sum_bias_v"), F.round(F.sum("wall_time_s"), 4).alias("sum_wall")
+        F.count(F.lit(1)).alias("n"), F.count_if("crashed").alias("n_crashed"), r6(F.sum("bias_v"), "sum_bias_v"), F.round(F.sum("wall_time_s"), 5).alias("sum_wall")
     )
 
 
@@ -106,7 +106,7 @@ def stream(spark, sf):
             (0.05 * F.col("value") + 0.5).alias("gerr"), (F.col("event_type") != "error").alias("good"), F.lit(40.0).alias("model"),
         )
 
-    schema = table(spark, sf, "events").schema.simpleString()[len("struct<"):-1]
-    q = score_stream(spark, f"{sf}/events.parquet", schema, f"{work}/out", f"{work}/state", 8400.0, 8500.0, to_pixels)
+    schema = table(spark, sf, "events").schema
+    q = score_stream(spark, sf, schema, f"{work}/out", f"{work}/state", 8400.0, 8500.0, to_pixels, pattern="events.parquet")
     q.awaitTermination()
     return spark.read.parquet(f"{work}/out").select("object_id", r6("chi2"), "ngood", r6("sigma"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +19,28 @@ def col(c: str | float | Column) -> Column:
     return c if isinstance(c, Column) else F.lit(float(c))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind ``value`` once for ``body``. Columns used inside a lambda are otherwise inlined by the
+    optimizer and computed again for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def array_sum(a) -> Column:
+    return F.aggregate(col(a), F.lit(0.0), lambda s, e: s + e)
+
+
+def dot(a, b) -> Column:
+    return F.aggregate(F.zip_with(col(a), col(b), lambda x, y: x * y), F.lit(0.0), lambda s, e: s + e)
+
+
+def array_median(a: Column) -> Column:
+    """Median of an array of numbers, null when it is empty."""
+    return let(F.array_sort(a), lambda w: F.when(
+        F.size(w) > 0,
+        (F.element_at(w, F.floor((F.size(w) + 1) / 2).cast("int")) + F.element_at(w, (F.floor(F.size(w) / 2) + 1).cast("int"))) / 2,
+    ))
+
+
 def to_rest(x, z, frame: str = "observed") -> Column:
     """Observed coordinates are divided by 1+z; rest ones pass through."""
     return col(x) / (1 + col(z)) if frame == "observed" else col(x)

@@ -11,6 +11,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spectraloom.functions.columns import array_median, let
 from spectraloom.operators.pixels import OBJ
 from spectraloom.plans.scale import attach
 
@@ -36,26 +37,22 @@ def pick_lambda_roughness(trials: DataFrame, limit: float = 0.25, max_peaks: int
     return trials.groupBy(*OBJ).agg(F.coalesce(F.min(F.when(ok, F.col("lam"))), F.max("lam")).alias("lam"))
 
 
-_MED = (
-    "(element_at({0}, cast((size({0}) + 1) div 2 as int)) + element_at({0}, cast(size({0}) div 2 + 1 as int))) / 2"
-)
-
-
 def sane_trials(trials: DataFrame, max_peaks: int = 1) -> DataFrame:
     """Adds ``sane``: V within 5 sigma of ``v_center`` and, with two or more other unimodal trials,
     within 5 * max(MAD, 3) of their median. Trials of an object form one short array."""
     packed = trials.groupBy(*OBJ).agg(
         F.collect_list(F.when(F.col("n_peaks") <= max_peaks, F.struct("lam", "v"))).alias("_single")
     )
-    d = attach(trials, packed, OBJ)
-    d = d.withColumn("_o", F.expr("array_sort(transform(filter(_single, t -> t.lam <> lam), t -> t.v))"))
-    d = d.withColumn("_many", F.size("_o") >= 2)
-    d = d.withColumn("_m", F.when(F.col("_many"), F.expr(_MED.format("_o"))))
-    d = d.withColumn("_a", F.expr("array_sort(transform(_o, x -> abs(x - _m)))"))
-    d = d.withColumn("_mad", F.when(F.col("_many"), F.expr(_MED.format("_a"))))
+    others = F.transform(F.filter("_single", lambda t: t["lam"] != F.col("lam")), lambda t: t["v"])
     near = F.abs(F.col("v") - F.col("v_center")) <= 5 * F.greatest("sigma", F.lit(1.0))
-    agree = F.when(F.col("_many"), F.abs(F.col("v") - F.col("_m")) <= 5 * F.greatest("_mad", F.lit(3.0))).otherwise(True)
-    return d.withColumn("sane", near & agree).drop("_single", "_o", "_many", "_m", "_a", "_mad")
+
+    def agrees(o):
+        return let(array_median(o), lambda m: F.abs(F.col("v") - m) <= 5 * F.greatest(
+            array_median(F.transform(o, lambda x: F.abs(x - m))), F.lit(3.0)
+        ))
+
+    agree = let(others, lambda o: F.when(F.size(o) >= 2, agrees(o)).otherwise(True))
+    return attach(trials, packed, OBJ).withColumn("sane", near & agree).drop("_single")
 
 
 def discrepancy_target(trials: DataFrame, nsigma: float = 0.3) -> DataFrame:

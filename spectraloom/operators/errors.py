@@ -12,7 +12,7 @@ from spectraloom.operators import stats as S
 from spectraloom.operators.describe import gh_fit
 from spectraloom.operators.pixels import OBJ
 from spectraloom.operators.solve import bins_from_packed, model_rows, packed_gram, solve_losvd
-from spectraloom.plans.scale import attach, number_rows
+from spectraloom.plans.scale import attach, cut, number_rows
 
 REP = ["object_id", "rep"]
 
@@ -75,7 +75,7 @@ def ensemble_errors(point: DataFrame, reps: DataFrame, confidence: float = 0.68)
     by = ["object_id", "bin"]
     spread = S.replicate_spread(reps, by).select(*by, F.col("spread").alias("err"))
     losvd = S.anchored_bounds(point, reps, by, confidence).join(spread, by, "left")
-    described = gh_fit(reps, REP)
+    described = cut(gh_fit(reps, REP))
     best = gh_fit(point, OBJ)
     names = ["vel", "sigma", "h3", "h4"]
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectraloom.functions.columns import C_KMS, col, finite, line_half_width
+from spectraloom.functions.columns import array_median, col, finite, let, line_half_width
 from spectraloom.functions.lines import TRIPLET_CENTRES, TRIPLET_HALF_WIDTH, triplet_windows
 from spectraloom.operators.pixels import OBJ
 from spectraloom.plans.scale import (
@@ -81,6 +81,16 @@ def line_excess_snr(
     )
 
 
+def emission_line_windows(
+    df: DataFrame, lines: DataFrame, threshold: float = 3.0, half_width: float = 5.0,
+    pad_kms: float = 300.0, context: float = 20.0, lo: float | None = None, hi: float | None = None,
+) -> DataFrame:
+    """Windows ``(object_id, lo, hi)`` of the candidate lines with enough excess in each series."""
+    found = line_excess_snr(df, lines, half_width, pad_kms, context, lo, hi).filter(F.col("excess") >= threshold)
+    wins = found.select(*OBJ, (F.col("centre") - F.col("hw")).alias("lo"), (F.col("centre") + F.col("hw")).alias("hi"))
+    return cut(wins)  # a few rows per series, read for its size, its widest window and the join
+
+
 def emission_line_mask(
     df: DataFrame, lines: DataFrame, threshold: float = 3.0, half_width: float = 5.0,
     pad_kms: float = 300.0, context: float = 20.0, lo: float | None = None, hi: float | None = None,
@@ -91,9 +101,7 @@ def emission_line_mask(
         hw = line_half_width("centre", half_width, pad_kms)
         wins = lines.select((F.col("centre") - hw).alias("lo"), (F.col("centre") + hw).alias("hi"))
         return flag_in_windows(df, wins, name)
-    found = line_excess_snr(df, lines, half_width, pad_kms, context, lo, hi).filter(F.col("excess") >= threshold)
-    wins = found.select(*OBJ, (F.col("centre") - F.col("hw")).alias("lo"), (F.col("centre") + F.col("hw")).alias("hi"))
-    return flag_in_windows(df, wins, name, keys=OBJ)
+    return flag_in_windows(df, emission_line_windows(df, lines, threshold, half_width, pad_kms, context, lo, hi), name, keys=OBJ)
 
 
 def grow_mask(df: DataFrame, flag: str, n: int, name: str = "grown") -> DataFrame:
@@ -151,12 +159,17 @@ def mask_spans(df: DataFrame, flag: str) -> DataFrame:
     )
 
 
-def rolling_outliers(
+def rolling_outliers(df: DataFrame, n_sigma: float = 3.0, window: float = 50.0, name: str = "segment_emission", **segments) -> DataFrame:
+    """Adds a flag for the pixels of ``rolling_flags``."""
+    flagged = rolling_flags(df, n_sigma, window, **segments).withColumn(name, F.lit(True))
+    return df.join(flagged, [*OBJ, "pix"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
+def rolling_flags(
     df: DataFrame, n_sigma: float = 3.0, window: float = 50.0,
     centres: list[float] = TRIPLET_CENTRES, margin: float = TRIPLET_HALF_WIDTH * 1.5,
-    name: str = "segment_emission",
 ) -> DataFrame:
-    """Upward outliers against a rolling median and MAD inside line-free segments.
+    """(object_id, pix) of upward outliers against a rolling median and MAD inside line-free segments.
 
     The half-window is max(5, ceil(window / (2 * median step))) rows of the segment, truncated at
     its ends; segments need 10 good pixels. The frame is an array of at most one window.
@@ -180,20 +193,23 @@ def rolling_outliers(
         rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 10"),
         quantiles(steps, keys, "_d", {"_dx": 0.5}), keys,
     ).select(*keys, F.greatest(F.lit(5), F.ceil(window / (2 * F.greatest("_dx", F.lit(1e-6))))).cast("int").alias("_h"))
+    facts = cut(facts)  # one row per segment, read twice
     reach = facts.agg(F.max("_h")).first()[0] or 5
     framed = halo(rows.join(facts, keys), keys, reach, lambda w: {
         "_w": F.collect_list(F.struct("_k", "g")).over(w.rowsBetween(-reach, reach)),
     }, pos="_k")
-    med = "(element_at({0}, cast((size({0}) + 1) div 2 as int)) + element_at({0}, cast(size({0}) div 2 + 1 as int))) / 2"
+    window_values = F.transform(
+        F.filter("_w", lambda e: F.abs(e["_k"] - F.col("_k")) <= F.col("_h")), lambda e: e["g"]
+    )
+    both = let(window_values, lambda w: let(array_median(w), lambda m: F.struct(
+        m.alias("med"), (1.4826 * array_median(F.transform(w, lambda e: F.abs(e - m)))).alias("mad")
+    )))
     flagged = (
-        framed.withColumn("_w", F.expr("array_sort(transform(filter(_w, e -> abs(e._k - _k) <= _h), e -> e.g))"))
-        .withColumn("_med", F.expr(med.format("_w")))
-        .withColumn("_a", F.expr("array_sort(transform(_w, e -> abs(e - _med)))"))
-        .withColumn("_mad", 1.4826 * F.expr(med.format("_a")))
-        .filter((F.col("_mad") > 0) & (F.col("g") > F.col("_med") + n_sigma * F.col("_mad")))
-        .select(*OBJ, "pix", F.lit(True).alias(name))
+        framed.withColumn("_s", both)
+        .filter((F.col("_s.mad") > 0) & (F.col("g") > F.col("_s.med") + n_sigma * F.col("_s.mad")))
+        .select(*OBJ, "pix")
     )
-    return df.join(flagged, [*OBJ, "pix"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return flagged
 
 
 def robust_sigma(df: DataFrame, by: list[str], value: str | Column, name: str = "sigma") -> DataFrame:

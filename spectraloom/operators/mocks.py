@@ -12,7 +12,7 @@ from spectraloom.functions.lines import MOCK_EMISSION_CENTRES, MOCK_EMISSION_RAN
 from spectraloom.operators import shapes
 from spectraloom.operators.pixels import OBJ, generated_axis
 from spectraloom.operators.resample import convolve_kernel, gauss_kernel, gauss_smooth
-from spectraloom.plans.scale import attach, halo, quantiles
+from spectraloom.plans.scale import attach, checked_once, cut, halo, quantiles
 
 
 def double_peak(v, centre, sigma, separation: float = 0.6, width: float = 0.5, ratio: float = 1.0) -> Column:
@@ -100,6 +100,13 @@ def build_mocks(jobs: DataFrame, start: float, step: float, n_pix: int, lam_cent
     # Padding with 1 (the continuum) instead of 0: convolve the deviation from the continuum.
     conv = convolve_kernel(base.withColumn("_dip", 1 - F.col("_t")), kernel, "_dip")
     d = base.join(conv, [*OBJ, "pix"]).withColumn("_broad", 1 - F.col("conv")).drop("conv", "_t")
+    d = cut(d)  # the steps below each read the table for a per-job fact
+    with checked_once(d, OBJ):
+        return _dress(d)
+
+
+def _dress(d: DataFrame) -> DataFrame:
+    """Continuum, lines and noise of the jobs' columns on top of the broadened template."""
     d = shapes.normalised_axis(d, OBJ)
     level = quantiles(d, OBJ, F.abs("_broad"), {"_med": 0.5})
     d = attach(d, level, OBJ)

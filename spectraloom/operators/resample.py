@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.functions.columns import C_KMS, col, nint
+from spectraloom.functions.columns import C_KMS, array_sum, col, let, nint
 from spectraloom.operators.pixels import OBJ
 from spectraloom.operators.stats import pack_bins
 from spectraloom.plans.scale import BLOCK_ROWS, attach, halo, number_rows, quantiles, setting
@@ -102,17 +102,25 @@ def fine_losvd(df: DataFrame, keys: Sequence[str], n_fine: int | str) -> DataFra
     """Histogram resampled to ``n_fine`` points keeping its total: one packed row per key
     (``v0``, ``v1``, ``y`` array), all bounded by the velocity grids."""
     ends = df.groupBy(*keys).agg(F.min("v").alias("v0"), F.max("v").alias("v1"))
-    d = pack_bins(df, keys).join(ends, list(keys)).withColumn("_nf", (F.lit(n_fine) if isinstance(n_fine, int) else F.col(n_fine)).cast("int"))
-    d = d.withColumn("y", F.expr("""
-      transform(sequence(0, _nf - 1), j ->
-        b[cast(floor(j * (size(b) - 1) / cast(_nf - 1 as double)) as int)]
-        + (b[least(cast(floor(j * (size(b) - 1) / cast(_nf - 1 as double)) as int) + 1, size(b) - 1)]
-           - b[cast(floor(j * (size(b) - 1) / cast(_nf - 1 as double)) as int)])
-          * (j * (size(b) - 1) / cast(_nf - 1 as double) - floor(j * (size(b) - 1) / cast(_nf - 1 as double))))"""))
-    total = "aggregate({0}, cast(0 as double), (s, e) -> s + e)"
-    d = d.withColumn("_sy", F.expr(total.format("y"))).withColumn("_sb", F.expr(total.format("b")))
-    k = F.when(F.col("_sy") != 0, F.col("_sb") / F.col("_sy")).otherwise(1.0)
-    return d.withColumn("_k", k).withColumn("y", F.expr("transform(y, e -> e * _k)")).select(*keys, "v0", "v1", "y")
+    nf = (F.lit(n_fine) if isinstance(n_fine, int) else F.col(n_fine)).cast("int")
+    d = pack_bins(df, keys).join(ends, list(keys)).withColumn("_nf", nf)
+
+    def sample(b):
+        def one(j):
+            at = j * (F.size(b) - 1) / (F.col("_nf") - 1).cast("double")
+            lo = F.floor(at).cast("int")
+            left, right = F.get(b, lo), F.get(b, F.least(lo + 1, F.size(b) - 1))
+            return left + (right - left) * (at - F.floor(at))
+
+        return F.transform(F.sequence(F.lit(0), F.col("_nf") - 1), one)
+
+    def rescale(b, y):
+        return let(F.struct(array_sum(b).alias("b"), array_sum(y).alias("y")), lambda s: F.transform(
+            y, lambda e: F.when(s["y"] != 0, e * (s["b"] / s["y"])).otherwise(e)
+        ))
+
+    y = let(F.col("b"), lambda b: let(sample(b), lambda y: rescale(b, y)))
+    return d.select(*keys, "v0", "v1", y.alias("y"))
 
 
 def refine_losvd(df: DataFrame, keys: Sequence[str], n_fine: int) -> DataFrame:
@@ -127,8 +135,7 @@ def convolve_losvd(pix: DataFrame, fine: DataFrame, step: float, value: str = "t
     """
     ends = pix.groupBy(*keys).agg(F.min("x").alias("_x0"), F.max("pix").alias("_last"))
     d = attach(attach(pix, ends, keys), fine, keys)
-    total = F.expr("aggregate(y, cast(0 as double), (s, e) -> s + e)")
-    d = d.withColumn("_sum", total).withColumn("_e", F.explode(F.expr(
+    d = d.withColumn("_sum", array_sum("y")).withColumn("_e", F.explode(F.expr(
         "concat(array(named_struct('j', -1, 'y', cast(0 as double))), transform(y, (e, j) -> named_struct('j', j, 'y', e)))"
     ))).withColumn("_nf", F.size("y")).drop("y")
     v = F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("_e.j") / (F.col("_nf") - 1)
@@ -192,14 +199,21 @@ def gauss_kernel(losvd: DataFrame, keys: Sequence[str], lam: float, step: float)
     f = lam / (C_KMS * step)
     d = d.withColumn("_p0", F.col("v0") * f).withColumn("_dp", (F.col("v1") - F.col("v0")) * f / (F.size("b") - 1))
     d = d.withColumn("lo", F.floor("_p0").cast("int")).withColumn("_hi", F.ceil(F.col("v1") * f).cast("int"))
-    d = d.withColumn("_raw", F.expr("""
-      transform(sequence(lo, _hi), p -> CASE
-        WHEN p < _p0 OR p > _p0 + _dp * (size(b) - 1) THEN cast(0 as double)
-        ELSE b[cast(least(floor((p - _p0) / _dp), size(b) - 1) as int)]
-          + (b[cast(least(floor((p - _p0) / _dp) + 1, size(b) - 1) as int)] - b[cast(least(floor((p - _p0) / _dp), size(b) - 1) as int)])
-          * ((p - _p0) / _dp - floor((p - _p0) / _dp)) END)"""))
-    d = d.withColumn("_s", F.expr("aggregate(_raw, cast(0 as double), (s, e) -> s + e)"))
-    return d.select(*keys, "lo", F.when(F.col("_s") > 0, F.expr("transform(_raw, e -> e / _s)")).otherwise(F.col("_raw")).alias("k"))
+
+    def sample(b):
+        def one(p):
+            at = (p - F.col("_p0")) / F.col("_dp")
+            lo = F.least(F.floor(at), (F.size(b) - 1).cast("long")).cast("int")
+            left, right = F.get(b, lo), F.get(b, F.least(lo + 1, F.size(b) - 1))
+            out = (p < F.col("_p0")) | (p > F.col("_p0") + F.col("_dp") * (F.size(b) - 1))
+            return F.when(out, 0.0).otherwise(left + (right - left) * (at - F.floor(at)))
+
+        return F.transform(F.sequence("lo", "_hi"), one)
+
+    unit = let(F.col("b"), lambda b: let(sample(b), lambda r: let(array_sum(r), lambda s: F.transform(
+        r, lambda e: F.when(s > 0, e / s).otherwise(e)
+    ))))
+    return d.select(*keys, "lo", unit.alias("k"))
 
 
 def convolve_kernel(pix: DataFrame, kernel: DataFrame, value: str = "t", keys: list[str] = OBJ) -> DataFrame:

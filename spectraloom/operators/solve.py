@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.functions.columns import C_KMS, nint, valid_pixel
+from spectraloom.functions.columns import C_KMS, array_sum, dot, let, nint, valid_pixel
 from spectraloom.operators.pixels import OBJ
 from spectraloom.operators.stats import pack_bins
 from spectraloom.plans.scale import BLOCK_ROWS, attach, cut, quantiles, setting
@@ -66,7 +66,7 @@ def _partial_sums(keys: list[str], n: int, m: int):
     return run
 
 
-def packed_gram(df: DataFrame, n: int, m: int = 1, keys: list[str] = OBJ) -> DataFrame:
+def packed_gram(df: DataFrame, n: int, m: int = 1, keys: list[str] = OBJ, longest: int | None = None) -> DataFrame:
     """Normal equations per key from rows ``(keys, pix, _d array n, _y array m, _w)``.
 
     Returns ``_gram`` (n*n), ``_rhs`` (m*n), ``_yy`` (m) and ``ngood``. Rows are summed inside their
@@ -74,7 +74,8 @@ def packed_gram(df: DataFrame, n: int, m: int = 1, keys: list[str] = OBJ) -> Dat
     """
     size = setting(df.sparkSession, BLOCK_ROWS)
     types = dict(df.dtypes)
-    longest = df.agg(F.max("pix")).first()[0] or 0
+    if longest is None:
+        longest = df.agg(F.max("pix")).first()[0] or 0
     rows = df.select(*keys, F.floor(F.col("pix") / size).alias("_blk"), "_d", "_y", "_w")
     rows = rows.repartition(*keys, "_blk").sortWithinPartitions(*keys, "_blk")
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", _s array<double>"
@@ -188,30 +189,26 @@ def losvd_design(pix: DataFrame, n: int, vmin: float, vmax: float, step: float,
     ).withColumn("n_bins", F.lit(n)).withColumn("v_lo", F.lit(float(vmin))).withColumn("v_hi", F.lit(float(vmax)))
 
 
-def _dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, e: s + e)
-
-
 def model_rows(design: DataFrame, shape: DataFrame | None = None) -> DataFrame:
     """Linear response ``_d`` around a current histogram: a over the weight the histogram puts on the
     pixel. Without one, every bin counts the same."""
     if shape is None:
-        d = design.withColumn("_b", F.transform("w", lambda e: F.lit(1.0) / F.col("n_bins")))
+        d, weight = design, array_sum("w") / F.col("n_bins")
     else:
         d = attach(design, shape.select(*OBJ, F.col("b").alias("_b")), OBJ)
-    total = F.aggregate("_b", F.lit(0.0), lambda s, e: s + e)
-    d = d.withColumn("_k", _dot("w", "_b") / total).withColumn("_k", F.when(F.col("_k") != 0, F.col("_k")).otherwise(1.0))
-    return d.withColumn("_d", F.transform("a", lambda e: e / F.col("_k"))).drop("_k", "_b")
+        weight = dot("w", "_b") / array_sum("_b")
+    response = let(F.when(weight != 0, weight).otherwise(1.0), lambda k: F.transform("a", lambda e: e / k))
+    return d.withColumn("_d", response).drop("_b")
 
 
-def losvd_gram(design: DataFrame, n: int, shape: DataFrame | None = None, cont: str | None = None) -> DataFrame:
+def losvd_gram(design: DataFrame, n: int, shape: DataFrame | None = None, cont: str | None = None, longest: int | None = None) -> DataFrame:
     """Packed normal equations of the recovery; ``cont`` names a multiplicative continuum column."""
     d = model_rows(design, shape)
     if cont:
         d = d.withColumn("_d", F.transform("_d", lambda e: e * F.col(cont)))
     w = F.when(valid_pixel(), 1 / (F.col("gerr") * F.col("gerr"))).otherwise(0.0)
     safe = F.when(valid_pixel(), F.col("g")).otherwise(0.0)
-    return packed_gram(d.withColumn("_w", w).withColumn("_y", F.array(safe)), n)
+    return packed_gram(d.withColumn("_w", w).withColumn("_y", F.array(safe)), n, longest=longest)
 
 
 def _recover_batches(keys: list[str], n: int, step: float):
@@ -271,11 +268,12 @@ def recover_losvd(
     ``centre`` per object. The minimiser differs from the reference method, the objective does not
     (its 0.1 * |sum b - 1| term is left to the data).
     """
-    d = design if design is not None else losvd_design(pix, n, vmin, vmax, step)
+    d = design if design is not None else cut(losvd_design(pix, n, vmin, vmax, step))  # read every round
+    longest = d.agg(F.max("pix")).first()[0] or 0
     mid = sorted(lambdas)[len(lambdas) // 2]
     shape = None
     for i in range(rounds):
-        gram = losvd_gram(d, n, shape, cont)
+        gram = losvd_gram(d, n, shape, cont, longest)
         if tuning is not None:
             gram = attach(gram, tuning.select(*OBJ, "sigma0", "centre"), OBJ)
         else:
@@ -292,9 +290,8 @@ def recover_losvd(
 def model_from_design(design: DataFrame, losvd: DataFrame, name: str = "model") -> DataFrame:
     """Model spectrum of one packed histogram per object on its pixels."""
     d = attach(design, losvd.select(*OBJ, F.col("b").alias("_bb")), OBJ)
-    total = F.aggregate("_bb", F.lit(0.0), lambda s, e: s + e)
-    num, den = _dot("a", "_bb"), _dot("w", "_bb")
-    return d.withColumn(name, F.when(den != 0, num * total / den).otherwise(num)).drop("_bb")
+    sums = F.struct(dot("a", "_bb").alias("n"), dot("w", "_bb").alias("d"), array_sum("_bb").alias("t"))
+    return d.withColumn(name, let(sums, lambda s: F.when(s["d"] != 0, s["n"] * s["t"] / s["d"]).otherwise(s["n"]))).drop("_bb")
 
 
 # --- mixtures, splines, baselines -------------------------------------------------------------------
@@ -385,10 +382,10 @@ def _ridge_batches(keys: list[str], n: int, order: int, strength: float):
     return run
 
 
-def fit_spline(rows: DataFrame, n: int, strength: float, order: int = 2, keys: list[str] = OBJ, scale: DataFrame | None = None) -> DataFrame:
+def fit_spline(rows: DataFrame, n: int, strength: float, order: int = 2, keys: list[str] = OBJ, scale: DataFrame | None = None, longest: int | None = None) -> DataFrame:
     """Penalised spline coefficients from rows with ``_d, _y, _w``; the roughness of coefficients
     divided by ``scale`` is penalised."""
-    gram = packed_gram(rows, n, keys=keys)
+    gram = packed_gram(rows, n, keys=keys, longest=longest)
     gram = attach(gram, scale, keys) if scale is not None else gram.withColumn("scale", F.lit(1.0))
     gram = gram.withColumn("scale", F.when(F.abs("scale") > 0, F.abs("scale")).otherwise(1.0))
     types = dict(gram.dtypes)
@@ -403,7 +400,7 @@ def fit_pspline(pix: DataFrame, interior: int = 10, degree: int = 3, strength: f
     weighted = rows.withColumn("_w", w).withColumn("_y", F.array(F.when(valid_pixel(), F.col("g")).otherwise(0.0)))
     level = pix.filter(valid_pixel()).groupBy(*keys).agg(F.avg(F.abs("g")).alias("scale"))
     coef = cut(fit_spline(weighted, interior + degree + 1, strength, order, keys, level))
-    return attach(rows, coef, keys).withColumn(name, _dot("_d", "coef")).drop("_d", "coef")
+    return attach(rows, coef, keys).withColumn(name, dot("_d", "coef")).drop("_d", "coef")
 
 
 def asymmetric_baseline(
@@ -417,16 +414,17 @@ def asymmetric_baseline(
     """
     n = interior + 4
     base = spline_rows(pix, interior, 3, keys).withColumn("_y", F.array(F.coalesce("g", F.lit(0.0))))
+    longest = pix.agg(F.max("pix")).first()[0] or 0
     coef = None
     for _ in range(rounds):
         if coef is None:
             rows = base.withColumn("_w", F.when(F.col("good"), 1.0).otherwise(masked_weight))
         else:
-            rows = attach(base, coef, keys).withColumn("_f", _dot("_d", "coef"))
+            rows = attach(base, coef, keys).withColumn("_f", dot("_d", "coef"))
             side = F.when(F.col("g") > F.col("_f"), p).otherwise(1 - p)
             rows = rows.withColumn("_w", F.when(F.col("good"), side).otherwise(masked_weight)).drop("coef")
-        coef = cut(fit_spline(rows, n, strength, 2, keys))
-    return attach(base, coef, keys).withColumn(name, _dot("_d", "coef")).drop("_d", "_y", "coef")
+        coef = cut(fit_spline(rows, n, strength, 2, keys, longest=longest))
+    return attach(base, coef, keys).withColumn(name, dot("_d", "coef")).drop("_d", "_y", "coef")
 
 
 # --- influence and library reduction ------------------------------------------------------------------

@@ -145,22 +145,17 @@ def normalise_losvd(df: DataFrame, keys: Sequence[str], floor: float = 1e-6) ->
     return attach(df, total, keys).withColumn("b", b / F.nullif("_t", F.lit(0.0))).drop("_t")
 
 
-PEAKS = """
-size(filter(sequence(1, n - 2), i ->
-  b[i] > b[i - 1] AND b[i] > b[i + 1]
-  AND b[i] - greatest(
-    aggregate(sequence(i - 1, 0, -1), named_struct('low', CAST('Infinity' AS DOUBLE), 'key', CAST(-1 AS DOUBLE)),
+# Lowest point between bin i and the nearest taller bin on one side, 0 when no bin there is taller.
+_KEY_COL = """aggregate({side}, named_struct('low', CAST('Infinity' AS DOUBLE), 'key', CAST(-1 AS DOUBLE)),
       (s, j) -> CASE WHEN s.key >= 0 THEN s
-                     WHEN b[j] > b[i] THEN named_struct('low', s.low, 'key', CASE WHEN s.low = CAST('Infinity' AS DOUBLE) THEN CAST(0 AS DOUBLE) ELSE s.low END)
-                     ELSE named_struct('low', least(s.low, b[j]), 'key', s.key) END,
-      s -> CASE WHEN s.key >= 0 THEN s.key ELSE CAST(0 AS DOUBLE) END),
-    aggregate(sequence(i + 1, n - 1), named_struct('low', CAST('Infinity' AS DOUBLE), 'key', CAST(-1 AS DOUBLE)),
-      (s, j) -> CASE WHEN s.key >= 0 THEN s
-                     WHEN b[j] > b[i] THEN named_struct('low', s.low, 'key', CASE WHEN s.low = CAST('Infinity' AS DOUBLE) THEN CAST(0 AS DOUBLE) ELSE s.low END)
-                     ELSE named_struct('low', least(s.low, b[j]), 'key', s.key) END,
-      s -> CASE WHEN s.key >= 0 THEN s.key ELSE CAST(0 AS DOUBLE) END)
-  ) >= {prominence} * array_max(b)))
-"""
+                     WHEN p.b[j] > p.b[i] THEN named_struct('low', s.low, 'key', CASE WHEN s.low = CAST('Infinity' AS DOUBLE) THEN CAST(0 AS DOUBLE) ELSE s.low END)
+                     ELSE named_struct('low', least(s.low, p.b[j]), 'key', s.key) END,
+      s -> CASE WHEN s.key >= 0 THEN s.key ELSE CAST(0 AS DOUBLE) END)"""
+PEAKS = f"""CASE WHEN p.n < 3 OR p.top <= 0 THEN 1 ELSE greatest(1, size(filter(sequence(1, p.n - 2), i ->
+  p.b[i] > p.b[i - 1] AND p.b[i] > p.b[i + 1] AND p.b[i] - greatest(
+    {_KEY_COL.format(side="sequence(i - 1, 0, -1)")},
+    {_KEY_COL.format(side="sequence(i + 1, p.n - 1)")}
+  ) >= {{prominence}} * p.top))) END"""
 
 
 def pack_bins(df: DataFrame, keys: Sequence[str], value: str = "b", name: str = "b") -> DataFrame:
@@ -172,9 +167,10 @@ def pack_bins(df: DataFrame, keys: Sequence[str], value: str = "b", name: str =
 
 def count_peaks(df: DataFrame, keys: Sequence[str], prominence: float = 0.1) -> DataFrame:
     """Strict local maxima whose height over the higher key col reaches a share of the peak; >= 1."""
-    packed = pack_bins(df.withColumn("b", F.greatest("b", F.lit(0.0))), keys).withColumn("n", F.size("b"))
-    n = F.expr(PEAKS.format(prominence=float(prominence)))
-    return packed.select(*keys, F.when((F.col("n") < 3) | (F.array_max("b") <= 0), 1).otherwise(F.greatest(n, F.lit(1))).cast("long").alias("n_peaks"))
+    packed = pack_bins(df.withColumn("b", F.greatest("b", F.lit(0.0))), keys)
+    # The array is bound once as a lambda variable; its maximum and length likewise.
+    found = F.expr(f"transform(array(struct(b, size(b) AS n, array_max(b) AS top)), p -> {PEAKS.format(prominence=float(prominence))})[0]")
+    return packed.select(*keys, found.cast("long").alias("n_peaks"))
 
 
 # --- Replicates: (object, bin, rep) rows; the replicate axis is unbounded. ---

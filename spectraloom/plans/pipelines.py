@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.functions.lines import emission_candidates, line_table
+from spectraloom.functions.lines import emission_candidates
 from spectraloom.operators import choose, describe, masks, mocks, products, resample, solve, suite
 from spectraloom.operators import pixels as P
 from spectraloom.operators import stats as S
 from spectraloom.operators.pixels import OBJ
-from spectraloom.plans.scale import attach, cut
+from spectraloom.plans.scale import attach, checked_once, cut, flag_in_windows
 
 
 def prepare(
@@ -30,44 +30,50 @@ def prepare(
     d = pix.withColumn("x", F.col("x") / (1 + z)) if z else pix
     d = P.require_pixels(P.sanitise(P.select_region(d, lo, hi)), min_pixels)
     d = number_rows(d.drop("pix"), OBJ, ["x"], "pix")
+    d = cut(d)  # every detector below reads this table on its own
     names = []
-    if regions is not None:
-        d = masks.mask_regions(d, regions, z, "m_region")
-        names.append("m_region")
-    d = masks.emission_line_mask(d, emission_candidates(spark), emission_threshold, lo=lo, hi=hi, name="m_line")
-    d = masks.rolling_outliers(d, n_sigma, name="m_segment")
-    names += ["m_line", "m_segment"]
-    if grow > 0:
-        d = masks.union_masks(d, ["m_line", "m_segment"], "_seed")
-        d = masks.grow_mask_by(d, "_seed", grow, "m_grown").drop("_seed")
-        names.append("m_grown")
-    d = masks.union_masks(d, names, "masked")
-    return d.withColumn("good", F.col("good") & ~F.col("masked"))
+    with checked_once(d, OBJ):
+        out = d
+        if regions is not None:
+            out = masks.mask_regions(out, regions, z, "m_region")
+            names.append("m_region")
+        lines = masks.emission_line_windows(d, emission_candidates(spark), emission_threshold, lo=lo, hi=hi)
+        out = flag_in_windows(out, lines, "m_line", keys=OBJ)
+        segment = masks.rolling_flags(d, n_sigma).withColumn("m_segment", F.lit(True))
+        out = out.join(segment, [*OBJ, "pix"], "left").withColumn("m_segment", F.coalesce("m_segment", F.lit(False)))
+        names += ["m_line", "m_segment"]
+        if grow > 0:
+            out = masks.union_masks(out, ["m_line", "m_segment"], "_seed")
+            out = masks.grow_mask_by(cut(out), "_seed", grow, "m_grown").drop("_seed")
+            names.append("m_grown")
+    out = masks.union_masks(out, names, "masked")
+    return out.withColumn("good", F.col("good") & ~F.col("masked"))
 
 
 def series_quality(pix: DataFrame, lo: float, hi: float, grow: int = 1) -> DataFrame:
     """One row per series: size, masked pixels, robust scatter and fit to its mean level."""
-    d = P.select_region(pix, lo, hi)
-    d = masks.rolling_outliers(d, name="outlier")
-    d = masks.grow_mask(d, "outlier", grow, "masked")
-    d = d.withColumn("good", F.col("good") & ~F.col("masked"))
-    good = d.filter("good")
+    pix = P.select_region(pix, lo, hi)
+    with checked_once(pix, OBJ):
+        d = masks.rolling_outliers(pix, name="outlier")
+        d = masks.grow_mask(d, "outlier", grow, "masked")
+        d = cut(d.withColumn("good", F.col("good") & ~F.col("masked")))
+        good = d.filter("good")
+        sigma = masks.robust_sigma(good, OBJ, "g")
     level = good.groupBy(*OBJ).agg(F.avg("g").alias("model"))
     stats = S.chi2(attach(d, level, OBJ), OBJ, "model")
     counts = d.groupBy(*OBJ).agg(F.count(F.lit(1)).alias("n_pixels"), F.count_if("masked").alias("n_masked"))
-    sigma = masks.robust_sigma(good, OBJ, "g")
     return counts.join(sigma, OBJ, "left").join(stats, OBJ, "left").withColumn("chi2_red", S.chi2_reduced("dof"))
 
 
 def trials_of(fits: DataFrame, n: int, vmin: float, vmax: float, v_center: DataFrame | None = None, prominence: float = 0.1) -> DataFrame:
     """Selection table of packed fits: roughness, peak count, centroid and dispersion per strength."""
     keys = [*OBJ, "lam"]
+    fits = fits.select(*keys, "b", "chi2", "ngood")
     bins = solve.bins_from_packed(fits, vmin, vmax, n, keys)
     t = fits.select(*keys, "chi2", "ngood").join(S.roughness(bins, keys).withColumnRenamed("roughness", "rough"), keys)
     t = t.join(S.count_peaks(bins, keys, prominence), keys).join(S.losvd_moments(bins, keys).withColumnRenamed("vel", "v"), keys)
-    if v_center is None:
-        return t.withColumn("v_center", F.lit(0.0))
-    return attach(t, v_center, OBJ)
+    t = t.withColumn("v_center", F.lit(0.0)) if v_center is None else attach(t, v_center, OBJ)
+    return cut(t)  # one short row per (object, strength), read many times by the selection
 
 
 def auto_lambda(
@@ -98,9 +104,13 @@ def recover_self_consistent(
 
     Objects within ``tol`` leave the loop. The pivot of the taper is the correlation velocity.
     """
-    center = resample.xcorr_velocity(pix, step, vmin, vmax).withColumnRenamed("v", "v_center")
-    center = cut(center)
-    design = cut(solve.losvd_design(pix if cont is None else pix.withColumn("cont_", F.col(cont)), n, vmin, vmax, step))
+    with checked_once(pix, OBJ):
+        return _rounds(pix, rounds, tol, sigma0, n, vmin, vmax, step, lambdas, criterion, recentre, cont)
+
+
+def _rounds(pix, rounds, tol, sigma0, n, vmin, vmax, step, lambdas, criterion, recentre, cont) -> DataFrame:
+    center = cut(resample.xcorr_velocity(pix, step, vmin, vmax).withColumnRenamed("v", "v_center"))
+    design = cut(solve.losvd_design(pix, n, vmin, vmax, step))  # read once per round and strength grid
     if cont is not None:
         design = design.join(pix.select(*OBJ, "pix", cont), [*OBJ, "pix"])
     tuning = center.select(*OBJ, F.lit(float(sigma0)).alias("sigma0"), (F.col("v_center") if recentre else F.lit(0.0)).alias("centre"))

@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +30,7 @@ SMALL_ROWS = ("spectraloom.smallRows", 4_096)
 CUTS = 255
 
 _hot_memo: dict[tuple, bool] = {}
+_cold: ContextVar[frozenset[str]] = ContextVar("cold", default=frozenset())
 
 
 def setting(spark: SparkSession, item: tuple[str, int]) -> int:
@@ -60,6 +63,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     """Keys above the hot-row limit, or None when there is none (the usual case)."""
+    if _cold.get() and _cold.get() <= set(keys):
+        return None
     spark = df.sparkSession
     limit = setting(spark, HOT_ROWS)
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).drop("_n")
@@ -69,6 +74,21 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     return hot if _hot_memo[memo] else None
 
 
+@contextmanager
+def checked_once(df: DataFrame, keys: Sequence[str]) -> Iterator[None]:
+    """Count rows per key of an input table once for a whole pipeline.
+
+    When no key is hot, the operators inside skip their own check for these keys and finer ones: they
+    only ever see subsets of the table per key. When one is hot, every operator checks for itself.
+    """
+    token = _cold.set(frozenset(keys)) if hot_keys(df, keys) is None else None
+    try:
+        yield
+    finally:
+        if token is not None:
+            _cold.reset(token)
+
+
 def _with_sub_ranges(df: DataFrame, hot: DataFrame, keys: Sequence[str], lead: Column) -> DataFrame:
     """Add ``_blk``: the sub-range of ``lead`` inside a hot key, 0 for every other key."""
     probs = [(i + 1) / (CUTS + 1) for i in range(CUTS)]

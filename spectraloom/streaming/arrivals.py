@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from spectraloom.operators import stats as S
 from spectraloom.operators.masks import robust_sigma
@@ -19,10 +20,11 @@ def score_batch(pix: DataFrame, lo: float, hi: float, model: str = "model", min_
 
 
 def score_stream(
-    spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, lo: float, hi: float,
+    spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, lo: float, hi: float,
     to_pixels: Callable[[DataFrame], DataFrame] = lambda d: d, files_per_batch: int = 1000,
+    pattern: str = "*.parquet",
 ) -> StreamingQuery:
-    """Process all files that arrived since the last run, then stop.
+    """Process all files of a folder that arrived since the last run, then stop.
 
     The stream's checkpoint takes the place of a set of finished jobs. A batch replayed after a lost
     driver overwrites its own folder (named by the batch id), so results appear once.
@@ -31,5 +33,5 @@ def score_stream(
     def handle(batch: DataFrame, batch_id: int) -> None:
         score_batch(to_pixels(batch), lo, hi).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", pattern).parquet(source)
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
