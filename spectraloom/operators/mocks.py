@@ -98,7 +98,7 @@ def build_mocks(jobs: DataFrame, start: float, step: float, n_pix: int, lam_cent
         base = gauss_smooth(base, sig, "_t", "_t2").withColumn("_t", F.col("_t2")).drop("_t2")
     kernel = gauss_kernel(truth_losvd(jobs.select(*OBJ, "v_true", "sigma_true", "h3", "h4", "shape"), fine, 8.0), OBJ, lam_center, step)
     # Padding with 1 (the continuum) instead of 0: convolve the deviation from the continuum.
-    conv = convolve_kernel(base.withColumn("_dip", 1 - F.col("_t")), kernel, "_dip")
+    conv = convolve_kernel(base.withColumn("_dip", 1 - F.col("_t")), kernel, "_dip", same=False)
     d = base.join(conv, [*OBJ, "pix"]).withColumn("_broad", 1 - F.col("conv")).drop("conv", "_t")
     d = cut(d)  # the steps below each read the table for a per-job fact
     with checked_once(d, OBJ):

@@ -216,11 +216,15 @@ def gauss_kernel(losvd: DataFrame, keys: Sequence[str], lam: float, step: float)
     return d.select(*keys, "lo", unit.alias("k"))
 
 
-def convolve_kernel(pix: DataFrame, kernel: DataFrame, value: str = "t", keys: list[str] = OBJ) -> DataFrame:
-    """Zero-padded 'same' convolution of each series with its packed kernel (kernel not longer than the series)."""
+def convolve_kernel(pix: DataFrame, kernel: DataFrame, value: str = "t", keys: list[str] = OBJ, same: bool = True) -> DataFrame:
+    """Zero-padded convolution of each series with its packed kernel (kernel not longer than the series).
+
+    ``same`` centres the middle tap on the pixel, as the usual 'same' mode does; otherwise taps keep
+    their own offsets ``lo + j``, so a kernel about a non-zero velocity moves the series.
+    """
     ends = pix.groupBy(*keys).agg(F.max("pix").alias("_last"))
     d = attach(attach(pix.select(*keys, "pix", value), ends, keys), kernel, keys)
-    centre = F.floor((F.size("k") - 1) / 2)
+    centre = F.floor((F.size("k") - 1) / 2) if same else -F.col("lo").cast("long")
     d = d.withColumn("_c", centre).select(*keys, "pix", value, "_last", "_c", F.posexplode("k").alias("_j", "_w"))
     to = F.col("pix") + F.col("_j") - F.col("_c")
     return d.withColumn("_to", to).filter("_to >= 0 AND _to <= _last").groupBy(*keys, F.col("_to").alias("pix")).agg(
