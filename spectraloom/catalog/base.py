@@ -153,3 +153,11 @@ TRIALS = """trials AS (
                min(struct_pack(p := l_extendedprice, ok := l_orderkey, ln := l_linenumber,
                                pk := l_partkey, d := l_discount)) AS r
         FROM lineitem GROUP BY 1, 2))"""
+
+
+def lcg_sql(seed: str) -> str:
+    """SQL twin of ``lcg_uniform`` for a seed expression."""
+    mixed = f"(({seed}) % 2147483647)"
+    for _ in range(2):
+        mixed = f"(({mixed} * {mixed} + {mixed} * 48271 + 11) % 2147483647)"
+    return f"({mixed} / 2147483647e0)"

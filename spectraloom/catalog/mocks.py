@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spectraloom.catalog.base import HIST, PIXELS, hist, pixels, query, r6, table
+from spectraloom.catalog.base import HIST, PIXELS, hist, lcg_sql, pixels, query, r6, table
 from spectraloom.functions.lines import MOCK_EMISSION_CENTRES
 from spectraloom.operators import mocks as K
 from spectraloom.operators.resample import convolve_kernel, gauss_kernel
@@ -49,13 +49,10 @@ def kernel(spark, sf):
     return convolve_kernel(px, k).select("object_id", "pix", r6("conv"))
 
 
-LCG = "(((({s}) % 2147483647) * 48271 % 2147483647) * 48271 % 2147483647) / 2147483647e0"
-
-
 @query("inject_lines", f"""
 WITH {PIXELS}, cl AS (SELECT i, c FROM (VALUES {', '.join(f'({i}, {c}e0)' for i, c in enumerate(MOCK_EMISSION_CENTRES))}) t(i, c)),
 nx AS (SELECT *, lead(x) OVER w AS nx, lead(gerr) OVER w AS ne FROM pixels WINDOW w AS (PARTITION BY object_id ORDER BY pix)),
-am AS (SELECT object_id, c, (0.3e0 + 0.7e0 * {LCG.format(s='object_id * 7919 + 3 * 104729 + i * 1299709 + 12345')}) * (gerr + coalesce((ne - gerr) / (nx - x) * (c - x), 0)) AS a
+am AS (SELECT object_id, c, (0.3e0 + 0.7e0 * {lcg_sql('object_id * 7919 + 3 * 104729 + i * 1299709 + 12345')}) * (gerr + coalesce((ne - gerr) / (nx - x) * (c - x), 0)) AS a
   FROM nx JOIN cl ON c >= x AND (c < nx OR (nx IS NULL AND c = x)))
 SELECT p.object_id, p.pix, round(g + coalesce(sum(a * exp(-0.5e0 * ((x - c) / (3 / 2.3548e0)) ** 2)), 0), 6) AS g FROM pixels p LEFT JOIN am ON am.object_id = p.object_id GROUP BY p.object_id, p.pix, p.g""")
 def inject(spark, sf):
@@ -64,7 +61,7 @@ def inject(spark, sf):
 
 @query("add_noise", f"""
 WITH {PIXELS}, n AS (SELECT *, greatest(quantile_cont(abs(g), 0.5) OVER (PARTITION BY object_id) / 50, 1e-8) AS e,
-  greatest({LCG.format(s='object_id * 7919 + 7 * 104729 + 2 * pix * 1299709 + 12345')}, 1e-12) AS u1, {LCG.format(s='object_id * 7919 + 7 * 104729 + (2 * pix + 1) * 1299709 + 12345')} AS u2 FROM pixels)
+  greatest({lcg_sql('object_id * 7919 + 7 * 104729 + 2 * pix * 1299709 + 12345')}, 1e-12) AS u1, {lcg_sql('object_id * 7919 + 7 * 104729 + (2 * pix + 1) * 1299709 + 12345')} AS u2 FROM pixels)
 SELECT object_id, pix, round(e, 6) AS gerr, round(g + e * sqrt(-2 * ln(u1)) * cos(2 * pi() * u2), 6) AS g FROM n""")
 def add_noise(spark, sf):
     return K.add_noise(pixels(spark, sf), 50.0, F.lit(7)).select("object_id", "pix", r6("gerr"), r6("g"))

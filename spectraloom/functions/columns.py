@@ -215,8 +215,9 @@ def template_meta(name) -> dict[str, Column]:
 def lcg_uniform(obj, rep, k, modulus: int = 2147483647) -> Column:
     """Counter-based uniform in [0, 1): the same draw whatever the partitioning."""
     seed = col(obj).cast("long") * 7919 + col(rep).cast("long") * 104729 + col(k).cast("long") * 1299709 + 12345
-    mixed = F.pmod(F.pmod(seed, F.lit(modulus)) * 48271, F.lit(modulus))
-    mixed = F.pmod(mixed * 48271, F.lit(modulus))
+    mixed = F.pmod(seed, F.lit(modulus))
+    for _ in range(2):  # a quadratic step: a linear one would leave neighbouring counters dependent
+        mixed = F.pmod(mixed * mixed + mixed * 48271 + 11, F.lit(modulus))
     return mixed / F.lit(float(modulus))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spectraloom.operators.pixels import OBJ
+from spectraloom.plans.scale import spread
 
 HERMITE_BOUND = {"classic": 1.0, "higher": 0.5}
 
@@ -107,7 +108,7 @@ def _describe(df: DataFrame, keys: list[str], orders: list[int], convention: str
     names = ["amp", "vel", "sigma", *[f"h{n}" for n in orders], "sse"]
     types = dict(df.dtypes)
     usable = F.col("b").isNotNull() & ~F.isnan("b")
-    packed = df.groupBy(*keys).agg(
+    packed = spread(df, *keys).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.when(usable, F.struct("bin", F.col("v").alias("v"), F.col("b").cast("double").alias("b"))))).alias("_p")
     ).select(*keys, F.transform("_p", lambda e: e["v"]).alias("_v"), F.transform("_p", lambda e: e["b"]).alias("_y"))
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + ", ".join(f"{n} double" for n in names)

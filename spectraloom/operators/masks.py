@@ -11,7 +11,7 @@ from spectraloom.functions.columns import array_median, col, finite, let, line_h
 from spectraloom.functions.lines import TRIPLET_CENTRES, TRIPLET_HALF_WIDTH, triplet_windows
 from spectraloom.operators.pixels import OBJ
 from spectraloom.plans.scale import (
-    attach, bucketed_windows, cut, flag_in_windows, halo, number_rows, quantiles, running_total,
+    attach, bucketed_windows, checked_once, cut, flag_in_windows, halo, number_rows, quantiles, running_total,
 )
 
 GOOD = "good AND g IS NOT NULL AND gerr > 0"
@@ -215,9 +215,10 @@ def rolling_flags(
 def robust_sigma(df: DataFrame, by: list[str], value: str | Column, name: str = "sigma") -> DataFrame:
     """1.4826 * MAD of finite values; population std where MAD is 0 (0 for one value)."""
     src = df.withColumn("_v", col(value)).filter(finite("_v")).select(*by, "_v")
-    med = quantiles(src, by, "_v", {"_med": 0.5})
-    dev = attach(src, med, by).withColumn("_d", F.abs(F.col("_v") - F.col("_med")))
-    mad = quantiles(dev, by, "_d", {"_mad": 0.5})
+    with checked_once(src, by):
+        med = quantiles(src, by, "_v", {"_med": 0.5})
+        dev = attach(src, med, by).withColumn("_d", F.abs(F.col("_v") - F.col("_med")))
+        mad = quantiles(dev, by, "_d", {"_mad": 0.5})
     spread = src.groupBy(*by).agg(F.stddev_pop("_v").alias("_sd"))
     return mad.join(spread, by).select(
         *by, F.when(F.col("_mad") > 0, 1.4826 * F.col("_mad")).otherwise(F.col("_sd")).alias(name)

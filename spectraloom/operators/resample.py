@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from spectraloom.functions.columns import C_KMS, array_sum, col, let, nint
 from spectraloom.operators.pixels import OBJ
 from spectraloom.operators.stats import pack_bins
-from spectraloom.plans.scale import BLOCK_ROWS, attach, halo, number_rows, quantiles, setting
+from spectraloom.plans.scale import BLOCK_ROWS, attach, halo, number_rows, quantiles, setting, spread
 
 PACKED_SERIES = ("spectraloom.packedSeries", 65_536)
 
@@ -314,7 +314,7 @@ def cross_correlate(df: DataFrame, a: str = "g", b: str = "t", keys: list[str] =
     types = dict(df.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", lag long, xcorr double"
     short = df if longest <= limit else df.join(size.filter(F.col("_n") <= limit), keys, "left_semi")
-    rows = short.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pix", F.col(a).alias("_a"), F.col(b).alias("_b")))).alias("_p")).select(
+    rows = spread(short, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pix", F.col(a).alias("_a"), F.col(b).alias("_b")))).alias("_p")).select(
         *keys, F.transform("_p", lambda e: e["_a"]).alias("_a"), F.transform("_p", lambda e: e["_b"]).alias("_b")
     )
     out = rows.mapInArrow(_correlate_batches(keys), schema)

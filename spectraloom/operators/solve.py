@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.functions.columns import C_KMS, array_sum, dot, let, nint, valid_pixel
+from spectraloom.functions.columns import C_KMS, array_sum, col, dot, let, nint, valid_pixel
 from spectraloom.operators.pixels import OBJ
 from spectraloom.operators.stats import pack_bins
-from spectraloom.plans.scale import BLOCK_ROWS, attach, cut, quantiles, setting
+from spectraloom.plans.scale import BLOCK_ROWS, attach, cut, quantiles, setting, spread
 
 FLOOR = 1e-6
 
@@ -77,7 +77,7 @@ def packed_gram(df: DataFrame, n: int, m: int = 1, keys: list[str] = OBJ, longes
     if longest is None:
         longest = df.agg(F.max("pix")).first()[0] or 0
     rows = df.select(*keys, F.floor(F.col("pix") / size).alias("_blk"), "_d", "_y", "_w")
-    rows = rows.repartition(*keys, "_blk").sortWithinPartitions(*keys, "_blk")
+    rows = spread(rows, *keys, "_blk").sortWithinPartitions(*keys, "_blk")
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", _s array<double>"
     parts = rows.mapInArrow(_partial_sums(keys, n, m), schema)
     if longest >= size:
@@ -147,12 +147,12 @@ def losvd_design(pix: DataFrame, n: int, vmin: float, vmax: float, step: float,
     reach = int(math.ceil(max(abs(vmin), abs(vmax)) / C_KMS * x_hi / step)) + 2
     size = setting(pix.sparkSession, BLOCK_ROWS)
     ends = pix.groupBy(*OBJ).agg(F.min("x").alias("_x0"), F.max("pix").alias("_last"))
-    own = F.floor(F.col("pix") / size)
     lo, hi = F.greatest(F.floor((F.col("pix") - reach) / size), F.lit(0).cast("long")), F.floor((F.col("pix") + reach) / size)
     src = (
         attach(pix.select(*OBJ, "pix", "x", "g", "gerr", "good", F.col(value).alias("_t")), ends, OBJ)
-        .withColumn("_own", own).withColumn("_blk", F.explode(F.sequence(lo, hi))).repartition(*OBJ, "_blk")
+        .withColumn("_blk", F.explode(F.sequence(lo, hi)))
     )
+    src = spread(src, *OBJ, "_blk")
     # Fine sample j sits between bins k and k+1 with shares 1-f and f.
     pos = [j * (n - 1) / (n_fine - 1) for j in range(n_fine)]
     shares = []
@@ -189,19 +189,34 @@ def losvd_design(pix: DataFrame, n: int, vmin: float, vmax: float, step: float,
     ).withColumn("n_bins", F.lit(n)).withColumn("v_lo", F.lit(float(vmin))).withColumn("v_hi", F.lit(float(vmax)))
 
 
-def model_rows(design: DataFrame, shape: DataFrame | None = None) -> DataFrame:
-    """Linear response ``_d`` around a current histogram: a over the weight the histogram puts on the
-    pixel. Without one, every bin counts the same."""
-    if shape is None:
-        d, weight = design, array_sum("w") / F.col("n_bins")
-    else:
-        d = attach(design, shape.select(*OBJ, F.col("b").alias("_b")), OBJ)
-        weight = dot("w", "_b") / array_sum("_b")
-    response = let(F.when(weight != 0, weight).otherwise(1.0), lambda k: F.transform("a", lambda e: e / k))
-    return d.withColumn("_d", response).drop("_b")
+def start_shape(n: int, vmin: float, vmax: float, sigma0, centre) -> Column:
+    """Unit-sum Gaussian over the velocity bins, the shape the first linearisation starts from."""
+    v = F.array(*[F.lit(vmin + (vmax - vmin) * k / (n - 1)) for k in range(n)])
+    s, c = col(sigma0), col(centre)
+    raw = F.transform(v, lambda x: F.exp(-0.5 * F.pow((x - c) / s, F.lit(2.0))) + 1e-4)
+    return let(raw, lambda r: let(array_sum(r), lambda t: F.transform(r, lambda e: e / t)))
+
+
+def model_rows(design: DataFrame, shape: DataFrame) -> DataFrame:
+    """Linear response ``_d`` of each pixel around the histogram ``b`` of ``shape``.
+
+    The model is sum(b) * (a.b) / (w.b); with m its value at the unit-sum histogram, its derivative
+    for bin k is m + (a_k - m w_k) / (w.b), and that response reproduces m itself.
+    """
+    d = attach(design, shape.select(*OBJ, F.col("b").alias("_b")), OBJ)
+    unit = let(array_sum("_b"), lambda t: F.struct((dot("a", "_b") / t).alias("n"), (dot("w", "_b") / t).alias("d")))
+
+    def response(s):
+        free = s["d"] != 0
+        m = F.when(free, s["n"] / s["d"]).otherwise(0.0)
+        return let(F.struct(m.alias("m"), F.when(free, s["d"]).otherwise(1.0).alias("d")), lambda q: F.zip_with(
+            "a", "w", lambda x, y: q["m"] + (x - q["m"] * y) / q["d"]
+        ))
 
+    return d.withColumn("_d", let(unit, response)).drop("_b")
 
-def losvd_gram(design: DataFrame, n: int, shape: DataFrame | None = None, cont: str | None = None, longest: int | None = None) -> DataFrame:
+
+def losvd_gram(design: DataFrame, n: int, shape: DataFrame, cont: str | None = None, longest: int | None = None) -> DataFrame:
     """Packed normal equations of the recovery; ``cont`` names a multiplicative continuum column."""
     d = model_rows(design, shape)
     if cont:
@@ -262,16 +277,20 @@ def recover_losvd(
     """Histograms for all objects and all strengths at once: ``(object_id, lam, b, chi2, smooth, ngood)``.
 
     ``pix(object_id, pix, x, g, gerr, good, t)`` with the template mixture ``t``. Minimises
-    chi2 + lam * tapered roughness over b >= 1e-6, the model being a * b over the weight b puts on each
-    pixel; that ratio is refreshed from the previous round's middle strength. The normal equations are
-    built once per round, strengths only multiply the penalty. ``tuning`` may carry ``sigma0`` and
+    chi2 + lam * tapered roughness over b >= 1e-6. The model is a ratio in b, so it is linearised around
+    the previous round's fit at the middle strength (first around a Gaussian). The normal equations
+    are built once per round, strengths only multiply the penalty. ``tuning`` may carry ``sigma0`` and
     ``centre`` per object. The minimiser differs from the reference method, the objective does not
     (its 0.1 * |sum b - 1| term is left to the data).
     """
     d = design if design is not None else cut(losvd_design(pix, n, vmin, vmax, step))  # read every round
     longest = d.agg(F.max("pix")).first()[0] or 0
     mid = sorted(lambdas)[len(lambdas) // 2]
-    shape = None
+    if tuning is None:
+        first = d.select(*OBJ).distinct().withColumn("sigma0", F.lit(float(sigma0))).withColumn("centre", F.lit(float(centre)))
+    else:
+        first = tuning
+    shape = first.select(*OBJ, start_shape(n, vmin, vmax, "sigma0", "centre").alias("b"))
     for i in range(rounds):
         gram = losvd_gram(d, n, shape, cont, longest)
         if tuning is not None:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectraloom.plans.scale import attach
+from spectraloom.plans.scale import attach, cut
 
 JOB = ["scenario_id", "mode", "seed"]
 # Fixed thresholds of the flag rules.
@@ -157,44 +157,54 @@ def correct_bias(df: DataFrame, table: DataFrame, v: str = "v_rec", sigma: str =
     than four cells. The truth grid is a short table written by hand (its size is checked), so its
     axes travel as literals and every query row finds its bracket without a join on ranges.
     """
-    cells = table.select("v_true", "sigma_true", *[f"bias_{m}{t}" for m in ("v", "sigma") for t in ("", "_std")])
-    n = cells.limit(100_001).count()
+    cells = cut(table).select("v_true", "sigma_true", *[f"bias_{m}{t}" for m in ("v", "sigma") for t in ("", "_std")])
+    n = cells.limit(4_097).count()
     if n == 0:
         raise ValueError("the bias table is empty")
-    if n > 100_000:
-        raise ValueError("a truth grid has at most 100000 cells")
+    if n > 4_096:
+        raise ValueError("a truth grid has at most 4096 cells")
     vs, ss = cells.agg(F.array_sort(F.collect_set("v_true")), F.array_sort(F.collect_set("sigma_true"))).first()
-    val = F.struct(*[c for c in cells.columns if c not in ("v_true", "sigma_true")])
-    grid = F.broadcast(cells.agg(F.map_from_entries(F.collect_list(F.struct(F.struct("v_true", "sigma_true"), val))).alias("_g"))
-                       .withColumn("_one", F.lit(1)))
+    names = ["bias_v", "bias_v_std", "bias_sigma", "bias_sigma_std"]
     arr = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    d = df.withColumn("_one", F.lit(1)).join(grid, "_one").drop("_one")
-    d = d.withColumn("_v", F.col(v)).withColumn("_s", F.col(sigma)).withColumn("_vs", arr(vs)).withColumn("_ss", arr(ss))
-    for a, q in (("v", "_v"), ("s", "_s")):
-        d = d.withColumn(f"_{a}0", F.expr(f"array_max(filter(_{a}s, e -> e <= {q}))"))
-        d = d.withColumn(f"_{a}1", F.expr(f"coalesce(array_min(filter(_{a}s, e -> e > {q})), _{a}0)"))
-        edge = F.col(q) > F.element_at(f"_{a}s", -1)
-        d = d.withColumn(f"_{a}0", F.when(~edge, F.col(f"_{a}0")))
-    corner = {(i, j): F.element_at("_g", F.struct(F.col(f"_v{i}").alias("v_true"), F.col(f"_s{j}").alias("sigma_true"))) for i in "01" for j in "01"}
-    inside = F.lit(n >= 4)
-    for c in corner.values():
-        inside = inside & c.isNotNull()
-    near = F.expr(
-        "array_min(transform(map_keys(_g), k -> named_struct('d', pow(k.v_true - _v, 2) + pow(k.sigma_true - _s, 2), "
-        "'v', k.v_true, 's', k.sigma_true)))"
-    )
-    d = d.withColumn("_near", F.when(~inside, near))
-    nearest = F.element_at("_g", F.struct(F.col("_near.v").alias("v_true"), F.col("_near.s").alias("sigma_true")))
+    d = df.withColumn("_v", F.col(v)).withColumn("_s", F.col(sigma))
+    for a, axis in (("v", vs), ("s", ss)):
+        q, inside = F.col(f"_{a}"), F.col(f"_{a}") <= float(axis[-1])
+        d = d.withColumn(f"_{a}0", F.when(inside, F.array_max(F.filter(arr(axis), lambda e: e <= q))))
+        d = d.withColumn(f"_{a}1", F.when(inside, F.coalesce(F.array_min(F.filter(arr(axis), lambda e: e > q)), F.col(f"_{a}0"))))
+
+    def cell(tag, v_at, s_at):
+        packed = cells.select(F.col("v_true").alias(v_at), F.col("sigma_true").alias(s_at), F.struct(*names).alias(tag))
+        return F.broadcast(packed)  # its size was checked above
+
+    for i in "01":
+        for j in "01":
+            d = d.join(cell(f"_c{i}{j}", f"_v{i}", f"_s{j}"), [f"_v{i}", f"_s{j}"], "left")
+    full = F.lit(n >= 4)
+    for i in "01":
+        for j in "01":
+            full = full & F.col(f"_c{i}{j}").isNotNull()
+    keys = arr_cells(cells)
+    near = F.array_min(F.transform(keys, lambda k: F.struct(
+        (F.pow(k["v"] - F.col("_v"), F.lit(2.0)) + F.pow(k["s"] - F.col("_s"), F.lit(2.0))).alias("d"), k["v"].alias("v"), k["s"].alias("s")
+    )))
+    d = d.withColumn("_full", full).withColumn("_near", F.when(~F.col("_full"), near))
+    d = d.withColumn("_nv", F.col("_near.v")).withColumn("_ns", F.col("_near.s")).join(cell("_cn", "_nv", "_ns"), ["_nv", "_ns"], "left")
     fv = F.coalesce(F.try_divide(F.col("_v") - F.col("_v0"), F.col("_v1") - F.col("_v0")), F.lit(0.0))
     fs = F.coalesce(F.try_divide(F.col("_s") - F.col("_s0"), F.col("_s1") - F.col("_s0")), F.lit(0.0))
 
     def at(name):
-        c = {k: x[name] for k, x in corner.items()}
+        c = {(i, j): F.col(f"_c{i}{j}.{name}") for i in "01" for j in "01"}
         low = (1 - fs) * c["0", "0"] + fs * c["0", "1"]
         high = (1 - fs) * c["1", "0"] + fs * c["1", "1"]
-        return F.when(inside, (1 - fv) * low + fv * high).otherwise(nearest[name])
+        return F.when(F.col("_full"), (1 - fv) * low + fv * high).otherwise(F.col(f"_cn.{name}"))
 
     return d.select(
         *df.columns, (F.col(v) - at("bias_v")).alias("v_corrected"), at("bias_v_std").alias("v_inflation"),
         (F.col(sigma) - at("bias_sigma")).alias("sigma_corrected"), at("bias_sigma_std").alias("sigma_inflation"),
     )
+
+
+def arr_cells(cells: DataFrame):
+    """Coordinates of a (checked) truth grid as one array literal."""
+    rows = cells.select("v_true", "sigma_true").distinct().orderBy("v_true", "sigma_true").collect()
+    return F.array(*[F.struct(F.lit(float(r[0])).alias("v"), F.lit(float(r[1])).alias("s")) for r in rows])

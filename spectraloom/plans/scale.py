@@ -239,6 +239,14 @@ def attach(df: DataFrame, extra: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(extra, list(keys), "left")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle by key into a fixed number of tasks. For work that costs far more than its bytes (small
+    dense solves), where merging partitions by size would leave one task with everything."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def is_small(df: DataFrame) -> bool:
     """True when the table fits the limit under which it may be broadcast."""
     limit = setting(df.sparkSession, SMALL_ROWS)
