@@ -86,6 +86,15 @@ def fit_spectra(spark, sf):
     return out["quality"].join(out["moments"].select("object_id", "vel", "sigma", "h3", "h4"), "object_id", "left")
 
 
+@query("fit_spectra_joint")
+def fit_spectra_joint(spark, sf):
+    # The same spectra under a sloping continuum, which the joint mode has to recover as well.
+    level = 2 + 0.01 * F.col("pix")
+    px = planted(spark, sf).withColumn("g", F.col("g") * level).withColumn("gerr", F.col("gerr") * level)
+    out = pipelines.fit_spectra(px, "joint", n=NB, vmin=VLO, vmax=VHI, step=STEP, lambdas=LAMBDAS)
+    return out["quality"].join(out["moments"].select("object_id", "vel", "sigma", "h3", "h4"), "object_id", "left")
+
+
 @query("run_suite")
 def run_suite(spark, sf):
     jobs = supplier_jobs(spark, sf).withColumn("scenario_id", F.col("v_true").cast("int") % 10).withColumn("axis", F.col("shape"))
