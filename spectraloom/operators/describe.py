@@ -54,14 +54,18 @@ def _half_width(v: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return v[row, top], (v[row, right] - v[row, left]) / 2.35
 
 
-def describe_batch(v: np.ndarray, y: np.ndarray, orders: list[int], convention: str, zooms: int = 14) -> np.ndarray:
-    """(amp, V, sigma, h...) per row: V and log sigma on a shrinking grid, the rest linear."""
+def describe_batch(v: np.ndarray, y: np.ndarray, orders: list[int], convention: str, zooms: int = 30) -> np.ndarray:
+    """(amp, V, sigma, h...) per row: V and log sigma on a shrinking grid, the rest linear.
+
+    The grid starts small and close to the half-maximum width and follows the descent: a wide one would
+    jump to a second solution with twice the width and a large h4.
+    """
     bound = HERMITE_BOUND[convention]
     vel, sig = _half_width(v, y)
     dv = np.maximum(np.diff(v, axis=1).mean(1), 1e-12)
     sig = np.maximum(sig, dv)
-    rv, rs = 1.5 * sig, np.full(len(y), math.log(3.0))
-    grid = np.linspace(-1, 1, 9)
+    rv, rs = 0.2 * sig, np.full(len(y), math.log(1.15))
+    grid = np.linspace(-1, 1, 7)
     gv, gs = (a.ravel() for a in np.meshgrid(grid, grid))
     lo, hi = 0.2 * dv, np.ptp(v, axis=1)
     for _ in range(zooms):
@@ -71,7 +75,7 @@ def describe_batch(v: np.ndarray, y: np.ndarray, orders: list[int], convention:
         best = np.argmin(sse, axis=1)
         row = np.arange(len(y))
         vel, sig = cv[row, best], cs[row, best]
-        rv, rs = rv * 0.4, rs * 0.4
+        rv, rs = rv * 0.78, rs * 0.78
     amp, h, sse = _linear(v, y, vel, sig, orders, convention, bound)
     return np.column_stack([amp, vel, sig, h, sse])
 
