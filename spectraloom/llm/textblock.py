@@ -1,6 +1,6 @@
 """Many texts as one byte array, with word spans and substring hashes by whole-array arithmetic.
 
-A task sees its documents in blocks of a few megabytes. Hashes are polynomials modulo 2**64 over prefix
+A task sees its documents in blocks of about a megabyte. Hashes are polynomials modulo 2**64 over prefix
 sums, so the hash of any span costs two lookups; a final mixing step spreads them over all bits.
 """
 
@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SPACE = np.zeros(256, bool)
