@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spectraloom.llm import line_dedup, near_dup, packing, pii, ppm, quality_model, rules
+from spectraloom.llm import ann, line_dedup, near_dup, packing, pieces, pii, ppm, quality_model, repeats, rules
 from spectraloom.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,18 @@ ORACLES["op1_line_dedup"] = line_dedup.SQL
 @query
 def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op3_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op5_piece_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.segmentations(table(spark, sf_dir, "documents"), with_ids=False).drop("ids", "changes")
