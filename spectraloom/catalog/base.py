@@ -155,9 +155,7 @@ TRIALS = """trials AS (
         FROM lineitem GROUP BY 1, 2))"""
 
 
-def lcg_sql(seed: str) -> str:
-    """SQL twin of ``lcg_uniform`` for a seed expression."""
-    mixed = f"(({seed}) % 2147483647)"
-    for _ in range(2):
-        mixed = f"(({mixed} * {mixed} + {mixed} * 48271 + 11) % 2147483647)"
-    return f"({mixed} / 2147483647e0)"
+def lcg_sql(obj: str, rep: str, k: str) -> str:
+    """SQL twin of ``lcg_uniform``."""
+    key = " || ':' || ".join(f"CAST({c} AS VARCHAR)" for c in (obj, rep, k))
+    return f"(CAST(('0x' || substr(md5({key}), 1, 13)) AS BIGINT) / 4503599627370496e0)"

@@ -92,7 +92,7 @@ def influence(spark, sf):
     px = planted(spark, sf)
     design = cut(solve.losvd_design(px, NB, VLO, VHI, STEP))
     fits = solve.recover_losvd(px, [1e4], NB, VLO, VHI, STEP, design=design)
-    return solve.influence(solve.losvd_gram(design, NB, fits), fits, NB, VLO, VHI, STEP, lsf_kms=40.0).select("object_id", "lam", "eff_dof", "unreliable")
+    return solve.influence(solve.losvd_gram(design, NB, fits), fits, NB, VLO, VHI, STEP, lsf_kms=40.0).select("object_id", "lam", "eff_dof", "b_corrected", "bias", "unreliable")
 
 
 def _eigen(spark, sf):
@@ -115,7 +115,7 @@ def write_eigen(spark, sf):
 DRAWS = f"""{PIXELS}, md AS (SELECT p.*, m AS model FROM pixels p JOIN (SELECT object_id, avg(g) FILTER (WHERE good) AS m FROM pixels GROUP BY 1) USING (object_id)),
 gd AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY pix) - 1 AS k, count(*) OVER (PARTITION BY object_id) AS n FROM md WHERE good),
 sl AS (SELECT *, unnest(range(0, 20)) AS rep FROM gd),
-pick AS (SELECT *, CAST(floor({lcg_sql('object_id * 7919 + rep * 104729 + (k // 5) * 1299709 + 12345')} * greatest(n - 5 + 1, 1)) AS BIGINT) + k % 5 AS src FROM sl),
+pick AS (SELECT *, CAST(floor({lcg_sql('object_id', 'rep', 'k // 5')} * greatest(n - 5 + 1, 1)) AS BIGINT) + k % 5 AS src FROM sl),
 dr AS (SELECT a.object_id, a.rep, a.pix, a.model + a.gerr * (b.g - b.model) / b.gerr AS g FROM pick a JOIN gd b ON b.object_id = a.object_id AND b.k = a.src
   UNION ALL SELECT object_id, unnest(range(0, 20)), pix, g FROM md WHERE NOT good)"""
 

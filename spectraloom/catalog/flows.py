@@ -8,12 +8,11 @@ from spectraloom.catalog.base import PIXELS, RUNS, big, pixels, query, r6, runs,
 from spectraloom.catalog.fits import LAMBDAS, NB, STEP, VHI, VLO, planted
 from spectraloom.catalog.ingest import REGION_ROWS
 from spectraloom.catalog.masks import EXCESS, ROLL
-from spectraloom.catalog.mocks import SETUP, supplier_jobs
 from spectraloom.operators import products
 from spectraloom.plans import pipelines
 from spectraloom.plans.scale import attach, number_rows, shared_folder
 from spectraloom.sources import runlog
-from spectraloom.streaming.arrivals import score_stream
+from spectraloom.streaming.arrivals import latest_scores, score_stream
 
 OBJ = ["object_id"]
 
@@ -95,12 +94,6 @@ def fit_spectra_joint(spark, sf):
     return out["quality"].join(out["moments"].select("object_id", "vel", "sigma", "h3", "h4"), "object_id", "left")
 
 
-@query("run_suite")
-def run_suite(spark, sf):
-    jobs = supplier_jobs(spark, sf).withColumn("scenario_id", F.col("v_true").cast("int") % 10).withColumn("axis", F.col("shape"))
-    return pipelines.run_suite(jobs, **SETUP)["flags"]
-
-
 @query("score_stream", f"""
 WITH {PIXELS}, p AS (SELECT * FROM (SELECT user_id AS object_id, value AS g, 0.05e0 * value + 0.5e0 AS gerr, event_type <> 'error' AS good, 40e0 AS model FROM events)),
 d AS (SELECT *, quantile_cont(CASE WHEN good THEN g END, 0.5) OVER (PARTITION BY object_id) AS med FROM p),
@@ -115,7 +108,9 @@ def stream(spark, sf):
             (0.05 * F.col("value") + 0.5).alias("gerr"), (F.col("event_type") != "error").alias("good"), F.lit(40.0).alias("model"),
         )
 
-    schema = table(spark, sf, "events").schema
-    q = score_stream(spark, sf, schema, f"{work}/out", f"{work}/state", 8400.0, 8500.0, to_pixels, pattern="events.parquet")
+    # The table is dealt into several files and read one file a batch, so every user's rows span batches.
+    events = table(spark, sf, "events")
+    events.repartition(3, "event_id").write.parquet(f"{work}/in")
+    q = score_stream(spark, f"{work}/in", events.schema, f"{work}/out", f"{work}/state", 8400.0, 8500.0, to_pixels, files_per_batch=1)
     q.awaitTermination()
-    return spark.read.parquet(f"{work}/out").select("object_id", r6("chi2"), "ngood", r6("sigma"))
+    return latest_scores(spark, f"{work}/out").select("object_id", r6("chi2"), "ngood", r6("sigma"))

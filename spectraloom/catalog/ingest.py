@@ -9,6 +9,7 @@ from spectraloom.functions.columns import object_id, template_meta
 from spectraloom.functions.lines import line_rows, line_table
 from spectraloom.operators.masks import mask_regions
 from spectraloom.operators.pixels import affine_axis
+from spectraloom.plans.scale import bucketed_windows
 from spectraloom.sources import library as lib
 from spectraloom.sources import runlog, text
 
@@ -93,8 +94,10 @@ def ingest_regions(spark, sf):
         "file string, line_no long, value string",
     )
     reg = text.parse_regions(lines)
-    px = pixels(spark, sf)
-    hit = px.join(F.broadcast(reg), (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))).groupBy("lo", "hi").count()
+    # Windows are copied into coordinate buckets, so pixels meet them by an equi-join.
+    wins, width = bucketed_windows(reg)
+    px = pixels(spark, sf).withColumn("_bkt", F.floor(F.col("x") / width))
+    hit = px.join(wins, "_bkt").filter("x BETWEEN lo AND hi").groupBy("lo", "hi").count()
     return reg.join(hit, ["lo", "hi"], "left").select("lo", "hi", F.coalesce("count", F.lit(0).cast("long")).alias("n_inside"))
 
 
@@ -208,17 +211,18 @@ def lines_in_data(spark, sf):
 
 
 @query("object_key", r"""
-WITH p AS (SELECT page_id, 'dir/a.b/' || regexp_extract(url, '([0-9]+)(\?|$)', 1) ||
-  CASE page_id % 6 WHEN 0 THEN '.spec' WHEN 1 THEN '.norm' WHEN 2 THEN '.txt' WHEN 3 THEN '.dat' WHEN 4 THEN '' ELSE '.v2.fits' END AS path FROM pages)
-SELECT page_id, path, regexp_extract(path, '([0-9]*)[^/]*$', 1) || CASE WHEN path LIKE '%.v2.fits' THEN '.v2' ELSE '' END AS object_key FROM p
-WHERE regexp_extract(path, '([0-9]*)[^/]*$', 1) <> ''""")
+WITH n AS (SELECT page_id, regexp_extract(url, '([^/?]*)(\?.*)?$', 1) AS name FROM pages),
+p AS (SELECT page_id, CASE WHEN name = '' THEN 'index' ELSE replace(name, '.', '_') END AS name FROM n)
+SELECT page_id, 'dir/a.b/' || name || CASE page_id % 6 WHEN 0 THEN '.spec' WHEN 1 THEN '.norm' WHEN 2 THEN '.txt' WHEN 3 THEN '.dat' WHEN 4 THEN '' ELSE '.v2.fits' END AS path,
+  name || CASE WHEN page_id % 6 = 5 THEN '.v2' ELSE '' END AS object_key FROM p""")
 def object_key(spark, sf):
     k = F.col("page_id") % 6
     suffix = (
         F.when(k == 0, ".spec").when(k == 1, ".norm").when(k == 2, ".txt").when(k == 3, ".dat").when(k == 4, "").otherwise(".v2.fits")
     )
-    number = F.regexp_extract("url", r"([0-9]+)(\?|$)", 1)
-    p = table(spark, sf, "pages").filter(number != "").select("page_id", F.concat(F.lit("dir/a.b/"), number, suffix).alias("path"))
+    name = F.regexp_extract("url", r"([^/?]*)(\?.*)?$", 1)
+    name = F.when(name == "", "index").otherwise(F.replace(name, F.lit("."), F.lit("_")))
+    p = table(spark, sf, "pages").select("page_id", F.concat(F.lit("dir/a.b/"), name, suffix).alias("path"))
     return p.withColumn("object_key", object_id("path"))
 
 

@@ -8,7 +8,6 @@ from spectraloom.catalog.base import HIST, PIXELS, hist, lcg_sql, pixels, query,
 from spectraloom.functions.lines import MOCK_EMISSION_CENTRES
 from spectraloom.operators import mocks as K
 from spectraloom.operators.resample import convolve_kernel, gauss_kernel
-from spectraloom.plans import pipelines
 
 OBJ = ["object_id"]
 
@@ -40,19 +39,21 @@ ps AS (SELECT *, unnest(range(CAST(floor(p0) AS BIGINT), CAST(ceil(p1) AS BIGINT
 kr AS (SELECT ps.object_id, p, p0, p1, CASE WHEN p < p0 OR p > p1 THEN 0 ELSE a.b + coalesce((n.b - a.b) * ((p - p0) / ((p1 - p0) / 60) - a.bin), 0) END AS y FROM ps
   LEFT JOIN truth a ON a.object_id = ps.object_id AND a.bin = CAST(floor((p - p0) / ((p1 - p0) / 60)) AS BIGINT) LEFT JOIN truth n ON n.object_id = ps.object_id AND n.bin = a.bin + 1),
 k AS (SELECT object_id, row_number() OVER (PARTITION BY object_id ORDER BY p) - 1 AS j, count(*) OVER (PARTITION BY object_id) AS m, coalesce(y, 0) / sum(coalesce(y, 0)) OVER (PARTITION BY object_id) AS w FROM kr),
-sp AS (SELECT s_suppkey AS object_id, bin AS pix, 1 + raw AS t FROM supplier JOIN hist ON hist.object_id = s_suppkey)
-SELECT sp.object_id, pix + j - (m - 1) // 2 AS pix, round(sum(t * w), 6) AS conv FROM sp JOIN k USING (object_id) WHERE pix + j - (m - 1) // 2 BETWEEN 0 AND 63 GROUP BY 1, 2""")
+sp AS (SELECT object_id, 1 + object_id % (SELECT count(*) FROM supplier) AS of, bin AS pix, 1 + raw AS t FROM hist)
+SELECT sp.object_id, pix + j - (m - 1) // 2 AS pix, round(sum(t * w), 6) AS conv FROM sp JOIN k ON k.object_id = sp.of WHERE pix + j - (m - 1) // 2 BETWEEN 0 AND 63 GROUP BY 1, 2""")
 def kernel(spark, sf):
-    k = gauss_kernel(truth(spark, sf), OBJ, 8580.0, 1.25)
-    known = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("object_id"))
-    px = hist(spark, sf).join(known, "object_id").select("object_id", F.col("bin").cast("long").alias("pix"), (1 + F.col("raw")).alias("t"))
-    return convolve_kernel(px, k).select("object_id", "pix", r6("conv"))
+    # Every vector gets the kernel of one supplier.
+    k = gauss_kernel(truth(spark, sf), OBJ, 8580.0, 1.25).withColumnRenamed("object_id", "_of")
+    n = table(spark, sf, "supplier").count()
+    px = hist(spark, sf).select("object_id", F.col("bin").cast("long").alias("pix"), (1 + F.col("raw")).alias("t"))
+    own = px.select("object_id").distinct().withColumn("_of", 1 + F.col("object_id") % n)
+    return convolve_kernel(px, k.join(own, "_of").drop("_of")).select("object_id", "pix", r6("conv"))
 
 
 @query("inject_lines", f"""
 WITH {PIXELS}, cl AS (SELECT i, c FROM (VALUES {', '.join(f'({i}, {c}e0)' for i, c in enumerate(MOCK_EMISSION_CENTRES))}) t(i, c)),
 nx AS (SELECT *, lead(x) OVER w AS nx, lead(gerr) OVER w AS ne FROM pixels WINDOW w AS (PARTITION BY object_id ORDER BY pix)),
-am AS (SELECT object_id, c, (0.3e0 + 0.7e0 * {lcg_sql('object_id * 7919 + 3 * 104729 + i * 1299709 + 12345')}) * (gerr + coalesce((ne - gerr) / (nx - x) * (c - x), 0)) AS a
+am AS (SELECT object_id, c, (0.3e0 + 0.7e0 * {lcg_sql('object_id', '3', 'i')}) * (gerr + coalesce((ne - gerr) / (nx - x) * (c - x), 0)) AS a
   FROM nx JOIN cl ON c >= x AND (c < nx OR (nx IS NULL AND c = x)))
 SELECT p.object_id, p.pix, round(g + coalesce(sum(a * exp(-0.5e0 * ((x - c) / (3 / 2.3548e0)) ** 2)), 0), 6) AS g FROM pixels p LEFT JOIN am ON am.object_id = p.object_id GROUP BY p.object_id, p.pix, p.g""")
 def inject(spark, sf):
@@ -61,32 +62,7 @@ def inject(spark, sf):
 
 @query("add_noise", f"""
 WITH {PIXELS}, n AS (SELECT *, greatest(quantile_cont(abs(g), 0.5) OVER (PARTITION BY object_id) / 50, 1e-8) AS e,
-  greatest({lcg_sql('object_id * 7919 + 7 * 104729 + 2 * pix * 1299709 + 12345')}, 1e-12) AS u1, {lcg_sql('object_id * 7919 + 7 * 104729 + (2 * pix + 1) * 1299709 + 12345')} AS u2 FROM pixels)
+  greatest({lcg_sql('object_id', '7', '2 * pix')}, 1e-12) AS u1, {lcg_sql('object_id', '7', '2 * pix + 1')} AS u2 FROM pixels)
 SELECT object_id, pix, round(e, 6) AS gerr, round(g + e * sqrt(-2 * ln(u1)) * cos(2 * pi() * u2), 6) AS g FROM n""")
 def add_noise(spark, sf):
     return K.add_noise(pixels(spark, sf), 50.0, F.lit(7)).select("object_id", "pix", r6("gerr"), r6("g"))
-
-
-def supplier_jobs(spark, sf):
-    s, k = table(spark, sf, "supplier"), F.col("s_suppkey")
-    return s.select(
-        k.alias("object_id"), (F.col("s_acctbal") / 100).alias("v_true"), (80.0 + F.col("s_nationkey") * 5).alias("sigma_true"), F.lit(50.0).alias("snr"),
-        F.when(k % 4 == 1, 0.05).otherwise(0.0).alias("h3"), F.when(k % 4 == 1, 0.05).otherwise(0.0).alias("h4"),
-        F.when(k % 4 == 2, "double_peak").when(k % 4 == 1, "gh_moderate").otherwise("gaussian").alias("shape"),
-        F.when(k % 3 == 0, "joint").when(k % 3 == 1, "poly_amp").otherwise("none").alias("mode"),
-        F.when(k % 5 == 0, "moderate").otherwise("none").alias("emission"), F.when(k % 7 == 0, "mismatched").otherwise("matched").alias("role"), k.alias("seed"),
-    )
-
-
-SETUP = dict(start=8350.0, step=1.25, n_pix=300, lam_center=8540.0, lambdas=[1e3, 1e4, 1e5, 1e6])
-
-
-@query("build_mocks")
-def build_mocks(spark, sf):
-    return K.build_mocks(supplier_jobs(spark, sf), 8350.0, 1.25, 300, 8540.0, resolving_power=3000.0)
-
-
-@query("assess_bias")
-def assess_bias(spark, sf):
-    jobs = supplier_jobs(spark, sf).select("object_id", (F.floor(F.col("v_true") / 25) * 25).cast("double").alias("v_true"), (F.floor(F.col("sigma_true") / 40) * 40).cast("double").alias("sigma_true"), "seed")
-    return pipelines.assess_bias(jobs, 50.0, **SETUP)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spectraloom.catalog.base import RUNS, big, query, r6, runs, table
+from spectraloom.operators import choose
 from spectraloom.operators import suite as U
 
 AGG = f"""{RUNS}, ok AS (SELECT * FROM runs WHERE NOT crashed),
@@ -117,9 +118,11 @@ def pending_jobs(spark, sf):
 WITH t AS (SELECT l_orderkey AS object_id, l_quantity AS lam, l_extendedprice AS chi2, row_number() OVER (PARTITION BY l_orderkey, l_quantity ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem)
 SELECT object_id, lam, chi2 FROM t WHERE rn = 1""")
 def distinct_trials(spark, sf):
-    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    d = U.first_rows(table(spark, sf, "lineitem"), ["l_orderkey", "l_quantity"], order, ["l_extendedprice"])
-    return d.select(F.col("l_orderkey").alias("object_id"), F.col("l_quantity").alias("lam"), F.col("l_extendedprice").alias("chi2"))
+    trials = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("object_id"), F.col("l_quantity").alias("lam"), F.col("l_extendedprice").alias("chi2"),
+        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("ord"),
+    )
+    return choose.distinct_trials(trials)
 
 
 @query("correct_bias", """

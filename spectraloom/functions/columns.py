@@ -59,6 +59,10 @@ def flux_in_range(f, lo: float = 0.0, hi: float = 1.3) -> Column:
     return (col(f) > lo) & (col(f) <= hi)
 
 
+#: Fixed value: an error of this size or more marks a masked sample in files.
+MASKED_ERROR = 1e9
+
+
 def nint(z) -> Column:
     """Nearest integer, halves away from zero."""
     z = col(z)
@@ -75,8 +79,8 @@ def finite(c) -> Column:
 
 
 def valid_pixel(edge: int = 0, n: str | Column | None = None, model: str | None = None) -> Column:
-    """Pixels every statistic counts: unmasked, finite, positive error, inside the edge trim."""
-    ok = F.col("good") & finite("g") & finite("gerr") & (F.col("gerr") > 0)
+    """Pixels every statistic counts: unmasked, finite, positive error below the masked mark, inside the edge trim."""
+    ok = F.col("good") & finite("g") & finite("gerr") & (F.col("gerr") > 0) & (F.col("gerr") < MASKED_ERROR)
     if model:
         ok = ok & finite(model)
     if edge:
@@ -212,13 +216,11 @@ def template_meta(name) -> dict[str, Column]:
     }
 
 
-def lcg_uniform(obj, rep, k, modulus: int = 2147483647) -> Column:
-    """Counter-based uniform in [0, 1): the same draw whatever the partitioning."""
-    seed = col(obj).cast("long") * 7919 + col(rep).cast("long") * 104729 + col(k).cast("long") * 1299709 + 12345
-    mixed = F.pmod(seed, F.lit(modulus))
-    for _ in range(2):  # a quadratic step: a linear one would leave neighbouring counters dependent
-        mixed = F.pmod(mixed * mixed + mixed * 48271 + 11, F.lit(modulus))
-    return mixed / F.lit(float(modulus))
+def lcg_uniform(obj, rep, k) -> Column:
+    """Counter-based uniform in [0, 1): 52 bits of the digest of (object, replicate, counter), the same draw whatever
+    the partitioning."""
+    key = F.concat_ws(":", *[col(c).cast("long").cast("string") for c in (obj, rep, k)])
+    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def lcg_normal(obj, rep, k) -> Column:

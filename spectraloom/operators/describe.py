@@ -54,30 +54,45 @@ def _half_width(v: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return v[row, top], (v[row, right] - v[row, left]) / 2.35
 
 
-def describe_batch(v: np.ndarray, y: np.ndarray, orders: list[int], convention: str, zooms: int = 30) -> np.ndarray:
-    """(amp, V, sigma, h...) per row: V and log sigma on a shrinking grid, the rest linear.
+def describe_batch(v: np.ndarray, y: np.ndarray, orders: list[int], convention: str, steps: int = 120) -> np.ndarray:
+    """(amp, V, sigma, h..., sse, converged) per row: V and log sigma on a moving grid, the rest linear.
 
     The grid starts small and close to the half-maximum width and follows the descent: a wide one would
-    jump to a second solution with twice the width and a large h4.
+    jump to a second solution with twice the width and a large h4. A second descent starts at the moments, for
+    profiles whose peak is a narrow spike; it is taken if clearly better. The grid shrinks only while the best point lies
+    inside it, so it can travel as far as the descent leads; a row has converged once its grid has shrunk away.
     """
+    weight = np.maximum(y, 0) / np.maximum(np.maximum(y, 0).sum(1, keepdims=True), 1e-300)
+    mean = (weight * v).sum(1)
+    starts = [_half_width(v, y), (mean, np.sqrt((weight * (v - mean[:, None]) ** 2).sum(1)))]
+    found = [_descend(v, y, vel, sig, orders, convention, steps) for vel, sig in starts]
+    better = found[1][:, -2] < 0.99 * found[0][:, -2]
+    return np.where(better[:, None], found[1], found[0])
+
+
+def _descend(v: np.ndarray, y: np.ndarray, vel: np.ndarray, sig: np.ndarray, orders: list[int], convention: str, steps: int) -> np.ndarray:
     bound = HERMITE_BOUND[convention]
-    vel, sig = _half_width(v, y)
     dv = np.maximum(np.diff(v, axis=1).mean(1), 1e-12)
     sig = np.maximum(sig, dv)
     rv, rs = 0.2 * sig, np.full(len(y), math.log(1.15))
     grid = np.linspace(-1, 1, 7)
     gv, gs = (a.ravel() for a in np.meshgrid(grid, grid))
     lo, hi = 0.2 * dv, np.ptp(v, axis=1)
-    for _ in range(zooms):
-        cv = vel[:, None] + rv[:, None] * gv
+    edge = np.maximum(np.abs(gv), np.abs(gs)) == 1
+    row, small = np.arange(len(y)), 0.78**26
+    for _ in range(steps):
+        cv = np.clip(vel[:, None] + rv[:, None] * gv, v.min(1)[:, None], v.max(1)[:, None])
         cs = np.clip(sig[:, None] * np.exp(rs[:, None] * gs), lo[:, None], hi[:, None])
         sse = _linear(v[:, None, :], y[:, None, :], cv, cs, orders, convention, bound)[2]
         best = np.argmin(sse, axis=1)
-        row = np.arange(len(y))
+        moved = (cv[row, best] != vel) | (cs[row, best] != sig)
         vel, sig = cv[row, best], cs[row, best]
-        rv, rs = rv * 0.78, rs * 0.78
+        shrink = np.where(edge[best] & moved, 1.0, 0.78)
+        rv, rs = rv * shrink, rs * shrink
+        if (rs <= math.log(1.15) * small).all():
+            break
     amp, h, sse = _linear(v, y, vel, sig, orders, convention, bound)
-    return np.column_stack([amp, vel, sig, h, sse])
+    return np.column_stack([amp, vel, sig, h, sse, rs <= math.log(1.15) * small])
 
 
 def _batches(keys: list[str], orders: list[int], convention: str, names: list[str]):
@@ -99,7 +114,7 @@ def _batches(keys: list[str], orders: list[int], convention: str, names: list[st
 
 
 def gh_fit(df: DataFrame, keys: list[str] = OBJ, h3h4: bool = True) -> DataFrame:
-    """Four-moment description ``amp, vel, sigma, h3, h4, sse``; null below 5 finite points."""
+    """Four-moment description ``amp, vel, sigma, h3, h4, sse, converged``; null and not converged below 5 finite points."""
     return _describe(df, keys, [3, 4] if h3h4 else [], "classic")
 
 
@@ -109,7 +124,7 @@ def gh_fit_higher(df: DataFrame, keys: list[str] = OBJ, max_order: int = 6) -> D
 
 
 def _describe(df: DataFrame, keys: list[str], orders: list[int], convention: str) -> DataFrame:
-    names = ["amp", "vel", "sigma", *[f"h{n}" for n in orders], "sse"]
+    names = ["amp", "vel", "sigma", *[f"h{n}" for n in orders], "sse", "converged"]
     types = dict(df.dtypes)
     usable = F.col("b").isNotNull() & ~F.isnan("b")
     packed = spread(df, *keys).groupBy(*keys).agg(
@@ -117,6 +132,7 @@ def _describe(df: DataFrame, keys: list[str], orders: list[int], convention: str
     ).select(*keys, F.transform("_p", lambda e: e["v"]).alias("_v"), F.transform("_p", lambda e: e["b"]).alias("_y"))
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + ", ".join(f"{n} double" for n in names)
     out = packed.mapInArrow(_batches(keys, orders, convention, names), schema)
+    out = out.withColumn("converged", F.coalesce(F.col("converged") > 0, F.lit(False)))
     if not orders:
         out = out.withColumn("h3", F.lit(0.0)).withColumn("h4", F.lit(0.0))
     return out

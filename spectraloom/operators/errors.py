@@ -60,9 +60,13 @@ def bootstrap_losvd(
     rows = model_rows(design, fits.select(*OBJ, "b")).join(draws, [*OBJ, "pix"])
     w = F.when(valid_pixel(), 1 / (F.col("gerr") * F.col("gerr"))).otherwise(0.0)
     gram = packed_gram(rows.withColumn("_w", w), bins, n).join(fits.select(*OBJ, "lam"), OBJ)
-    each = gram.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    each = each.withColumn("_rhs", F.slice("_rhs", (F.col("rep") * bins + 1).cast("int"), F.lit(bins))).withColumn(
-        "_yy", F.array(F.element_at("_yy", (F.col("rep") + 1).cast("int")))
+    # Each replicate takes its own slice along; the whole right-hand side stays behind.
+    parts = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda r: F.struct(
+        F.slice("_rhs", r * bins + 1, F.lit(bins)).alias("rhs"), F.array(F.element_at("_yy", r + 1)).alias("yy")
+    ))
+    rest = [c for c in gram.columns if c not in ("_rhs", "_yy")]
+    each = gram.withColumn("_each", parts).select(*rest, F.posexplode("_each").alias("rep", "_e")).select(
+        *rest, F.col("rep").cast("long").alias("rep"), F.col("_e.rhs").alias("_rhs"), F.col("_e.yy").alias("_yy")
     ).withColumn("sigma0", F.lit(float(sigma0))).withColumn("centre", F.lit(float(centre)))
     return bins_from_packed(solve_losvd(each, bins, vmin, vmax, step, REP), vmin, vmax, bins, REP)
 
@@ -90,7 +94,7 @@ def ensemble_errors(point: DataFrame, reps: DataFrame, confidence: float = 0.68)
     )
     from spectraloom.operators.products import bootstrap_diagnostics
 
-    status = bootstrap_diagnostics(described.withColumn("converged", F.col("vel").isNotNull()))
+    status = bootstrap_diagnostics(described)
     status = status.withColumn("few", F.col("n_converged") < 10)
     return {"losvd": losvd, "moments": moments, "diagnostics": status}
 

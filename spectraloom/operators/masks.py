@@ -216,7 +216,7 @@ def robust_sigma(df: DataFrame, by: list[str], value: str | Column, name: str =
     """1.4826 * MAD of finite values; population std where MAD is 0 (0 for one value)."""
     src = df.withColumn("_v", col(value)).filter(finite("_v")).select(*by, "_v")
     with checked_once(src, by):
-        med = quantiles(src, by, "_v", {"_med": 0.5})
+        med = cut(quantiles(src, by, "_v", {"_med": 0.5}))  # one row per key, read by two plans
         dev = attach(src, med, by).withColumn("_d", F.abs(F.col("_v") - F.col("_med")))
         mad = quantiles(dev, by, "_d", {"_mad": 0.5})
     spread = src.groupBy(*by).agg(F.stddev_pop("_v").alias("_sd"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.functions.columns import col, finite
+from spectraloom.functions.columns import MASKED_ERROR, col, finite
 from spectraloom.plans.scale import attach, quantiles
 
 OBJ = ["object_id"]
@@ -71,8 +71,8 @@ def apply_error_policy(df: DataFrame, policy: str, value=None) -> DataFrame:
 
 
 def sanitise(df: DataFrame) -> DataFrame:
-    """Non-finite samples or non-positive errors are masked; non-finite flux becomes 0."""
-    ok = finite("x") & finite("g") & finite("gerr") & F.coalesce(F.col("gerr") > 0, F.lit(False))
+    """Non-finite samples, non-positive errors and errors marked as masked are masked; non-finite flux becomes 0."""
+    ok = finite("x") & finite("g") & finite("gerr") & F.coalesce((F.col("gerr") > 0) & (F.col("gerr") < MASKED_ERROR), F.lit(False))
     return df.withColumn("good", F.coalesce(F.col("good"), F.lit(True)) & ok).withColumn(
         "g", F.when(finite("g"), F.col("g")).otherwise(0.0)
     )

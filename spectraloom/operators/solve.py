@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.functions.columns import C_KMS, array_sum, col, dot, let, nint, valid_pixel
+from spectraloom.functions.columns import C_KMS, array_sum, col, dot, lcg_normal, let, nint, valid_pixel
 from spectraloom.operators.pixels import OBJ
 from spectraloom.operators.stats import pack_bins
 from spectraloom.plans.scale import BLOCK_ROWS, attach, cut, quantiles, setting, spread
@@ -489,57 +489,65 @@ def influence(gram: DataFrame, fits: DataFrame, n: int, vmin: float, vmax: float
     return out.join(width.select(*OBJ, "lam", (F.col("sigma") < 2 * lsf_kms).alias("unreliable")), [*OBJ, "lam"], "left")
 
 
-def _outer_sums(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = np.zeros(n * n + n)
-        for b in batches:
-            if b.num_rows:
-                x = _matrix(b, "_x", n)
-                acc[: n * n] += (x.T @ x).ravel()
-                acc[n * n :] += x.sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array([acc.tolist()], pa.list_(pa.float64()))], ["_s"])
+def _cross(rows: DataFrame, p: int) -> np.ndarray:
+    """Sums of products of the columns of ``y``: p x p numbers, whatever the rows."""
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    got = rows.agg(*[F.sum(F.col("y")[i] * F.col("y")[j]).alias(f"s{i}_{j}") for i, j in pairs]).first()
+    out = np.zeros((p, p))
+    for (i, j), v in zip(pairs, got):
+        out[i, j] = out[j, i] = v or 0.0
+    return out
 
-    return run
+
+def _times(rows: DataFrame, key: str, w: np.ndarray) -> DataFrame:
+    """Each row's ``y`` times a small matrix."""
+    columns = F.array(*[F.array(*[F.lit(float(x)) for x in w[:, j]]) for j in range(w.shape[1])])
+    dot = lambda c: F.aggregate(F.zip_with("y", c, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return rows.select(key, F.transform(columns, dot).alias("y"))
 
 
-def eigen_templates(tpl: DataFrame, k: int) -> DataFrame:
+def _orthonormal(rows: DataFrame, key: str, p: int) -> tuple[DataFrame, int]:
+    """Rows of an orthonormal basis of the columns of ``y``; twice, against rounding."""
+    for _ in range(2):
+        values, vectors = np.linalg.eigh(_cross(rows, p))
+        keep = values > max(values.max(), 1e-300) * 1e-13
+        rows = cut(_times(rows, key, vectors[:, keep] / np.sqrt(values[keep])))
+        p = int(keep.sum())
+    return rows, p
+
+
+def eigen_templates(tpl: DataFrame, k: int, extra: int = 10, passes: int = 5) -> DataFrame:
     """Leading ``k`` left singular vectors of the (pixel x template) matrix with scaled columns.
 
-    ``tpl(tpl_id, pix, t)``. The cross products of the shorter side (checked) are summed by Spark; only
-    that small matrix is decomposed on the driver. Vectors are signed so their loadings sum to a
+    ``tpl(tpl_id, pix, t)``. A randomised range finder: Spark multiplies the matrix by k + ``extra`` columns, back and
+    forth ``passes`` times; only (k + extra) x (k + extra) sums reach the driver, so neither side is limited.
+    The start is a hash of tpl_id, the same on every run. Vectors are signed so their loadings sum to a
     positive number and scaled to unit median absolute value.
     """
     scale = quantiles(tpl, ["tpl_id"], F.abs("t"), {"_m": 0.5})
-    unit = attach(tpl, scale, ["tpl_id"]).withColumn("t", F.col("t") / F.when(F.col("_m") > 0, F.col("_m")).otherwise(1.0)).drop("_m")
-    npix, nt = tpl.agg(F.count_distinct("pix"), F.count_distinct("tpl_id")).first()
-    by_pixel = npix <= nt
-    row, slot, n = ("tpl_id", "pix", npix) if by_pixel else ("pix", "tpl_id", nt)
-    if n > 4096:
-        raise ValueError("the shorter side of the library is limited to 4096")
-    slots = sorted(r[0] for r in tpl.select(slot).distinct().collect())
-    order = F.array(*[F.lit(s) for s in slots])
-    packed = unit.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(slot, "t"))).alias("_m")).select(
-        row, F.transform(order, lambda s: F.coalesce(F.try_element_at("_m", s), F.lit(0.0))).alias("_x")
-    )
-    parts = packed.select("_x").mapInArrow(_outer_sums(n), "_s array<double>")
-    sums = parts.select(F.posexplode("_s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toPandas()["v"].to_numpy()
-    values, vectors = np.linalg.eigh(sums[: n * n].reshape(n, n))
-    pick = np.argsort(values)[::-1][: min(k, n)]
+    unit = attach(tpl, scale, ["tpl_id"]).select("pix", "tpl_id", (F.col("t") / F.when(F.col("_m") > 0, F.col("_m")).otherwise(1.0)).alias("t"))
+    unit = cut(unit)
+    total = unit.agg(F.sum(F.col("t") * F.col("t"))).first()[0] or 0.0
+
+    def product(left: DataFrame, key: str, p: int) -> DataFrame:
+        return cut(left.groupBy(key).agg(F.array(*[F.sum(F.col("t") * F.col("y")[j]) for j in range(p)]).alias("y")))
+
+    p = k + extra
+    start = F.array(*[lcg_normal("tpl_id", F.lit(0), F.lit(j)) for j in range(p)])
+    base, p = _orthonormal(product(unit.withColumn("y", start), "pix", p), "pix", p)
+    for _ in range(passes):
+        back, p = _orthonormal(product(unit.join(base, "pix"), "tpl_id", p), "tpl_id", p)
+        base, p = _orthonormal(product(unit.join(back, "tpl_id"), "pix", p), "pix", p)
+    load = product(unit.join(base, "pix"), "tpl_id", p)
+    values, vectors = np.linalg.eigh(_cross(load, p))
+    pick = np.argsort(values)[::-1][:k]
     s2, vec = np.maximum(values[pick], 0.0), vectors[:, pick]
-    total = max(np.maximum(values, 0).sum(), 1e-300)
-    # Loadings sum over templates: u' T 1 when the vectors live on pixels, v' 1 when on templates.
-    sign = np.sign(vec.T @ sums[n * n :] if by_pixel else vec.sum(0))
+    # The sign makes the loadings' sum over templates positive.
+    sums = np.array(load.agg(*[F.sum(F.col("y")[j]) for j in range(p)]).first(), float)
+    sign = np.sign(sums @ vec)
     vec = vec * np.where(sign == 0, 1.0, sign)
-    spark = tpl.sparkSession
-    share = [float(x) for x in s2 / total]
-    if by_pixel:
-        rows = [(int(slots[i]), j, float(vec[i, j]), share[j]) for i in range(n) for j in range(len(pick))]
-        out = spark.createDataFrame(rows, "pix long, component int, t double, explained double")
-    else:
-        w = F.array(*[F.array(*[F.lit(float(x)) for x in vec[:, j] / math.sqrt(max(s2[j], 1e-300))]) for j in range(len(pick))])
-        out = packed.withColumn("_v", w).select(
-            F.col("pix").cast("long").alias("pix"),
-            F.posexplode(F.transform("_v", lambda c: F.aggregate(F.zip_with("_x", c, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b))).alias("component", "t"),
-        ).withColumn("explained", F.element_at(F.array(*[F.lit(x) for x in share]), F.col("component") + 1))
+    share = F.array(*[F.lit(float(x) / max(total, 1e-300)) for x in s2])
+    out = _times(base, "pix", vec).select(F.col("pix").cast("long").alias("pix"), F.posexplode("y").alias("component", "t"))
+    out = cut(out.withColumn("explained", F.element_at(share, F.col("component") + 1)))
     med = quantiles(out, ["component"], F.abs("t"), {"_m": 0.5})
     return attach(out, med, ["component"]).withColumn("t", F.col("t") / F.when(F.col("_m") > 0, F.col("_m")).otherwise(1.0)).drop("_m")

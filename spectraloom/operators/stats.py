@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectraloom.functions.columns import col, valid_pixel, wing_excess, wing_weight
-from spectraloom.plans.scale import attach, checked_once, quantiles
+from spectraloom.plans.scale import attach, checked_once, cut, quantiles
 
 
 def chi2(df: DataFrame, by: Sequence[str], model: str = "model") -> DataFrame:
@@ -191,7 +191,7 @@ def biweight_location(df: DataFrame, by: Sequence[str], value: str = "b", c: flo
     """Tukey's biweight location; the median where the MAD is 0."""
     src = df.select(*by, F.col(value).cast("double").alias("_x")).filter("_x IS NOT NULL AND NOT isnan(_x)")
     with checked_once(src, by):
-        med = quantiles(src, by, "_x", {"_m": 0.5})
+        med = cut(quantiles(src, by, "_x", {"_m": 0.5}))  # one row per key, read by two plans
         dev = attach(src, med, by)
         mad = quantiles(dev, by, F.abs(F.col("_x") - F.col("_m")), {"_mad": 0.5})
     u = (F.col("_x") - F.col("_m")) / F.nullif(c * F.col("_mad"), F.lit(0.0))

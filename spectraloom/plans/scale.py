@@ -29,7 +29,6 @@ BLOCK_ROWS = ("spectraloom.blockRows", 65_536)
 SMALL_ROWS = ("spectraloom.smallRows", 4_096)
 CUTS = 255
 
-_hot_memo: dict[tuple, bool] = {}
 _cold: ContextVar[frozenset[str]] = ContextVar("cold", default=frozenset())
 
 
@@ -45,7 +44,7 @@ def _checkpoint_folder(spark: SparkSession) -> str:
         if folder is None:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")  # local mode only: one machine, one folder
         sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
@@ -62,16 +61,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """Keys above the hot-row limit, or None when there is none (the usual case)."""
+    """Keys above the hot-row limit (a few rows, kept), or None when there is none (the usual case)."""
     if _cold.get() and _cold.get() <= set(keys):
         return None
-    spark = df.sparkSession
-    limit = setting(spark, HOT_ROWS)
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).drop("_n")
-    memo = (df.select(*keys).semanticHash(), tuple(keys), limit)
-    if memo not in _hot_memo:
-        _hot_memo[memo] = not hot.isEmpty()
-    return hot if _hot_memo[memo] else None
+    limit = setting(df.sparkSession, HOT_ROWS)
+    hot = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).drop("_n"))
+    return None if hot.isEmpty() else hot
 
 
 @contextmanager
@@ -160,9 +155,10 @@ def quantiles(
 
 
 def _hot_quantiles(src, hot, keys, probs):
-    # Equal values are merged before anything is ordered, so ties cost one row.
-    counts = src.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    parts = _with_sub_ranges(counts, hot, keys, F.col("_x"))
+    # Equal values are merged before anything is ordered, so ties cost one row. The counts are kept: everything
+    # below reads them several times, and the result is kept too, so plans built on it do not read ``src`` again.
+    counts = cut(src.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c")))
+    parts = cut(_with_sub_ranges(counts, hot, keys, F.col("_x")))
     blocks = _block_starts(parts, keys, F.col("_c"))
     totals = blocks.groupBy(*keys).agg(F.sum("_t").alias("_n"))
     ranks = totals.select(
@@ -192,9 +188,9 @@ def _hot_quantiles(src, hot, keys, probs):
     )
     part = F.col("at") - F.col("lo")
     val = F.when(F.col("b").isNull(), F.col("a")).otherwise((1 - part) * F.col("a") + part * F.col("b"))
-    return picked.groupBy(*keys).agg(
+    return cut(picked.groupBy(*keys).agg(
         *[F.max(F.when(F.col("q") == n, val)).alias(n) for n in probs]
-    )
+    ))
 
 
 def halo(
@@ -255,8 +251,8 @@ def is_small(df: DataFrame) -> bool:
 
 def bucketed_windows(windows: DataFrame) -> tuple[DataFrame, float]:
     """Copy each (lo, hi) window into the coordinate buckets it touches; also the bucket width."""
-    widest = windows.agg(F.max(F.col("hi") - F.col("lo"))).first()[0]
-    width = max(50.0, float(widest or 0.0) / 16)
+    wide = windows.agg(F.max(F.col("hi") - F.col("lo"))).first()[0]
+    width = float(wide or 0.0) or 1.0
     first, last = F.floor(F.col("lo") / width), F.floor(F.col("hi") / width)
     return windows.filter("hi >= lo").withColumn("_bkt", F.explode(F.sequence(first, last))), width
 

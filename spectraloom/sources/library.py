@@ -13,17 +13,18 @@ def epsilon_join(
 ) -> DataFrame:
     """Inner join on |a - b| <= tol + rtol * |b| for every (a, b).
 
-    The right side is copied into the buckets its tolerance reaches; the rest is an equi-join.
+    The right side falls into classes by the size of its tolerance, each with buckets at least twice as wide, so a row
+    is copied into two buckets at most; the left side looks into the bucket of every class (a few, their number
+    grows with the logarithm of the values). The rest is an equi-join.
     """
-    width = 10 * tol
-    for i, (_, b) in enumerate(pairs):
+    for i, (a, b) in enumerate(pairs):
         reach = tol + rtol * F.abs(b)
-        right = right.withColumn(f"_b{i}", F.explode(F.sequence(
-            F.floor((F.col(b) - reach) / width), F.floor((F.col(b) + reach) / width)
-        )))
-    for i, (a, _) in enumerate(pairs):
-        left = left.withColumn(f"_b{i}", F.floor(F.col(a) / width))
-    cols = [f"_b{i}" for i in range(len(pairs))]
+        size = F.greatest(F.lit(0), F.ceil(F.log2(reach / tol))).cast("int")
+        width = 2 * tol * F.pow(F.lit(2.0), F.col(f"_c{i}"))
+        right = right.withColumn(f"_c{i}", size).withColumn(f"_b{i}", F.explode(F.sequence(F.floor((F.col(b) - reach) / width), F.floor((F.col(b) + reach) / width))))
+        top = right.agg(F.max(f"_c{i}")).first()[0] or 0
+        left = left.withColumn(f"_c{i}", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn(f"_b{i}", F.floor(F.col(a) / width))
+    cols = [f"_{x}{i}" for i in range(len(pairs)) for x in "cb"]
     out = left.join(right, cols)
     for a, b in pairs:
         out = out.filter(F.abs(F.col(a) - F.col(b)) <= tol + rtol * F.abs(b))

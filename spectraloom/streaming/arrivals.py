@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -26,12 +27,25 @@ def score_stream(
 ) -> StreamingQuery:
     """Process all files of a folder that arrived since the last run, then stop.
 
-    The stream's checkpoint takes the place of a set of finished jobs. A batch replayed after a lost
-    driver overwrites its own folder (named by the batch id), so results appear once.
+    An object's samples may come in several batches: each batch keeps its samples under the batch id and scores
+    the objects it touches over all their samples so far. ``latest_scores`` reads one row per object. The
+    stream's checkpoint takes the place of a set of finished jobs; a batch replayed after a lost driver
+    overwrites its own folders, so results appear once.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        score_batch(to_pixels(batch), lo, hi).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        to_pixels(batch).write.mode("overwrite").parquet(f"{target}/pixels/batch={batch_id}")
+        known = spark.read.parquet(f"{target}/pixels").filter(F.col("batch") <= batch_id)
+        touched = known.filter(F.col("batch") == batch_id).select(*OBJ).distinct()
+        so_far = known.drop("batch").join(touched, OBJ, "left_semi")
+        score_batch(so_far, lo, hi).write.mode("overwrite").parquet(f"{target}/scores/batch={batch_id}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", pattern).parquet(source)
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_scores(spark: SparkSession, target: str) -> DataFrame:
+    """The last score of every object."""
+    scores = spark.read.parquet(f"{target}/scores")
+    rest = [c for c in scores.columns if c not in (*OBJ, "batch")]
+    return scores.groupBy(*OBJ).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*OBJ, "_r.*")

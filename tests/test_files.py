@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spectraloom.operators import suite
 from spectraloom.operators.products import simulation_matrix, write_products
 from spectraloom.sources import library, runlog, text
-from spectraloom.streaming.arrivals import score_stream
+from spectraloom.streaming.arrivals import latest_scores, score_stream
 
 
 def test_spectra_folder(spark, tmp_path):
@@ -83,8 +83,10 @@ def test_stream_processes_files_once(spark, tmp_path):
     args = (spark, str(src), d.schema, str(tmp_path / "out"), str(tmp_path / "state"), 8400.0, 8500.0)
     for _ in range(2):
         score_stream(*args).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    assert latest_scores(spark, str(tmp_path / "out")).count() == 1
+    # Another object, and later samples of the first one: a restart scores it over all its samples.
     d.withColumn("object_id", F.lit(1).cast("long")).write.mode("append").parquet(str(src))
-    score_stream(*args).awaitTermination()
-    out = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert sorted(r.object_id for r in out) == [0, 1] and all(r.ngood == 20 for r in out)
+    d.limit(5).withColumn("pix", F.col("pix") + 20).withColumn("x", F.col("x") + 20).write.mode("append").parquet(str(src))
+    score_stream(*args, files_per_batch=1).awaitTermination()
+    out = latest_scores(spark, str(tmp_path / "out")).collect()
+    assert sorted((r.object_id, r.ngood) for r in out) == [(0, 25), (1, 20)]

@@ -66,6 +66,13 @@ def test_description_recovers_planted_moments(spark):
     for i, (m, s, h3, h4) in enumerate(truth):
         assert out[i].vel == pytest.approx(m, abs=1) and out[i].sigma == pytest.approx(s, abs=1)
         assert out[i].h3 == pytest.approx(h3, abs=0.01) and out[i].h4 == pytest.approx(h4, abs=0.01)
+    # A narrow spike on a broad profile: the fit has to leave the spike's width.
+    v = np.linspace(-300, 300, 64)
+    b = gaussian(v, -10, 120)
+    b[20] = 2 * b.max()
+    r = describe.gh_fit(hist(spark, [(v, b)]), OBJ).first()
+    planted = describe._linear(v, b, np.array(-10.0), np.array(120.0), [3, 4], "classic", 1.0)[2]
+    assert r.converged and r.sigma > 60 and r.sse <= planted
     few = describe.gh_fit(hist(spark, [(v[:4], v[:4])]), OBJ).first()
     assert few.vel is None
 
