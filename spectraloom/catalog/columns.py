@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spectraloom.catalog.base import HIST, PIXELS, RUNS, big, hist, pixels, query, r6, table
+from spectraloom.functions.lines import TRIPLET_CENTRES, TRIPLET_DEPTHS, TRIPLET_WIDTH, WEAK_LINES
 from spectraloom.functions import columns as C
 from spectraloom.operators import pixels as P
 from spectraloom.operators import shapes
@@ -211,9 +212,8 @@ def bound_flags(spark, sf):
     return d.select("s_suppkey", *[c.alias(n) for n, c in flags.items()])
 
 
-DIPS = [(8498.02, 0.55, 5.0), (8542.09, 0.70, 5.0), (8662.14, 0.65, 5.0)]
-WEAK = [(8420.0, 0.05, 2.5), (8468.0, 0.04, 2.0), (8514.0, 0.06, 2.5), (8611.0, 0.05, 2.0), (8621.0, 0.05, 2.5),
-        (8688.0, 0.04, 2.0), (8710.0, 0.05, 2.5), (8730.0, 0.03, 2.0), (8760.0, 0.04, 2.5), (8807.0, 0.05, 2.5)]
+DIPS = [(c, d, TRIPLET_WIDTH) for c, d in zip(TRIPLET_CENTRES, TRIPLET_DEPTHS)]
+WEAK = WEAK_LINES
 
 
 def _dips_sql(dips):

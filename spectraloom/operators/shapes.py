@@ -37,7 +37,7 @@ def normalised_axis(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def galaxy_continuum(x, xn, first, level: float = 12_000.0, fringe: float = 0.01) -> Column:
-    """Cubic slope plus a broad hump plus interference fringes of period 50."""
+    """Cubic slope plus a broad hump plus interference fringes of period 50. All coefficients."""
     q = col(xn)
     slope = 1 + 0.8 * q + 0.5 * q * q - 0.1 * q * q * q
     hump = 0.5 * F.exp(-0.5 * F.pow((q - 0.2) / 0.45, F.lit(2.0)))

@@ -276,3 +276,14 @@ def test_frame_and_axis_detection(spark):
     idx = d.withColumn("c1", F.col("pix") + 1.0)
     assert P.detect_index_axis(idx, 4750.0, 1.25).first().is_index
     assert C.C_KMS == 299792.458
+
+
+def test_hot_plan_does_not_read_its_input_again_and_again(spark, split_plans):
+    """Scans in the plan of a robust sigma: the plan for hot keys has at most three times those of the cheap one."""
+    from spectraloom.operators.masks import robust_sigma
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", "value")
+    scans = lambda: robust_sigma(events, ["user_id"], "value")._jdf.queryExecution().executedPlan().toString().count("FileScan")
+    hot = scans()
+    spark.conf.set("spectraloom.hotRows", "1000000")
+    assert hot <= 3 * scans()
