@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["ingest", "columns", "masks", "histograms", "scoring", "selection", "resampling", "fits", "mocks", "flows"]
+MODULES = ["ingest", "columns", "masks", "histograms", "scoring", "selection", "resampling", "fits", "planted", "mocks", "flows"]
 
 
 def load_all() -> None:
