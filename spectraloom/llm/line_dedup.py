@@ -99,9 +99,9 @@ def edit_distance(a: Column, b: Column, threshold: int) -> Column:
     return let(F.struct(chars(longer).alias("l"), chars(shorter).alias("s")), lambda p: scan(p["l"], p["s"]))
 
 
-def _tagged(text: Column) -> Column:
-    """Line hashes of a text with their numbers, sorted, so equal lines stand together in order."""
-    return F.array_sort(F.transform(F.split(text, "\n"), lambda x, i: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit("second"), x).alias("g"), i.alias("i"), x.rlike(f"[^{SPACES}]").alias("w"))))
+def _tagged(parts: Column) -> Column:
+    """Hashes of the lines of a text with their numbers, sorted, so equal lines stand together in order."""
+    return F.array_sort(F.transform(parts, lambda x, i: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit("second"), x).alias("g"), i.alias("i"), x.rlike(f"[^{SPACES}]").alias("w"))))
 
 
 def _equal_before(s: Column, x: Column, i: Column) -> Column:
@@ -111,14 +111,18 @@ def _equal_before(s: Column, x: Column, i: Column) -> Column:
 
 def _repeats(text: Column) -> Column:
     """Numbers of lines with a word that equal an earlier line of the same text."""
-    return let(_tagged(text), lambda s: F.transform(F.filter(s, lambda x, i: x["w"] & _equal_before(s, x, i)), lambda x: x["i"]))
+    return let(_tagged(F.split(text, "\n")), lambda s: F.transform(F.filter(s, lambda x, i: x["w"] & _equal_before(s, x, i)), lambda x: x["i"]))
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, h, g, line): the first of equal lines with a word in each document."""
-    firsts = let(_tagged(F.col("text")), lambda s: F.filter(s, lambda x, i: x["w"] & ~_equal_before(s, x, i)))
-    rows = documents(docs).select("doc_id", F.split("text", "\n").alias("parts"), F.explode(firsts).alias("x"))
-    return rows.select("doc_id", F.col("x.i").alias("line_no"), F.col("x.h").alias("h"), F.col("x.g").alias("g"), F.get("parts", F.col("x.i")).alias("line"))
+
+    def firsts(parts: Column) -> Column:
+        own = let(_tagged(parts), lambda s: F.filter(s, lambda x, i: x["w"] & ~_equal_before(s, x, i)))
+        return F.transform(own, lambda x: F.struct(x["i"].alias("line_no"), x["h"].alias("h"), x["g"].alias("g"), F.get(parts, x["i"]).alias("line")))
+
+    rows = documents(docs).select("doc_id", F.explode(let(F.split("text", "\n"), firsts)).alias("x"))
+    return rows.select("doc_id", "x.line_no", "x.h", "x.g", "x.line")
 
 
 def classes(docs: DataFrame, threshold: int) -> DataFrame:
