@@ -57,8 +57,9 @@ def probes(threshold: int) -> list[tuple[int, int, int]]:
 def edit_distance(a: Column, b: Column, threshold: int) -> Column:
     """Edit distance of two strings if at most ``threshold``, else threshold + 1.
 
-    The band round the diagonal is one word of 2 * threshold + 1 bits per column; bit d stands for row
+    What both strings begin and end with is taken off first, found by halving. The band round the diagonal is one word of 2 * threshold + 1 bits per column; bit d stands for row
     column + d - threshold. Vertical steps of +1 and -1 are two bit sets, moved one row down from column to column.
+    The distance along the target diagonal never falls, so a scan that has passed the threshold computes no further.
     """
     width = 2 * threshold + 1
     mask = (1 << width) - 1
@@ -88,15 +89,37 @@ def edit_distance(a: Column, b: Column, threshold: int) -> Column:
 
                 return let(d0, after)
 
-            return let(same, columns)
+            return F.when(s["far"] > threshold, s).otherwise(let(same, columns))
 
         start = F.struct(F.lit(mask & ~((1 << threshold) - 1)).alias("vp"), F.lit(0).alias("vn"), gap.alias("far"))
         walked = F.when(m == 0, gap).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(m - 1, F.lit(0))), start, step, lambda s: s["far"]))
         return F.when(gap > threshold, F.lit(threshold + 1)).otherwise(F.least(walked, F.lit(threshold + 1)))
 
     chars = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
-    longer, shorter = F.when(F.length(a) >= F.length(b), a).otherwise(b), F.when(F.length(a) >= F.length(b), b).otherwise(a)
-    return let(F.struct(chars(longer).alias("l"), chars(shorter).alias("s")), lambda p: scan(p["l"], p["s"]))
+
+    def parts(x: Column, y: Column) -> Column:
+        swap = F.length(x) >= F.length(y)
+        return let(F.struct(chars(F.when(swap, x).otherwise(y)).alias("l"), chars(F.when(swap, y).otherwise(x)).alias("s")), lambda p: scan(p["l"], p["s"]))
+
+    def tails(n: Column) -> Column:
+        return let(F.struct(F.substring(a, n + 1, F.length(a)).alias("a"), F.substring(b, n + 1, F.length(b)).alias("b")), lambda p: let(_shared(p["a"], p["b"], False), lambda k: parts(
+            F.substring(p["a"], F.lit(1), F.length(p["a"]) - k), F.substring(p["b"], F.lit(1), F.length(p["b"]) - k)
+        )))
+
+    return let(_shared(a, b, True), tails)
+
+
+def _shared(a: Column, b: Column, front: bool) -> Column:
+    """Length of the longest common prefix (or suffix) of two strings."""
+    piece = (lambda x, n: F.substring(x, F.lit(1), n)) if front else (lambda x, n: F.right(x, n))
+    start = F.struct(F.lit(0).alias("lo"), F.least(F.length(a), F.length(b)).alias("hi"))
+
+    def step(s: Column, _: Column) -> Column:
+        halfway = lambda m: F.when(piece(a, m) == piece(b, m), F.struct(m.alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), (m - 1).alias("hi")))
+        return F.when(s["lo"] >= s["hi"], s).otherwise(let(((s["lo"] + s["hi"] + 1) / 2).cast("int"), halfway))
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.least(F.length(a), F.length(b)) + 1.0)).cast("int"))
+    return F.aggregate(rounds, start, step, lambda s: s["lo"])
 
 
 def _tagged(parts: Column) -> Column:
