@@ -3,7 +3,8 @@
 Two different lines are linked if their edit distance is at most ``threshold``. A line cut into threshold + 1 even
 segments keeps one of them whole in any line it is linked with, so every line is indexed by (its length, segment
 number, segment) and probes, for its own and each shorter length, the few substrings that can match that
-segment given the edits left on either side. Pairs found are verified by a banded bit-parallel edit distance.
+segment given the edits left on either side. Where a single edit is allowed, the rest of the line is halved as well: one half
+of it must agree too, so it joins the key, and lines that only share a frequent passage do not meet. Pairs found are verified by a banded bit-parallel edit distance.
 
 A line goes if an equal line, or a line linked with it, starts earlier (smaller doc_id, or same document and
 earlier line); lines are judged on the input. Lines without a word always stay, and lines shorter than
@@ -148,6 +149,18 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "x.line_no", "x.h", "x.g", "x.line")
 
 
+def _rest(n: Column, d: int, i: int, size: Column, at: Column) -> list[Column]:
+    """With one edit allowed: the first and last half of what is left beside a segment, as long as in the indexed line."""
+    indexed, begin = n - d - size, (at + size if i == 0 else F.lit(0))
+    left = F.substring(F.col("line"), (begin + 1).cast("int"), (n - size).cast("int"))
+    half = F.floor(indexed / 2).cast("int")
+    return [F.substring(left, F.lit(1), half), F.right(left, (indexed - half).cast("int"))]
+
+
+def keys_per_probe(threshold: int) -> int:
+    return 2 if threshold == 1 else 1
+
+
 def classes(docs: DataFrame, threshold: int) -> DataFrame:
     """One row per distinct line: h, g, first place (d, l), documents, length n, and its keys."""
     n = F.length("line")
@@ -156,7 +169,9 @@ def classes(docs: DataFrame, threshold: int) -> DataFrame:
         start, size = segments(n - d, threshold)[i]
         at = start + shift
         fits = (n - d > threshold) & (at >= 0) & (at + size <= n)
-        keys.append(F.when(fits, F.xxhash64(n - d, F.lit(i), F.substring(F.col("line"), (at + 1).cast("int"), size.cast("int")))))
+        segment = F.substring(F.col("line"), (at + 1).cast("int"), size.cast("int"))
+        for part, rest in enumerate(_rest(n, d, i, size, at) if threshold == 1 else [F.lit("")]):
+            keys.append(F.when(fits, F.xxhash64(n - d, F.lit(i), F.lit(part), segment, rest)))
     named = [k.alias(f"k{j}") for j, k in enumerate(keys)]
     rows = lines(docs).select("doc_id", "line_no", "h", "g", *named)
     return rows.groupBy("h", "g").agg(
@@ -167,9 +182,10 @@ def classes(docs: DataFrame, threshold: int) -> DataFrame:
 
 def links(docs: DataFrame, found: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(ad, al, bd, bl): pairs of distinct lines within the threshold, each named by its first place."""
-    ask = [f"k{j}" for j in range(len(probes(threshold)))]
+    per = keys_per_probe(threshold)
+    ask = [f"k{j}" for j in range(per * len(probes(threshold)))]
     rows = lambda names: found.select("d", "l", F.explode(F.array(*names)).alias("key")).filter("key IS NOT NULL")
-    index, probe = rows(ask[: threshold + 1]).alias("a"), rows(ask).alias("b")
+    index, probe = rows(ask[: per * (threshold + 1)]).alias("a"), rows(ask).alias("b")
     pairs = index.join(probe, F.expr("a.key = b.key AND (a.d <> b.d OR a.l <> b.l)")).select(
         F.expr("least(struct(a.d, a.l), struct(b.d, b.l))").alias("x"), F.expr("greatest(struct(a.d, a.l), struct(b.d, b.l))").alias("y")
     )
