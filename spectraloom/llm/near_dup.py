@@ -9,10 +9,12 @@ chance of fewer is below 1e-8; sets of at most K shingles are retained whole, so
 * Because ``SHARED`` values must agree, a class may leave its SHARED - 1 most frequent values out of the
   inverted lists without losing a pair. So a passage that many documents share fills no list, and values seen
   once never leave the count.
-* First each class is held against the smallest class of each of its lists, and the best by the estimate on the
-  union sketch is confirmed; links make components. Then only pairs of one list from different components
-  are formed, estimated and confirmed. Large groups of near copies therefore never become all pairs, and no
-  link between components is lost.
+* Links make components, and only pairs of different components are ever formed. In each of ``ROUNDS`` first rounds a
+  class is held against one other: every list proposes a centre (first the class whose values are the most
+  frequent, as an original among its copies; then one drawn by hash), and the centre that the most of its lists
+  propose is estimated and confirmed. Then all pairs of one list that are still in different components are
+  formed, estimated on the union sketch and confirmed. Large groups of near copies are one component by then and do
+  not become all pairs, and no link between components is lost.
 * Confirmation counts common shingles of the full sets.
 
 Defined cases: rows without doc_id go; null text is empty; repeated rows give one row each; an empty table
@@ -33,7 +35,7 @@ from spectraloom.llm.tables import components, documents, only_keys
 from spectraloom.llm.textblock import TextBlock, blocks, mix, ngrams
 from spectraloom.plans.scale import cut
 
-K, SHARED, WORDS = 48, 18, 5
+K, SHARED, WORDS, ROUNDS = 48, 18, 5, 3
 
 
 def _sets(texts: pd.Series) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -114,6 +116,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.withColumn("same", same).filter("100 * same >= 75 * (na + nb - same)").select("a", "b")
 
 
+def _placed(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists that hold more than one component, with each member's component."""
+    placed = lists.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    mixed = placed.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("v")
+    return cut(placed.join(mixed, "v"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach), kept."""
     base = cut(sketches(docs))
@@ -122,22 +131,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = reps.select("doc_id", "n_shingles", F.explode("sketch").alias("v"))
     seen = rows.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     spare = F.when(F.col("n_shingles") > K, SHARED - 1).otherwise(F.ceil(F.col("n_shingles") * 75 / 100) - 1)
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("df"), "v"))
-    lists = cut(rows.join(seen, "v").withColumn("rank", rank).filter(F.col("rank") > spare).select("v", "doc_id", "n_shingles"))
-
-    centre = lists.groupBy("v").agg(F.min("doc_id").alias("a"))
-    star = lists.withColumnRenamed("doc_id", "b").join(centre, "v").filter("a <> b").select("a", "b").distinct()
-    best = _estimated(star, reps).groupBy("b").agg(F.max(F.struct("est", "a", "na", "nb")).alias("r")).select("r.a", "b", "r.na", "r.nb")
-    first = cut(_confirmed(best, docs))
-    found = components(first)
-
-    placed = lists.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    mixed = placed.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("v")
-    open_lists = cut(placed.join(mixed, "v"))
-    x, y = open_lists.alias("x"), open_lists.alias("y")
+    own = Window.partitionBy("doc_id")
+    rank = F.row_number().over(own.orderBy(F.desc("df"), "v"))
+    lists = rows.join(seen, "v").withColumn("weight", F.sum("df").over(own)).withColumn("rank", rank)
+    lists = cut(lists.filter(F.col("rank") > spare).select("v", "doc_id", "n_shingles", "weight"))
+
+    placed, links = lists.withColumn("comp", F.col("doc_id")), None
+    for turn in range(ROUNDS):
+        order = F.struct("weight", -F.col("doc_id")) if turn == 0 else F.struct(F.xxhash64("doc_id", F.lit(turn)), -F.col("doc_id"))
+        centre = placed.groupBy("v").agg(F.max_by("doc_id", order).alias("a"), F.max_by("comp", order).alias("ca"))
+        shared = placed.join(centre, "v").filter("comp <> ca").groupBy("a", F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("lists"))
+        most = shared.groupBy("b").agg(F.max(F.struct("lists", "a")).alias("r")).select("r.a", "b")
+        found = _confirmed(_estimated(most, reps), docs)
+        links = cut(found if links is None else links.union(found))
+        placed = _placed(placed.drop("comp"), components(links))
+
+    x, y = placed.alias("x"), placed.alias("y")
     cross = x.join(y, F.expr("x.v = y.v AND x.doc_id < y.doc_id AND x.comp <> y.comp AND 100 * least(x.n_shingles, y.n_shingles) >= 75 * greatest(x.n_shingles, y.n_shingles)")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    second = _confirmed(_estimated(cross, reps), docs)
-    comps = components(first.union(second))
+    comps = components(links.union(_confirmed(_estimated(cross, reps), docs)))
 
     named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("ka", "kb", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
     return base.join(named, ["ka", "kb", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
