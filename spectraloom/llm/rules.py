@@ -37,7 +37,8 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def removed_chars(c: Column, chars: str) -> Column:
-    return F.length(c) - F.length(F.translate(c, chars, ""))
+    """How many characters of a set a string holds."""
+    return F.length(c) - F.length(F.regexp_replace(c, "[" + "".join("\\" + x for x in chars) + "]+", ""))
 
 
 def words_of(text: Column) -> Column:
@@ -55,26 +56,34 @@ def repeat_words(words: Column) -> Column:
         total = let(spots, lambda p: F.aggregate(gain(p), F.lit(0), lambda a, x: a + x))
         return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0)).otherwise(total)
 
-    grams = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
+    # A window's hash is taken over its words' hashes, by zipping the array with itself shifted.
+    shifted = lambda h: F.arrays_zip(*[F.slice(h, j + 1, F.size(h) - (WINDOW - 1)) for j in range(WINDOW)])
+    grams = lambda w: let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.transform(shifted(h), lambda x: F.xxhash64(x)))
     return F.when(F.size(words) < WINDOW, F.lit(0)).otherwise(let(let(words, grams), covered))
 
 
 def line_fails(line: Column) -> Column:
-    chars = F.length(line)
-    letters = F.length(F.regexp_replace(line, r"[^\p{L}]", ""))
-    capitals = F.length(F.regexp_replace(line, r"[^\p{Lu}]", ""))
-    bars = removed_chars(line, "|>»")
-    n = F.size(words_of(line))
-    low = F.lower(line)
-    phrase = low.contains(PHRASES[0])
-    for p in PHRASES[1:]:
-        phrase = phrase | low.contains(p)
-    punctuation = (removed_chars(line, MARKS) * 10 > chars) | ((letters >= 20) & (capitals * 10 > letters * 6))
-    return punctuation | ((bars >= 3) & (n <= 3 * (bars + 1))) | phrase
+    """The three rules; counts that a rule reads more than once are bound first."""
+
+    def capitals(letters: Column) -> Column:
+        return (letters >= 20) & ((F.length(line) - F.length(F.regexp_replace(line, r"\p{Lu}+", ""))) * 10 > letters * 6)
+
+    def navigation(bars: Column) -> Column:
+        return (bars >= 3) & (F.size(words_of(line)) <= 3 * (bars + 1))
+
+    def phrase(low: Column) -> Column:
+        found = low.contains(PHRASES[0])
+        for p in PHRASES[1:]:
+            found = found | low.contains(p)
+        return found
+
+    punctuation = (removed_chars(line, MARKS) * 10 > F.length(line)) | let(F.length(F.regexp_replace(line, r"[^\p{L}]+", "")), capitals)
+    barred = line.contains("|") | line.contains(">") | line.contains("»")
+    return punctuation | (barred & let(removed_chars(line, "|>»"), navigation)) | let(F.lower(line), phrase)
 
 
 def solid_chars(c: Column) -> Column:
-    return F.length(F.translate(c, " \t\n\x0b\x0c\r", ""))
+    return F.length(F.regexp_replace(c, f"[{SPACES}]+", ""))
 
 
 def measure(docs: DataFrame) -> DataFrame:
