@@ -10,6 +10,13 @@ A line goes if an equal line, or a line linked with it, starts earlier (smaller
 earlier line); lines are judged on the input. Lines without a word always stay, and lines shorter than
 threshold + 1 characters have no segments and are compared for equality alone.
 
+``threshold=None`` lets the threshold grow: a pair may differ by one edit for every ``STEP`` characters of its shorter line,
+and by one at least. Pairs within one edit are found as above. For the others the shorter line keeps, between so many
+edits, a run of at least ``(n - t) / (t + 1)`` characters whole. Of every ``WINDOW`` substrings in a row each
+line gives the one of the smallest hash, so the two lines give a common one wherever the run covers a
+whole window. The substrings' length is set by length class such that it does, for lines of any length; a line
+stands in its own class and in that of the shortest line it may be linked with.
+
 Plan: lines become 128-bit hashes with their keys where they are read; equal lines meet in a hash aggregate
 of numbers (combined before the shuffle, so a line standing in every document is one row per task); keys
 meet in a join of numbers. Texts are read again only for candidates. A document's own list of dropped line numbers
@@ -28,7 +35,7 @@ from spectraloom.llm.rules import let
 from spectraloom.llm.tables import SPACES, documents, only_keys
 from spectraloom.plans.scale import cut
 
-THRESHOLD = 1
+THRESHOLD, STEP, WINDOW, BLOCK = 1, 20, 6, 256
 
 
 def segments(length: int | Column, threshold: int) -> list[tuple[Column, Column]]:
@@ -189,22 +196,76 @@ def links(docs: DataFrame, found: DataFrame, threshold: int = THRESHOLD) -> Data
     pairs = index.join(probe, F.expr("a.key = b.key AND (a.d <> b.d OR a.l <> b.l)")).select(
         F.expr("least(struct(a.d, a.l), struct(b.d, b.l))").alias("x"), F.expr("greatest(struct(a.d, a.l), struct(b.d, b.l))").alias("y")
     )
-    pairs = cut(pairs.select(F.col("x.d").alias("ad"), F.col("x.l").alias("al"), F.col("y.d").alias("bd"), F.col("y.l").alias("bl")).distinct())
+    both = _texts(docs, _named(pairs))
+    return both.filter(edit_distance(F.col("a"), F.col("b"), threshold) <= threshold).select("ad", "al", "bd", "bl")
+
+
+def _named(pairs: DataFrame) -> DataFrame:
+    return cut(pairs.select(F.col("x.d").alias("ad"), F.col("x.l").alias("al"), F.col("y.d").alias("bd"), F.col("y.l").alias("bl")).distinct())
+
+
+def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs with their lines a and b."""
     places = pairs.select(F.col("ad").alias("doc_id"), F.col("al").alias("line_no")).union(pairs.select("bd", "bl")).distinct()
     wanted = only_keys(documents(docs), places.select("doc_id").distinct(), "doc_id")
     text = wanted.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).join(places, ["doc_id", "line_no"]).dropDuplicates(["doc_id", "line_no"])
-    both = pairs.join(text.toDF("ad", "al", "a"), ["ad", "al"]).join(text.toDF("bd", "bl", "b"), ["bd", "bl"])
-    return both.filter(edit_distance(F.col("a"), F.col("b"), threshold) <= threshold).select("ad", "al", "bd", "bl")
+    return pairs.join(text.toDF("ad", "al", "a"), ["ad", "al"]).join(text.toDF("bd", "bl", "b"), ["bd", "bl"])
+
 
+def length_classes() -> list[tuple[int, int]]:
+    """(shortest line, length of substrings) of the length classes, from the first length that allows two edits."""
+    lows = [2 * STEP]
+    while lows[-1] < 1 << 30:
+        lows.append(max(lows[-1] + STEP, lows[-1] * 5 // 4))
+    # A run is shortest where the threshold has just grown, and its bound grows with the threshold.
+    runs = [min(-(-(m - m // STEP) // (m // STEP + 1)) for m in (low, -(-low // STEP) * STEP)) for low in lows]
+    return [(low, run - WINDOW + 1) for low, run in zip(lows, runs)]
 
-def plan(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+
+def _samples(line: Column, n: Column, k: Column) -> Column:
+    """Of every WINDOW substrings of k characters in a row the smallest hash."""
+
+    def block(b: Column) -> Column:
+        piece = F.substring(line, (b * BLOCK + 1).cast("int"), (k + (BLOCK - 1)).cast("int"))
+        many = F.least(F.lit(BLOCK), (n - k + 1 - b * BLOCK).cast("int"))
+        return let(piece, lambda x: F.transform(F.sequence(F.lit(1), many), lambda i: F.xxhash64(F.substring(x, i, k))))
+
+    grams = F.flatten(F.transform(F.sequence(F.lit(0), F.floor((n - k) / BLOCK).cast("int")), block))
+    return let(grams, lambda g: F.array_distinct(F.transform(F.sequence(F.lit(0), (n - k + 1 - WINDOW).cast("int")), lambda j: F.least(*[F.get(g, j + x) for x in range(WINDOW)]))))
+
+
+def grown(n: Column) -> Column:
+    """Edits that a pair with a shorter line of n characters may differ by."""
+    return F.greatest(F.floor(n / STEP).cast("int"), F.lit(1))
+
+
+def grown_links(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(ad, al, bd, bl): pairs of distinct lines within the threshold of their shorter line."""
+    kinds = length_classes()
+    of = lambda n: F.size(F.filter(F.array(*[F.lit(low) for low, _ in kinds]), lambda low: low <= n))
+    n = F.length("line")
+    rows = lines(docs).select("h", "line", n.alias("n")).filter(F.col("n") >= 2 * STEP)
+    rows = rows.select("h", "line", "n", F.explode(F.array_distinct(F.array(of(F.col("n")), F.greatest(of(F.col("n") - grown(F.col("n"))), F.lit(1))))).alias("kind"))
+    k = F.element_at(F.array(*[F.lit(k) for _, k in kinds]), F.col("kind"))
+    rows = rows.select("h", "n", "kind", F.explode(_samples(F.col("line"), F.col("n"), k)).alias("x")).select("h", "n", F.xxhash64("kind", "x").alias("key"))
+    rows = rows.repartition("key").dropDuplicates(["key", "h"])
+    pairs = rows.alias("a").join(rows.alias("b"), F.expr("a.key = b.key AND a.h < b.h")).filter(F.abs(F.col("a.n") - F.col("b.n")) <= grown(F.least("a.n", "b.n")))
+    pairs = pairs.select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb")).distinct()
+    place = lambda side: found.select(F.col("h").alias(f"h{side}"), F.struct("d", "l").alias(f"p{side}"))
+    pairs = pairs.join(place("a"), "ha").join(place("b"), "hb").select(F.least("pa", "pb").alias("x"), F.greatest("pa", "pb").alias("y"))
+    both = _texts(docs, _named(pairs)).withColumn("t", grown(F.least(F.length("a"), F.length("b"))))
+    near = both.filter("levenshtein(a, b, t) >= 0").select("ad", "al", "bd", "bl")
+    return near.union(links(docs, found, 1)).distinct()
+
+
+def plan(docs: DataFrame, threshold: int | None = THRESHOLD) -> DataFrame:
     """One row per doc_id with lines to drop besides its own repeats: doc_id, drop, n_links, sources.
 
     ``drop``: line numbers; ``n_links``: links of its lines to different lines; ``sources``: the documents
     where the earliest such lines start.
     """
-    found = cut(classes(docs, threshold))
-    near = cut(links(docs, found, threshold))
+    found = cut(classes(docs, threshold or 1))
+    near = cut(links(docs, found, threshold) if threshold else grown_links(docs, found))
     sides = near.select(F.struct(F.col("ad").alias("d"), F.col("al").alias("l")).alias("me"), F.struct(F.col("bd").alias("d"), F.col("bl").alias("l")).alias("other"))
     sides = sides.union(near.select(F.struct(F.col("bd").alias("d"), F.col("bl").alias("l")), F.struct(F.col("ad").alias("d"), F.col("al").alias("l"))))
     linked = sides.groupBy(F.col("me.d").alias("d"), F.col("me.l").alias("l")).agg(F.min("other").alias("other"), F.count(F.lit(1)).alias("n_links"))
@@ -217,7 +278,7 @@ def plan(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     )
 
 
-def dedup(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def dedup(docs: DataFrame, threshold: int | None = THRESHOLD) -> DataFrame:
     """The rows and columns of ``docs`` with repeated and near-repeated lines taken out of text, and what was done.
 
     Added: _lines, _dropped, _links (numbers) and _sources. ``text`` is left untouched where nothing is dropped.
@@ -239,7 +300,7 @@ def dedup(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return rows.select(*others, F.col("_out.n").alias("_lines"), F.col("_out.gone").alias("_dropped"), F.coalesce("_links", F.lit(0)).alias("_links"), F.coalesce("_sources", F.array().cast("array<bigint>")).alias("_sources"))
 
 
-def report(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def report(docs: DataFrame, threshold: int | None = THRESHOLD) -> DataFrame:
     """doc_id, n_lines, n_removed, n_links, sources, kept_sha256."""
     out = dedup(documents(docs), threshold)
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_removed"), F.col("_links").alias("n_links"), F.col("_sources").alias("sources"), F.sha2("text", 256).alias("kept_sha256"))

@@ -48,6 +48,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op1_line_dedup_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op1_line_dedup, with the threshold growing with the line length."""
+    return line_dedup.report(table(spark, sf_dir, "documents"), threshold=None)
+
+
 ORACLES["op6_quality_rules"] = rules.SQL
 ORACLES["op1_line_dedup"] = line_dedup.SQL
 

@@ -110,6 +110,50 @@ def test_line_links(spark, threshold):
     assert got == want and len(want) > 20
 
 
+def test_line_links_grow_with_the_line(spark):
+    """Every pair with at most one edit per 20 characters, edits spread evenly or at random, against a full table of distances."""
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    lines = []
+    for n in [30, 39, 40, 41, 59, 60, 79, 80, 99, 100, 124, 125, 160, 338, 380, 700]:
+        line = [rng.choice("abcdefghijké ") for _ in range(n)]
+        lines.append("".join(line))
+        t = max(1, n // 20)
+        for edits in (t, t, t + 1, max(1, t // 2)):
+            even, other = rng.random() < 0.5, list(line)
+            for e in range(edits):
+                at = int((e + 1) * n / (edits + 1)) if even else rng.randrange(len(other))
+                kind = 0 if even else rng.randrange(3)
+                if kind == 0:
+                    other[min(at, len(other) - 1)] = rng.choice("xyz")
+                elif kind == 1:
+                    del other[at]
+                else:
+                    other.insert(at, rng.choice("xyz"))
+            lines.append("".join(other))
+    lines = [x for x in dict.fromkeys(lines) if x.strip()]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            prev, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+        return row[-1]
+
+    allowed = lambda i, j: max(1, min(len(lines[i]), len(lines[j])) // 20)
+    want = {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if abs(len(lines[i]) - len(lines[j])) <= allowed(i, j) and distance(lines[i], lines[j]) <= allowed(i, j)}
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {(r.ad, r.bd) for r in line_dedup.grown_links(df, line_dedup.classes(df, 1)).collect()}
+    assert got == want and len(want) > 40
+    docs = df.selectExpr("doc_id", "text", "CAST(length(text) AS INT) AS n_chars")
+    kept = {r.doc_id for r in corpus_pipeline.lines(spark, docs, None).collect()}
+    assert kept == set(range(len(lines))) - {j for _, j in want}
+
+
 def test_packing(docs, texts, spark):
     from tokenizers import Tokenizer
 
