@@ -7,7 +7,8 @@ chance of fewer is below 1e-8; sets of at most K shingles are retained whole, so
 
 * Documents of equal sets are one class from the start; a class is named by its smallest doc_id.
 * Because ``SHARED`` values must agree, a class may leave its SHARED - 1 most frequent values out of the
-  inverted lists without losing a pair. So a passage that many documents share fills no list, and values seen
+  inverted lists without losing a pair; one kept whole may leave out more, as long as it also meets the sketches of
+  larger sets. So a passage that many documents share fills no list, and values seen
   once never leave the count.
 * Links make components, and only pairs of different components are ever formed. In each of ``ROUNDS`` first rounds a
   class is held against one other: every list proposes a centre (first the class whose values are the most
@@ -36,6 +37,9 @@ from spectraloom.llm.textblock import TextBlock, blocks, mix, ngrams
 from spectraloom.plans.scale import cut
 
 K, SHARED, WORDS, ROUNDS = 48, 18, 5, 3
+#: Values that the sketches of a set kept whole and of a larger set share at least: of c <= K common values at most
+#: 4c/3 - K lie beyond the larger one's sketch.
+MIXED = 2 * K // 3
 
 
 def _sets(texts: pd.Series) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -130,7 +134,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = cut(base.filter("n_shingles > 0").join(classes.select("ka", "kb", "n_shingles", F.col("rep").alias("doc_id")), ["ka", "kb", "n_shingles", "doc_id"]).dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sketch"))
     rows = reps.select("doc_id", "n_shingles", F.explode("sketch").alias("v"))
     seen = rows.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    spare = F.when(F.col("n_shingles") > K, SHARED - 1).otherwise(F.ceil(F.col("n_shingles") * 75 / 100) - 1)
+    spare = F.when(F.col("n_shingles") > K, SHARED - 1).otherwise(F.least(F.ceil(F.col("n_shingles") * 75 / 100), F.lit(MIXED)) - 1)
     own = Window.partitionBy("doc_id")
     rank = F.row_number().over(own.orderBy(F.desc("df"), "v"))
     lists = rows.join(seen, "v").withColumn("weight", F.sum("df").over(own)).withColumn("rank", rank)

@@ -69,6 +69,17 @@ def test_near_duplicates_of_a_large_group(spark):
     assert {d: r.component_id for d, r in got.items()} == want
 
 
+def test_near_duplicates_of_sets_kept_whole_and_larger_ones(spark):
+    """Texts of at most 48 shingles and copies with up to 64, whose sketch lacks some of the common values."""
+    made = []
+    for k, (small, more) in enumerate([(48, 16)] * 30 + [(47, 15)] * 10 + [(46, 15), (45, 15), (43, 14), (37, 12)] * 3):
+        text = [f"t{k}_{i}" for i in range(small + 4)]
+        made += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(text + [f"m{k}_{i}" for i in range(more)]))]
+    got = rows(near_dup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string")))
+    _, want = jaccard_components(dict(made))
+    assert {d: r.component_id for d, r in got.items()} == want and sum(d != c for d, c in want.items()) == len(made) // 2
+
+
 def test_line_dedup_columns_and_rows(docs, texts):
     out = line_dedup.dedup(docs)
     assert out.columns[: len(docs.columns)] == docs.columns and out.count() == docs.count()
