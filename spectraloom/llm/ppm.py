@@ -1,6 +1,6 @@
 """Prediction by partial matching over bytes, pretrained on the corpus.
 
-The model is a trie of byte contexts two deep. Each context counts the symbols that followed it in the training
+The model is a trie of byte contexts, two deep by default and ``ORDER`` deep in the query. Each context counts the symbols that followed it in the training
 texts; a symbol is coded in the longest context that knows it, after an escape from every longer one. Escapes
 are estimated by method C (distinct symbols over total plus distinct), and symbols known to a longer context are
 excluded from the counts of the shorter ones; below order 0 all 257 symbols are alike. Symbol 256 ends a text
@@ -10,6 +10,11 @@ Training counts are taken over all training texts: a task sends one row per dist
 them whatever the corpus, and so the broadcast of the trie has a proven bound. A task turns the trie into log
 probabilities for whole rows of 257 symbols, so a text is scored by one lookup per byte.
 
+Counts of contexts of three symbols and more grow with the corpus and are never broadcast: parts of the corpus hand in
+their distinct strings and get back what followed their own contexts anywhere in training, as with words below. A
+longer context's symbols are all known to the shorter ones, so exclusion takes one sum for each context, and only the strings
+of a block are given probabilities.
+
 The base score is an add-one word model. Word counts meet by a shuffle of one row per distinct word and part of
 the corpus, never per word: parts of the corpus hand in their distinct words and get back the counts of exactly those.
 
@@ -21,6 +26,7 @@ and count as often as they stand there; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -32,6 +38,7 @@ from spectraloom.llm.tables import documents
 from spectraloom.llm.textblock import TextBlock, blocks
 
 SYMBOLS, END = 257, 256
+ORDER = 5
 PART_BYTES = 24_000_000
 _END_TOKEN = np.int64(-0x5EED5EED5EED5EE)
 
@@ -47,6 +54,20 @@ def _symbols(b: TextBlock) -> tuple[np.ndarray, np.ndarray]:
     return two * SYMBOLS + one, s
 
 
+def _strings(b: TextBlock, order: int) -> np.ndarray:
+    """For every byte and every end: the symbol and the ``order`` before it as one number; END stands before a text."""
+    last = b.data.astype(np.int64)
+    last[b.last] = END
+    out = last.copy()
+    for k in range(1, order + 1):
+        before = np.empty_like(last)
+        before[0], before[1:] = END, last[:-1]
+        before[b.first] = END
+        out += before * SYMBOLS**k
+        last = before
+    return out
+
+
 def trigrams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row per distinct trigram of a task."""
     keys, counts, held = [], [], 0
@@ -118,6 +139,60 @@ class Trie:
         return at, np.concatenate(fresh + known)
 
 
+class DeepTrie:
+    """Counts by context of 0 to ``order`` symbols, as sorted strings; log10 probabilities of single strings.
+
+    ``gram`` and ``n`` are all trigram counts; ``code`` and ``c`` those of longer strings, all that followed a context or nothing.
+    """
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray, code: np.ndarray, c: np.ndarray, order: int):
+        level, string = code // SYMBOLS ** (order + 1), code % SYMBOLS ** (order + 1)
+        self.order, self.levels, shorter = order, [], None
+        for k in range(order + 1):
+            if k <= 2:
+                g, count = _summed([gram % SYMBOLS ** (k + 1)], [n])
+            else:
+                g, count = _summed([string[level == k]], [c[level == k]])
+            count = count.astype(np.float64)
+            context, first = np.unique(g // SYMBOLS, return_index=True)
+            total, kinds = (np.add.reduceat(count, first) if len(g) else count), np.diff(np.append(first, len(g))).astype(np.float64)
+            below = self._at(shorter[0], shorter[1], g % SYMBOLS**k) if k else count
+            excluded = np.add.reduceat(below, first) if len(g) else count
+            self.levels.append((g, count, context, total, kinds, excluded))
+            shorter = g, count
+
+    @staticmethod
+    def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """The values of the wanted keys, 0 for unknown ones."""
+        if not len(keys):
+            return np.zeros(len(wanted))
+        i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[i] == wanted, values[i], 0.0)
+
+    def log(self, string: np.ndarray) -> np.ndarray:
+        out, found = np.zeros(len(string)), np.zeros(len(string), bool)
+        less, fewer = np.zeros(len(string)), np.zeros(len(string))
+        for k in range(self.order, -1, -1):
+            g, count, context, total, kinds, excluded = self.levels[k]
+            own = string % SYMBOLS ** (k + 1)
+            n, all_kinds = self._at(g, count, own), self._at(context, kinds, own // SYMBOLS)
+            left, new = self._at(context, total, own // SYMBOLS) - less, all_kinds - fewer
+            escape = np.where(new == SYMBOLS, 0.0, np.where(left == 0, 1.0, new / np.maximum(left + new, 1)))
+            hit, miss = ~found & (n > 0), ~found & (n == 0)
+            out[hit] += np.log10((1 - escape[hit]) * n[hit] / left[hit])
+            out[miss] += np.log10(escape[miss])
+            found |= hit
+            less, fewer = self._at(context, excluded, own // SYMBOLS), all_kinds
+        out[~found] -= np.log10(np.maximum(SYMBOLS - fewer[~found], 1))
+        return out
+
+    def code_lengths(self, raw: list[bytes]) -> np.ndarray:
+        """Log10 probability of each text."""
+        b = TextBlock(raw, lower=True)
+        string, where = np.unique(_strings(b, self.order), return_inverse=True)
+        return np.diff(np.cumsum(self.log(string)[where])[b.last], prepend=0.0)
+
+
 def code_lengths(at: np.ndarray, rows: np.ndarray, raw: list[bytes]) -> np.ndarray:
     """Log10 probability of each text."""
     b = TextBlock(raw, lower=True)
@@ -160,7 +235,28 @@ def _distinct_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"part": where, "word": key, "n": n})
 
 
-def score_texts(docs: DataFrame, parts: int | None = None) -> DataFrame:
+def _distinct_strings(order: int):
+    """One row per part and distinct string of 4 to order + 1 symbols of a batch: how often it stands in training texts."""
+    top = SYMBOLS ** (order + 1)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = []
+            for at, raw in blocks(f["text"]):
+                b = TextBlock(raw, lower=True)
+                n, of = b.last - b.first + 1, slice(at, at + len(raw))
+                keep = np.repeat(~f["held_out"].to_numpy(bool)[of], n).astype(np.int64)
+                found.append(_merged(np.repeat(f["part"].to_numpy()[of], n), _strings(b, order), keep))
+            if found:
+                where, string, n = _merged(*(np.concatenate(x) for x in zip(*found)))
+                for k in range(order, 2, -1):
+                    where, string, n = _merged(where, string % SYMBOLS ** (k + 1), n)
+                    yield pd.DataFrame({"part": where, "context": string // SYMBOLS + k * top, "code": string + k * top, "n": n})
+
+    return run
+
+
+def score_texts(docs: DataFrame, parts: int | None = None, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     rows = documents(docs).withColumn("held_out", F.expr(f"{fold('doc_id', 7)} = 2"))
@@ -178,12 +274,21 @@ def score_texts(docs: DataFrame, parts: int | None = None) -> DataFrame:
     words = rows.select("part", "held_out", "text").mapInPandas(_distinct_words, "part int, word long, n long").repartition(shuffles, "word")
     total = words.groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0")
     size = total.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n_train"), F.count(F.lit(1)).alias("n_distinct"))
-    counts = words.select("word", "part").distinct().join(total, "word").crossJoin(F.broadcast(size)).select("part", "word", "c", "n_train", "n_distinct")
+    counts = words.select("word", "part").distinct().join(total, "word").crossJoin(F.broadcast(size)).select("part", F.lit(False).alias("deep"), "word", "c", "n_train", "n_distinct")
+    if order > 2:
+        strings = rows.select("part", "held_out", "text").mapInPandas(_distinct_strings(order), "part int, context long, code long, n long").repartition(shuffles, "context")
+        followed = strings.groupBy("context", "code").agg(F.sum("n").alias("c")).filter("c > 0")
+        counts = counts.union(strings.select("context", "part").distinct().join(followed, "context").select("part", F.lit(True), "code", "c", F.lit(0), F.lit(0)))
 
     def score(key, text: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(known["word"].to_numpy())
-        word, c = known["word"].to_numpy()[order], known["c"].to_numpy()[order].astype(np.float64)
-        at_row, rows_ = Trie(*trie.value).table()
+        deep = known["deep"].to_numpy(bool)
+        if order > 2:
+            model = DeepTrie(*trie.value, known["word"].to_numpy()[deep], known["c"].to_numpy()[deep], order).code_lengths
+        else:
+            model = partial(code_lengths, *Trie(*trie.value).table())
+        known = known[~deep]
+        by_word = np.argsort(known["word"].to_numpy())
+        word, c = known["word"].to_numpy()[by_word], known["c"].to_numpy()[by_word].astype(np.float64)
         n_train, distinct = (int(known["n_train"].iloc[0]), int(known["n_distinct"].iloc[0])) if len(known) else (0, 0)
         norm = np.log10(n_train + distinct + 1.0)
         out = []
@@ -198,7 +303,7 @@ def score_texts(docs: DataFrame, parts: int | None = None) -> DataFrame:
             out.append(pd.DataFrame({
                 "doc_id": text["doc_id"].to_numpy()[at : at + len(raw)], "held_out": text["held_out"].to_numpy()[at : at + len(raw)],
                 "n_tokens": np.diff(word0) + 1, "n_known": hits[word0[1:]] - hits[word0[:-1]] + int(has[-1]), "train_tokens": n_train,
-                "base_score": sums[word0[1:]] - sums[word0[:-1]] + p[-1], "score": code_lengths(at_row, rows_, raw),
+                "base_score": sums[word0[1:]] - sums[word0[:-1]] + p[-1], "score": model(raw),
             }))
         return pd.concat(out) if out else pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

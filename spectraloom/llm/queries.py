@@ -25,7 +25,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ppm.score_texts(table(spark, sf_dir, "documents"))
+    return ppm.score_texts(table(spark, sf_dir, "documents"), order=ppm.ORDER)
 
 
 @query

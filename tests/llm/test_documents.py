@@ -308,6 +308,33 @@ def test_ppm(docs, texts):
         assert math.isclose(r.base_score, base, rel_tol=1e-9, abs_tol=1e-9) and math.isclose(r.score, code, rel_tol=1e-4), d
 
 
+def test_ppm_query_knows_longer_contexts(spark):
+    """The query's scores against contexts of up to five symbols, counted one by one."""
+    got = rows(queries.op7_ppm_scores(spark, SF))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    coded = {d: [256] * 5 + list((t or "").translate(LOW).encode()) + [256] for d, t in texts.items()}
+    follow = [defaultdict(Counter) for _ in range(6)]
+    for d, s in coded.items():
+        if zlib.crc32(str(d).encode()) % 7 != 2:
+            for i in range(5, len(s)):
+                for k in range(6):
+                    follow[k][tuple(s[i - k : i])][s[i]] += 1
+
+    def p(context, symbol, banned=frozenset()):
+        left = {x: c for x, c in follow[len(context)][context].items() if x not in banned}
+        total, kinds = sum(left.values()), len(left)
+        escape = 1.0 if not total else 0.0 if kinds == 257 else kinds / (total + kinds)
+        if symbol in left:
+            return (1 - escape) * left[symbol] / total
+        banned = banned | set(left)
+        return escape * (p(context[1:], symbol, banned) if context else 1 / (257 - len(banned)))
+
+    for d in list(texts)[::12]:
+        s = coded[d]
+        want = sum(math.log10(p(tuple(s[i - 5 : i]), s[i])) for i in range(5, len(s)))
+        assert math.isclose(got[d].score, want, rel_tol=1e-6), d
+
+
 def test_ppm_without_training_text(spark):
     held = [d for d in range(60) if zlib.crc32(str(d).encode()) % 7 == 2]
     r = ppm.score_texts(spark.createDataFrame([(d, "ab") for d in held], "doc_id long, text string")).first()
