@@ -13,8 +13,8 @@ chance of fewer is below 1e-8; sets of at most K shingles are retained whole, so
 * Links make components, and only pairs of different components are ever formed. In each of ``ROUNDS`` first rounds a
   class is held against one other: every list proposes a centre (first the class whose values are the most
   frequent, as an original among its copies; then one drawn by hash), and the centre that the most of its lists
-  propose is estimated and confirmed. Then all pairs of one list that are still in different components are
-  formed, estimated on the union sketch and confirmed. Large groups of near copies are one component by then and do
+  propose is filtered and confirmed. Then all pairs of one list that are still in different components are
+  formed, filtered by sizes and number of shared sketch values, and confirmed. Large groups of near copies are one component by then and do
   not become all pairs, and no link between components is lost.
 * Confirmation counts common shingles of the full sets.
 
@@ -95,18 +95,16 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) that the union sketch and the sizes allow, with ``est``."""
+    """Pairs (a, b) that the sizes and the number of shared sketch values allow."""
     left = reps.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
     right = reps.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
     return (
         pairs.join(left, "a").join(right, "b")
         .filter("100 * least(na, nb) >= 75 * greatest(na, nb)")
         .withColumn("both", F.array_intersect("sa", "sb"))
         .filter((F.size("both") >= SHARED) | (F.least("na", "nb") <= K))
         .filter("na > %d OR nb > %d OR 100 * size(both) >= 75 * (na + nb - size(both))" % (K, K))
-        .withColumn("est", F.size(F.array_intersect("both", union)) / F.size(union))
-        .select("a", "b", "na", "nb", "est")
+        .select("a", "b", "na", "nb")
     )
 
 

@@ -80,6 +80,12 @@ def test_near_duplicates_of_sets_kept_whole_and_larger_ones(spark):
     assert {d: r.component_id for d, r in got.items()} == want and sum(d != c for d, c in want.items()) == len(made) // 2
 
 
+def test_near_duplicate_candidates_carry_no_unused_estimate(spark):
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    reps = spark.createDataFrame([(1, 3, [1, 2, 3]), (2, 3, [1, 2, 3])], "doc_id long, n_shingles long, sketch array<long>")
+    assert near_dup._estimated(pairs, reps).columns == ["a", "b", "na", "nb"]
+
+
 def test_line_dedup_columns_and_rows(docs, texts):
     out = line_dedup.dedup(docs)
     assert out.columns[: len(docs.columns)] == docs.columns and out.count() == docs.count()
