@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spectraloom.llm import ann, line_dedup, near_dup, packing, pieces, pii, ppm, quality_model, repeats, rules
+from spectraloom.llm import ann, chat, line_dedup, near_dup, packing, pieces, pii, ppm, quality_model, repeats, rules
 from spectraloom.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,11 @@ def op3_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_piece_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.segmentations(table(spark, sf_dir, "documents"), with_ids=False).drop("ids", "changes")
+
+
+@query
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op11_chat_format"] = chat.SQL
