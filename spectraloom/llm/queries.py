@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spectraloom.llm import ann, chat, line_dedup, near_dup, packing, pieces, pii, ppm, quality_model, repeats, rules
+from spectraloom.llm import ann, chat, line_dedup, merkle, near_dup, packing, pieces, pii, ppm, quality_model, repeats, rules
 from spectraloom.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,11 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_chat_format"] = chat.SQL
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_merkle_manifest"] = merkle.SQL
