@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spectraloom.llm.tables import crc32_sql
 from spectraloom.plans.scale import cut
 
 BITS = 8
@@ -348,11 +349,8 @@ _LEAF = " || ".join(_sql_field(c) for c in FIELDS)
 _TREE = """
  {name} AS (SELECT tree, 0 AS level, rank AS idx, node, size FROM {leaves}
   UNION ALL SELECT tree, level + 1, idx // 2, sha256(string_agg(node, '' ORDER BY idx)), (any_value(size) + 1) // 2 FROM {name} WHERE size > 1 GROUP BY tree, level, idx // 2)"""
-#: crc32 of a decimal number, bit by bit, as DuckDB has no such function.
-_CRC = """list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
-  lambda crc, byte: list_reduce([xor(crc, byte), 1::BIGINT, 2::BIGINT, 3::BIGINT, 4::BIGINT, 5::BIGINT, 6::BIGINT, 7::BIGINT, 8::BIGINT], lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END))"""
 SQL = f"""
-WITH RECURSIVE l AS (SELECT doc_id, lang AS tree, sha256({_LEAF}) AS node, n_chars IS NOT NULL AND xor({_CRC}, 4294967295::BIGINT) % {TAMPER} = 0 AS hit,
+WITH RECURSIVE l AS (SELECT doc_id, lang AS tree, sha256({_LEAF}) AS node, n_chars IS NOT NULL AND {crc32_sql('doc_id')} % {TAMPER} = 0 AS hit,
   sha256({_LEAF.replace('CAST(n_chars AS VARCHAR)', 'CAST(n_chars + 1 AS VARCHAR)')}) AS other FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, node) - 1 AS rank, count(*) OVER (PARTITION BY tree) AS size FROM l),
 {_TREE.format(name='a', leaves='r')},

@@ -47,3 +47,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not changed:
             return labels
     raise RuntimeError(f"labels still change after {rounds} rounds")
+
+
+def crc32_sql(number: str) -> str:
+    """SQL for the unsigned crc32 of a decimal number, bit by bit, as DuckDB has no such function."""
+    digits = f"list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))"
+    rounds = "[xor(crc, byte), 1::BIGINT, 2::BIGINT, 3::BIGINT, 4::BIGINT, 5::BIGINT, 6::BIGINT, 7::BIGINT, 8::BIGINT]"
+    step = f"list_reduce({rounds}, lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {digits}), lambda crc, byte: {step}), 4294967295::BIGINT)"
