@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spectraloom.catalog.base import HIST, PIXELS, REPS, big, hist, lcg_sql, pixels, query, r6, reps, table
 from spectraloom.catalog.histograms import BOUNDS, MOM, _point
 from spectraloom.operators import errors as E
-from spectraloom.operators import products, shapes, solve
+from spectraloom.operators import products, recovery, shapes, solve
 from spectraloom.operators import stats as S
 from spectraloom.operators.describe import gh_fit, gh_fit_higher
 from spectraloom.operators.mocks import truth_losvd
@@ -61,19 +61,50 @@ def fit_mixture(spark, sf):
 
 @query("recover_losvd")
 def recover_losvd(spark, sf):
-    out = solve.recover_losvd(planted(spark, sf), LAMBDAS, NB, VLO, VHI, STEP)
+    out = recovery.recover_losvd(planted(spark, sf), LAMBDAS, NB, VLO, VHI, STEP)
     return solve.bins_from_packed(out, VLO, VHI, NB, [*OBJ, "lam", "chi2", "ngood"])
 
 
+OPTIMAL = "SELECT vec_id AS object_id, 1e0 AS sum_b, true AS stationary, true AS converged FROM embeddings"
+
+
+def sloping(px):
+    """The same spectra under a sloping continuum."""
+    level = 2 + 0.01 * F.col("pix")
+    return px.withColumn("g", F.col("g") * level).withColumn("gerr", F.col("gerr") * level)
+
+
+@query("recover_joint", OPTIMAL)
+def recover_joint(spark, sf):
+    """Histogram and continuum together; the twin states that every row adds up to one and is a stationary point."""
+    blocks, ends, model = recovery.pack_blocks(sloping(planted(spark, sf)), NB, VLO, VHI, STEP, joint=True, interior=6)
+    fits = cut(recovery.solve_rounds(blocks, recovery.start_state(ends, model), model, recovery.Plan(lo=1e2, hi=1e6)))
+    ok = recovery.optimality(blocks, ends, fits, model)
+    return fits.join(ok, [*OBJ, "lam"]).select("object_id", F.round("sum_b", 9).alias("sum_b"), (F.col("stationarity") < 1e-6).alias("stationary"), "converged")
+
+
+@query("recover_optimality", OPTIMAL.replace("1e0 AS sum_b, ", "lam, ").replace("FROM embeddings", "FROM embeddings CROSS JOIN (VALUES (1e2), (1e4), (1e6)) l(lam)"))
+def recover_optimality(spark, sf):
+    """Every strength of a grid; fits away from the middle strength stand on its linear model, so each is a fit of its own here."""
+    blocks, ends, model = recovery.pack_blocks(planted(spark, sf), NB, VLO, VHI, STEP)
+    out = None
+    for lam in (1e2, 1e4, 1e6):
+        fits = cut(recovery.solve_rounds(blocks, recovery.start_state(ends, model), model, recovery.Plan(grid=(lam,))))
+        rows = fits.select(*OBJ, "lam", "converged").join(recovery.optimality(blocks, ends, fits, model), [*OBJ, "lam"])
+        rows = rows.select("object_id", "lam", (F.col("stationarity") < 1e-6).alias("stationary"), "converged")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("auto_lambda")
 def auto_lambda(spark, sf):
     best = pipelines.auto_lambda(planted(spark, sf), LAMBDAS, NB, VLO, VHI, STEP)
-    return best.select("object_id", "lam", "chi2", "ngood")
+    return best.select("object_id", "lam", "chi2", "ngood", "reached", "expansions", "sane", "trials", "converged")
 
 
 @query("recover_self_consistent")
 def recover_self_consistent(spark, sf):
-    best = pipelines.recover_self_consistent(planted(spark, sf), 2, lambdas=LAMBDAS, n=NB, vmin=VLO, vmax=VHI, step=STEP)
+    best = pipelines.recover_self_consistent(planted(spark, sf), lambdas=LAMBDAS, n=NB, vmin=VLO, vmax=VHI, step=STEP)
     return best.select("object_id", "round", "lam", "sigma0", "sigma_rec", "gap", "reverted")
 
 
@@ -89,10 +120,10 @@ def gauss_hermite_higher(spark, sf):
 
 @query("influence")
 def influence(spark, sf):
-    px = planted(spark, sf)
-    design = cut(solve.losvd_design(px, NB, VLO, VHI, STEP))
-    fits = solve.recover_losvd(px, [1e4], NB, VLO, VHI, STEP, design=design)
-    return solve.influence(solve.losvd_gram(design, NB, fits), fits, NB, VLO, VHI, STEP, lsf_kms=40.0).select("object_id", "lam", "eff_dof", "b_corrected", "bias", "unreliable")
+    blocks, ends, model = recovery.pack_blocks(planted(spark, sf), NB, VLO, VHI, STEP)
+    fits = cut(recovery.solve_rounds(blocks, recovery.start_state(ends, model), model, recovery.Plan(grid=(1e4,))))
+    gram = recovery.normal_equations(blocks, ends, fits, model)
+    return solve.influence(gram, fits, NB, VLO, VHI, STEP, lsf_kms=40.0).select("object_id", "lam", "eff_dof", "b_corrected", "bias", "unreliable")
 
 
 def _eigen(spark, sf):
@@ -132,10 +163,10 @@ def bootstrap_draws(spark, sf):
 @query("residual_bootstrap")
 def residual_bootstrap(spark, sf):
     px = planted(spark, sf)
-    design = cut(solve.losvd_design(px, NB, VLO, VHI, STEP))
-    fits = cut(solve.recover_losvd(px, [1e4], NB, VLO, VHI, STEP, design=design))
-    model = cut(solve.model_from_design(design, fits).select(*OBJ, "pix", "x", "g", "gerr", "good", "model"))
-    rep = cut(E.bootstrap_losvd(design, model, fits, 10, NB, VLO, VHI, STEP))
+    packed = blocks, ends, model = recovery.pack_blocks(px, NB, VLO, VHI, STEP)
+    fits = cut(recovery.solve_rounds(blocks, recovery.start_state(ends, model), model, recovery.Plan(grid=(1e4,))))
+    fitted = cut(px.join(recovery.model_pixels(blocks, ends, fits, model).drop("cont"), [*OBJ, "pix"]))
+    rep = cut(E.bootstrap_losvd(packed, fitted, fits, 10))
     point = solve.bins_from_packed(fits, VLO, VHI, NB, OBJ)
     return E.ensemble_errors(point, rep)["moments"].select("object_id", "parameter", "value", "err", "lo", "hi")
 

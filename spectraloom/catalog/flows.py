@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spectraloom.catalog.base import PIXELS, RUNS, big, pixels, query, r6, runs, table
-from spectraloom.catalog.fits import LAMBDAS, NB, STEP, VHI, VLO, planted
+from spectraloom.catalog.fits import LAMBDAS, NB, STEP, VHI, VLO, planted, sloping
 from spectraloom.catalog.ingest import REGION_ROWS
 from spectraloom.catalog.masks import EXCESS, ROLL
 from spectraloom.operators import products
@@ -88,9 +88,7 @@ def fit_spectra(spark, sf):
 @query("fit_spectra_joint")
 def fit_spectra_joint(spark, sf):
     # The same spectra under a sloping continuum, which the joint mode has to recover as well.
-    level = 2 + 0.01 * F.col("pix")
-    px = planted(spark, sf).withColumn("g", F.col("g") * level).withColumn("gerr", F.col("gerr") * level)
-    out = pipelines.fit_spectra(px, "joint", n=NB, vmin=VLO, vmax=VHI, step=STEP, lambdas=LAMBDAS)
+    out = pipelines.fit_spectra(sloping(planted(spark, sf)), "joint", n=NB, vmin=VLO, vmax=VHI, step=STEP, lambdas=LAMBDAS)
     return out["quality"].join(out["moments"].select("object_id", "vel", "sigma", "h3", "h4"), "object_id", "left")
 
 

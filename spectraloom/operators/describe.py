@@ -14,6 +14,7 @@ from spectraloom.operators.pixels import OBJ
 from spectraloom.plans.scale import spread
 
 HERMITE_BOUND = {"classic": 1.0, "higher": 0.5}
+SLICE = 512
 
 
 def _terms(w: np.ndarray, orders: list[int], convention: str) -> list[np.ndarray]:
@@ -28,7 +29,7 @@ def _terms(w: np.ndarray, orders: list[int], convention: str) -> list[np.ndarray
 
 
 def _linear(v, y, vel, sig, orders, convention, bound):
-    """Best amplitude and Hermite terms for given (vel, sig); all leading axes are broadcast."""
+    """Best amplitude and Hermite terms for given (vel, sig) and what the model leaves; leading axes are broadcast."""
     w = (v - vel[..., None]) / sig[..., None]
     g = np.exp(-0.5 * w * w) / (math.sqrt(2 * math.pi) * sig[..., None])
     cols = np.stack([g * t for t in _terms(w, orders, convention)], axis=-2)
@@ -39,8 +40,7 @@ def _linear(v, y, vel, sig, orders, convention, bound):
     c = np.linalg.solve(a, (r / d)[..., None])[..., 0] / d
     amp = np.maximum(c[..., 0], 1e-300)
     h = np.clip(c[..., 1:] / amp[..., None], -bound, bound)
-    model = amp[..., None] * (cols[..., 0, :] + np.einsum("...k,...kn->...n", h, cols[..., 1:, :]))
-    return amp, h, ((model - y) ** 2).sum(-1)
+    return amp, h, amp[..., None] * (cols[..., 0, :] + np.einsum("...k,...kn->...n", h, cols[..., 1:, :])) - y
 
 
 def _half_width(v: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,13 +54,12 @@ def _half_width(v: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return v[row, top], (v[row, right] - v[row, left]) / 2.35
 
 
-def describe_batch(v: np.ndarray, y: np.ndarray, orders: list[int], convention: str, steps: int = 120) -> np.ndarray:
-    """(amp, V, sigma, h..., sse, converged) per row: V and log sigma on a moving grid, the rest linear.
+def describe_batch(v: np.ndarray, y: np.ndarray, orders: list[int], convention: str, steps: int = 300) -> np.ndarray:
+    """(amp, V, sigma, h..., sse, converged) per row: damped Gauss-Newton on V and log sigma, the rest projected out.
 
-    The grid starts small and close to the half-maximum width and follows the descent: a wide one would
-    jump to a second solution with twice the width and a large h4. A second descent starts at the moments, for
-    profiles whose peak is a narrow spike; it is taken if clearly better. The grid shrinks only while the best point lies
-    inside it, so it can travel as far as the descent leads; a row has converged once its grid has shrunk away.
+    The descent starts close to the half-maximum width, as a wide start would end in a second solution with twice the width
+    and a large h4. A second one starts at the moments, for profiles whose peak is a narrow spike; it is taken if clearly
+    better.
     """
     weight = np.maximum(y, 0) / np.maximum(np.maximum(y, 0).sum(1, keepdims=True), 1e-300)
     mean = (weight * v).sum(1)
@@ -71,35 +70,44 @@ def describe_batch(v: np.ndarray, y: np.ndarray, orders: list[int], convention:
 
 
 def _descend(v: np.ndarray, y: np.ndarray, vel: np.ndarray, sig: np.ndarray, orders: list[int], convention: str, steps: int) -> np.ndarray:
-    bound = HERMITE_BOUND[convention]
+    """One descent of every row; rows leave the batch when no step gains anything any more."""
+    bound, small = HERMITE_BOUND[convention], 1e-5
     dv = np.maximum(np.diff(v, axis=1).mean(1), 1e-12)
-    sig = np.maximum(sig, dv)
-    rv, rs = 0.2 * sig, np.full(len(y), math.log(1.15))
-    grid = np.linspace(-1, 1, 7)
-    gv, gs = (a.ravel() for a in np.meshgrid(grid, grid))
-    lo, hi = 0.2 * dv, np.ptp(v, axis=1)
-    edge = np.maximum(np.abs(gv), np.abs(gs)) == 1
-    row, small = np.arange(len(y)), 0.78**26
+    lo, hi, left, right = 0.2 * dv, np.ptp(v, axis=1), v.min(1), v.max(1)
+    vel, sig = np.clip(vel, left, right), np.clip(sig, dv, hi)
+    damp, done, live, idle = np.full(len(y), 1e-2), np.zeros(len(y), bool), np.arange(len(y)), np.zeros(len(y), np.int64)
+    fit = lambda rows, a, b: _linear(v[rows], y[rows], a, b, orders, convention, bound)[2]
+    rest = fit(live, vel, sig)
     for _ in range(steps):
-        cv = np.clip(vel[:, None] + rv[:, None] * gv, v.min(1)[:, None], v.max(1)[:, None])
-        cs = np.clip(sig[:, None] * np.exp(rs[:, None] * gs), lo[:, None], hi[:, None])
-        sse = _linear(v[:, None, :], y[:, None, :], cv, cs, orders, convention, bound)[2]
-        best = np.argmin(sse, axis=1)
-        moved = (cv[row, best] != vel) | (cs[row, best] != sig)
-        vel, sig = cv[row, best], cs[row, best]
-        shrink = np.where(edge[best] & moved, 1.0, 0.78)
-        rv, rs = rv * shrink, rs * shrink
-        if (rs <= math.log(1.15) * small).all():
+        if not len(live):
             break
-    amp, h, sse = _linear(v, y, vel, sig, orders, convention, bound)
-    return np.column_stack([amp, vel, sig, h, sse, rs <= math.log(1.15) * small])
+        a, b, r = vel[live], sig[live], rest[live]
+        slope = np.stack([fit(live, a + small * b, b) - r, fit(live, a, b * math.exp(small)) - r], axis=1) / small
+        g, h = slope @ r[..., None], slope @ np.swapaxes(slope, 1, 2)
+        size = np.maximum(np.einsum("bii->bi", h), 1e-300)
+        h = h + (damp[live][:, None] * size + 1e-300)[:, :, None] * np.eye(2)
+        move = np.clip(-np.linalg.solve(h, g)[..., 0], -0.5, 0.5)
+        new_a, new_b = np.clip(a + move[:, 0] * b, left[live], right[live]), np.clip(b * np.exp(move[:, 1]), lo[live], hi[live])
+        new = fit(live, new_a, new_b)
+        old_sse, new_sse = (r * r).sum(1), (new * new).sum(1)
+        gain = new_sse < old_sse
+        at = live[gain]
+        vel[at], sig[at], rest[at] = new_a[gain], new_b[gain], new[gain]
+        damp[live] = np.where(gain, damp[live] * 0.3, damp[live] * 5)
+        # Several steps in a row that gain next to nothing: along a bound of the terms the surface has a kink and steps stay short.
+        idle[live] = np.where(gain & (old_sse - new_sse > 1e-7 * old_sse), 0, idle[live] + gain)
+        still = (np.abs(move).max(1) < 1e-8) | (gain & (old_sse - new_sse <= 1e-13 * old_sse)) | (idle[live] >= 8) | (damp[live] > 1e12)
+        done[live] = still
+        live = live[~still]
+    amp, h, rest = _linear(v, y, vel, sig, orders, convention, bound)
+    return np.column_stack([amp, vel, sig, h, (rest * rest).sum(1), done])
 
 
 def _batches(keys: list[str], orders: list[int], convention: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for start in range(0, big.num_rows, 128):
-                b = big.slice(start, 128)
+            for start in range(0, big.num_rows, SLICE):
+                b = big.slice(start, SLICE)
                 vs = [np.asarray(x, float) for x in b.column("_v").to_pylist()]
                 ys = [np.asarray(x, float) for x in b.column("_y").to_pylist()]
                 out = np.full((len(vs), len(names)), np.nan)
@@ -123,13 +131,23 @@ def gh_fit_higher(df: DataFrame, keys: list[str] = OBJ, max_order: int = 6) -> D
     return _describe(df, keys, list(range(3, max(max_order, 4) + 1)), "higher")
 
 
+def gh_fit_packed(fits: DataFrame, vmin: float, vmax: float, n: int, keys: list[str] = OBJ) -> DataFrame:
+    """``gh_fit`` of packed histograms ``b`` on a uniform grid."""
+    grid = F.array(*[F.lit(float(vmin + (vmax - vmin) * i / (n - 1))) for i in range(n)])
+    return _described(spread(fits.select(*keys, grid.alias("_v"), F.col("b").alias("_y")), *keys), keys, [3, 4], "classic")
+
+
 def _describe(df: DataFrame, keys: list[str], orders: list[int], convention: str) -> DataFrame:
-    names = ["amp", "vel", "sigma", *[f"h{n}" for n in orders], "sse", "converged"]
-    types = dict(df.dtypes)
     usable = F.col("b").isNotNull() & ~F.isnan("b")
     packed = spread(df, *keys).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.when(usable, F.struct("bin", F.col("v").alias("v"), F.col("b").cast("double").alias("b"))))).alias("_p")
     ).select(*keys, F.transform("_p", lambda e: e["v"]).alias("_v"), F.transform("_p", lambda e: e["b"]).alias("_y"))
+    return _described(packed, keys, orders, convention)
+
+
+def _described(packed: DataFrame, keys: list[str], orders: list[int], convention: str) -> DataFrame:
+    names = ["amp", "vel", "sigma", *[f"h{n}" for n in orders], "sse", "converged"]
+    types = dict(packed.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + ", ".join(f"{n} double" for n in names)
     out = packed.mapInArrow(_batches(keys, orders, convention, names), schema)
     out = out.withColumn("converged", F.coalesce(F.col("converged") > 0, F.lit(False)))

@@ -11,7 +11,8 @@ from spectraloom.functions.columns import lcg_uniform, valid_pixel
 from spectraloom.operators import stats as S
 from spectraloom.operators.describe import gh_fit
 from spectraloom.operators.pixels import OBJ
-from spectraloom.operators.solve import bins_from_packed, model_rows, packed_gram, solve_losvd
+from spectraloom.operators.recovery import Model, refit_replicates
+from spectraloom.operators.solve import bins_from_packed
 from spectraloom.plans.scale import attach, cut, number_rows
 
 REP = ["object_id", "rep"]
@@ -45,30 +46,14 @@ def bootstrap_draws(pix: DataFrame, n: int, block: int = 1, model: str = "model"
     return drawn.unionByName(kept)
 
 
-def bootstrap_losvd(
-    design: DataFrame, pix: DataFrame, fits: DataFrame, n: int, bins: int, vmin: float, vmax: float, step: float,
-    block: int = 1, sigma0: float = 100.0, centre: float = 0.0,
-) -> DataFrame:
-    """Refit every replicate at the strength of its object's fit: ``(object_id, rep, bin, v, b)``.
+def bootstrap_losvd(packed: tuple[DataFrame, DataFrame, Model], pix: DataFrame, fits: DataFrame, n: int, block: int = 1) -> DataFrame:
+    """Refit ``n`` residual replicates of every object, plain or joint: ``(object_id, rep, bin, v, b)``.
 
-    Replicates only change the right-hand side, so the normal matrix is built once and all ``n``
-    right-hand sides of a pixel travel as one array.
+    ``packed`` is what ``pack_blocks`` made of the fitted pixels; ``pix`` has the model, ``fits`` one fit per object.
     """
-    draws = bootstrap_draws(pix, n, block).groupBy(*OBJ, "pix").agg(
-        F.array_sort(F.collect_list(F.struct("rep", F.coalesce("g", F.lit(0.0)).alias("y")))).alias("_p")
-    ).select(*OBJ, "pix", F.transform("_p", lambda e: e["y"]).alias("_y"))
-    rows = model_rows(design, fits.select(*OBJ, "b")).join(draws, [*OBJ, "pix"])
-    w = F.when(valid_pixel(), 1 / (F.col("gerr") * F.col("gerr"))).otherwise(0.0)
-    gram = packed_gram(rows.withColumn("_w", w), bins, n).join(fits.select(*OBJ, "lam"), OBJ)
-    # Each replicate takes its own slice along; the whole right-hand side stays behind.
-    parts = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda r: F.struct(
-        F.slice("_rhs", r * bins + 1, F.lit(bins)).alias("rhs"), F.array(F.element_at("_yy", r + 1)).alias("yy")
-    ))
-    rest = [c for c in gram.columns if c not in ("_rhs", "_yy")]
-    each = gram.withColumn("_each", parts).select(*rest, F.posexplode("_each").alias("rep", "_e")).select(
-        *rest, F.col("rep").cast("long").alias("rep"), F.col("_e.rhs").alias("_rhs"), F.col("_e.yy").alias("_yy")
-    ).withColumn("sigma0", F.lit(float(sigma0))).withColumn("centre", F.lit(float(centre)))
-    return bins_from_packed(solve_losvd(each, bins, vmin, vmax, step, REP), vmin, vmax, bins, REP)
+    blocks, ends, model = packed
+    out = refit_replicates(blocks, ends, fits, bootstrap_draws(pix, n, block), model)
+    return bins_from_packed(out.filter("converged"), model.vmin, model.vmax, model.n, REP)
 
 
 def ensemble_errors(point: DataFrame, reps: DataFrame, confidence: float = 0.68) -> dict[str, DataFrame]:

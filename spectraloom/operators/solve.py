@@ -1,13 +1,12 @@
 """Regularised recovery: normal equations built by Spark, small dense solves batch-wise.
 
-Pixels meet their design (convolved template, spline basis, templates) through joins and grouped
-sums. Only the packed normal equations of an object, at most a few dozen unknowns, reach numpy, a
-whole Arrow batch of objects at a time. Strengths and replicates are rows, never loops over jobs.
+Pixels meet their design (spline basis, templates) through joins and grouped sums. Only the packed normal equations of an
+object, at most a few dozen unknowns, reach numpy, a whole Arrow batch of objects at a time. The recovery of velocity
+histograms, whose design is too wide to be kept per pixel, is in ``recovery``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -15,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.functions.columns import C_KMS, array_sum, col, dot, lcg_normal, let, nint, valid_pixel
+from spectraloom.functions.columns import array_sum, col, dot, lcg_normal, let, valid_pixel
 from spectraloom.operators.pixels import OBJ
 from spectraloom.operators.stats import pack_bins
 from spectraloom.plans.scale import BLOCK_ROWS, attach, cut, quantiles, setting, spread
@@ -133,60 +132,7 @@ def penalty_batch(v: np.ndarray, sigma0: np.ndarray, centre: np.ndarray, step: f
     return np.einsum("ji,bj,jk->bik", d2, taper, d2) / step**3
 
 
-# --- LOSVD design and recovery --------------------------------------------------------------------
-
-
-def losvd_design(pix: DataFrame, n: int, vmin: float, vmax: float, step: float, n_fine: int | None = None, value: str = "t") -> DataFrame:
-    """Per pixel the response to every velocity bin: ``a`` (template-weighted) and ``w`` (weights).
-
-    The forward scatter with unit bins: each pixel reaches at most a few dozen neighbours, copies at
-    block borders keep both groupings inside one shuffle by (object, block).
-    """
-    x_hi = pix.agg(F.max("x")).first()[0] or 0.0
-    n_fine = n_fine or max(3, 2 * round((vmax - vmin) / step * x_hi / C_KMS))
-    reach = int(math.ceil(max(abs(vmin), abs(vmax)) / C_KMS * x_hi / step)) + 2
-    size = setting(pix.sparkSession, BLOCK_ROWS)
-    ends = pix.groupBy(*OBJ).agg(F.min("x").alias("_x0"), F.max("pix").alias("_last"))
-    lo, hi = F.greatest(F.floor((F.col("pix") - reach) / size), F.lit(0).cast("long")), F.floor((F.col("pix") + reach) / size)
-    src = (
-        attach(pix.select(*OBJ, "pix", "x", "g", "gerr", "good", F.col(value).alias("_t")), ends, OBJ)
-        .withColumn("_blk", F.explode(F.sequence(lo, hi)))
-    )
-    src = spread(src, *OBJ, "_blk")
-    # Fine sample j sits between bins k and k+1 with shares 1-f and f.
-    pos = [j * (n - 1) / (n_fine - 1) for j in range(n_fine)]
-    shares = []
-    for j, p in enumerate(pos):
-        k = min(int(math.floor(p + 1e-12)), n - 1)
-        f = max(p - k, 0.0)
-        shares.append((j, k, 1 - f))
-        if f > 1e-12 and k + 1 < n:
-            shares.append((j, k + 1, f))
-    table = F.array(*[
-        F.struct(F.lit((1 + (vmin + (vmax - vmin) * j / (n_fine - 1)) / C_KMS) / step).alias("fac"), F.lit(k).alias("k"), F.lit(s).alias("s"))
-        for j, k, s in [(0, -1, 0.0), *shares]
-    ])
-    d = src.withColumn("_e", F.explode(table))
-    selfrow = F.col("_e.k") < 0
-    target = F.when(selfrow, F.col("pix")).otherwise(nint((1 - F.col("_x0") / step) + F.col("x") * F.col("_e.fac")) - 1)
-    d = d.withColumn("_to", target).filter((F.col("_to") >= 0) & (F.col("_to") <= F.col("_last")) & (F.floor(F.col("_to") / size) == F.col("_blk")))
-
-    def mine(c):
-        return F.max(F.when(selfrow, F.col(c))).alias(c)
-
-    per_bin = d.groupBy(*OBJ, "_blk", "_to", F.col("_e.k").alias("k")).agg(
-        F.sum(F.col("_t") * F.col("_e.s")).alias("a"), F.sum("_e.s").alias("w"), mine("x"), mine("g"), mine("gerr"), mine("good"), mine("_t")
-    )
-    packed = per_bin.groupBy(*OBJ, "_blk", "_to").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("k") >= 0, F.struct("k", F.struct("a", "w"))))).alias("_m"),
-        *[F.max(c).alias(c) for c in ("x", "g", "gerr", "good", "_t")],
-    )
-    bins = F.sequence(F.lit(0), F.lit(n - 1))
-    return packed.select(
-        *OBJ, F.col("_to").alias("pix"), "x", "g", "gerr", "good", F.col("_t").alias(value),
-        F.transform(bins, lambda k: F.coalesce(F.try_element_at("_m", k)["a"], F.lit(0.0))).alias("a"),
-        F.transform(bins, lambda k: F.coalesce(F.try_element_at("_m", k)["w"], F.lit(0.0))).alias("w"),
-    ).withColumn("n_bins", F.lit(n)).withColumn("v_lo", F.lit(float(vmin))).withColumn("v_hi", F.lit(float(vmax)))
+# --- histograms ---------------------------------------------------------------------------------
 
 
 def start_shape(n: int, vmin: float, vmax: float, sigma0, centre) -> Column:
@@ -197,122 +143,12 @@ def start_shape(n: int, vmin: float, vmax: float, sigma0, centre) -> Column:
     return let(raw, lambda r: let(array_sum(r), lambda t: F.transform(r, lambda e: e / t)))
 
 
-def model_rows(design: DataFrame, shape: DataFrame) -> DataFrame:
-    """Linear response ``_d`` of each pixel around the histogram ``b`` of ``shape``.
-
-    The model is sum(b) * (a.b) / (w.b); with m its value at the unit-sum histogram, its derivative
-    for bin k is m + (a_k - m w_k) / (w.b), and that response reproduces m itself.
-    """
-    d = attach(design, shape.select(*OBJ, F.col("b").alias("_b")), OBJ)
-    unit = let(array_sum("_b"), lambda t: F.struct((dot("a", "_b") / t).alias("n"), (dot("w", "_b") / t).alias("d")))
-
-    def response(s):
-        free = s["d"] != 0
-        m = F.when(free, s["n"] / s["d"]).otherwise(0.0)
-        return let(F.struct(m.alias("m"), F.when(free, s["d"]).otherwise(1.0).alias("d")), lambda q: F.zip_with(
-            "a", "w", lambda x, y: q["m"] + (x - q["m"] * y) / q["d"]
-        ))
-
-    return d.withColumn("_d", let(unit, response)).drop("_b")
-
-
-def losvd_gram(design: DataFrame, n: int, shape: DataFrame, cont: str | None = None, longest: int | None = None) -> DataFrame:
-    """Packed normal equations of the recovery; ``cont`` names a multiplicative continuum column."""
-    d = model_rows(design, shape)
-    if cont:
-        d = d.withColumn("_d", F.transform("_d", lambda e: e * F.col(cont)))
-    w = F.when(valid_pixel(), 1 / (F.col("gerr") * F.col("gerr"))).otherwise(0.0)
-    safe = F.when(valid_pixel(), F.col("g")).otherwise(0.0)
-    return packed_gram(d.withColumn("_w", w).withColumn("_y", F.array(safe)), n, longest=longest)
-
-
-def _recover_batches(keys: list[str], n: int, step: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            g, r = _matrix(b, "_gram", n * n).reshape(-1, n, n), _matrix(b, "_rhs", n)
-            lam, s0, vc = (np.asarray(b.column(c), float) for c in ("lam", "sigma0", "centre"))
-            lo, hi = float(b.column("v_lo")[0].as_py()), float(b.column("v_hi")[0].as_py())
-            v = np.linspace(lo, hi, n)
-            pen = penalty_batch(v, s0, vc, step)
-            mat = g + lam[:, None, None] * pen
-            base = np.full((len(lam), n), FLOOR)
-            x = base + nonneg_batch(mat, r - np.einsum("bij,bj->bi", mat, base))
-            fit = np.einsum("bi,bij,bj->b", x, g, x)
-            chi2 = np.asarray(b.column("yy"), float) - 2 * np.einsum("bi,bi->b", r, x) + fit
-            smooth = lam * np.einsum("bi,bij,bj->b", x, pen, x)
-            yield pa.RecordBatch.from_arrays(
-                [*[b.column(k) for k in keys], b.column("lam"), pa.array(x.tolist(), pa.list_(pa.float64())),
-                 pa.array(chi2), pa.array(smooth), b.column("ngood")],
-                [*keys, "lam", "b", "chi2", "smooth", "ngood"],
-            )
-
-    return run
-
-
-def solve_losvd(gram: DataFrame, n: int, vmin: float, vmax: float, step: float, keys: list[str] = OBJ) -> DataFrame:
-    """Bounded penalised solve for every packed row. Needs ``lam``, ``sigma0``, ``centre`` columns."""
-    types = dict(gram.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", lam double, b array<double>, chi2 double, smooth double, ngood long"
-    rows = gram.select(
-        *keys, F.col("lam").cast("double").alias("lam"), "_gram", "_rhs", F.col("_yy")[0].alias("yy"), "ngood",
-        F.col("sigma0").cast("double").alias("sigma0"), F.col("centre").cast("double").alias("centre"),
-        F.lit(float(vmin)).alias("v_lo"), F.lit(float(vmax)).alias("v_hi"),
-    )
-    return rows.mapInArrow(_recover_batches(keys, n, step), schema)
-
-
 def bins_from_packed(df: DataFrame, vmin: float, vmax: float, n: int, keep: Sequence[str]) -> DataFrame:
     return df.select(*keep, F.posexplode("b").alias("bin", "b")).withColumn(
         "v", F.lit(float(vmin)) + (vmax - vmin) * F.col("bin") / (n - 1)
     )
 
 
-def recover_losvd(
-    pix: DataFrame, lambdas: Sequence[float], n: int = 29, vmin: float = -300.0, vmax: float = 300.0,
-    step: float = 1.25, sigma0=100.0, centre=0.0, tuning: DataFrame | None = None, rounds: int = 2, cont: str | None = None,
-    design: DataFrame | None = None,
-) -> DataFrame:
-    """Histograms for all objects and all strengths at once: ``(object_id, lam, b, chi2, smooth, ngood)``.
-
-    ``pix(object_id, pix, x, g, gerr, good, t)`` with the template mixture ``t``. Minimises
-    chi2 + lam * tapered roughness over b >= 1e-6. The model is a ratio in b, so it is linearised around
-    the previous round's fit at the middle strength (first around a Gaussian). The normal equations
-    are built once per round, strengths only multiply the penalty. ``tuning`` may carry ``sigma0`` and
-    ``centre`` per object. The minimiser differs from the reference method, the objective does not
-    (its 0.1 * |sum b - 1| term is left to the data).
-    """
-    d = design if design is not None else cut(losvd_design(pix, n, vmin, vmax, step))  # read every round
-    longest = d.agg(F.max("pix")).first()[0] or 0
-    mid = sorted(lambdas)[len(lambdas) // 2]
-    if tuning is None:
-        first = d.select(*OBJ).distinct().withColumn("sigma0", F.lit(float(sigma0))).withColumn("centre", F.lit(float(centre)))
-    else:
-        first = tuning
-    shape = first.select(*OBJ, start_shape(n, vmin, vmax, "sigma0", "centre").alias("b"))
-    for i in range(rounds):
-        gram = losvd_gram(d, n, shape, cont, longest)
-        if tuning is not None:
-            gram = attach(gram, tuning.select(*OBJ, "sigma0", "centre"), OBJ)
-        else:
-            gram = gram.withColumn("sigma0", F.lit(float(sigma0))).withColumn("centre", F.lit(float(centre)))
-        last = i == rounds - 1
-        grid = [float(x) for x in lambdas] if last else [float(mid)]
-        gram = gram.withColumn("lam", F.explode(F.array(*[F.lit(x) for x in grid])))
-        out = solve_losvd(gram, n, vmin, vmax, step)
-        if not last:
-            shape = cut(out.select(*OBJ, "b"))
-    return out
-
-
-def model_from_design(design: DataFrame, losvd: DataFrame, name: str = "model") -> DataFrame:
-    """Model spectrum of one packed histogram per object on its pixels."""
-    d = attach(design, losvd.select(*OBJ, F.col("b").alias("_bb")), OBJ)
-    sums = F.struct(dot("a", "_bb").alias("n"), dot("w", "_bb").alias("d"), array_sum("_bb").alias("t"))
-    return d.withColumn(name, let(sums, lambda s: F.when(s["d"] != 0, s["n"] * s["t"] / s["d"]).otherwise(s["n"]))).drop("_bb")
-
-
 # --- mixtures, splines, baselines -------------------------------------------------------------------
 
 
@@ -349,6 +185,13 @@ def fit_mixture(pix: DataFrame, tpl_on_pix: DataFrame, tpl_ids: Sequence[int], k
     return out.select(*keys, F.posexplode("w").alias("_i", "w")).select(*keys, F.element_at(order, F.col("_i") + 1).alias("tpl_id"), "w")
 
 
+def mixture_weights(gram: DataFrame, n: int, keys: list[str] = OBJ) -> DataFrame:
+    """(keys, w): non-negative weights from packed normal equations, scaled to add up to one."""
+    types = dict(gram.dtypes)
+    out = gram.mapInArrow(_nonneg_batches(keys, n), ", ".join(f"{k} {types[k]}" for k in keys) + ", w array<double>")
+    return out.select(*keys, let(array_sum("w"), lambda t: F.transform("w", lambda e: e / t)).alias("w"))
+
+
 def spline_rows(pix: DataFrame, interior: int = 10, degree: int = 3, keys: list[str] = OBJ) -> DataFrame:
     """Clamped uniform B-spline basis of every pixel as array ``_d`` (interior + degree + 1 long)."""
     ends = pix.groupBy(*keys).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spectraloom.functions.columns import valid_pixel
 from spectraloom.functions.lines import emission_candidates
-from spectraloom.operators import choose, describe, masks, mocks, products, resample, solve, suite
+from spectraloom.operators import choose, describe, masks, mocks, products, recovery, resample, solve, suite
 from spectraloom.operators import pixels as P
 from spectraloom.operators import stats as S
 from spectraloom.operators.pixels import OBJ
@@ -77,84 +78,113 @@ def trials_of(fits: DataFrame, n: int, vmin: float, vmax: float, v_center: DataF
 
 
 def auto_lambda(
-    pix: DataFrame, lambdas: Sequence[float] | None = None, n: int = 29, vmin: float = -300.0, vmax: float = 300.0, step: float = 1.25,
+    pix: DataFrame | None, lambdas: Sequence[float] | None = None, n: int = 29, vmin: float = -300.0, vmax: float = 300.0, step: float = 1.25,
     criterion: str = "discrepancy", sigma0: float = 100.0, tuning: DataFrame | None = None, v_center: DataFrame | None = None,
-    design: DataFrame | None = None, cont: str | None = None,
+    packed: tuple | None = None, warm: DataFrame | None = None, cont: str | None = None, joint: bool = False, nsigma: float = 0.3,
 ) -> DataFrame:
-    """Fit every object at every strength in one job and keep the selected one: packed fit rows."""
-    grid = list(lambdas or choose.log_grid(per_decade=2))
-    fits = cut(solve.recover_losvd(pix, grid, n, vmin, vmax, step, sigma0, tuning=tuning, design=design, cont=cont))
-    if criterion == "chi2":
-        pick = choose.pick_lambda_chi2(trials_of(fits, n, vmin, vmax))
-    elif criterion == "roughness":
-        pick = choose.pick_lambda_roughness(trials_of(fits, n, vmin, vmax))
-    elif criterion == "discrepancy":
-        center = v_center if v_center is not None else resample.xcorr_velocity(pix, step, vmin, vmax).withColumnRenamed("v", "v_center")
-        pick = choose.pick_lambda_discrepancy(trials_of(fits, n, vmin, vmax, center))
-    else:
+    """Fit every object at the strength chosen for it: packed fit rows.
+
+    'discrepancy' searches the strength of each object between the ends of ``lambdas`` and beyond (``reached``,
+    ``expansions``, ``sane`` and ``trials`` tell how); 'chi2' and 'roughness' choose from the grid, fitted in one job.
+    """
+    packed = packed or recovery.pack_blocks(pix, n, vmin, vmax, step, joint, cont=cont)
+    blocks, ends, model = packed
+    if criterion not in ("discrepancy", "chi2", "roughness"):
         raise ValueError(f"unknown criterion {criterion!r}")
-    return fits.join(pick.select(*OBJ, "lam"), [*OBJ, "lam"])
+    if criterion == "discrepancy":
+        if v_center is None:
+            v_center = resample.xcorr_velocity(pix, step, vmin, vmax).withColumnRenamed("v", "v_center")
+        tuning = v_center if tuning is None else tuning.join(v_center, OBJ, "left")
+        ends_of = (min(lambdas), max(lambdas)) if lambdas else (1e2, 1e6)
+        plan = recovery.Plan(lo=float(ends_of[0]), hi=float(ends_of[1]), nsigma=nsigma)
+        return recovery.solve_rounds(blocks, recovery.start_state(ends, model, sigma0, tuning=tuning, warm=warm), model, plan)
+    plan = recovery.Plan(grid=tuple(float(x) for x in lambdas or choose.log_grid(per_decade=2)))
+    fits = cut(recovery.solve_rounds(blocks, recovery.start_state(ends, model, sigma0, tuning=tuning, warm=warm), model, plan))
+    pick = choose.pick_lambda_chi2 if criterion == "chi2" else choose.pick_lambda_roughness
+    return fits.join(pick(trials_of(fits, n, vmin, vmax)).select(*OBJ, "lam"), [*OBJ, "lam"])
 
 
 def recover_self_consistent(
     pix: DataFrame, rounds: int = 3, tol: float = 2.0, sigma0: float = 100.0, n: int = 29, vmin: float = -300.0, vmax: float = 300.0,
     step: float = 1.25, lambdas: Sequence[float] | None = None, criterion: str = "discrepancy", recentre: bool = True, cont: str | None = None,
+    joint: bool = False, packed: tuple | None = None, warm: DataFrame | None = None, v_center: DataFrame | None = None,
 ) -> DataFrame:
     """Fit, read the dispersion, feed it back into the wing taper; per object the best round is kept.
 
-    Objects within ``tol`` leave the loop. The pivot of the taper is the correlation velocity.
+    Objects within ``tol`` leave the loop, a later round starts where the earlier one ended. The pivot of the taper is the
+    correlation velocity.
     """
-    with checked_once(pix, OBJ):
-        return _rounds(pix, rounds, tol, sigma0, n, vmin, vmax, step, lambdas, criterion, recentre, cont)
-
-
-def _rounds(pix, rounds, tol, sigma0, n, vmin, vmax, step, lambdas, criterion, recentre, cont) -> DataFrame:
-    center = cut(resample.xcorr_velocity(pix, step, vmin, vmax).withColumnRenamed("v", "v_center"))
-    design = cut(solve.losvd_design(pix, n, vmin, vmax, step))  # read once per round and strength grid
-    if cont is not None:
-        design = design.join(pix.select(*OBJ, "pix", cont), [*OBJ, "pix"])
-    tuning = center.select(*OBJ, F.lit(float(sigma0)).alias("sigma0"), (F.col("v_center") if recentre else F.lit(0.0)).alias("centre"))
-    played, live = None, design
+    packed = packed or recovery.pack_blocks(pix, n, vmin, vmax, step, joint, cont=cont)
+    if v_center is None:
+        v_center = cut(resample.xcorr_velocity(pix, step, vmin, vmax).withColumnRenamed("v", "v_center"))
+    tuning = v_center.select(*OBJ, F.lit(float(sigma0)).alias("sigma0"), (F.col("v_center") if recentre else F.lit(0.0)).alias("centre"))
+    played = None
     for i in range(rounds):
-        fit = auto_lambda(pix, lambdas, n, vmin, vmax, step, criterion, tuning=tuning, v_center=center, design=live, cont=cont)
-        gh = describe.gh_fit(solve.bins_from_packed(fit, vmin, vmax, n, OBJ)).select(*OBJ, F.col("sigma").alias("sigma_rec"))
-        row = attach(fit, tuning, OBJ).join(gh, OBJ).withColumn("round", F.lit(i))
+        fit = auto_lambda(None, lambdas, n, vmin, vmax, step, criterion, tuning=tuning, v_center=v_center, packed=packed, warm=warm)
+        gh = describe.gh_fit_packed(fit, vmin, vmax, n).select(*OBJ, F.col("sigma").alias("sigma_rec"))
+        row = fit.join(gh, OBJ).withColumn("round", F.lit(i))
         row = cut(row.withColumn("gap", F.coalesce(F.abs(F.col("sigma0") - F.col("sigma_rec")), F.lit(float("inf")))))
         played = row if played is None else played.unionByName(row)
         going = row.filter((F.col("gap") > tol) & (F.col("sigma_rec") > 0))
-        tuning = going.select(*OBJ, F.col("sigma_rec").alias("sigma0"), "centre")
         if i + 1 == rounds or going.isEmpty():
             break
-        live = design.join(going.select(*OBJ), OBJ, "left_semi")
+        tuning, warm = going.select(*OBJ, F.col("sigma_rec").alias("sigma0"), "centre"), going.select(*OBJ, "z")
     return choose.best_round(played, tol)
 
 
+def mixture_start(pix: DataFrame) -> DataFrame:
+    """(object_id, w): non-negative weights, adding up to one, of the template values ``t`` of the pixels themselves."""
+    n = pix.agg(F.max(F.size("t"))).first()[0] or 1
+    w = F.when(valid_pixel(), 1 / (F.col("gerr") * F.col("gerr"))).otherwise(0.0)
+    rows = pix.withColumn("_w", w).withColumn("_d", F.col("t").cast("array<double>")).withColumn("_y", F.array(F.when(valid_pixel(), F.col("g")).otherwise(0.0)))
+    return solve.mixture_weights(solve.packed_gram(rows, n), n)
+
+
 def fit_spectra(
     pix: DataFrame, mode: str = "plain", n: int = 29, vmin: float = -300.0, vmax: float = 300.0, step: float = 1.25,
-    lambdas: Sequence[float] | None = None, criterion: str = "discrepancy", rounds: int = 2, weights: DataFrame | None = None,
+    lambdas: Sequence[float] | None = None, criterion: str = "discrepancy", rounds: int = 3, clip: float | None = None, protect: str | None = None,
+    clip_rounds: int = 3, interior: int = 10,
 ) -> dict[str, DataFrame]:
-    """Prepared pixels (with the template mixture ``t``) to result tables.
+    """Prepared pixels to result tables.
 
-    'plain' fits the spectrum as it is; 'joint' first divides out a smooth continuum of the ratio to
-    the template and keeps it as a multiplicative factor of the model.
+    ``t`` is a template mixture or an array with a value per template; then the weights are fitted as well, starting from
+    the non-negative mixture of the data. 'plain' fits the spectrum as it is; 'joint' fits a smooth continuum together with
+    histogram and weights under sum(b) = 1. With ``clip`` pixels that many robust deviations above the model are
+    masked and the object is refitted at its strength until its mask stands still; the whole fit then runs on what is left.
     """
-    cont = None
-    if mode == "joint":
-        ratio = pix.withColumn("_g", F.col("g")).withColumn("g", F.try_divide("g", "t")).withColumn("_e", F.col("gerr"))
-        ratio = ratio.withColumn("gerr", F.try_divide("gerr", F.abs("t")))
-        pix = cut(solve.fit_pspline(ratio).withColumn("g", F.col("_g")).withColumn("gerr", F.col("_e")).drop("_g", "_e"))
-        cont = "cont"
-    elif mode != "plain":
+    if mode not in ("plain", "joint"):
         raise ValueError(f"unknown mode {mode!r}")
-    best = cut(recover_self_consistent(pix, rounds, n=n, vmin=vmin, vmax=vmax, step=step, lambdas=lambdas, criterion=criterion, cont=cont))
+    many = dict(pix.dtypes)["t"].startswith("array")
+    mixed, weights = pix, None
+    if many:
+        weights = cut(mixture_start(pix))
+        mixed = attach(pix, weights, OBJ).withColumn("t", F.aggregate(F.zip_with("t", "w", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)).drop("w")
+    v_center = cut(resample.xcorr_velocity(mixed, step, vmin, vmax).withColumnRenamed("v", "v_center"))
+
+    def fitted(pixels, warm=None):
+        packed = recovery.pack_blocks(pixels, n, vmin, vmax, step, mode == "joint", interior)
+        model = packed[2]
+        if warm is None and model.nw:  # the mixture is where the weights start
+            first = recovery.start_state(packed[1], model).join(weights, OBJ)
+            warm = first.select(*OBJ, F.concat(F.slice("z", 1, model.n + model.nc), "w").alias("z"))
+        best = recover_self_consistent(pixels, rounds, n=n, vmin=vmin, vmax=vmax, step=step, lambdas=lambdas, criterion=criterion, packed=packed, warm=warm, v_center=v_center)
+        return packed, cut(best)
+
+    packed, best = fitted(pix)
+    if clip is not None:
+        def refit(live):
+            again = recovery.pack_blocks(live, n, vmin, vmax, step, mode == "joint", interior)
+            state = recovery.start_state(again[1], again[2], tuning=best.select(*OBJ, "lam", "sigma0", "centre"), warm=best)
+            fits = recovery.solve_rounds(again[0], state, again[2], recovery.Plan(freeze=0))
+            return live.join(recovery.model_pixels(again[0], again[1], fits, again[2]).drop("cont"), [*OBJ, "pix"])
+
+        pix = cut(masks.sigma_clip(pix, "model", clip, clip_rounds, protect=protect, refit=refit).drop("clip_rounds"))
+        packed, best = fitted(pix, best)
     bins = solve.bins_from_packed(best, vmin, vmax, n, OBJ)
-    model = solve.model_from_design(solve.losvd_design(pix, n, vmin, vmax, step), best)
-    if cont:
-        model = model.join(pix.select(*OBJ, "pix", "cont"), [*OBJ, "pix"]).withColumn("model", F.col("model") * F.col("cont"))
-    if weights is None:
-        weights = pix.select(*OBJ).distinct().select(*OBJ, F.lit(0).cast("long").alias("tpl_id"), F.lit(1.0).alias("w"))
-    out = products.fit_products(model.withColumnRenamed("t", "tmix"), bins, weights, n)
-    out["moments"] = describe.gh_fit(bins)
+    rows = pix.join(recovery.model_pixels(packed[0], packed[1], best, packed[2]), [*OBJ, "pix"])
+    share = best.select(*OBJ, F.posexplode("weights").alias("tpl_id", "w")).withColumn("tpl_id", F.col("tpl_id").cast("long"))
+    out = products.fit_products(rows, bins, share, n)
+    out["moments"] = describe.gh_fit_packed(best, vmin, vmax, n)
     out["fits"] = best
     return out
 

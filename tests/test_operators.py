@@ -71,7 +71,7 @@ def test_description_recovers_planted_moments(spark):
     b = gaussian(v, -10, 120)
     b[20] = 2 * b.max()
     r = describe.gh_fit(hist(spark, [(v, b)]), OBJ).first()
-    planted = describe._linear(v, b, np.array(-10.0), np.array(120.0), [3, 4], "classic", 1.0)[2]
+    planted = (describe._linear(v, b, np.array(-10.0), np.array(120.0), [3, 4], "classic", 1.0)[2] ** 2).sum()
     assert r.converged and r.sigma > 60 and r.sse <= planted
     few = describe.gh_fit(hist(spark, [(v[:4], v[:4])]), OBJ).first()
     assert few.vel is None
