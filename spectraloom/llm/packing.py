@@ -3,19 +3,19 @@
 A document becomes byte-level BPE ids plus an end id; longer ones are cut into full pieces behind a first piece that
 may be shorter. A full piece is a sequence of its own, so only first pieces shorter than a sequence are packed.
 
-* Pieces are dealt at random over partitions of bounded size; each is packed by best-fit decreasing.
+* Pieces are dealt by a hash of what they are over partitions of bounded size; each is packed by best-fit decreasing.
 * Each partition gets a lower bound on its bins from dual feasible functions (the plain volume, and for every
   threshold up to half the capacity the classical rounding that counts big pieces whole and drops small ones;
-  and the family that rounds k-fold sizes down). Bins equal to the bound: certified, done.
-* Partitions with a gap keep their full bins and hand the pieces of their other bins to an exchange: neighbours
-  in the list of open partitions meet in one and are repacked. This goes on until no gap is left, one partition
-  remains, ``EXCHANGES`` are done, or an exchange would need more bins (its result is then not taken).
+  and the family that rounds k-fold sizes down). Bins equal to the bound: certified.
+* Partitions with a gap hand the pieces of their bins with room to an exchange, certified ones those of bins with much room
+  (the bound is rounded up, so it leaves up to one bin in each partition): neighbours meet in one and are repacked, in
+  rounds until one partition is left. A meeting that would need more bins keeps what it had.
 
 Memory: a task holds one partition of at most about ``PARTITION_PIECES`` short pieces, sizes only. Texts are
 tokenised where they are read, and are never shuffled.
 
 Defined cases: null text is empty (its single id is the end id); rows without doc_id go; repeated rows are packed
-once each, under their own number; an empty table gives an empty result; other columns are ignored.
+once each, under their own number; pieces of equal length go by that number, which changes no count; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +34,9 @@ from spectraloom.llm.tables import documents
 from spectraloom.llm.textblock import SPACE, TextBlock, blocks
 from spectraloom.plans.scale import cut
 
-CAPACITY, END_ID, PARTITION_PIECES, EXCHANGES = 1024, 2, 20_000, 8
+CAPACITY, END_ID, PARTITION_PIECES = 1024, 2, 20_000
+#: A certified partition hands on bins with more than this share of the capacity free.
+CERTIFIED_ROOM = 64
 
 
 @cache
@@ -158,49 +160,63 @@ def lower_bound(count: np.ndarray) -> int:
     return best
 
 
-def _packed(capacity: int):
+def _packed(capacity: int, partition: int):
     def run(key, f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["length", "row_no"], ascending=[False, True], kind="stable")
         sizes = f["length"].to_numpy()
         bins = best_fit(sizes, capacity)
-        fill = np.bincount(bins, sizes)
+        fill = np.bincount(bins, sizes).astype(np.int64)
         gap = len(fill) - lower_bound(np.bincount(sizes, minlength=capacity + 1))
-        return pd.DataFrame({"grp": key[0], "row_no": f["row_no"], "length": sizes, "bin": bins, "fill": fill[bins].astype(np.int64), "gap": gap})
+        # What goes on to an exchange: bins with room, emptiest first, half a partition of pieces at most.
+        room = capacity - fill
+        order = np.argsort(fill, kind="stable")
+        open_ = np.zeros(len(fill), bool)
+        open_[order] = np.cumsum(np.bincount(bins, minlength=len(fill))[order]) <= partition // 2
+        open_ &= room > (0 if gap else capacity // CERTIFIED_ROOM)
+        return pd.DataFrame({"grp": key[0], "row_no": f["row_no"], "length": sizes, "bin": bins, "loose": open_[bins]})
 
     return run
 
 
-_SCHEMA = "grp long, row_no long, length long, bin long, fill long, gap long"
+_SCHEMA = "grp long, row_no long, length long, bin long, loose boolean"
 
 
 def pack(short: DataFrame, capacity: int = CAPACITY, partition: int = PARTITION_PIECES) -> DataFrame:
-    """(row_no, bin_key): pieces (row_no, length below capacity) put into bins; bin_key names the bin."""
-    run = _packed(capacity)
+    """(row_no, bin_key): pieces (row_no, deal, length below capacity) put into bins; bin_key names the bin.
+
+    ``deal`` is a hash of what the piece is, so the number of bins does not depend on how the input is split. A partition
+    with a gap to its bound exchanges its bins with room, a certified one only those with more than a 64th of it free, as
+    its bound is rounded up. Partitions meet in pairs until one is left; a pair that would take more bins keeps what it had.
+    """
+    run = _packed(capacity, partition)
     n = short.count()
     groups = max(1, -(-n // partition))
-    dealt = short.select(F.pmod(F.xxhash64("row_no"), F.lit(groups)).alias("grp"), "row_no", "length")
+    dealt = short.select(F.pmod("deal", F.lit(groups)).alias("grp"), "row_no", "length")
     now = cut(dealt.groupBy("grp").applyInPandas(run, _SCHEMA))
     done: list[DataFrame] = []
-    for step in range(EXCHANGES):
-        named = F.concat_ws("-", F.lit(str(step)), "grp", "bin").alias("bin_key")
-        closed = (F.col("gap") == 0) | (F.col("fill") == capacity)
-        loose = now.filter(~closed)
-        at = loose.groupBy("grp").agg(F.countDistinct("bin").alias("bins"), F.sum("length").alias("volume")).toPandas()  # one row per partition of 20 000 pieces
-        if len(at) < 1 or (step and len(at) < 2) or step == EXCHANGES - 1:
-            done.append(now.select("row_no", named))
+    spark, step = short.sparkSession, 0
+    named = lambda df, k: df.select("row_no", F.concat_ws("-", F.lit(str(k)), "grp", "bin").alias("bin_key"))
+    bins_of = lambda df: df.groupBy("grp").agg(F.countDistinct("bin").alias("bins")).toPandas()  # noqa: E731  a row per partition
+    while True:
+        loose = now.filter("loose")
+        at = bins_of(loose)
+        if len(at) < 2:
+            done.append(named(now, step))
             break
-        # Neighbours meet: two open partitions in one, the last three if their number is odd.
+        done.append(named(now.filter("NOT loose"), step))
+        # Neighbours meet: two partitions in one, the last three if their number is odd.
         order = np.sort(at["grp"].to_numpy())
-        meet = {int(g): min(i // 2, max(len(order) // 2 - 1, 0)) for i, g in enumerate(order)}
-        spark = short.sparkSession
-        to = spark.createDataFrame(pd.DataFrame({"grp": list(meet), "next": list(meet.values())}), "grp long, next long")
-        again = cut(loose.join(F.broadcast(to), "grp").select(F.col("next").alias("grp"), "row_no", "length").groupBy("grp").applyInPandas(run, _SCHEMA))
-        fewer = again.select("grp", "bin").distinct().count()
-        done.append(now.filter(closed).select("row_no", named))
-        if fewer > int(at["bins"].sum()):
-            done.append(loose.select("row_no", named))
-            break
-        now = again
+        meet = {int(g): min(i // 2, len(order) // 2 - 1) for i, g in enumerate(order)}
+        to = F.broadcast(spark.createDataFrame(pd.DataFrame({"grp": list(meet), "next": list(meet.values())}), "grp long, next long"))
+        again = cut(loose.join(to, "grp").select(F.col("next").alias("grp"), "row_no", "length").groupBy("grp").applyInPandas(run, _SCHEMA))
+        before = at.assign(grp=at["grp"].map(meet)).groupby("grp")["bins"].sum()
+        after = bins_of(again).set_index("grp")["bins"]
+        worse = [int(g) for g in after.index if after[g] > before[g]]
+        if worse:
+            refused = [g for g, k in meet.items() if k in set(worse)]
+            done.append(named(loose.filter(F.col("grp").isin(refused)), step))
+            again = again.filter(~F.col("grp").isin(worse))
+        now, step = again, step + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -213,7 +229,7 @@ def sequences(docs: DataFrame, capacity: int = CAPACITY, folder: str | None = No
 
     cut_up = cut(pieces(docs, capacity, folder))
     short = cut_up.filter(F.col("length") < capacity)
-    keys = pack(short.select("row_no", "length"), capacity, partition)
+    keys = pack(short.select("row_no", F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32").alias("deal"), "length"), capacity, partition)
     placed = short.join(keys, "row_no")
     bins = placed.select("bin_key").distinct().select("bin_key", (2 * F.monotonically_increasing_id()).alias("sequence_id"))
     bins = cut(bins)

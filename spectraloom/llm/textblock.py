@@ -1,7 +1,7 @@
 """Many texts as one byte array, with word spans and substring hashes by whole-array arithmetic.
 
 A task sees its documents in blocks of about a megabyte. Hashes are polynomials modulo 2**64 over prefix
-sums, so the hash of any span costs two lookups; a final mixing step spreads them over all bits.
+sums, so the hash of a span of up to 256 bytes costs two lookups; a final mixing step spreads them over all bits.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES, SPAN_BYTES = 1_000_000, 256
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SPACE = np.zeros(256, bool)
@@ -72,6 +72,22 @@ class TextBlock:
         return self._sums
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hash of every span. A polynomial modulo 2**64 is equal for some long texts whatever its base, so a span of more
+        than SPAN_BYTES is cut there and the mixed hashes of its parts are added, each under its own number."""
+        n = ends - starts
+        out = self._short(starts, np.minimum(ends, starts + SPAN_BYTES))
+        long = np.flatnonzero(n > SPAN_BYTES)
+        if len(long):
+            parts = -(-n[long] // SPAN_BYTES)
+            first = np.cumsum(parts) - parts
+            number = np.arange(int(parts.sum())) - np.repeat(first, parts)
+            begin = np.repeat(starts[long], parts) + number * SPAN_BYTES
+            own = self._short(begin, np.minimum(begin + SPAN_BYTES, np.repeat(ends[long], parts)))
+            total = np.add.reduceat(mix(own ^ mix(number.astype(np.uint64) + np.uint64(1))), first)
+            out[long] = mix(total + n[long].astype(np.uint64))
+        return out
+
+    def _short(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         sums = self._prefix()
         inverse = _power(_INVERSE, len(self.data) + 1)
         return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
