@@ -134,19 +134,23 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str | Column, probs: Mapping[str, float]
+    df: DataFrame, keys: Sequence[str], value: str | Column, probs: Mapping[str, float], count: str | Column | None = None
 ) -> DataFrame:
-    """Exact quantiles (linear interpolation, nulls skipped) per key, one column per entry."""
+    """Exact quantiles (linear interpolation, nulls skipped) per key, one column per entry.
+
+    ``count`` says how often each row's value stands, so that tables of merged value counts have quantiles too.
+    """
+    weight = F.lit(1) if count is None else F.col(count) if isinstance(count, str) else count
     value = F.col(value) if isinstance(value, str) else value
     whole = not keys
     keys = list(keys) or ["_all"]
     src = df.withColumn("_all", F.lit(1)) if whole else df
-    src = src.select(*keys, value.cast("double").alias("_x")).filter("_x IS NOT NULL")
+    src = src.select(*keys, value.cast("double").alias("_x"), weight.cast("long").alias("_c")).filter("_x IS NOT NULL")
     hot = hot_keys(src, keys)
     plain = src if hot is None else src.join(hot, keys, "left_anti")
     out = (
         plain.groupBy(*keys)
-        .agg(F.percentile("_x", F.array(*[F.lit(float(p)) for p in probs.values()])).alias("_q"))
+        .agg(F.percentile("_x", F.array(*[F.lit(float(p)) for p in probs.values()]), *([] if count is None else [F.col("_c")])).alias("_q"))
         .select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
     )
     if hot is not None:
@@ -157,7 +161,7 @@ def quantiles(
 def _hot_quantiles(src, hot, keys, probs):
     # Equal values are merged before anything is ordered, so ties cost one row. The counts are kept: everything
     # below reads them several times, and the result is kept too, so plans built on it do not read ``src`` again.
-    counts = cut(src.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c")))
+    counts = cut(src.groupBy(*keys, "_x").agg(F.sum("_c").alias("_c")))
     parts = cut(_with_sub_ranges(counts, hot, keys, F.col("_x")))
     blocks = _block_starts(parts, keys, F.col("_c"))
     totals = blocks.groupBy(*keys).agg(F.sum("_t").alias("_n"))
