@@ -389,15 +389,97 @@ def refine_peak(xcorr: DataFrame, keys: list[str] = OBJ) -> DataFrame:
     return d.select(*keys, "lag0", (F.col("lag0") + F.when(F.abs(delta) <= 1, delta).otherwise(0.0)).alias("lag"))
 
 
+def _detrended(values: np.ndarray, good: np.ndarray, sizes: np.ndarray, degree: int) -> np.ndarray:
+    """Rows of ``values`` less their polynomial in the position, fitted over good places; 0 at the others. All rows at once."""
+    n = degree + 1
+    u = 2 * np.arange(values.shape[1])[None, :] / np.maximum(sizes - 1, 1)[:, None] - 1
+    power = [good.astype(float)]
+    for _ in range(2 * degree):
+        power.append(power[-1] * u)
+    sums = np.stack([p.sum(1) for p in power], axis=1)
+    gram = sums[:, np.arange(n)[:, None] + np.arange(n)[None, :]]
+    rhs = np.stack([(power[k] * values).sum(1) for k in range(n)], axis=1)
+    scale = np.sqrt(np.maximum(np.einsum("bii->bi", gram), 1e-300))
+    gram = gram / scale[:, :, None] / scale[:, None, :] + 1e-14 * np.eye(n)
+    coef = np.linalg.solve(gram, (rhs / scale)[..., None])[..., 0] / scale
+    trend = np.zeros_like(values)
+    for k in reversed(range(n)):
+        trend = trend * u + coef[:, k : k + 1]
+    return np.where(good, values - trend, 0.0)
+
+
+def _peaks(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Lag of the largest correlation of each row pair, refined by its two neighbours; equal heights: the smallest lag."""
+    m = a.shape[1]
+    c = np.roll(np.fft.irfft(np.fft.rfft(a, 2 * m) * np.conj(np.fft.rfft(b, 2 * m)), 2 * m), m - 1, axis=1)[:, : 2 * m - 1]
+    lag = np.arange(-(m - 1), m)
+    c = np.where(np.abs(lag)[None, :] < sizes[:, None], c, -np.inf)
+    at, row = np.argmax(c, axis=1), np.arange(len(a))
+    top = c[row, at]
+    low, high = (np.where((at + d >= 0) & (at + d < 2 * m - 1), c[row, np.clip(at + d, 0, 2 * m - 2)], -np.inf) for d in (-1, 1))
+    inside = np.isfinite(low) & np.isfinite(high)
+    low, high = np.where(inside, low, 0.0), np.where(inside, high, 0.0)
+    bend = low - 2 * top + high
+    shift = np.where(inside & (bend < 0), 0.5 * (low - high) / np.where(bend < 0, bend, 1.0), 0.0)
+    return lag[at] + np.where(np.abs(shift) <= 1, shift, 0.0)
+
+
+CLASS_VALUES = 1 << 20
+
+
+def _lag_batches(keys: list[str], degree: int, least: int):
+    """Series in classes of padded length, a class at a time; one lag (null with too few good samples) and middle per series."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("_p")
+            flat, at = column.flatten(), np.asarray(column.offsets) - column.offsets[0].as_py()
+            pix = np.asarray(flat.field("pix"))
+            g, t, x = (np.nan_to_num(np.asarray(flat.field(c), float)) for c in ("g", "t", "x"))
+            good = np.asarray(flat.field("good").to_numpy(zero_copy_only=False)).astype(bool)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            sizes = np.maximum.reduceat(pix, at[:-1]) + 1 if len(pix) else np.zeros(0, np.int64)
+            lag, mid = np.full(batch.num_rows, np.nan), np.full(batch.num_rows, np.nan)
+            centre = pix == sizes[row] // 2
+            mid[row[centre]] = x[centre]
+            width = np.array([1 << max(int(n - 1).bit_length(), 4) for n in sizes])
+            usable = np.bincount(row[good], minlength=batch.num_rows) >= least
+            for m in np.unique(width[usable]):
+                members = np.flatnonzero(usable & (width == m))
+                for start in range(0, len(members), max(1, CLASS_VALUES // int(m))):
+                    some = members[start : start + max(1, CLASS_VALUES // int(m))]
+                    place = np.full(batch.num_rows, -1)
+                    place[some] = np.arange(len(some))
+                    take = np.flatnonzero(place[row] >= 0)
+                    where = (place[row[take]], pix[take])
+                    one, two, ok = np.zeros((len(some), m)), np.zeros((len(some), m)), np.zeros((len(some), m), bool)
+                    one[where], two[where], ok[where] = g[take], t[take], good[take]
+                    lag[some] = _peaks(_detrended(one, ok, sizes[some], degree), _detrended(two, ok, sizes[some], degree), sizes[some])
+            cols = [pa.array(v, pa.float64(), from_pandas=True) for v in (lag, mid)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *cols], [*keys, "lag", "_mid"])
+
+    return run
+
+
 def xcorr_velocity(df: DataFrame, step: float, v_lo, v_hi, degree: int = 3, g: str = "g", t: str = "t", keys: list[str] = OBJ) -> DataFrame:
     """Velocity of ``g`` against ``t``: detrend, correlate, refine, convert at the middle coordinate, clip.
 
-    0 where fewer than max(10, 2 * degree + 3) pixels are good.
+    0 where fewer than max(10, 2 * degree + 3) pixels are good. Series up to the packing limit travel once and give one lag
+    each; longer ones are correlated over the cluster.
     """
-    facts = df.groupBy(*keys).agg(F.count_if("good").alias("_ok"), (F.max("pix") + 1).alias("_n"))
-    usable = facts.filter(F.col("_ok") >= max(10, 2 * degree + 3))
-    flat = detrend(df.join(usable.select(*keys), keys, "left_semi"), degree, [g, t], keys)
-    lag = refine_peak(cross_correlate(flat, g, t, keys), keys)
-    mid = attach(df, facts, keys).filter(F.col("pix") == F.floor(F.col("_n") / 2)).select(*keys, F.col("x").alias("_mid"))
+    least, limit = max(10, 2 * degree + 3), setting(df.sparkSession, PACKED_SERIES)
+    types = dict(df.dtypes)
+    longest = (df.agg(F.max("pix")).first()[0] or 0) + 1
+    sizes = df.groupBy(*keys).agg((F.max("pix") + 1).alias("_n"), F.count_if("good").alias("_ok")) if longest > limit else None
+    short = df if sizes is None else df.join(sizes.filter(F.col("_n") <= limit).select(*keys), keys, "left_semi")
+    sample = F.struct(F.col("pix").cast("long").alias("pix"), F.col(g).cast("double").alias("g"), F.col(t).cast("double").alias("t"), F.col("x").cast("double").alias("x"), "good")
+    packed = spread(short, *keys).groupBy(*keys).agg(F.collect_list(sample).alias("_p"))
+    lags = packed.mapInArrow(_lag_batches(keys, degree, least), ", ".join(f"{k} {types[k]}" for k in keys) + ", lag double, _mid double")
+    if sizes is not None:
+        long = df.join(sizes.filter(F.col("_n") > limit), keys)
+        flat = detrend(long.filter(F.col("_ok") >= least).drop("_n", "_ok"), degree, [g, t], keys)
+        mid = long.filter(F.col("pix") == F.floor(F.col("_n") / 2)).select(*keys, F.col("x").alias("_mid"))
+        far = mid.join(refine_peak(cross_correlate(flat, g, t, keys), keys).select(*keys, "lag"), keys, "left")
+        lags = lags.unionByName(far.select(*keys, "lag", "_mid"))
     v = F.least(F.greatest(F.col("lag") * step * C_KMS / F.col("_mid"), col(v_lo)), col(v_hi))
-    return mid.join(lag, keys, "left").select(*keys, F.coalesce(v, F.lit(0.0)).alias("v"))
+    return lags.filter("_mid IS NOT NULL").select(*keys, F.when(F.col("lag").isNotNull(), v).otherwise(0.0).alias("v"))

@@ -22,7 +22,7 @@ SPLIT = [
     "affine_axis", "anchored_bounds", "biweight_location", "bloom", "bootstrap_draws", "cross_correlate", "emission_line_mask",
     "error_policy", "gauss_smooth", "grow_mask", "grow_mask_by", "interp_templates", "line_excess_snr", "mask_regions", "mask_spans",
     "median_step", "percentile_table", "pooled_frac_error", "prepare", "protect_mask", "rebin", "refine_peak", "replicate_interval",
-    "robust_sigma", "rolling_outliers", "series_quality", "sigma_clip",
+    "robust_sigma", "rolling_outliers", "series_quality", "sigma_clip", "xcorr_velocity",
 ]
 
 
