@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from bisect import bisect_left, insort
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectraloom.functions.columns import array_median, col, finite, let, line_half_width
+from spectraloom.functions.columns import col, finite, line_half_width
 from spectraloom.functions.lines import TRIPLET_CENTRES, TRIPLET_HALF_WIDTH, triplet_windows
 from spectraloom.operators.pixels import OBJ
 from spectraloom.plans.scale import (
-    attach, bucketed_windows, checked_once, cut, flag_in_windows, halo, number_rows, quantiles, running_total,
+    BLOCK_ROWS, attach, bucketed_windows, checked_once, cut, flag_in_windows, halo, number_rows, quantiles, running_total, setting, spread, with_halo,
 )
 
 GOOD = "good AND g IS NOT NULL AND gerr > 0"
@@ -115,11 +118,12 @@ def grow_mask_by(df: DataFrame, flag: str, width: float, name: str = "grown") ->
     rows = quantiles(steps, OBJ, "_d", {"_step": 0.5}).select(
         *OBJ, F.when(F.col("_step") > 0, F.ceil(width / F.col("_step"))).otherwise(0).cast("int").alias("_n")
     )
-    reach = rows.agg(F.max("_n")).first()[0] or 0
     at = F.when(F.col(flag), F.col("pix"))
-    near = halo(attach(df, rows, OBJ), OBJ, reach, lambda w: {
-        "_left": F.max(at).over(w.rowsBetween(-reach, 0)),
-        "_right": F.min(at).over(w.rowsBetween(0, reach)),
+    # A block holds what lies within a row's own reach, so the nearest flag of the block is enough on each side.
+    known = attach(df, rows, OBJ).withColumn("_n", F.coalesce("_n", F.lit(0)))
+    near = halo(known, OBJ, F.col("_n"), lambda w: {
+        "_left": F.max(at).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        "_right": F.min(at).over(w.rowsBetween(0, Window.unboundedFollowing)),
     })
     left = F.coalesce(F.col("pix") - F.col("_left") <= F.col("_n"), F.lit(False))
     right = F.coalesce(F.col("_right") - F.col("pix") <= F.col("_n"), F.lit(False))
@@ -172,7 +176,7 @@ def rolling_flags(
     """(object_id, pix) of upward outliers against a rolling median and MAD inside line-free segments.
 
     The half-window is max(5, ceil(window / (2 * median step))) rows of the segment, truncated at
-    its ends; segments need 10 good pixels. The frame is an array of at most one window.
+    its ends; segments need 10 good pixels. A segment runs in blocks of positions that reach as far as its own window.
     """
     cuts = sorted(centres)
     seg = F.lit(None).cast("int")
@@ -194,22 +198,78 @@ def rolling_flags(
         quantiles(steps, keys, "_d", {"_dx": 0.5}), keys,
     ).select(*keys, F.greatest(F.lit(5), F.ceil(window / (2 * F.greatest("_dx", F.lit(1e-6))))).cast("int").alias("_h"))
     facts = cut(facts)  # one row per segment, read twice
-    reach = facts.agg(F.max("_h")).first()[0] or 5
-    framed = halo(rows.join(facts, keys), keys, reach, lambda w: {
-        "_w": F.collect_list(F.struct("_k", "g")).over(w.rowsBetween(-reach, reach)),
-    }, pos="_k")
-    window_values = F.transform(
-        F.filter("_w", lambda e: F.abs(e["_k"] - F.col("_k")) <= F.col("_h")), lambda e: e["g"]
-    )
-    both = let(window_values, lambda w: let(array_median(w), lambda m: F.struct(
-        m.alias("med"), (1.4826 * array_median(F.transform(w, lambda e: F.abs(e - m)))).alias("mad")
-    )))
-    flagged = (
-        framed.withColumn("_s", both)
-        .filter((F.col("_s.mad") > 0) & (F.col("g") > F.col("_s.med") + n_sigma * F.col("_s.mad")))
-        .select(*OBJ, "pix")
-    )
-    return flagged
+    size = setting(df.sparkSession, BLOCK_ROWS)
+    on = [*keys, "_blk"]
+    blocks = spread(with_halo(rows.join(facts, keys), F.col("_h"), "_k"), *on).groupBy(*on, "_h").agg(F.collect_list(F.struct("_k", "pix", F.col("g").cast("double").alias("g"))).alias("_p"))
+    return blocks.select(*OBJ, "_blk", "_h", "_p").mapInArrow(_outlier_batches(n_sigma, size), f"object_id {dict(df.dtypes)['object_id']}, pix {dict(df.dtypes)['pix']}")
+
+
+WIDE, WINDOW_VALUES = 512, 1 << 21
+
+
+def rolling_median_mad(g: np.ndarray, h: int) -> tuple[np.ndarray, np.ndarray]:
+    """Median of every place's window of ``h`` places each side (cut at the ends) and the median distance from it."""
+    n, width = len(g), 2 * h + 1
+    med, mad = np.empty(n), np.empty(n)
+    if width <= WIDE:
+        padded = np.concatenate([np.full(h, np.nan), g, np.full(h, np.nan)])
+        view = np.lib.stride_tricks.sliding_window_view(padded, width)
+        step = max(1, WINDOW_VALUES // width)
+        for start in range(0, n, step):
+            w = view[start : start + step]
+            m = np.nanmedian(w, axis=1) if start < h or start + step > n - h else np.median(w, axis=1)
+            d = np.abs(w - m[:, None])
+            med[start : start + step] = m
+            mad[start : start + step] = np.nanmedian(d, axis=1) if start < h or start + step > n - h else np.median(d, axis=1)
+        return med, mad
+    values = g.tolist()
+    held = sorted(values[:h])
+    for i in range(n):
+        # One value comes in, one goes out; the window stays sorted.
+        if i + h < n:
+            insort(held, values[i + h])
+        if i - h > 0:
+            del held[bisect_left(held, values[i - h - 1])]
+        size = len(held)
+        m = (held[(size - 1) // 2] + held[size // 2]) / 2
+        med[i], mad[i] = m, (_distance(held, m, (size - 1) // 2) + _distance(held, m, size // 2)) / 2
+    return med, mad
+
+
+def _distance(held: list[float], m: float, rank: int) -> float:
+    """The distance from ``m`` of given rank (from 0) among a sorted list, by halving over its two sides."""
+    split = bisect_left(held, m)
+    # Distances grow to the left from split - 1 and to the right from split: take ``left`` of rank + 1 from the left.
+    low, high = max(0, rank + 1 - (len(held) - split)), min(rank + 1, split)
+    while low < high:
+        left = (low + high) // 2
+        right = rank + 1 - left
+        if right > 0 and m - held[split - 1 - left] < held[split + right - 1] - m:
+            low = left + 1
+        else:
+            high = left
+    right = rank + 1 - low
+    return max(m - held[split - low] if low else 0.0, held[split + right - 1] - m if right else 0.0)
+
+
+def _outlier_batches(n_sigma: float, size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column("_p")
+            flat, at = column.flatten(), np.asarray(column.offsets) - column.offsets[0].as_py()
+            k, pix, g = (np.asarray(flat.field(c)) for c in ("_k", "pix", "g"))
+            number, reach = np.asarray(b.column("_blk")), np.asarray(b.column("_h"))
+            row, found = [], []
+            for i in range(b.num_rows):
+                order = at[i] + np.argsort(k[at[i] : at[i + 1]], kind="stable")
+                med, mad = rolling_median_mad(g[order], int(reach[i]))
+                out = (k[order] // size == number[i]) & (mad > 0) & (g[order] > med + n_sigma * 1.4826 * mad)
+                found.append(pix[order[out]])
+                row.append(np.full(int(out.sum()), i))
+            if row:
+                yield pa.RecordBatch.from_arrays([b.column("object_id").take(pa.array(np.concatenate(row))), pa.array(np.concatenate(found))], ["object_id", "pix"])
+
+    return run
 
 
 def robust_sigma(df: DataFrame, by: list[str], value: str | Column, name: str = "sigma") -> DataFrame:

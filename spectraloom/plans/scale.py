@@ -200,26 +200,31 @@ def _hot_quantiles(src, hot, keys, probs):
 def halo(
     df: DataFrame,
     keys: Sequence[str],
-    n: int,
+    n: int | Column,
     frames: Callable[[Window], Mapping[str, Column]],
     pos: str = "pix",
 ) -> DataFrame:
-    """Add window columns whose frames reach at most ``n`` rows either way.
+    """Add window columns whose frames reach at most ``n`` rows either way (a column: every row's own reach).
 
     ``pos`` must be the dense position inside the key. Rows within ``n`` of a block border are
     copied into the neighbouring block, the frame runs per (key, block), the copies are dropped.
     """
     size = setting(df.sparkSession, BLOCK_ROWS)
     own = F.floor(F.col(pos) / size)
-    first = F.greatest(F.floor((F.col(pos) - n) / size), F.lit(0).cast("long"))
-    last = F.floor((F.col(pos) + n) / size)
-    spread = df.withColumn("_blk", F.explode(F.sequence(first, last)))
+    spread = with_halo(df, n, pos)
     w = Window.partitionBy(*keys, "_blk").orderBy(pos)
     for name, column in frames(w).items():
         spread = spread.withColumn(name, column)
     return spread.filter(F.col("_blk") == own).drop("_blk")
 
 
+def with_halo(df: DataFrame, n: int | Column, pos: str = "pix") -> DataFrame:
+    """Every row in its own block (``_blk``) of positions and in those that reach it within ``n`` rows."""
+    size = setting(df.sparkSession, BLOCK_ROWS)
+    first = F.greatest(F.floor((F.col(pos) - n) / size), F.lit(0).cast("long"))
+    return df.withColumn("_blk", F.explode(F.sequence(first, F.floor((F.col(pos) + n) / size))))
+
+
 def running_total(df: DataFrame, keys: Sequence[str], value: Column, name: str, pos: str = "pix") -> DataFrame:
     """Inclusive prefix sum along ``pos`` without ordering a whole key in one task."""
     size = setting(df.sparkSession, BLOCK_ROWS)
