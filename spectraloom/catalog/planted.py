@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spectraloom.catalog.base import PIXELS, hist, pixels, query, table
+from spectraloom.functions.columns import gh_profile
 from spectraloom.operators import solve
 from spectraloom.operators.describe import gh_fit, gh_fit_higher
 from spectraloom.operators.pixels import OBJ
@@ -66,3 +67,20 @@ def pspline_planted(spark, sf):
 @query("asymmetric_baseline_planted", LEVEL_SQL)
 def baseline_planted(spark, sf):
     return solve.asymmetric_baseline(_levels(spark, sf), rounds=5, interior=10).select("object_id", "pix", F.round("baseline", 4).alias("level"))
+
+
+SHAPE = {"vel": "300e0 * e[1]", "sigma": "70 + 100 * abs(e[2])", "h3": "least(greatest(0.5e0 * e[3], -0.12e0), 0.12e0)", "h4": "least(greatest(0.4e0 * e[4], -0.1e0), 0.1e0)"}
+
+
+@query("gh_fit_shapes", f"""
+WITH x AS (SELECT vec_id, list_transform(embedding, lambda a: CAST(a AS DOUBLE)) AS e FROM embeddings)
+SELECT vec_id AS object_id, round({SHAPE['vel']}, 3) AS vel, round({SHAPE['sigma']}, 3) AS sigma, round({SHAPE['h3']}, 4) AS h3, round({SHAPE['h4']}, 4) AS h4, true AS converged FROM x""")
+def gh_shapes(spark, sf):
+    """Skewed and peaked profiles whose four numbers are values of the table."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("object_id"), F.transform("embedding", lambda a: a.cast("double")).alias("e"))
+    at = lambda i: F.col("e")[i]
+    bound = lambda c, limit: F.least(F.greatest(c, F.lit(-limit)), F.lit(limit))
+    e = e.select("object_id", (300.0 * at(0)).alias("vel"), (70 + 100 * F.abs(at(1))).alias("sigma"), bound(0.5 * at(2), 0.12).alias("h3"), bound(0.4 * at(3), 0.1).alias("h4"))
+    rows = hist(spark, sf).select("object_id", "bin", "v").join(e, "object_id")
+    fits = gh_fit(rows.select("object_id", "bin", "v", gh_profile("v", F.lit(1.0), "vel", "sigma", "h3", "h4").alias("b")), OBJ)
+    return fits.select("object_id", F.round("vel", 3).alias("vel"), F.round("sigma", 3).alias("sigma"), F.round("h3", 4).alias("h3"), F.round("h4", 4).alias("h4"), "converged")

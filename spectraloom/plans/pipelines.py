@@ -1,4 +1,4 @@
-"""End-to-end plans: prepare, fit, assess, validate."""
+"""End-to-end plans: prepare, quality, fit."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spectraloom.functions.columns import valid_pixel
 from spectraloom.functions.lines import emission_candidates
-from spectraloom.operators import choose, describe, masks, mocks, products, recovery, resample, solve, suite
+from spectraloom.operators import choose, describe, masks, products, recovery, resample, solve
 from spectraloom.operators import pixels as P
 from spectraloom.operators import stats as S
 from spectraloom.operators.pixels import OBJ
@@ -187,46 +187,3 @@ def fit_spectra(
     out["moments"] = describe.gh_fit_packed(best, vmin, vmax, n)
     out["fits"] = best
     return out
-
-
-def mock_fit_rows(jobs: DataFrame, start: float, step: float, n_pix: int, lam_center: float, n: int = 29, vmin: float = -600.0, vmax: float = 600.0,
-                  lambdas: Sequence[float] | None = None) -> DataFrame:
-    """Mocks of all jobs, fitted and compared with their truth: run-log rows."""
-    pix = mocks.build_mocks(jobs, start, step, n_pix, lam_center)
-    flat = cut(pix.withColumn("g", F.col("g") / F.col("cont")).withColumn("gerr", F.col("gerr") / F.col("cont")))
-    fit = fit_spectra(flat.drop("cont"), n=n, vmin=vmin, vmax=vmax, step=step, lambdas=lambdas, rounds=1)
-    peaks = S.count_peaks(fit["losvd"], OBJ)
-    m = fit["moments"].select(*OBJ, F.col("vel").alias("v_rec"), F.col("sigma").alias("sigma_rec"), F.col("h3").alias("h3_rec"), F.col("h4").alias("h4_rec"))
-    q = fit["fits"].select(*OBJ, "lam", "chi2", F.col("ngood").alias("n_good"))
-    d = jobs.join(m, OBJ, "left").join(q, OBJ, "left").join(peaks, OBJ, "left")
-    return d.select(
-        *jobs.columns, "v_rec", "sigma_rec", "h3_rec", "h4_rec", (F.col("v_rec") - F.col("v_true")).alias("bias_v"),
-        (F.col("sigma_rec") - F.col("sigma_true")).alias("bias_sigma"), (F.col("h3_rec") - F.col("h3")).alias("bias_h3"),
-        (F.col("h4_rec") - F.col("h4")).alias("bias_h4"), (F.col("chi2") / F.greatest(F.col("n_good") - 1, F.lit(1))).alias("chi2_red"),
-        "lam", "n_good", "n_peaks", F.col("v_rec").isNull().alias("crashed"),
-    )
-
-
-def assess_bias(truth: DataFrame, snr: float = 50.0, **setup) -> DataFrame:
-    """Mocks on a truth grid ``(object_id, v_true, sigma_true, seed)`` -> bias table, one job."""
-    jobs = truth.select(
-        *OBJ, "v_true", "sigma_true", F.lit(float(snr)).alias("snr"), F.lit(0.0).alias("h3"), F.lit(0.0).alias("h4"),
-        F.lit("gaussian").alias("shape"), F.lit("none").alias("mode"), F.lit("none").alias("emission"), F.lit("matched").alias("role"), "seed",
-    )
-    return suite.bias_table(mock_fit_rows(jobs, **setup))
-
-
-def run_suite(jobs: DataFrame, log: DataFrame | None = None, **setup) -> dict[str, DataFrame]:
-    """Pending jobs -> run-log rows -> scores, flags, comparison, slowest groups.
-
-    Wall time belongs to a job of its own in the reference; here all jobs are one plan, so the column
-    is filled by the caller when it is wanted.
-    """
-    todo = suite.pending_jobs(jobs, log) if log is not None else jobs
-    rows = cut(mock_fit_rows(todo, **setup).withColumn("wall_time_s", F.lit(0.0)))
-    agg = suite.aggregate_replicates(rows)
-    flagged = suite.flag_scenarios(agg)
-    return {
-        "rows": rows, "scores": agg, "flags": flagged, "comparison": suite.head_to_head(agg, "joint", "poly_amp"),
-        "slowest": suite.top_slowest(agg),
-    }

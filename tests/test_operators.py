@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from mock_series import build_mocks
 from spectraloom.functions import columns as C
 from spectraloom.operators import choose, describe, masks, mocks, resample, shapes, solve
 from spectraloom.operators import pixels as P
@@ -219,7 +220,7 @@ def planted(spark, truth, n_pix=320, noise=0.01):
     rows = [(i, float(v), float(s), 0.0, 0.0, "gaussian") for i, (v, s) in enumerate(truth)]
     t = spark.createDataFrame(rows, "object_id long, v_true double, sigma_true double, h3 double, h4 double, shape string")
     jobs = t.withColumns({"snr": F.lit(1 / noise), "mode": F.lit("none"), "emission": F.lit("none"), "role": F.lit("matched"), "seed": F.col("object_id")})
-    return mocks.build_mocks(jobs, 8350.0, 1.25, n_pix, 8550.0).drop("cont")
+    return build_mocks(jobs, 8350.0, 1.25, n_pix, 8550.0).drop("cont")
 
 
 def test_recovery_of_planted_velocities(spark):
