@@ -24,7 +24,7 @@ from spectraloom.functions.columns import C_KMS, valid_pixel
 from spectraloom.operators.pixels import OBJ
 from spectraloom.operators.solve import FLOOR, difference_matrix, penalty_batch, start_shape
 from spectraloom.operators.strength import count_peaks, search
-from spectraloom.plans.scale import BLOCK_ROWS, cut, setting, spread
+from spectraloom.plans.scale import BLOCK_ROWS, cut, is_small, setting, spread
 
 KEYS = [*OBJ, "_blk"]
 
@@ -442,8 +442,13 @@ def add_arrays(df: DataFrame, keys: Sequence[str], name: str = "_s") -> DataFram
 
 
 def with_blocks(blocks: DataFrame, objects: DataFrame, model: Model) -> DataFrame:
-    """Blocks with the facts of their objects; the blocks of one long series stay in different tasks."""
+    """Blocks with the facts of their objects; the blocks of one long series stay in different tasks.
+
+    While few objects are live their facts travel to the blocks, so late rounds do not shuffle the blocks of finished ones.
+    """
     each = objects.withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / model.size))))
+    if is_small(each):
+        return blocks.join(F.broadcast(each), KEYS)
     return spread(blocks, *KEYS).join(spread(each, *KEYS), KEYS)
 
 
