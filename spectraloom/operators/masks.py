@@ -214,13 +214,13 @@ def rolling_median_mad(g: np.ndarray, h: int) -> tuple[np.ndarray, np.ndarray]:
     if width <= WIDE:
         padded = np.concatenate([np.full(h, np.nan), g, np.full(h, np.nan)])
         view = np.lib.stride_tricks.sliding_window_view(padded, width)
-        step = max(1, WINDOW_VALUES // width)
-        for start in range(0, n, step):
-            w = view[start : start + step]
-            m = np.nanmedian(w, axis=1) if start < h or start + step > n - h else np.median(w, axis=1)
-            d = np.abs(w - m[:, None])
-            med[start : start + step] = m
-            mad[start : start + step] = np.nanmedian(d, axis=1) if start < h or start + step > n - h else np.median(d, axis=1)
+        at = np.arange(n)
+        count = np.minimum(at + h, n - 1) - np.maximum(at - h, 0) + 1  # what lies beyond the ends sorts last
+        for start in range(0, n, max(1, WINDOW_VALUES // width)):
+            w = view[start : start + max(1, WINDOW_VALUES // width)]
+            c = count[start : start + len(w)]
+            med[start : start + len(w)] = m = _middle(w, c)
+            mad[start : start + len(w)] = _middle(np.abs(w - m[:, None]), c)
         return med, mad
     values = g.tolist()
     held = sorted(values[:h])
@@ -236,6 +236,12 @@ def rolling_median_mad(g: np.ndarray, h: int) -> tuple[np.ndarray, np.ndarray]:
     return med, mad
 
 
+def _middle(w: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Median of the ``count`` smallest of each row."""
+    s, row = np.sort(w, axis=1), np.arange(len(w))
+    return (s[row, (count - 1) // 2] + s[row, count // 2]) / 2
+
+
 def _distance(held: list[float], m: float, rank: int) -> float:
     """The distance from ``m`` of given rank (from 0) among a sorted list, by halving over its two sides."""
     split = bisect_left(held, m)
