@@ -10,10 +10,12 @@ Training counts are taken over all training texts: a task sends one row per dist
 them whatever the corpus, and so the broadcast of the trie has a proven bound. A task turns the trie into log
 probabilities for whole rows of 257 symbols, so a text is scored by one lookup per byte.
 
-Counts of contexts of three symbols and more grow with the corpus and are never broadcast: parts of the corpus hand in
-their distinct strings and get back what followed their own contexts anywhere in training, as with words below. A
-longer context's symbols are all known to the shorter ones, so exclusion takes one sum for each context, and only the strings
-of a block are given probabilities.
+Counts of longer contexts grow with the corpus and are never broadcast. Parts of the corpus hand in their distinct
+longest strings (a context of ``order`` symbols and what followed), which meet once by string and once by bucket of their last
+three context symbols: all longer contexts of a string then lie in one bucket, so shorter counts are sums of the longest
+ones' and the bucket gives every string its probability. A part gets back one number for each of its own strings. A
+bucket holds distinct strings, at most 257**3 for one such three symbols whatever the corpus. A longer context's
+symbols are all known to the shorter ones, so exclusion takes one sum for each context.
 
 The base score is an add-one word model. Word counts meet by a shuffle of one row per distinct word and part of
 the corpus, never per word: parts of the corpus hand in their distinct words and get back the counts of exactly those.
@@ -39,8 +41,10 @@ from spectraloom.llm.textblock import TextBlock, blocks
 
 SYMBOLS, END = 257, 256
 ORDER = 5
-PART_BYTES = 24_000_000
+PART_BYTES, HELD, BUCKETS = 24_000_000, 3_000_000, 8
 _END_TOKEN = np.int64(-0x5EED5EED5EED5EE)
+#: What a row sent to a part tells: a word's count, the corpus's tokens and distinct ones, a string's log probability.
+_WORD, _SIZES, _STRING = 0, 1, 2
 
 
 def _symbols(b: TextBlock) -> tuple[np.ndarray, np.ndarray]:
@@ -142,17 +146,14 @@ class Trie:
 class DeepTrie:
     """Counts by context of 0 to ``order`` symbols, as sorted strings; log10 probabilities of single strings.
 
-    ``gram`` and ``n`` are all trigram counts; ``code`` and ``c`` those of longer strings, all that followed a context or nothing.
+    ``gram`` and ``n`` are all trigram counts; ``string`` and ``c`` those of all longest strings of some last three context symbols.
     """
 
-    def __init__(self, gram: np.ndarray, n: np.ndarray, code: np.ndarray, c: np.ndarray, order: int):
-        level, string = code // SYMBOLS ** (order + 1), code % SYMBOLS ** (order + 1)
+    def __init__(self, gram: np.ndarray, n: np.ndarray, string: np.ndarray, c: np.ndarray, order: int):
         self.order, self.levels, shorter = order, [], None
+        string, c = string[c > 0], c[c > 0]
         for k in range(order + 1):
-            if k <= 2:
-                g, count = _summed([gram % SYMBOLS ** (k + 1)], [n])
-            else:
-                g, count = _summed([string[level == k]], [c[level == k]])
+            g, count = _summed([(gram if k <= 2 else string) % SYMBOLS ** (k + 1)], [n if k <= 2 else c])
             count = count.astype(np.float64)
             context, first = np.unique(g // SYMBOLS, return_index=True)
             total, kinds = (np.add.reduceat(count, first) if len(g) else count), np.diff(np.append(first, len(g))).astype(np.float64)
@@ -186,11 +187,12 @@ class DeepTrie:
         out[~found] -= np.log10(np.maximum(SYMBOLS - fewer[~found], 1))
         return out
 
-    def code_lengths(self, raw: list[bytes]) -> np.ndarray:
-        """Log10 probability of each text."""
-        b = TextBlock(raw, lower=True)
-        string, where = np.unique(_strings(b, self.order), return_inverse=True)
-        return np.diff(np.cumsum(self.log(string)[where])[b.last], prepend=0.0)
+
+def looked_up(string: np.ndarray, p: np.ndarray, order: int, raw: list[bytes]) -> np.ndarray:
+    """Log10 probability of each text from those of its strings, sorted."""
+    b = TextBlock(raw, lower=True)
+    own, where = np.unique(_strings(b, order), return_inverse=True)
+    return np.diff(np.cumsum(p[np.searchsorted(string, own)][where])[b.last], prepend=0.0)
 
 
 def code_lengths(at: np.ndarray, rows: np.ndarray, raw: list[bytes]) -> np.ndarray:
@@ -236,22 +238,34 @@ def _distinct_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _distinct_strings(order: int):
-    """One row per part and distinct string of 4 to order + 1 symbols of a batch: how often it stands in training texts."""
+    """One row per part and distinct string of order + 1 symbols, at most HELD of them at once: how often it stands in training texts."""
     top = SYMBOLS ** (order + 1)
 
+    def rows(names: np.ndarray, held: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+        code, n = _summed(*zip(*held))
+        key, kept = code >> 1, np.where(code & 1, n, 0)
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        return pd.DataFrame({"part": names[key[first] // top], "string": key[first] % top, "n": np.add.reduceat(kept, first)})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = []
+            names, rank = np.unique(f["part"].to_numpy(), return_inverse=True)
+            train = (~f["held_out"].to_numpy(bool)).astype(np.int64)
+            held, size = [], 0
             for at, raw in blocks(f["text"]):
                 b = TextBlock(raw, lower=True)
                 n, of = b.last - b.first + 1, slice(at, at + len(raw))
-                keep = np.repeat(~f["held_out"].to_numpy(bool)[of], n).astype(np.int64)
-                found.append(_merged(np.repeat(f["part"].to_numpy()[of], n), _strings(b, order), keep))
-            if found:
-                where, string, n = _merged(*(np.concatenate(x) for x in zip(*found)))
-                for k in range(order, 2, -1):
-                    where, string, n = _merged(where, string % SYMBOLS ** (k + 1), n)
-                    yield pd.DataFrame({"part": where, "context": string // SYMBOLS + k * top, "code": string + k * top, "n": n})
+                code = (np.repeat(rank[of].astype(np.int64) * top, n) + _strings(b, order)) * 2 + np.repeat(train[of], n)
+                held.append(np.unique(code, return_counts=True))
+                size += len(held[-1][0])
+                if size > HELD:
+                    held = [_summed(*zip(*held))]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield rows(names, held)
+                        held, size = [], 0
+            if held:
+                yield rows(names, held)
 
     return run
 
@@ -271,25 +285,40 @@ def score_texts(docs: DataFrame, parts: int | None = None, order: int = 2) -> Da
     # One shuffle of the texts serves the word lists and the scoring; one shuffle of the lists serves both counts.
     shuffles = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = rows.repartition(shuffles, "part")
-    words = rows.select("part", "held_out", "text").mapInPandas(_distinct_words, "part int, word long, n long").repartition(shuffles, "word")
-    total = words.groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0")
+    words = rows.select("part", "held_out", "text").mapInPandas(_distinct_words, "part int, word long, n long").filter("word IS NOT NULL").repartition(shuffles, "word")
+    # Every use of a list keeps all its columns, so that both read one exchange and the texts are not listed twice.
+    total = words.groupBy("word").agg(F.sum("n").alias("c"), F.max("part").alias("p")).filter("c > 0 AND p >= 0")
     size = total.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n_train"), F.count(F.lit(1)).alias("n_distinct"))
-    counts = words.select("word", "part").distinct().join(total, "word").crossJoin(F.broadcast(size)).select("part", F.lit(False).alias("deep"), "word", "c", "n_train", "n_distinct")
+    known = words.groupBy("word", "part").agg(F.max("n").alias("n")).filter("n >= 0").join(total.select("word", "c"), "word").crossJoin(F.broadcast(size))
+    own = F.struct(F.lit(_WORD).cast("byte").alias("kind"), F.col("word").alias("key"), F.col("c").cast("double").alias("value"))
+    sizes = F.struct(F.lit(_SIZES).cast("byte").alias("kind"), F.col("n_train").alias("key"), F.col("n_distinct").cast("double").alias("value"))
+    counts = known.select("part", F.explode(F.when(F.col("word") == int(_END_TOKEN), F.array(own, sizes)).otherwise(F.array(own))).alias("x")).select("part", "x.*")
     if order > 2:
-        strings = rows.select("part", "held_out", "text").mapInPandas(_distinct_strings(order), "part int, context long, code long, n long").repartition(shuffles, "context")
-        followed = strings.groupBy("context", "code").agg(F.sum("n").alias("c")).filter("c > 0")
-        counts = counts.union(strings.select("context", "part").distinct().join(followed, "context").select("part", F.lit(True), "code", "c", F.lit(0), F.lit(0)))
+        strings = rows.select("part", "held_out", "text").mapInPandas(_distinct_strings(order), "part int, string long, n long").filter("string IS NOT NULL").repartition(shuffles, "string")
+        summed = strings.groupBy("string").agg(F.sum("n").alias("c"), F.max("part").alias("p")).filter("p >= 0")
+        bucket = F.pmod(F.xxhash64(F.expr(f"string div {SYMBOLS} % {SYMBOLS**3}")), F.lit(int(parts) * BUCKETS)).alias("bucket")
+
+        def probabilities(f: pd.DataFrame) -> pd.DataFrame:
+            string = f["string"].to_numpy()
+            return pd.DataFrame({"string": string, "value": DeepTrie(*trie.value, string, f["c"].to_numpy(), order).log(string)})
+
+        scored = summed.select(bucket, "string", "c").groupBy("bucket").applyInPandas(probabilities, "string long, value double")
+        back = strings.join(scored, "string").filter("n >= 0 OR value > 0")
+        counts = counts.union(back.select("part", F.lit(_STRING).cast("byte"), "string", "value"))
 
     def score(key, text: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        deep = known["deep"].to_numpy(bool)
+        kind, keys, values = (known[c].to_numpy() for c in ("kind", "key", "value"))
         if order > 2:
-            model = DeepTrie(*trie.value, known["word"].to_numpy()[deep], known["c"].to_numpy()[deep], order).code_lengths
+            deep = np.flatnonzero(kind == _STRING)
+            deep = deep[np.argsort(keys[deep])]
+            model = partial(looked_up, keys[deep], values[deep], order)
         else:
             model = partial(code_lengths, *Trie(*trie.value).table())
-        known = known[~deep]
-        by_word = np.argsort(known["word"].to_numpy())
-        word, c = known["word"].to_numpy()[by_word], known["c"].to_numpy()[by_word].astype(np.float64)
-        n_train, distinct = (int(known["n_train"].iloc[0]), int(known["n_distinct"].iloc[0])) if len(known) else (0, 0)
+        about = np.flatnonzero(kind == _SIZES)
+        n_train, distinct = (int(keys[about[0]]), int(values[about[0]])) if len(about) else (0, 0)
+        single = np.flatnonzero(kind == _WORD)
+        single = single[np.argsort(keys[single])]
+        word, c = keys[single], values[single]
         norm = np.log10(n_train + distinct + 1.0)
         out = []
         for at, raw in blocks(text["text"]):
