@@ -41,7 +41,7 @@ from spectraloom.llm.textblock import TextBlock, blocks
 
 SYMBOLS, END = 257, 256
 ORDER = 5
-PART_BYTES, HELD, BUCKETS = 24_000_000, 3_000_000, 8
+PART_BYTES, HELD, BUCKETS, RANKS = 24_000_000, 5_000_000, 8, 15_000
 _END_TOKEN = np.int64(-0x5EED5EED5EED5EE)
 #: What a row sent to a part tells: a word's count, the corpus's tokens and distinct ones, a string's log probability.
 _WORD, _SIZES, _STRING = 0, 1, 2
@@ -221,9 +221,9 @@ def _merged(where: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
 
 
 def _distinct_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per part and distinct word of a batch: how often it stands in training texts."""
+    """One row per part and distinct word, at most HELD / 2 of them at once: how often it stands in training texts."""
+    found, size = [], 0
     for f in frames:
-        found = []
         for at, raw in blocks(f["text"]):
             key, word0 = _word_keys(raw)
             n, of = np.diff(word0), slice(at, at + len(raw))
@@ -232,40 +232,61 @@ def _distinct_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 np.concatenate((np.repeat(part, n), part)), np.concatenate((key, np.full(len(raw), _END_TOKEN))),
                 np.concatenate((np.repeat(keep, n), keep)).astype(np.int64),
             ))
-        if found:
-            where, key, n = _merged(*(np.concatenate(x) for x in zip(*found)))
-            yield pd.DataFrame({"part": where, "word": key, "n": n})
+            size += len(found[-1][0])
+            if size > HELD // 2:
+                found = [_merged(*(np.concatenate(x) for x in zip(*found)))]
+                size = len(found[0][0])
+                if size > HELD // 4:
+                    yield pd.DataFrame(dict(zip(("part", "word", "n"), found[0])))
+                    found, size = [], 0
+    if found:
+        yield pd.DataFrame(dict(zip(("part", "word", "n"), _merged(*(np.concatenate(x) for x in zip(*found))))))
 
 
 def _distinct_strings(order: int):
     """One row per part and distinct string of order + 1 symbols, at most HELD of them at once: how often it stands in training texts."""
     top = SYMBOLS ** (order + 1)
 
-    def rows(names: np.ndarray, held: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
-        code, n = _summed(*zip(*held))
+    def rows(names: np.ndarray, code: np.ndarray, n: np.ndarray) -> pd.DataFrame:
         key, kept = code >> 1, np.where(code & 1, n, 0)
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         return pd.DataFrame({"part": names[key[first] // top], "string": key[first] % top, "n": np.add.reduceat(kept, first)})
 
+    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        code, n = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(code)
+        code, n = code[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        return code[first], np.add.reduceat(n, first)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, held, size = np.empty(0, np.int64), [], 0
         for f in frames:
-            names, rank = np.unique(f["part"].to_numpy(), return_inverse=True)
+            part = f["part"].to_numpy(np.int64)
+            new = np.setdiff1d(part, names)
+            if held and len(names) + len(new) > RANKS:
+                yield rows(names, *merged(held))
+                names, held, size = np.empty(0, np.int64), [], 0
+                new = np.unique(part)
+            names = np.concatenate((names, new))
+            by_name = np.argsort(names)
+            rank = by_name[np.searchsorted(names[by_name], part)]
             train = (~f["held_out"].to_numpy(bool)).astype(np.int64)
-            held, size = [], 0
             for at, raw in blocks(f["text"]):
                 b = TextBlock(raw, lower=True)
                 n, of = b.last - b.first + 1, slice(at, at + len(raw))
-                code = (np.repeat(rank[of].astype(np.int64) * top, n) + _strings(b, order)) * 2 + np.repeat(train[of], n)
-                held.append(np.unique(code, return_counts=True))
-                size += len(held[-1][0])
+                code = (np.repeat(rank[of] * top, n) + _strings(b, order)) * 2 + np.repeat(train[of], n)
+                code, n = np.unique(code, return_counts=True)
+                held.append((code, n.astype(np.int32)))
+                size += len(code)
                 if size > HELD:
-                    held = [_summed(*zip(*held))]
+                    held = [merged(held)]
                     size = len(held[0][0])
-                    if size > HELD // 2:
-                        yield rows(names, held)
+                    if size > HELD * 4 // 5:
+                        yield rows(names, *held[0])
                         held, size = [], 0
-            if held:
-                yield rows(names, held)
+        if held:
+            yield rows(names, *merged(held))
 
     return run
 
