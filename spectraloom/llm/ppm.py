@@ -41,7 +41,7 @@ from spectraloom.llm.textblock import TextBlock, blocks
 
 SYMBOLS, END = 257, 256
 ORDER = 5
-PART_BYTES, HELD, BUCKETS, RANKS = 24_000_000, 5_000_000, 8, 15_000
+PART_BYTES, HELD, BUCKETS, RANKS = 24_000_000, 3_000_000, 8, 15_000
 _END_TOKEN = np.int64(-0x5EED5EED5EED5EE)
 #: What a row sent to a part tells: a word's count, the corpus's tokens and distinct ones, a string's log probability.
 _WORD, _SIZES, _STRING = 0, 1, 2
@@ -82,7 +82,7 @@ def trigrams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             keys.append(key)
             counts.append(n)
             held += len(key)
-            if held > 4_000_000:
+            if held > 500_000:
                 keys, counts = (lambda k, n: ([k], [n]))(*_summed(keys, counts))
                 held = len(keys[0])
     if keys:
