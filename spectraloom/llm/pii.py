@@ -212,8 +212,8 @@ def find(docs: DataFrame) -> DataFrame:
 
 def mask(docs: DataFrame) -> DataFrame:
     """The rows and columns of ``docs`` with every span replaced by its kind in brackets; overlapping spans become one."""
-    keep = [f"`{c}`" for c in docs.columns]
-    found = candidates(docs, *keep)
+    keep = ["text" if c == "text" else f"_c{i}" for i, c in enumerate(docs.columns)]  # no column clashes with one of the work
+    found = candidates(docs.toDF(*keep), *keep)
     rows = _spans(found, train(vote_patterns(found.select("base", "loose"))), *keep)
     text, names = F.coalesce(F.col("text"), F.lit("")), F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
@@ -227,7 +227,7 @@ def mask(docs: DataFrame) -> DataFrame:
 
     by_start = F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
     new = F.when(F.size("spans") == 0, F.col("text")).otherwise(redact(by_start))
-    return rows.select(*[new.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return rows.select(*[(new if own == "text" else F.col(own)).alias(c) for own, c in zip(keep, docs.columns)])
 
 
 def report(docs: DataFrame) -> DataFrame:

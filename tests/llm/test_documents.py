@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from compare import compare, connect
+from pyspark.sql import functions as F
 
 from spectraloom.llm import line_dedup, near_dup, packing, pii, ppm, quality_model, queries, rules
 from conftest_llm import LOW, SF, words
@@ -373,3 +374,19 @@ def test_empty_tables(spark):
     for name in ("near_dup.near_duplicates", "line_dedup.report", "packing.sequences", "rules.judge", "pii.report"):
         module, fn = name.split(".")
         assert getattr(globals()[module], fn)(empty).count() == 0, name
+
+
+def test_columns_named_like_those_of_the_work(spark):
+    """Masking and the pipeline's stages keep columns whose names the operators use themselves, with their values."""
+    import corpus_pipeline
+
+    names = ["score", "predicted", "base", "spans", "loose", "_t", "_drop", "_doc", "_dropped", "_links", "_lines", "_sources", "_out", "a.b"]
+    made = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 40").select("*", *[F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names])
+    made = made.withColumn("text", F.concat("text", F.lit("\nwrite to jo@example.org")))
+    want = {r.doc_id: tuple(r)[-len(names):] for r in made.collect()}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, made, SF)
+        assert out.columns == made.columns, name
+        got = out.collect()
+        assert got and all(tuple(r)[-len(names):] == want[r.doc_id] for r in got), name
+        assert name != "pii" or all("[EMAIL]" in r.text and "jo@" not in r.text for r in got)
