@@ -13,13 +13,16 @@ chance of fewer is below 1e-8; sets of at most K shingles are retained whole, so
 * Links make components, and only pairs of different components are ever formed. In each of ``ROUNDS`` first rounds a
   class is held against one other: every list proposes a centre (first the class whose values are the most
   frequent, as an original among its copies; then one drawn by hash), and the centre that the most of its lists
-  propose is filtered and confirmed. Then all pairs of one list that are still in different components are
-  formed, filtered by sizes and number of shared sketch values, and confirmed. Large groups of near copies are one component by then and do
-  not become all pairs, and no link between components is lost.
+  propose is filtered and confirmed. A list that still holds several components then compares all its members with its
+  most frequent one, C, on full sets; two members similar enough that are not both linked with C must agree in where they differ from
+  it, so they meet only through the first values of their differences (``_by_differences``). Large groups, of copies
+  that are alike or too unlike to be linked, do not become all pairs, and no link between components is lost.
+* Candidates are filtered by sizes and by the estimate from the union's sketch: less than ``SHARED`` of K values in both
+  (0.75 less a margin of 0.375) has a chance below 1e-8 at a similarity of 0.75.
 * Confirmation counts common shingles of the full sets.
 
-Defined cases: rows without doc_id go; null text is empty; repeated rows give one row each; an empty table
-gives an empty result; other columns are ignored.
+Defined cases: rows without doc_id go; null text is empty; repeated rows give one row each; rows of one doc_id with
+different texts are one document, linked through any of them; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -95,27 +98,71 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) that the sizes and the number of shared sketch values allow."""
+    """Pairs (a, b) that the sizes and the estimate from the union's sketch allow.
+
+    The K smallest values of two sketches' union are the sketch of the sets' union; the share of them that lie in both
+    estimates the similarity. It is exact where the union has no more than K values.
+    """
     left = reps.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
     right = reps.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
     return (
         pairs.join(left, "a").join(right, "b")
         .filter("100 * least(na, nb) >= 75 * greatest(na, nb)")
-        .withColumn("both", F.array_intersect("sa", "sb"))
-        .filter((F.size("both") >= SHARED) | (F.least("na", "nb") <= K))
-        .filter("na > %d OR nb > %d OR 100 * size(both) >= 75 * (na + nb - size(both))" % (K, K))
-        .select("a", "b", "na", "nb")
+        .withColumn("every", F.array_sort(F.array_union("sa", "sb")))
+        .withColumn("of", F.least(F.size("every"), F.lit(K)))
+        .withColumn("both", F.size(F.array_intersect(F.array_intersect("sa", "sb"), F.slice("every", 1, K))))
+        .filter(F.when((F.col("na") <= K) & (F.col("nb") <= K) & (F.size("every") <= K), F.expr("100 * both >= 75 * of")).otherwise(F.expr(f"both >= {SHARED}")))
+        .select("a", "b", "na", "nb").distinct()
     )
 
 
+def _both(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) with their full sets ga and gb; a doc_id with several texts gives a row for each."""
+    pairs = cut(pairs.select("a", "b"))
+    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    full = only_keys(documents(docs), need, "doc_id").mapInPandas(_full, "doc_id long, grams array<long>")
+    full = full.groupBy("doc_id").agg(F.collect_set("grams").alias("sets")).select("doc_id", F.explode("sets").alias("grams"))
+    return pairs.join(full.withColumnsRenamed({"doc_id": "a", "grams": "ga"}), "a").join(full.withColumnsRenamed({"doc_id": "b", "grams": "gb"}), "b")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs whose full sets have the similarity asked for."""
-    pairs = cut(pairs.select("a", "b", "na", "nb"))
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    full = only_keys(documents(docs), need, "doc_id").mapInPandas(_full, "doc_id long, grams array<long>").dropDuplicates(["doc_id"])
-    both = pairs.join(full.withColumnsRenamed({"doc_id": "a", "grams": "ga"}), "a").join(full.withColumnsRenamed({"doc_id": "b", "grams": "gb"}), "b")
-    same = F.size(F.array_intersect("ga", "gb"))
-    return both.withColumn("same", same).filter("100 * same >= 75 * (na + nb - same)").select("a", "b")
+    both = _both(pairs, docs).withColumn("same", F.size(F.array_intersect("ga", "gb")))
+    return both.filter("100 * same >= 75 * (size(ga) + size(gb) - same)").select("a", "b").distinct()
+
+
+def _apart(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b, tag, link, n, diff): the values by which b's set of n shingles and that of its centre a differ; tag names both sets."""
+    sides = _both(pairs, docs).select("a", "b", F.xxhash64("ga", "gb").alias("tag"), F.size("ga").alias("na"), F.size("gb").alias("n"), F.array_except("gb", "ga").alias("own"), F.array_except("ga", "gb").alias("lost"))
+    link = F.expr("100 * (n - size(own)) >= 75 * (na + size(own))")
+    return cut(sides.select("a", "b", "tag", link.alias("link"), "n", F.concat("own", "lost").alias("diff")))
+
+
+def _by_differences(apart: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one centre and different components whose differences from it may agree enough.
+
+    Let A and B have a similarity of 0.75 or more and differ from C in p and q values. A and B differ in no more than a
+    quarter of their union, which holds no more than 4 / 7 of |A| + |B|, so their differences share at least
+    (7p + 7q - |A| - |B|) / 14 values, and one at least if not both are linked with C. In any one order of values the
+    first shared one stands, in each difference, no later than its size less so many. So for p <= q it is among the first
+    |A| / 6 + 1 of A's and the first |B| / 3 + 1 of B's. The order is by rarity among the centre's members; values
+    of one member come first and are only counted.
+    """
+    placed = apart.join(labels.select(F.col("node").alias("b"), "comp"), "b", "left").withColumn("comp", F.coalesce("comp", "b"))
+    mixed = placed.groupBy("a").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("a")
+    placed = cut(placed.join(mixed, "a").select(F.col("a").alias("c"), F.col("b").alias("doc_id"), "tag", "comp", "n", F.size("diff").alias("m"), "diff"))
+    values = placed.withColumn("v", F.explode("diff")).drop("diff")
+    seen = values.groupBy("c", "v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    own = Window.partitionBy("c", "doc_id", "tag")
+    ranked = values.join(seen, ["c", "v"]).withColumn("pos", F.col("m") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("df", "v")) - 1)
+    rows = cut(ranked.filter("3 * pos <= n").drop("df"))
+    x, y = rows.filter("6 * pos <= n").alias("x"), rows.alias("y")
+    near = (
+        "x.c = y.c AND x.v = y.v AND x.comp <> y.comp AND (x.m < y.m OR x.m = y.m AND x.doc_id < y.doc_id)"
+        " AND 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n) AND 7 * (y.m - x.m) <= x.n + y.n"
+        " AND 14 * x.pos <= 7 * (x.m - y.m) + x.n + y.n AND 14 * y.pos <= 7 * (y.m - x.m) + x.n + y.n"
+    )
+    return x.join(y, F.expr(near)).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
 def _placed(lists: DataFrame, labels: DataFrame) -> DataFrame:
@@ -125,32 +172,43 @@ def _placed(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return cut(placed.join(mixed, "v"))
 
 
+def _centres(placed: DataFrame, order: Column) -> DataFrame:
+    return placed.groupBy("v").agg(F.max_by("doc_id", order).alias("a"), F.max_by("comp", order).alias("ca"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach), kept."""
     base = cut(sketches(docs))
-    classes = base.filter("n_shingles > 0").groupBy("ka", "kb", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = cut(base.filter("n_shingles > 0").join(classes.select("ka", "kb", "n_shingles", F.col("rep").alias("doc_id")), ["ka", "kb", "n_shingles", "doc_id"]).dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sketch"))
-    rows = reps.select("doc_id", "n_shingles", F.explode("sketch").alias("v"))
+    own_set = ["ka", "kb", "n_shingles"]
+    some = base.filter("n_shingles > 0")
+    classes = some.groupBy(*own_set).agg(F.min("doc_id").alias("rep"))
+    reps = cut(some.join(classes.select(*own_set, F.col("rep").alias("doc_id")), [*own_set, "doc_id"]).dropDuplicates(["doc_id", "ka", "kb"]).select("doc_id", "ka", "kb", "n_shingles", "sketch"))
+    # A doc_id with several texts is one document: it links the classes of all of them.
+    ids = some.join(classes, own_set).groupBy("doc_id").agg(F.collect_set("rep").alias("reps"))
+    links = cut(ids.select(F.col("doc_id").alias("a"), F.explode("reps").alias("b"), F.size("reps").alias("n")).filter("n > 1 AND a <> b").select("a", "b"))
+
+    own = Window.partitionBy("doc_id", "ka", "kb")
+    rows = reps.select("doc_id", "ka", "kb", "n_shingles", F.explode("sketch").alias("v"))
     seen = rows.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     spare = F.when(F.col("n_shingles") > K, SHARED - 1).otherwise(F.least(F.ceil(F.col("n_shingles") * 75 / 100), F.lit(MIXED)) - 1)
-    own = Window.partitionBy("doc_id")
     rank = F.row_number().over(own.orderBy(F.desc("df"), "v"))
     lists = rows.join(seen, "v").withColumn("weight", F.sum("df").over(own)).withColumn("rank", rank)
-    lists = cut(lists.filter(F.col("rank") > spare).select("v", "doc_id", "n_shingles", "weight"))
+    lists = cut(lists.filter(F.col("rank") > spare).select("v", "doc_id", "weight"))
 
-    placed, links = lists.withColumn("comp", F.col("doc_id")), None
+    placed = _placed(lists, components(links))
+    frequent = F.struct("weight", -F.col("doc_id"))
     for turn in range(ROUNDS):
-        order = F.struct("weight", -F.col("doc_id")) if turn == 0 else F.struct(F.xxhash64("doc_id", F.lit(turn)), -F.col("doc_id"))
-        centre = placed.groupBy("v").agg(F.max_by("doc_id", order).alias("a"), F.max_by("comp", order).alias("ca"))
-        shared = placed.join(centre, "v").filter("comp <> ca").groupBy("a", F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("lists"))
+        order = frequent if turn == 0 else F.struct(F.xxhash64("doc_id", F.lit(turn)), -F.col("doc_id"))
+        shared = placed.join(_centres(placed, order), "v").filter("comp <> ca").groupBy("a", F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("lists"))
         most = shared.groupBy("b").agg(F.max(F.struct("lists", "a")).alias("r")).select("r.a", "b")
-        found = _confirmed(_estimated(most, reps), docs)
-        links = cut(found if links is None else links.union(found))
+        links = cut(links.union(_confirmed(_estimated(most, reps), docs)))
         placed = _placed(placed.drop("comp"), components(links))
 
-    x, y = placed.alias("x"), placed.alias("y")
-    cross = x.join(y, F.expr("x.v = y.v AND x.doc_id < y.doc_id AND x.comp <> y.comp AND 100 * least(x.n_shingles, y.n_shingles) >= 75 * greatest(x.n_shingles, y.n_shingles)")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    to_centre = placed.join(_centres(placed, frequent), "v").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    apart = _apart(to_centre, docs)
+    links = cut(links.union(apart.filter("link").select("a", "b")))
+    cross = _by_differences(apart, components(links))
     comps = components(links.union(_confirmed(_estimated(cross, reps), docs)))
 
-    named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("ka", "kb", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
-    return base.join(named, ["ka", "kb", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(*own_set, F.coalesce("comp", "rep").alias("component_id"))
+    return base.join(named, own_set, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
