@@ -2,7 +2,6 @@
 
 import hashlib
 import math
-import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -88,55 +87,6 @@ def test_near_duplicate_candidates_carry_no_unused_estimate(spark):
     assert near_dup._estimated(pairs, reps).columns == ["a", "b", "na", "nb"]
 
 
-def test_near_duplicates_of_a_group_below_the_threshold(spark):
-    """Variants of one text, most too unlike it and each other to be linked; some of them have near copies of their own."""
-    draw = random.Random(5)
-    base = [f"w{i}" for i in range(160)]
-    made = [(0, " ".join(base))]
-    for k in range(1, 260):
-        copy = list(base)
-        for i in draw.sample(range(160), draw.choice([3, 8, 14, 20])):
-            copy[i] = f"x{draw.randrange(4)}"
-        if k % 5 == 0:
-            copy = copy[: draw.randrange(90, 160)]
-        made.append((k, " ".join(copy)))
-        if k % 6 == 0:
-            for i in draw.sample(range(len(copy)), draw.choice([2, 4, 6])):
-                copy[i] = f"y{draw.randrange(3)}"
-            made.append((1000 + k, " ".join(copy)))
-    got = rows(near_dup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string")))
-    _, want = jaccard_components(dict(made))
-    assert {d: r.component_id for d, r in got.items()} == want
-    assert 50 < len(set(want.values())) < len(made) - 30
-
-
-def test_near_duplicates_by_differences_lose_no_pair(spark):
-    """Every pair of similar sets that are not both linked with their centre is proposed."""
-    draw = random.Random(7)
-    centre = set(range(60))
-    family, sets = [centre], {}
-    for k in range(1, 240):
-        s = set(draw.choice(family if k % 3 else [centre]))
-        s -= set(draw.sample(sorted(s), draw.randrange(0, 14)))
-        s |= set(draw.sample(range(60, 110), draw.randrange(0, 14)))
-        family.append(s)
-        sets[k] = s
-    close = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
-    apart = spark.createDataFrame([(0, k, k, close(s, centre), len(s), sorted(s ^ centre)) for k, s in sets.items()], "a long, b long, tag long, link boolean, n int, diff array<long>")
-    labels = spark.createDataFrame([(k, 0) for k, s in sets.items() if close(s, centre)], "node long, comp long")
-    got = {(r.a, r.b) for r in near_dup._by_differences(apart, labels).collect()}
-    want = {(i, j) for i in sets for j in sets if i < j and close(sets[i], sets[j]) and not (close(sets[i], centre) and close(sets[j], centre))}
-    assert len(want) > 30 and want <= got and len(got) < len(sets) * (len(sets) - 1) / 4
-
-
-def test_near_duplicates_of_one_id_with_several_texts(spark):
-    """Rows of one doc_id are one document, linked through any of its texts."""
-    a, b, c = ([f"{p}{i}" for i in range(60)] for p in "abc")
-    made = [(5, a), (5, b), (6, a + ["one"]), (7, b + ["two"]), (3, c), (8, c), (8, b + ["three"]), (9, a + ["four"]), (9, a + ["four"])]
-    got = near_dup.near_duplicates(spark.createDataFrame([(d, " ".join(t)) for d, t in made], "doc_id long, text string")).collect()
-    assert len(got) == len(made) and {r.component_id for r in got} == {3} and sum(r.kept for r in got) == 1
-
-
 def test_line_dedup_columns_and_rows(docs, texts):
     out = line_dedup.dedup(docs)
     assert out.columns[: len(docs.columns)] == docs.columns and out.count() == docs.count()
