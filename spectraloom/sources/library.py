@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectraloom.operators.resample import interp_templates
+from spectraloom.plans.scale import is_small
 
 
 def epsilon_join(
@@ -15,7 +16,8 @@ def epsilon_join(
 
     The right side falls into classes by the size of its tolerance, each with buckets at least twice as wide, so a row
     is copied into two buckets at most; the left side looks into the bucket of every class (a few, their number
-    grows with the logarithm of the values). The rest is an equi-join.
+    grows with the logarithm of the values). The rest is an equi-join, in which only a right side counted as small is
+    broadcast: the size of a file says little of the size of its rows.
     """
     for i, (a, b) in enumerate(pairs):
         reach = tol + rtol * F.abs(b)
@@ -25,7 +27,7 @@ def epsilon_join(
         top = right.agg(F.max(f"_c{i}")).first()[0] or 0
         left = left.withColumn(f"_c{i}", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn(f"_b{i}", F.floor(F.col(a) / width))
     cols = [f"_{x}{i}" for i in range(len(pairs)) for x in "cb"]
-    out = left.join(right, cols)
+    out = left.join(F.broadcast(right) if is_small(right) else right.hint("merge"), cols)
     for a, b in pairs:
         out = out.filter(F.abs(F.col(a) - F.col(b)) <= tol + rtol * F.abs(b))
     return out.drop(*cols)
