@@ -21,11 +21,11 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from spectraloom.llm.tables import documents
@@ -33,6 +33,7 @@ from spectraloom.llm.textblock import TextBlock, blocks, mix
 
 MARK, BEST, CHUNK_BYTES = "▁", 4, 4_000_000
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+NAMES = ["doc_id", "n_pieces", "ids_crc32", "scores", "decoded_equal", "ids", "changes"]
 
 
 class Pieces:
@@ -245,28 +246,41 @@ def decode(ids: list[int], p: Pieces) -> str:
     return b"".join(p.bytes[i] for i in ids).decode(errors="replace")[1:]
 
 
-def segmentations(docs: DataFrame, n: int = BEST, model: str | None = None, with_ids: bool = True) -> DataFrame:
+def _lists(values: pa.Array, sizes: Iterable[int]) -> pa.ListArray:
+    """Runs of ``values`` as lists of the given sizes."""
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values)
+
+
+def _changes(changed: list[list[list[tuple[int, list[int]]]]]) -> pa.ListArray:
+    """``changed`` of ``encode``, one list of segmentations for each text."""
+    ways = [way for text in changed for way in text]
+    places = [place for way in ways for place in way]
+    ids = _lists(pa.array([i for _, own in places for i in own], pa.int32()), [len(own) for _, own in places])
+    place = pa.StructArray.from_arrays([pa.array([i for i, _ in places], pa.int32()), ids], ["segment", "ids"])
+    return _lists(_lists(place, map(len, ways)), map(len, changed))
+
+
+def segmentations(docs: DataFrame, n: int = BEST, model: str | None = None) -> DataFrame:
     """doc_id, n_pieces, ids_crc32, scores (n best, best first), decoded_equal, ids and changes of the others.
 
     ``changes``: per segmentation after the best, its differing segments (number in the text) with their ids; a
-    character without a piece stands as -1 minus its code point there. Without ``with_ids`` both are null.
+    character without a piece stands as -1 minus its code point there.
     """
     if model is None:
         import public_tokenizers
 
         model = public_tokenizers.path("piece_bpe_32k.model")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = load(model)
-        for f in frames:
-            for at, raw in blocks(f["text"], CHUNK_BYTES):
+        for b in batches:
+            for at, raw in blocks(b.column("text").to_pylist(), CHUNK_BYTES):
                 got = encode(raw, p, n)
-                own = [got["ids"][s:e] for s, e in zip(got["offset"][:-1], got["offset"][1:])]
-                yield pd.DataFrame({
-                    "doc_id": f["doc_id"].to_numpy()[at : at + len(raw)], "n_pieces": np.diff(got["offset"]), "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in own],
-                    "scores": got["scores"], "decoded_equal": got["whole"], "ids": own if with_ids else None,
-                    "changes": [[[{"segment": i, "ids": x} for i, x in way] for way in ways] for ways in got["changed"]] if with_ids else None,
-                })
+                count, ids = np.diff(got["offset"]), got["ids"].astype("<i4")
+                crc = [zlib.crc32(ids[s:e].tobytes()) for s, e in zip(got["offset"][:-1], got["offset"][1:])]
+                scores = _lists(pa.array([s for own in got["scores"] for s in own], pa.float64()), map(len, got["scores"]))
+                columns = [b.column("doc_id").slice(at, len(raw)), pa.array(count), pa.array(crc, pa.int64()), scores, pa.array(got["whole"]), _lists(pa.array(ids), count), _changes(got["changed"])]
+                yield pa.RecordBatch.from_arrays(columns, NAMES)
 
     schema = "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, decoded_equal boolean, ids array<int>, changes array<array<struct<segment: int, ids: array<int>>>>"
-    return documents(docs).mapInPandas(run, schema)
+    return documents(docs).mapInArrow(run, schema)

@@ -75,7 +75,7 @@ def op3_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_piece_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.segmentations(table(spark, sf_dir, "documents"), with_ids=False).drop("ids", "changes")
+    return pieces.segmentations(table(spark, sf_dir, "documents"))
 
 
 @query
