@@ -3,7 +3,8 @@
 The pixels of a series travel as packed blocks, one row per (object, block of positions) with the neighbours that a block's
 pixels are spread from. A round is one pass over the blocks: numpy scatters each block's template pixels over the velocity
 bins, linearises the model around the object's current state and emits the block's share of the normal equations, which
-is all that is added up or solved; nothing per pixel is ever written. Unknowns are the histogram b, the coefficients of a
+is all that is added up or solved; nothing per pixel is ever written. Where every series is one block, an object's rounds
+follow each other on its scattered pixels in one pass. Unknowns are the histogram b, the coefficients of a
 multiplicative spline continuum and the template weights, together; sum(b) = 1 and sum(w) = 1 are exact constraints of
 the joint model. Rounds are Gauss-Newton steps that are shortened until the objective falls; an object leaves the table
 when a step gains nothing any more, and says whether it converged.
@@ -67,40 +68,44 @@ class Model:
 # --- constrained solves ----------------------------------------------------------------------------
 
 
-def constrained_batch(mat: np.ndarray, rhs: np.ndarray, low: np.ndarray, sums: Sequence[slice], rounds: int = 120) -> tuple[np.ndarray, np.ndarray]:
+def constrained_batch(mat: np.ndarray, rhs: np.ndarray, low: np.ndarray, sums: Sequence[slice], rounds: int = 120, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """min z'Mz/2 - q'z with z >= low (-inf: free) and the unknowns of each slice of ``sums`` adding up to one.
 
-    Block pivoting on the active sets of a stack of problems, each round solving the bordered systems of the live ones.
+    ``start`` is a guess of the minimisers: the active sets begin with the unknowns that it has at their bounds. Block pivoting on the active sets of a stack of problems, each round solving the bordered systems of the live ones.
     Returns the minimisers and whether all conditions hold.
     """
     count, n = rhs.shape
     bound = np.isfinite(low)
     floor = np.where(bound, low, 0.0)
     scale = np.sqrt(np.maximum(np.einsum("ijj->ij", mat), 1e-300))
-    m = mat / scale[:, :, None] / scale[:, None, :] + 1e-12 * np.eye(n)
+    m = mat / scale[:, :, None]
+    m /= scale[:, None, :]
+    m[:, np.arange(n), np.arange(n)] += 1e-12
     q = (rhs - np.einsum("bij,j->bi", mat, floor)) / scale
     k = len(sums)
     rows = np.zeros((k, n))
     for i, s in enumerate(sums):
         rows[i, s] = 1.0
     total = 1.0 - rows @ floor
-    free, out, solved = np.ones((count, n), bool), np.zeros((count, n)), np.zeros(count, bool)
+    free = np.ones((count, n), bool) if start is None else ~bound | (start > low)
+    out, solved = np.zeros((count, n)), np.zeros(count, bool)
     best, patience, live = np.full(count, n + 1), np.full(count, 3), np.arange(count)
     at = np.arange(n)
     for _ in range(rounds):
         if not len(live):
             break
-        f, c = free[live], q[live]
+        f, c, now = free[live], q[live], m if len(live) == count else m[live]
         e = rows[None] / scale[live][:, None, :]
-        a = np.zeros((len(live), n + k, n + k))
-        a[:, :n, :n] = np.where(f[:, :, None] & f[:, None, :], m[live], 0.0)
+        a = np.zeros((len(live), n + k, n + k)) if k else np.empty(now.shape)
+        np.multiply(now, f[:, :, None] & f[:, None, :], out=a[:, :n, :n])
         a[:, at, at] += ~f
-        a[:, n:, :n] = np.where(f[:, None, :], e, 0.0)
-        a[:, :n, n:] = np.swapaxes(a[:, n:, :n], 1, 2)
+        if k:
+            a[:, n:, :n] = np.where(f[:, None, :], e, 0.0)
+            a[:, :n, n:] = np.swapaxes(a[:, n:, :n], 1, 2)
         right = np.concatenate([np.where(f, c, 0.0), np.broadcast_to(total, (len(live), k))], axis=1)
         y = np.linalg.solve(a, right[..., None])[..., 0]
         z, price = y[:, :n], y[:, n:]
-        slope = np.einsum("bij,bj->bi", m[live], z) - c + np.einsum("bki,bk->bi", e, price)
+        slope = (now @ z[..., None])[..., 0] - c + np.einsum("bki,bk->bi", e, price)
         tol = 1e-11 * np.maximum(np.maximum(np.abs(z).max(1, keepdims=True), np.abs(c).max(1, keepdims=True)), 1e-300)
         bad = bound & np.where(f, z < -tol, slope < -tol)
         out[live] = z
@@ -171,7 +176,9 @@ def spline_basis(x: np.ndarray, lo: float, hi: float, interior: int, degree: int
         out[:, 0] = 1.0
         return out
     at = np.clip(np.floor((x - lo) / (hi - lo) * k).astype(np.int64), 0, k - 1)
-    knot = lambda j: lo + (hi - lo) / k * np.clip(at + j, 0, k)
+    knots = lo + (hi - lo) / k * np.clip(np.arange(-degree, k + degree), 0, k)
+    near = {j: knots[at + (j + degree)] for j in range(-degree, degree + 1)}
+    knot = near.__getitem__
     local = [np.ones(len(x))]
     for p in range(1, degree + 1):
         old, local = local, []
@@ -284,7 +291,8 @@ STATE = (
 STATE_NAMES = [c.split()[0] for c in STATE.split(", ")]
 FIT = "struct<lam: double, z: array<double>, chi2: double, smooth: double, solved: boolean>"
 ROUND = f"{STATE}, done boolean, converged boolean, residual double, ngood long, fits array<{FIT}>"
-PASS_ROWS = 128
+#: Objects solved together, numbers in their matrices, and numbers in the scattered templates held for them.
+PASS_ROWS, PASS_MATRICES, PASS_VALUES = 256, 4_000_000, 8_000_000
 
 
 @dataclass(frozen=True)
@@ -313,13 +321,16 @@ def _advance(model: Model, plan: Plan, s: dict[str, np.ndarray], normals: np.nda
         rough[:, n : n + model.nc, n : n + model.nc] = (model.lam_cont / s["scale"] ** 2)[:, None, None] * (d.T @ d)
     low = np.full(total, -np.inf)
     low[:n], low[n + model.nc :] = FLOOR, 0.0
-    quad = lambda m, z: np.einsum("bi,bij,bj->b", z, m, z)
+    quad = lambda m, z: np.einsum("bi,bi->b", z, (m @ z[..., None])[..., 0])
     smooth = lambda z, rows=slice(None): quad(pen[rows], z[:, :n])
 
+    guess = s["cand"].copy()  # neighbouring solves mostly share their active sets
+
     def solve(rows: np.ndarray, lam: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        mat = h[rows] + rough[rows]
+        mat = h[rows] + rough[rows] if model.nc else h[rows].copy()
         mat[:, :n, :n] += lam[:, None, None] * pen[rows]
-        z, ok = constrained_batch(mat, q[rows], low, model.sums)
+        z, ok = constrained_batch(mat, q[rows], low, model.sums, start=guess[rows])
+        guess[rows] = z
         return z, ok, yy[rows] - 2 * np.einsum("bi,bi->b", q[rows], z) + quad(h[rows], z)
 
     def trial(rows: np.ndarray, lam: np.ndarray) -> dict[str, np.ndarray]:
@@ -386,14 +397,42 @@ def _read_state(b: pa.RecordBatch) -> dict[str, np.ndarray]:
     return {k: v.copy() for k, v in s.items()}
 
 
+def _lists(values: np.ndarray) -> pa.ListArray:
+    """A list for each row of a matrix."""
+    count, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * width), pa.array(values.ravel()))
+
+
 def _write(out: dict, schema: pa.Schema) -> pa.RecordBatch:
     cols = []
     for f in schema:
         v = out[f.name]
-        cols.append(pa.array(v.tolist() if isinstance(v, np.ndarray) and v.ndim == 2 else v, f.type, from_pandas=f.name in ("lam", "f", "residual")))
+        cols.append(_lists(v) if isinstance(v, np.ndarray) and v.ndim == 2 else pa.array(v, f.type, from_pandas=f.name in ("lam", "f", "residual")))
     return pa.RecordBatch.from_arrays(cols, schema=schema)
 
 
+def _solve_rows(model: Model) -> int:
+    return max(16, min(PASS_ROWS, PASS_MATRICES // model.total**2))
+
+
+def _slices(big: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    for start in range(0, big.num_rows, rows):
+        yield big.slice(start, rows)
+
+
+def _pixel_slices(big: pa.RecordBatch, model: Model) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose scattered templates take bounded memory together."""
+    cells = np.diff(np.asarray(big.column("px").offsets)) * (model.n * (model.templates + 1))
+    start, held, most = 0, 0, _solve_rows(model)
+    for i, c in enumerate(cells.tolist()):
+        if i > start and (held + c > PASS_VALUES or i - start >= most):
+            yield big.slice(start, i - start)
+            start, held = i, 0
+        held += c
+    if start < big.num_rows:
+        yield big.slice(start)
+
+
 _LIST = pa.list_(pa.float64())
 _FIT_TYPE = pa.struct([("lam", pa.float64()), ("z", _LIST), ("chi2", pa.float64()), ("smooth", pa.float64()), ("solved", pa.bool_())])
 _ARROW = {"long": pa.int64(), "double": pa.float64(), "array<double>": _LIST, "int": pa.int32(), "boolean": pa.bool_()}
@@ -401,26 +440,34 @@ _ROUND_SCHEMA = pa.schema([*[(c.split()[0], _ARROW[c.split()[1]]) for c in STATE
                            ("residual", pa.float64()), ("ngood", pa.int64()), ("fits", pa.list_(_FIT_TYPE))])
 
 
-def _block_normals(model: Model, b: pa.RecordBatch) -> np.ndarray:
-    cand, x0, x1, last, number = _stack(b, "cand"), *(np.asarray(b.column(c)) for c in ("x0", "x1", "last", "_blk"))
-    return np.stack([Block(model, number[i], px, x0[i], x1[i], last[i]).normals(cand[i]) for i, px in enumerate(_rows_of(b))])
+def _blocks_of(model: Model, b: pa.RecordBatch) -> list[Block]:
+    x0, x1, last, number = (np.asarray(b.column(c)) for c in ("x0", "x1", "last", "_blk"))
+    return [Block(model, number[i], px, x0[i], x1[i], last[i]) for i, px in enumerate(_rows_of(b))]
+
 
+def _all_rounds(model: Model, plan: Plan):
+    """Every round of objects that are one block each."""
 
-def _pass_and_step(model: Model, plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for start in range(0, big.num_rows, PASS_ROWS):
-                b = big.slice(start, PASS_ROWS)
-                yield _write(_advance(model, plan, _read_state(b), _block_normals(model, b)), _ROUND_SCHEMA)
+            for b in _pixel_slices(big, model):
+                blocks, s = _blocks_of(model, b), _read_state(b)
+                while blocks:
+                    out = _advance(model, plan, s, np.stack([block.normals(z) for block, z in zip(blocks, s["cand"])]))
+                    done, left = np.flatnonzero(out["done"]), np.flatnonzero(~out["done"])
+                    if len(done):
+                        yield _write({k: [v[i] for i in done] if isinstance(v, list) else v[done] for k, v in out.items()}, _ROUND_SCHEMA)
+                    blocks, s = [blocks[i] for i in left], {k: out[k][left] for k in STATE_NAMES}
 
     return run
 
 
 def _pass(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column("object_id"), pa.array(_block_normals(model, b).tolist(), _LIST)], ["object_id", "_s"])
+        for big in batches:
+            for b in _pixel_slices(big, model):
+                sums = np.stack([block.normals(z) for block, z in zip(_blocks_of(model, b), _stack(b, "cand"))])
+                yield pa.RecordBatch.from_arrays([b.column("object_id"), _lists(sums)], ["object_id", "_s"])
 
     return run
 
@@ -428,8 +475,7 @@ def _pass(model: Model):
 def _step(model: Model, plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for start in range(0, big.num_rows, PASS_ROWS):
-                b = big.slice(start, PASS_ROWS)
+            for b in _slices(big, _solve_rows(model)):
                 yield _write(_advance(model, plan, _read_state(b), _stack(b, "_s")), _ROUND_SCHEMA)
 
     return run
@@ -477,15 +523,12 @@ def solve_rounds(blocks: DataFrame, state: DataFrame, model: Model, plan: Plan)
     ``object_id, lam, b, coef, weights, z, chi2, smooth, ngood, sum_b, converged, residual, rounds, reached, expansions, sane, trials``.
     """
     finished, live = None, cut(state)
-    for _ in range(plan.rounds + 1):
-        if model.single:
-            joined = with_blocks(blocks, live, model).select("_blk", "px", *STATE_NAMES)
-            out = joined.mapInArrow(_pass_and_step(model, plan), ROUND)
-        else:
-            parts = with_blocks(blocks, live, model).select(*OBJ, "_blk", "px", "cand", "x0", "x1", "last").mapInArrow(_pass(model), "object_id long, _s array<double>")
-            summed = spread(add_arrays(parts, OBJ), *OBJ).join(spread(live, *OBJ), OBJ)
-            out = summed.select(*STATE_NAMES, "_s").mapInArrow(_step(model, plan), ROUND)
-        out = cut(out)
+    if model.single:
+        finished = cut(with_blocks(blocks, live, model).select("_blk", "px", *STATE_NAMES).mapInArrow(_all_rounds(model, plan), ROUND))
+    for _ in range(0 if model.single else plan.rounds + 1):
+        parts = with_blocks(blocks, live, model).select(*OBJ, "_blk", "px", "cand", "x0", "x1", "last").mapInArrow(_pass(model), "object_id long, _s array<double>")
+        summed = spread(add_arrays(parts, OBJ), *OBJ).join(spread(live, *OBJ), OBJ)
+        out = cut(summed.select(*STATE_NAMES, "_s").mapInArrow(_step(model, plan), ROUND))
         done = out.filter("done")
         finished = done if finished is None else finished.unionByName(done)
         live = out.filter("NOT done").select(*STATE_NAMES)
@@ -536,7 +579,7 @@ def _replicate_pass(model: Model):
                 y = np.where(w > 0, y - flux, 0.0) + np.where(w > 0, j @ z[i], 0.0)
                 jw = np.where(w[:, None] > 0, j * w[:, None], 0.0)
                 out = np.concatenate([(jw.T @ j).ravel(), (y @ jw).ravel(), (y * y) @ w])
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (b.column("object_id")[i].as_py(), int(reps[0]), len(reps))] + [pa.array([out.tolist()], _LIST)], ["object_id", "first", "count", "_s"])
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (b.column("object_id")[i].as_py(), int(reps[0]), len(reps))] + [_lists(out[None])], ["object_id", "first", "count", "_s"])
 
     return run
 
@@ -559,7 +602,7 @@ def _replicate_solve(model: Model):
                     mat[n : n + model.nc, n : n + model.nc] += model.lam_cont / scale[i] ** 2 * (d.T @ d)
                 z, ok = constrained_batch(np.broadcast_to(mat, (count, t, t)), packed[t * t : t * t + count * t].reshape(count, t), low, model.sums)
                 ids = np.full(count, b.column("object_id")[i].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.arange(first, first + count)), pa.array(z[:, :n].tolist(), _LIST), pa.array(ok)], ["object_id", "rep", "b", "converged"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.arange(first, first + count)), _lists(np.ascontiguousarray(z[:, :n])), pa.array(ok)], ["object_id", "rep", "b", "converged"])
 
     return run
 
@@ -623,9 +666,7 @@ def _optimality(model: Model):
     n, t = model.n, model.total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows == 0:
-                continue
+        for b in (part for big in batches for part in _slices(big, _solve_rows(model))):
             h, q, z = _stack(b, "_gram").reshape(-1, t, t), _stack(b, "_rhs"), _stack(b, "z")
             lam, s0, vc, scale = (np.asarray(b.column(c), float) for c in ("lam", "sigma0", "centre", "scale"))
             slope = np.einsum("bij,bj->bi", h, z) - q

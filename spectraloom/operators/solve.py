@@ -129,7 +129,7 @@ def penalty_batch(v: np.ndarray, sigma0: np.ndarray, centre: np.ndarray, step: f
     d2 = np.diag(np.full(n, -2.0)) + np.diag(np.ones(n - 1), 1) + np.diag(np.ones(n - 1), -1)
     d = np.abs(v[None, :] - centre[:, None]) / sigma0[:, None]
     taper = np.where(d > core, (d / core) ** 4, 1.0)
-    return np.einsum("ji,bj,jk->bik", d2, taper, d2) / step**3
+    return ((d2.T[None] * taper[:, None, :]) @ d2) / step**3
 
 
 # --- histograms ---------------------------------------------------------------------------------
@@ -292,11 +292,12 @@ def asymmetric_baseline(
 # --- influence and library reduction ------------------------------------------------------------------
 
 
+INFLUENCE_ROWS = 256
+
+
 def _influence_batches(n: int, step: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows == 0:
-                continue
+        for b in (big.slice(start, INFLUENCE_ROWS) for big in batches for start in range(0, big.num_rows, INFLUENCE_ROWS)):
             g = _matrix(b, "_gram", n * n).reshape(-1, n, n)
             lam, s0 = np.asarray(b.column("lam"), float), np.asarray(b.column("sigma0"), float)
             v = np.linspace(float(b.column("v_lo")[0].as_py()), float(b.column("v_hi")[0].as_py()), n)

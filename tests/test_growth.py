@@ -1,8 +1,11 @@
 """Plans whose cost must not grow faster than their input."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from spectraloom.operators import recovery, solve
+from spectraloom.plans.scale import cut
 from spectraloom.sources import library
 
 
@@ -31,3 +34,44 @@ def test_neither_side_of_a_large_epsilon_join_is_broadcast(spark, split_plans, t
     got = library.epsilon_join(lib, lib.toDF("n2", "o2", "a2", "m2"), [("age", "a2"), ("metal", "m2")])
     assert "BroadcastHashJoin" not in plan_of(got)
     assert got.count() == sum(1 for i in range(500) for j in range(500) if i % 50 == j % 50 and i % 7 == j % 7)
+
+
+def _spectra(spark, objects=3, pixels=64):
+    x = (8470 + 1.5 * F.col("pix")).alias("x")
+    dip = 1 - 0.5 * F.exp(-0.5 * F.pow((x - 8500 - F.col("object_id")) / 3, F.lit(2.0)))
+    px = spark.range(objects * pixels).select(F.floor(F.col("id") / pixels).alias("object_id"), (F.col("id") % pixels).alias("pix"))
+    return px.select("object_id", "pix", x, dip.alias("g"), F.lit(0.005).alias("gerr"), F.lit(True).alias("good"), dip.alias("t"))
+
+
+def test_rounds_of_short_series_are_one_pass(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(recovery, "cut", lambda df: written.append(1) or cut(df))
+    blocks, ends, model = recovery.pack_blocks(_spectra(spark), 9, -300.0, 300.0, 1.5)
+    written.clear()
+    fits = recovery.solve_rounds(blocks, recovery.start_state(ends, model), model, recovery.Plan(grid=(1e4,))).collect()
+    assert model.single and len(written) == 2  # the state and the fits, however many rounds there were
+    assert len(fits) == 3 and max(r.rounds for r in fits) > 1 and all(r.converged for r in fits)
+
+
+def test_influence_holds_few_objects_at_a_time():
+    n, count = 5, 1000
+    lists = lambda v: pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel()))
+    one = np.ones(count)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(count)), pa.array(one), pa.array(100 * one), lists(np.tile(np.eye(n).ravel(), (count, 1))), lists(np.ones((count, n))), pa.array(-one), pa.array(one)],
+        ["object_id", "lam", "sigma0", "_gram", "b", "v_lo", "v_hi"],
+    )
+    out = list(solve._influence_batches(n, 1.0)(iter([batch])))
+    assert max(b.num_rows for b in out) <= 256 and sum(b.num_rows for b in out) == count
+
+
+def test_active_sets_started_anywhere_give_the_same_minimum():
+    rng = np.random.default_rng(1)
+    root = rng.normal(size=(20, 12, 12))
+    mat, rhs, low = root @ root.transpose(0, 2, 1) + 0.1 * np.eye(12), rng.normal(size=(20, 12)), np.full(12, 1e-6)
+    for sums in ([], [slice(0, 8)]):
+        want, ok = recovery.constrained_batch(mat, rhs, low, sums)
+        start = np.where(rng.random((20, 12)) < 0.5, 1e-6, 1.0)
+        start[:, 0] = 1.0
+        got, fine = recovery.constrained_batch(mat, rhs, low, sums, start=start)
+        assert ok.all() and fine.all() and np.allclose(got, want, atol=1e-9)
