@@ -9,7 +9,7 @@ from spectraloom.functions.columns import object_id, template_meta
 from spectraloom.functions.lines import line_rows, line_table
 from spectraloom.operators.masks import mask_regions
 from spectraloom.operators.pixels import affine_axis
-from spectraloom.plans.scale import bucketed_windows
+from spectraloom.plans.scale import bucketed_windows, is_small
 from spectraloom.sources import library as lib
 from spectraloom.sources import runlog, text
 
@@ -97,7 +97,8 @@ def ingest_regions(spark, sf):
     # Windows are copied into coordinate buckets, so pixels meet them by an equi-join.
     wins, width = bucketed_windows(reg)
     px = pixels(spark, sf).withColumn("_bkt", F.floor(F.col("x") / width))
-    hit = px.join(wins, "_bkt").filter("x BETWEEN lo AND hi").groupBy("lo", "hi").count()
+    # Few buckets hold all pixels, so a shuffle by bucket would put a bucket's pixels into one task.
+    hit = px.join(F.broadcast(wins) if is_small(reg) else wins, "_bkt").filter("x BETWEEN lo AND hi").groupBy("lo", "hi").count()
     return reg.join(hit, ["lo", "hi"], "left").select("lo", "hi", F.coalesce("count", F.lit(0).cast("long")).alias("n_inside"))
 
 
@@ -200,7 +201,7 @@ def lines_in_data(spark, sf):
     near = px.withColumn("_b", F.floor(F.col("x") / 4))
     ln = line_table(spark)
     reach = ln.withColumn("_b", F.explode(F.sequence(F.floor((F.col("centre") - 2) / 4), F.floor((F.col("centre") + 2) / 4))))
-    hit = near.join(reach, "_b").filter(F.abs(F.col("x") - F.col("centre")) <= 2).groupBy("line_id").agg(
+    hit = near.join(F.broadcast(reach), "_b").filter(F.abs(F.col("x") - F.col("centre")) <= 2).groupBy("line_id").agg(
         F.count(F.lit(1)).alias("n_pixels"), F.count_distinct("object_id").alias("n_objects")
     )
     zero = F.lit(0).cast("long")

@@ -1,14 +1,21 @@
 """Plans whose cost must not grow faster than their input."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from spectraloom.catalog import load_all
+from spectraloom.catalog.base import QUERIES
 from spectraloom.operators import recovery, solve
 from spectraloom.plans.scale import cut
 from spectraloom.sources import library
 
 
+load_all()
+
+
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -75,3 +82,10 @@ def test_active_sets_started_anywhere_give_the_same_minimum():
         start[:, 0] = 1.0
         got, fine = recovery.constrained_batch(mat, rhs, low, sums, start=start)
         assert ok.all() and fine.all() and np.allclose(got, want, atol=1e-9)
+
+
+def test_pixels_are_not_shuffled_to_the_buckets_of_few_windows(spark):
+    got = QUERIES["ingest_regions"](spark, "/root/testdata/sf0.001")
+    plan = plan_of(got)
+    assert "_bkt" in plan and not re.search(r"hashpartitioning\(_bkt", plan)
+    assert not re.search(r"hashpartitioning\(_b#", plan_of(QUERIES["line_table"](spark, "/root/testdata/sf0.001")))
