@@ -13,9 +13,11 @@ from spectraloom.operators.describe import gh_fit
 from spectraloom.operators.pixels import OBJ
 from spectraloom.operators.recovery import Model, refit_replicates
 from spectraloom.operators.solve import bins_from_packed
-from spectraloom.plans.scale import attach, cut, number_rows
+from spectraloom.plans.scale import attach, cut, number_rows, setting
 
 REP = ["object_id", "rep"]
+#: Valid pixels of a series whose draws are made inside one row.
+PACKED = ("spectraloom.packedDraws", 4_096)
 
 
 def bootstrap_draws(pix: DataFrame, n: int, block: int = 1, model: str = "model") -> DataFrame:
@@ -23,27 +25,49 @@ def bootstrap_draws(pix: DataFrame, n: int, block: int = 1, model: str = "model"
 
     Standardised residuals of the valid pixels are redrawn singly or in contiguous blocks of the
     *list of valid pixels* (a block may straddle a masked gap); masked pixels keep their data. The
-    draw is a counter hash of (object, replicate, block), so it does not depend on partitioning, and
-    residuals are fetched by an equi-join on (object, position).
+    draw is a counter hash of (object, replicate, block), so it does not depend on partitioning. A short series is packed
+    into one row that draws from itself; residuals of a long one are fetched by an equi-join on (object, position).
     """
     ok = valid_pixel(model=model)
     flagged = pix.select(*OBJ, "pix", "g", "gerr", F.col(model).alias("_m"), ok.alias("_ok"))
-    good = number_rows(flagged.filter("_ok"), OBJ, ["pix"], "_k")
-    total = good.groupBy(*OBJ).agg(F.count(F.lit(1)).alias("_n"))
-    res = good.select(*OBJ, F.col("_k").alias("_at"), ((F.col("g") - F.col("_m")) / F.col("gerr")).alias("_r"))
+    valid = flagged.filter("_ok")
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    slots = attach(good, total, OBJ).withColumn("rep", each)
-    unit = F.col("_k") if block <= 1 else F.floor(F.col("_k") / block)
-    u = lcg_uniform("object_id", "rep", unit)
+    kept = flagged.filter("NOT _ok").withColumn("rep", each).select(*REP, "pix", "g")
+    limit = setting(pix.sparkSession, PACKED)
+    total = valid.groupBy(*OBJ).agg(F.count(F.lit(1)).alias("_n"))
+    long = cut(total.filter(F.col("_n") > limit))
+    if long.isEmpty():
+        return _packed_draws(valid, n, block).unionByName(kept)
+    short = _packed_draws(valid.join(long, OBJ, "left_anti"), n, block)
+    return short.unionByName(_joined_draws(valid.join(long, OBJ, "left_semi"), long, n, block)).unionByName(kept)
+
+
+def _source(k, total, block: int):
+    """Position of the residual that the ``k``-th valid pixel of an object's replicate takes."""
+    u = lcg_uniform("object_id", "rep", k if block <= 1 else F.floor(k / block))
     if block <= 1:
-        at = F.floor(u * F.col("_n"))
-    else:
-        at = F.floor(u * F.greatest(F.col("_n") - block + 1, F.lit(1))) + F.col("_k") % block
-    drawn = slots.withColumn("_at", at.cast("long")).join(res, [*OBJ, "_at"]).select(
+        return F.floor(u * total).cast("long")
+    return (F.floor(u * F.greatest(total - block + 1, F.lit(1))) + k % block).cast("long")
+
+
+def _packed_draws(good: DataFrame, n: int, block: int) -> DataFrame:
+    """Draws of series that fit one row each: every pixel is shuffled once, whatever the number of replicates."""
+    row = F.struct(F.col("pix").alias("pix"), F.col("_m").alias("m"), F.col("gerr").alias("e"), ((F.col("g") - F.col("_m")) / F.col("gerr")).alias("r"))
+    packed = good.groupBy(*OBJ).agg(F.sort_array(F.collect_list(row)).alias("_p"))
+    slots = packed.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    slots = slots.select(*REP, "_p", F.posexplode("_p").alias("_k", "_e"))
+    at = _source(F.col("_k").cast("long"), F.size("_p"), block).cast("int")
+    return slots.select(*REP, F.col("_e.pix").alias("pix"), (F.col("_e.m") + F.col("_e.e") * F.get(F.col("_p.r"), at)).alias("g"))
+
+
+def _joined_draws(valid: DataFrame, total: DataFrame, n: int, block: int) -> DataFrame:
+    """The same for series of any length."""
+    good = number_rows(valid, OBJ, ["pix"], "_k")
+    res = good.select(*OBJ, F.col("_k").alias("_at"), ((F.col("g") - F.col("_m")) / F.col("gerr")).alias("_r"))
+    slots = attach(good, total, OBJ).withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    return slots.withColumn("_at", _source(F.col("_k"), F.col("_n"), block)).join(res, [*OBJ, "_at"]).select(
         *REP, "pix", (F.col("_m") + F.col("gerr") * F.col("_r")).alias("g")
     )
-    kept = flagged.filter("NOT _ok").withColumn("rep", each).select(*REP, "pix", "g")
-    return drawn.unionByName(kept)
 
 
 def bootstrap_losvd(packed: tuple[DataFrame, DataFrame, Model], pix: DataFrame, fits: DataFrame, n: int, block: int = 1) -> DataFrame:
