@@ -12,6 +12,7 @@ RUN_FIELDS = (
     "bias_h3 double, bias_h4 double, chi2_red double, lambda double, n_good long, n_peaks long, "
     "wall_time_s double, crashed boolean, error_message string"
 )
+FILE_ROWS = 1_000_000
 
 
 def parse_run_log(lines: DataFrame, fields: str = RUN_FIELDS) -> DataFrame:
@@ -42,8 +43,9 @@ def read_run_log(spark: SparkSession, path: str, fields: str = RUN_FIELDS) -> Da
 
 
 def append_run_log(rows: DataFrame, path: str) -> None:
-    """Append result rows; one JSON object per line, files are never rewritten."""
-    rows.write.mode("append").json(path)
+    """Append result rows; one JSON object per line, files are never rewritten. Files are compressed (field names repeat on
+    every line) and bounded in rows, as a compressed file is read by one task."""
+    rows.write.mode("append").option("maxRecordsPerFile", FILE_ROWS).json(path, compression="gzip")
 
 
 def export_csv(rows: DataFrame, path: str) -> None:

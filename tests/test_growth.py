@@ -1,5 +1,6 @@
 """Plans whose cost must not grow faster than their input."""
 
+import json
 import re
 
 import numpy as np
@@ -8,9 +9,9 @@ from pyspark.sql import functions as F
 
 from spectraloom.catalog import load_all
 from spectraloom.catalog.base import QUERIES
-from spectraloom.operators import recovery, solve
+from spectraloom.operators import errors, recovery, solve
 from spectraloom.plans.scale import cut
-from spectraloom.sources import library
+from spectraloom.sources import library, runlog
 
 
 load_all()
@@ -89,3 +90,31 @@ def test_pixels_are_not_shuffled_to_the_buckets_of_few_windows(spark):
     plan = plan_of(got)
     assert "_bkt" in plan and not re.search(r"hashpartitioning\(_bkt", plan)
     assert not re.search(r"hashpartitioning\(_b#", plan_of(QUERIES["line_table"](spark, "/root/testdata/sf0.001")))
+
+
+def test_draws_of_short_series_do_not_shuffle_their_replicates(spark):
+    px = _spectra(spark, 4, 40).withColumn("g", F.col("g") + 0.01 * (F.col("pix") % 7)).withColumn("model", F.lit(0.9))
+    px = px.withColumn("good", F.col("pix") % 9 != 3)
+    for block in (1, 5):
+        draws = errors.bootstrap_draws(px, 6, block)
+        assert not re.search(r"hashpartitioning\([^)]*_at#", plan_of(draws))
+        got = {(r.object_id, r.rep, r.pix): r.g for r in draws.collect()}
+        spark.conf.set("spectraloom.packedDraws", "3")
+        try:
+            want = {(r.object_id, r.rep, r.pix): r.g for r in errors.bootstrap_draws(px, 6, block).collect()}
+        finally:
+            spark.conf.unset("spectraloom.packedDraws")
+        assert len(got) == 4 * 6 * 40 and got == want
+
+
+def test_run_log_files_are_small_and_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(runlog, "FILE_ROWS", 300)
+    rows = spark.range(1000).select(F.col("id").cast("string").alias("scenario_id"), F.lit("m").alias("mode"), F.col("id").alias("seed"), F.lit(False).alias("crashed")).coalesce(1)
+    path = tmp_path / "log"
+    runlog.append_run_log(rows, str(path))
+    runlog.append_run_log(rows, str(path))
+    files = [f for f in path.iterdir() if f.name.startswith("part-")]
+    plain = sum(len(json.dumps({"scenario_id": str(i), "mode": "m", "seed": i, "crashed": False})) for i in range(1000))
+    assert len(files) == 8 and sum(f.stat().st_size for f in files) < plain
+    back = runlog.read_run_log(spark, str(path))
+    assert back.count() == 2000 and back.agg(F.sum("seed")).first()[0] == 999000
