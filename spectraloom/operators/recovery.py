@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -162,7 +163,8 @@ def pack_blocks(pix: DataFrame, n: int, vmin: float, vmax: float, step: float, j
     model = Model(n, float(vmin), float(vmax), float(step), joint, interior, lam_cont, nt, max(3, 2 * round((vmax - vmin) / step * x_hi / C_KMS)), size, last < size)
     lo, hi = F.greatest(F.floor((F.col("pix") - reach) / size), F.lit(0).cast("long")), F.floor((F.col("pix") + reach) / size)
     parts = row.withColumn("_blk", F.explode(F.sequence(lo, hi)))
-    blocks = spread(parts, *KEYS).groupBy(*KEYS).agg(F.collect_list(F.struct("pix", "x", "g", "w", "c", "t")).alias("px"))
+    numbers = F.concat(F.array(F.col("pix").cast("double"), "x", "g", "w", "c"), F.slice(F.concat("t", F.array_repeat(F.lit(0.0), nt)), 1, nt))
+    blocks = spread(parts, *KEYS).groupBy(*KEYS).agg(F.flatten(F.collect_list(numbers)).alias("px"))
     level = F.when(F.abs("_t") > 0, F.col("_g") / F.col("_t")).otherwise(F.col("_g"))
     ends = ends.select(*OBJ, "x0", "x1", "last", F.coalesce(level, F.lit(1.0)).alias("level"), F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0).alias("scale"))
     return cut(blocks), ends, model
@@ -206,75 +208,107 @@ def _fine(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (1 + v / C_KMS) / model.step, low, np.maximum(place - low, 0.0)
 
 
-class Block:
-    """One block's pixels: its own (data) and those around it (templates)."""
+class Stack:
+    """The pixels of several blocks: their own (data, one block after the other) and those around them (templates).
 
-    def __init__(self, model: Model, number: int, px: dict[str, np.ndarray], x0: float, x1: float, last: int):
-        own = np.flatnonzero(px["pix"] // model.size == number)
-        own = own[np.argsort(px["pix"][own], kind="stable")]
-        self.pix, self.x, self.g, self.weight, fixed = (px[c][own] for c in ("pix", "x", "g", "w", "c"))
-        self.model, first, m = model, number * model.size, len(own)
-        if m and (self.pix[-1] - first != m - 1 or self.pix[0] != first):
+    ``px`` has a row per pixel (position, x, g, w, c and the template values), block r those from ``at[r]`` to ``at[r + 1]``.
+    """
+
+    def __init__(self, model: Model, number: np.ndarray, px: np.ndarray, at: np.ndarray, x0: np.ndarray, x1: np.ndarray, last: np.ndarray):
+        row, position = np.repeat(np.arange(len(number)), np.diff(at)), px[:, 0].astype(np.int64)
+        own = np.flatnonzero(position // model.size == number[row])
+        own = own[np.lexsort((position[own], row[own]))]
+        self.model, self.row, self.pix = model, row[own], position[own]
+        self.x, self.g, self.weight, self.fixed = (px[own, i] for i in range(1, 5))
+        self.count = np.bincount(self.row, minlength=len(number))
+        self.start = np.cumsum(self.count) - self.count
+        first, m = number * model.size, len(own)
+        if (self.pix - first[self.row] != np.arange(m) - self.start[self.row]).any():
             raise ValueError("positions of a series are not dense")
         factor, low, share = _fine(model)
-        place = (1 - x0 / model.step) + px["x"][:, None] * factor
+        place = (1 - x0 / model.step)[row][:, None] + px[:, 1:2] * factor
         to = np.where(place >= 0, np.floor(place + 0.5), np.ceil(place - 0.5)).astype(np.int64) - 1
-        ok = (to >= first) & (to < first + m) & (to <= last)
+        ok = (to >= first[row][:, None]) & (to < (first + self.count)[row][:, None]) & (to <= last[row][:, None])
         self.a = np.zeros((model.templates, m, model.n))
         self.w = np.zeros((m, model.n))
-        base = (to - first) * model.n
+        base = (to + (self.start - first)[row][:, None]) * model.n
         high = np.minimum(low + 1, model.n - 1)
-        source = np.broadcast_to(np.arange(len(px["x"]))[:, None], to.shape)[ok]
+        source = np.broadcast_to(np.arange(len(px))[:, None], to.shape)[ok]
         for bins, part in ((low, 1 - share), (high, share)):
             flat, s = (base + bins)[ok], np.broadcast_to(part, to.shape)[ok]
             self.w += np.bincount(flat, s, m * model.n).reshape(m, model.n)
             for i in range(model.templates):
-                self.a[i] += np.bincount(flat, s * px["t"][source, i], m * model.n).reshape(m, model.n)
-        self.fixed = fixed
-        self.basis = spline_basis(self.x, x0, x1, model.interior) if model.nc else None
-
-    def at(self, z: np.ndarray, slopes: bool = True):
-        """(model, continuum, jacobian) at the unknowns ``z``."""
+                self.a[i] += np.bincount(flat, s * px[source, 5 + i], m * model.n).reshape(m, model.n)
+        self.basis = None
+        if model.nc:
+            parts = [spline_basis(self.x[s : s + c], x0[i], x1[i], model.interior) for i, (s, c) in enumerate(zip(self.start, self.count))]
+            self.basis = np.concatenate([np.zeros((0, model.nc)), *parts])
+
+    def groups(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Blocks of one length, a bounded number together: which of ``rows`` they are and their pixels, a row for each."""
+        for m in np.unique(self.count[rows]):
+            which = np.flatnonzero(self.count[rows] == m)
+            some = max(1, STACK_VALUES // max(1, m * self.model.total))
+            for i in range(0, len(which), some):
+                part = which[i : i + some]
+                yield part, self.start[rows[part]][:, None] + np.arange(m)
+
+    def at(self, z: np.ndarray, pixels: np.ndarray, slopes: bool = True):
+        """(model, continuum, jacobian) of the blocks of ``pixels`` at their unknowns, the rows of ``z``."""
         m = self.model
-        b, c, w = z[: m.n], z[m.n : m.n + m.nc], z[m.n + m.nc :]
-        a = np.tensordot(w, self.a, 1) if m.nw else self.a[0]
-        top, bottom, total = a @ b, self.w @ b, b.sum()
+        b, c, w = z[:, : m.n, None], z[:, m.n : m.n + m.nc, None], z[:, m.n + m.nc :]
+        each = [a[pixels] for a in self.a]
+        a = sum(w[:, i, None, None] * x for i, x in enumerate(each)) if m.nw else each[0]
+        under, total = self.w[pixels], b.sum(1)
+        top, bottom = (a @ b)[..., 0], (under @ b)[..., 0]
         free = bottom != 0
-        under = np.where(free, bottom, 1.0)
-        ratio = np.where(free, top / under, top)
+        safe = np.where(free, bottom, 1.0)
+        ratio = np.where(free, top / safe, top)
         flux = np.where(free, total * ratio, top)
-        cont = self.fixed * (self.basis @ c) if m.nc else self.fixed
+        fixed = self.fixed[pixels]
+        cont = fixed * (self.basis[pixels] @ c)[..., 0] if m.nc else fixed
         if not slopes:
             return flux * cont, cont, None
-        by_bin = np.where(free[:, None], ratio[:, None] + total * (a - ratio[:, None] * self.w) / under[:, None], a)
-        parts = [by_bin * cont[:, None]]
+        by_bin = np.where(free[..., None], ratio[..., None] + (total / safe)[..., None] * (a - ratio[..., None] * under), a)
+        parts = [by_bin * cont[..., None]]
         if m.nc:
-            parts.append(self.basis * (flux * self.fixed)[:, None])
+            parts.append(self.basis[pixels] * (flux * fixed)[..., None])
         if m.nw:
-            each = np.stack([np.where(free, total * (x @ b) / under, x @ b) for x in self.a], axis=1)
-            parts.append(each * cont[:, None])
-        return flux * cont, cont, np.concatenate(parts, axis=1)
-
-    def normals(self, z: np.ndarray) -> np.ndarray:
-        """This block's share of J'WJ, J'Wy, y'Wy, chi2 and the number of valid pixels, y being the data as J sees it."""
-        model, _, j = self.at(z)
-        w = np.where(np.isfinite(model), self.weight, 0.0)
-        r = np.where(w > 0, self.g - model, 0.0)
-        j = np.where(w[:, None] > 0, j, 0.0)
-        y = r + j @ z
-        jw = j * w[:, None]
-        return np.concatenate([(jw.T @ j).ravel(), y @ jw, [w @ (y * y), w @ (r * r), np.count_nonzero(w)]])
-
-
-def _rows_of(batch: pa.RecordBatch, name: str = "px") -> Iterator[dict[str, np.ndarray]]:
-    """The pixel arrays of every row, cut from the flat Arrow children."""
-    column = batch.column(name)
-    flat = column.flatten()
-    arrays = {c: np.asarray(flat.field(c)) for c in ("pix", "x", "g", "w", "c")}
-    t = np.asarray(flat.field("t").flatten(), float).reshape(len(flat), -1)
-    at = np.asarray(column.offsets) - column.offsets[0].as_py()
-    for a, b in zip(at[:-1], at[1:]):
-        yield {**{c: v[a:b] for c, v in arrays.items()}, "t": t[a:b]}
+            by_template = [(x @ b)[..., 0] for x in each]
+            parts.append(np.stack([np.where(free, total * x / safe, x) for x in by_template], axis=-1) * cont[..., None])
+        return flux * cont, cont, np.concatenate(parts, axis=-1) if len(parts) > 1 else parts[0]
+
+    def seen(self, z: np.ndarray, pixels: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(model, jacobian, weight) where pixels without a weight or a finite model count for nothing."""
+        flux, _, j = self.at(z, pixels)
+        w = np.where(np.isfinite(flux), self.weight[pixels], 0.0)
+        return np.where(w > 0, flux, 0.0), np.where(w[..., None] > 0, j, 0.0), w
+
+    def normals(self, z: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+        """Each block's share of J'WJ, J'Wy, y'Wy, chi2 and the number of valid pixels, y being the data as J sees it."""
+        rows, t = np.arange(len(self.count)) if rows is None else rows, self.model.total
+        out = np.empty((len(rows), t * t + t + 3))
+        for which, pixels in self.groups(rows):
+            flux, j, w = self.seen(z[which], pixels)
+            r = np.where(w > 0, self.g[pixels] - flux, 0.0)
+            y = r + (j @ z[which][..., None])[..., 0]
+            jw = j * w[..., None]
+            out[which, : t * t] = (np.swapaxes(jw, 1, 2) @ j).reshape(len(which), -1)
+            out[which, t * t : -3] = (y[:, None] @ jw)[:, 0]
+            out[which, -3], out[which, -2], out[which, -1] = (w * y * y).sum(1), (w * r * r).sum(1), np.count_nonzero(w, axis=1)
+        return out
+
+
+class Block(Stack):
+    """A stack of one block."""
+
+    def __init__(self, model: Model, number: int, px: dict[str, np.ndarray], x0: float, x1: float, last: int):
+        rows = np.column_stack([np.asarray(px[c], float) for c in ("pix", "x", "g", "w", "c", "t")])
+        super().__init__(model, np.array([number]), rows, np.array([0, len(rows)]), np.array([x0]), np.array([x1]), np.array([last]))
+
+    def at(self, z: np.ndarray, slopes: bool = True):
+        flux, cont, j = super().at(z[None], np.arange(len(self.pix))[None], slopes)
+        return flux[0], cont[0], None if j is None else j[0]
 
 
 def _stack(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -293,13 +327,16 @@ FIT = "struct<lam: double, z: array<double>, chi2: double, smooth: double, solve
 ROUND = f"{STATE}, done boolean, converged boolean, residual double, ngood long, fits array<{FIT}>"
 #: Objects solved together, numbers in their matrices, and numbers in the scattered templates held for them.
 PASS_ROWS, PASS_MATRICES, PASS_VALUES = 256, 4_000_000, 8_000_000
+#: Numbers in the jacobians that are held together.
+STACK_VALUES = 250_000
 
 
 @dataclass(frozen=True)
 class Plan:
-    """How strengths are chosen: a ``grid`` fitted in full around the middle one, or a search between ``lo`` and ``hi``."""
+    """How strengths are chosen: a ``grid`` fitted in full around the middle one, a search between ``lo`` and ``hi``, or each row's ``own``."""
 
     grid: tuple[float, ...] = ()
+    own: bool = False
     lo: float = 1e2
     hi: float = 1e6
     nsigma: float = 0.3
@@ -350,7 +387,9 @@ def _advance(model: Model, plan: Plan, s: dict[str, np.ndarray], normals: np.nda
     out["short"][back] += 1
     rows = np.flatnonzero(took)
     out["z"][rows], out["short"][rows] = s["cand"][rows], 0
-    if not plan.grid:
+    if plan.own:
+        pass
+    elif not plan.grid:
         look = rows[(s["round"][rows] < plan.freeze) | np.isnan(s["lam"][rows])]
         if len(look):
             found = search(lambda r, x: trial(look[r], x), len(look), ngood[look], plan.lo, plan.hi, s["v_center"][look], plan.nsigma, plan.max_peaks)
@@ -378,12 +417,12 @@ def _advance(model: Model, plan: Plan, s: dict[str, np.ndarray], normals: np.nda
     at = np.flatnonzero(out["done"])
     if len(at):
         for x in plan.grid or (None,):
-            if x is None:
+            if x is None and not plan.own:
                 z, good, c, strength = out["z"][at], ok[at], chi2[at], lam[at]
                 late = ~took[at]  # gave up on a shortened step: these normal equations belong to the candidate
                 c = np.where(late, out["f"][at] - strength * smooth(z, at) - quad(rough[at], z), c)
             else:
-                strength = np.full(len(at), float(x))
+                strength = lam[at] if plan.own else np.full(len(at), float(x))
                 z, good, c = solve(at, strength)
             p = strength * smooth(z, at)
             for i, r in enumerate(at):
@@ -422,7 +461,7 @@ def _slices(big: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
 
 def _pixel_slices(big: pa.RecordBatch, model: Model) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose scattered templates take bounded memory together."""
-    cells = np.diff(np.asarray(big.column("px").offsets)) * (model.n * (model.templates + 1))
+    cells = np.diff(np.asarray(big.column("px").offsets)) // (5 + model.templates) * (model.n * (model.templates + 1))
     start, held, most = 0, 0, _solve_rows(model)
     for i, c in enumerate(cells.tolist()):
         if i > start and (held + c > PASS_VALUES or i - start >= most):
@@ -440,9 +479,10 @@ _ROUND_SCHEMA = pa.schema([*[(c.split()[0], _ARROW[c.split()[1]]) for c in STATE
                            ("residual", pa.float64()), ("ngood", pa.int64()), ("fits", pa.list_(_FIT_TYPE))])
 
 
-def _blocks_of(model: Model, b: pa.RecordBatch) -> list[Block]:
+def _blocks_of(model: Model, b: pa.RecordBatch) -> Stack:
     x0, x1, last, number = (np.asarray(b.column(c)) for c in ("x0", "x1", "last", "_blk"))
-    return [Block(model, number[i], px, x0[i], x1[i], last[i]) for i, px in enumerate(_rows_of(b))]
+    px, at, width = b.column("px"), np.asarray(b.column("px").offsets), 5 + model.templates
+    return Stack(model, number, np.asarray(px.flatten(), float).reshape(-1, width), (at - at[0]) // width, x0, x1, last)
 
 
 def _all_rounds(model: Model, plan: Plan):
@@ -451,23 +491,23 @@ def _all_rounds(model: Model, plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for b in _pixel_slices(big, model):
-                blocks, s = _blocks_of(model, b), _read_state(b)
-                while blocks:
-                    out = _advance(model, plan, s, np.stack([block.normals(z) for block, z in zip(blocks, s["cand"])]))
+                blocks, s, live = _blocks_of(model, b), _read_state(b), np.arange(b.num_rows)
+                while len(live):
+                    out = _advance(model, plan, s, blocks.normals(s["cand"], live))
                     done, left = np.flatnonzero(out["done"]), np.flatnonzero(~out["done"])
                     if len(done):
                         yield _write({k: [v[i] for i in done] if isinstance(v, list) else v[done] for k, v in out.items()}, _ROUND_SCHEMA)
-                    blocks, s = [blocks[i] for i in left], {k: out[k][left] for k in STATE_NAMES}
+                    live, s = live[left], {k: out[k][left] for k in STATE_NAMES}
 
     return run
 
 
-def _pass(model: Model):
+def _pass(model: Model, keys: Sequence[str] = OBJ):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for b in _pixel_slices(big, model):
-                sums = np.stack([block.normals(z) for block, z in zip(_blocks_of(model, b), _stack(b, "cand"))])
-                yield pa.RecordBatch.from_arrays([b.column("object_id"), _lists(sums)], ["object_id", "_s"])
+                sums = _blocks_of(model, b).normals(_stack(b, "cand"))
+                yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], _lists(sums)], [*keys, "_s"])
 
     return run
 
@@ -540,10 +580,19 @@ def solve_rounds(blocks: DataFrame, state: DataFrame, model: Model, plan: Plan)
         *OBJ, F.col("_f.lam").alias("lam"), F.slice(z, 1, n).alias("b"), F.slice(z, n + 1, nc).alias("coef"),
         (F.slice(z, n + nc + 1, model.nw) if model.nw else F.array(F.lit(1.0))).alias("weights"), z.alias("z"), F.col("_f.chi2").alias("chi2"), F.col("_f.smooth").alias("smooth"),
         "ngood", F.aggregate(F.slice(z, 1, n), F.lit(0.0), lambda a, e: a + e).alias("sum_b"), (F.col("converged") & F.col("_f.solved")).alias("converged"), "residual",
-        F.col("round").alias("rounds"), "sigma0", "centre", *([] if plan.grid else ["reached", "expansions", "sane", "trials"]),
+        F.col("round").alias("rounds"), "sigma0", "centre", *([] if plan.grid or plan.own else ["reached", "expansions", "sane", "trials"]),
     )
 
 
+def solve_each(blocks: DataFrame, ends: DataFrame, model: Model, lambdas: Sequence[float]) -> DataFrame:
+    """A fit of its own for every (object, strength): none stands on the linear model of another strength."""
+    if model.single:
+        tuning = ends.select(*OBJ, F.explode(F.array(*[F.lit(float(x)) for x in lambdas])).alias("lam"))
+        return solve_rounds(blocks, start_state(ends, model, tuning=tuning), model, Plan(own=True))
+    fits = [solve_rounds(blocks, start_state(ends, model), model, Plan(grid=(float(x),))) for x in lambdas]
+    return reduce(DataFrame.unionByName, fits)
+
+
 def recover_losvd(pix: DataFrame, lambdas: Sequence[float], n: int = 29, vmin: float = -300.0, vmax: float = 300.0, step: float = 1.25, sigma0: float = 100.0,
                   centre: float = 0.0, tuning: DataFrame | None = None, cont: str | None = None, joint: bool = False, **sizes) -> DataFrame:
     """Histograms for all objects and all strengths at once, one packed row per (object, strength).
@@ -560,49 +609,83 @@ def recover_losvd(pix: DataFrame, lambdas: Sequence[float], n: int = 29, vmin: f
 REPLICATE_VALUES, REPLICATES = 1_000_000, 64
 
 
+def _replicate_sums(model: Model, big: pa.RecordBatch) -> Iterator[tuple]:
+    """(row, batch, first replicate, right-hand sides and y'Wy, normal matrix) of every block at its object's fit, for its run of replicates."""
+    for b in _pixel_slices(big, model):
+        z, blocks, draws = _stack(b, "z"), _blocks_of(model, b), b.column("draws")
+        flat, at = draws.flatten(), np.asarray(draws.offsets) - draws.offsets[0].as_py()
+        first = np.asarray(b.column("_blk")) * model.size
+        rep, sizes = np.asarray(flat.field("rep")), np.diff(np.asarray(flat.field("pix").offsets))
+        pix, g = np.asarray(flat.field("pix").flatten()), np.asarray(flat.field("g").flatten())
+        edge = np.append(0, np.cumsum(sizes))
+        for which, pixels in blocks.groups(np.arange(b.num_rows)):
+            flux, j, w = blocks.seen(z[which], pixels)
+            ahead, jw = (j @ z[which][..., None])[..., 0] - flux, j * w[..., None]
+            grams = np.swapaxes(jw, 1, 2) @ j
+            for k, i in enumerate(which):
+                lo, hi = at[i], at[i + 1]
+                reps, row = np.unique(rep[lo:hi], return_inverse=True)
+                y, s = np.zeros((len(reps), pixels.shape[1])), slice(edge[lo], edge[hi])
+                y[np.repeat(row, sizes[lo:hi]), pix[s] - first[i]] = g[s]
+                y = np.where(w[k] > 0, y, 0.0) + ahead[k]
+                yield i, b, int(reps[0]), y @ jw[k], (y * y) @ w[k], grams[k]
+
+
 def _replicate_pass(model: Model):
     """Normal matrix of a block at the object's fit and the right-hand sides of a run of replicates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            z, x0, x1, last, number = _stack(b, "z"), *(np.asarray(b.column(c)) for c in ("x0", "x1", "last", "_blk"))
-            draws = b.column("draws")
-            flat, at = draws.flatten(), np.asarray(draws.offsets) - draws.offsets[0].as_py()
-            rep, pix, g = (np.asarray(flat.field(c)) for c in ("rep", "pix", "g"))
-            for i, px in enumerate(_rows_of(b)):
-                block, s = Block(model, number[i], px, x0[i], x1[i], last[i]), slice(at[i], at[i + 1])
-                flux, _, j = block.at(z[i])
-                w = np.where(np.isfinite(flux), block.weight, 0.0)
-                reps, row = np.unique(rep[s], return_inverse=True)
-                y = np.zeros((len(reps), len(block.pix)))
-                y[row, pix[s] - number[i] * model.size] = g[s]
-                y = np.where(w > 0, y - flux, 0.0) + np.where(w > 0, j @ z[i], 0.0)
-                jw = np.where(w[:, None] > 0, j * w[:, None], 0.0)
-                out = np.concatenate([(jw.T @ j).ravel(), (y @ jw).ravel(), (y * y) @ w])
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (b.column("object_id")[i].as_py(), int(reps[0]), len(reps))] + [_lists(out[None])], ["object_id", "first", "count", "_s"])
+        for big in batches:
+            for i, b, first, rhs, yy, gram in _replicate_sums(model, big):
+                out = np.concatenate([gram.ravel(), rhs.ravel(), yy])
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (b.column("object_id")[int(i)].as_py(), first, len(rhs))] + [_lists(out[None])], ["object_id", "first", "count", "_s"])
 
     return run
 
 
+def _replicate_fits(model: Model, ids, first, mats: list, rhs: list, facts: np.ndarray, start: np.ndarray | None) -> pa.RecordBatch:
+    """Fits of runs of replicates, all runs together. ``facts``: lam, sigma0, centre and scale of each run's object."""
+    n, t, count = model.n, model.total, np.array([len(x) for x in rhs])
+    low = np.full(t, -np.inf)
+    low[:n], low[n + model.nc :] = FLOOR, 0.0
+    lam, s0, vc, scale = facts.T
+    mat = np.array(mats)
+    mat[:, :n, :n] += lam[:, None, None] * penalty_batch(np.linspace(model.vmin, model.vmax, n), s0, vc, model.step)
+    if model.nc:
+        d = difference_matrix(model.nc, 2)
+        mat[:, n : n + model.nc, n : n + model.nc] += (model.lam_cont / scale**2)[:, None, None] * (d.T @ d)
+    z, ok = constrained_batch(np.repeat(mat, count, axis=0), np.concatenate(rhs), low, model.sums, start=None if start is None else np.repeat(start, count, axis=0))
+    rep = np.repeat(np.asarray(first) - np.cumsum(count) + count, count) + np.arange(count.sum())
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(ids), count)), pa.array(rep), _lists(np.ascontiguousarray(z[:, :n])), pa.array(ok)], ["object_id", "rep", "b", "converged"])
+
+
 def _replicate_solve(model: Model):
-    n, t = model.n, model.total
+    """Fits of runs of replicates, from the pixels where a series is one block, else from the sums over its blocks."""
+    t, most = model.total, max(16, PASS_MATRICES // model.total**2)
+
+    def sums(big: pa.RecordBatch) -> Iterator[tuple]:
+        if model.single:
+            for i, b, first, rhs, _, gram in _replicate_sums(model, big):
+                yield b, i, first, gram, rhs
+            return
+        for i in range(big.num_rows):
+            count, packed = big.column("count")[i].as_py(), np.asarray(big.column("_s")[i].values, float)
+            yield big, i, big.column("first")[i].as_py(), packed[: t * t].reshape(t, t), packed[t * t : t * t + count * t].reshape(count, t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = np.full(t, -np.inf)
-        low[:n], low[n + model.nc :] = FLOOR, 0.0
-        for b in batches:
-            s0, vc, lam, scale = (np.asarray(b.column(c), float) for c in ("sigma0", "centre", "lam", "scale"))
-            pen = penalty_batch(np.linspace(model.vmin, model.vmax, n), s0, vc, model.step)
-            for i in range(b.num_rows):
-                count, first, packed = b.column("count")[i].as_py(), b.column("first")[i].as_py(), np.asarray(b.column("_s")[i].values, float)
-                mat = packed[: t * t].reshape(t, t).copy()
-                mat[:n, :n] += lam[i] * pen[i]
-                if model.nc:
-                    d = difference_matrix(model.nc, 2)
-                    mat[n : n + model.nc, n : n + model.nc] += model.lam_cont / scale[i] ** 2 * (d.T @ d)
-                z, ok = constrained_batch(np.broadcast_to(mat, (count, t, t)), packed[t * t : t * t + count * t].reshape(count, t), low, model.sums)
-                ids = np.full(count, b.column("object_id")[i].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.arange(first, first + count)), _lists(np.ascontiguousarray(z[:, :n])), pa.array(ok)], ["object_id", "rep", "b", "converged"])
+        for big in batches:
+            held, rows = [], 0
+            for b, i, first, gram, rhs in sums(big):
+                at = lambda c: b.column(c)[int(i)].as_py()
+                held.append((at("object_id"), first, gram, rhs, [at(c) for c in ("lam", "sigma0", "centre", "scale")], np.asarray(b.column("z")[int(i)].values)))
+                rows += len(rhs)
+                if rows >= most:
+                    ids, firsts, mats, right, facts, start = zip(*held)
+                    yield _replicate_fits(model, ids, firsts, mats, right, np.array(facts, float), np.array(start))
+                    held, rows = [], 0
+            if held:
+                ids, firsts, mats, right, facts, start = zip(*held)
+                yield _replicate_fits(model, ids, firsts, mats, right, np.array(facts, float), np.array(start))
 
     return run
 
@@ -610,21 +693,29 @@ def _replicate_solve(model: Model):
 def refit_replicates(blocks: DataFrame, ends: DataFrame, fits: DataFrame, draws: DataFrame, model: Model) -> DataFrame:
     """(object_id, rep, b, converged): every replicate of every object refitted at the strength of its object's fit.
 
-    ``draws(object_id, rep, pix, g)`` has every pixel of every replicate, replicates numbered from 0. Replicates change the
+    ``draws(object_id, rep, pix, g)`` has the valid pixels of every replicate, replicates numbered from 0; ``pix`` and ``g``
+    are numbers, or arrays of all pixels of a series of one block. Replicates change the
     right-hand side only, so a normal matrix is held once for a run of replicates; runs are short where blocks are long, so
     any number of replicates takes bounded memory. The model is linear around the fit (continuum and weights move with it).
     """
     longest = ends.agg(F.max("last")).first()[0] or 0
     run = max(1, min(REPLICATES, REPLICATE_VALUES // (min(longest + 1, model.size))))
-    parts = draws.select(*OBJ, F.floor(F.col("pix") / model.size).alias("_blk"), F.floor(F.col("rep") / run).alias("_run"), F.struct(
-        F.col("rep").cast("long").alias("rep"), F.col("pix").cast("long").alias("pix"), F.coalesce("g", F.lit(0.0)).alias("g")).alias("_d"))
+    whole = dict(draws.dtypes)["pix"].startswith("array")
+    if whole and not model.single:
+        draws = draws.select(*OBJ, "rep", F.explode(F.arrays_zip("pix", "g")).alias("_e")).select(*OBJ, "rep", "_e.pix", "_e.g")
+        whole = False
+    numbers = [F.col("pix"), F.col("g")] if whole else [F.array(F.col("pix").cast("long")), F.array(F.coalesce("g", F.lit(0.0)))]
+    blk = F.lit(0).cast("long") if whole else F.floor(F.col("pix") / model.size)
+    parts = draws.select(*OBJ, blk.alias("_blk"), F.floor(F.col("rep") / run).alias("_run"), F.struct(
+        F.col("rep").cast("long").alias("rep"), numbers[0].alias("pix"), numbers[1].alias("g")).alias("_d"))
     parts = spread(parts, *KEYS).groupBy(*KEYS, "_run").agg(F.collect_list("_d").alias("draws"))
-    facts = ends.select(*OBJ, "x0", "x1", "last").join(fits.select(*OBJ, "z"), OBJ)
-    rows = with_blocks(blocks, facts, model).join(parts, KEYS).select(*OBJ, "_blk", "px", "z", "x0", "x1", "last", "draws")
-    sums = rows.mapInArrow(_replicate_pass(model), "object_id long, first long, count long, _s array<double>")
-    sums = sums if model.single else add_arrays(sums, [*OBJ, "first", "count"])
-    tuned = sums.join(fits.select(*OBJ, "lam", "sigma0", "centre").join(ends.select(*OBJ, "scale"), OBJ), OBJ)
-    return tuned.mapInArrow(_replicate_solve(model), "object_id long, rep long, b array<double>, converged boolean")
+    fit = fits.select(*OBJ, "lam", "sigma0", "centre", "z").join(ends.select(*OBJ, "scale"), OBJ)
+    facts = ends.select(*OBJ, "x0", "x1", "last").join(fit, OBJ)
+    rows = with_blocks(blocks, facts, model).join(parts, KEYS)
+    if not model.single:
+        rows = rows.select(*OBJ, "_blk", "px", "z", "x0", "x1", "last", "draws").mapInArrow(_replicate_pass(model), "object_id long, first long, count long, _s array<double>")
+        rows = add_arrays(rows, [*OBJ, "first", "count"]).join(fit, OBJ)
+    return rows.mapInArrow(_replicate_solve(model), "object_id long, rep long, b array<double>, converged boolean")
 
 
 # --- what a fit says about its pixels ------------------------------------------------------------------
@@ -632,13 +723,12 @@ def refit_replicates(blocks: DataFrame, ends: DataFrame, fits: DataFrame, draws:
 
 def _model_rows(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            z, x0, x1, last, number, ids = _stack(b, "z"), *(np.asarray(b.column(c)) for c in ("x0", "x1", "last", "_blk", "object_id"))
-            for i, px in enumerate(_rows_of(b)):
-                block = Block(model, number[i], px, x0[i], x1[i], last[i])
-                flux, cont, _ = block.at(z[i], slopes=False)
-                cols = [np.full(len(block.pix), ids[i]), block.pix, flux, cont]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["object_id", "pix", "model", "cont"])
+        for b in (part for big in batches for part in _pixel_slices(big, model)):
+            z, ids, blocks = _stack(b, "z"), np.asarray(b.column("object_id")), _blocks_of(model, b)
+            flux, cont = np.empty(len(blocks.pix)), np.empty(len(blocks.pix))
+            for which, pixels in blocks.groups(np.arange(len(ids))):
+                flux[pixels], cont[pixels], _ = blocks.at(z[which], pixels, slopes=False)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[blocks.row], blocks.pix, flux, cont)], ["object_id", "pix", "model", "cont"])
 
     return run
 
@@ -662,30 +752,38 @@ def normal_equations(blocks: DataFrame, ends: DataFrame, fits: DataFrame, model:
     )
 
 
+def _distance(model: Model, b: pa.RecordBatch, h: np.ndarray, q: np.ndarray, yy: np.ndarray) -> pa.RecordBatch:
+    """How far the fits of ``b`` are from stationary points, given the normal equations at them."""
+    n, t, z = model.n, model.total, _stack(b, "z")
+    lam, s0, vc, scale = (np.asarray(b.column(c), float) for c in ("lam", "sigma0", "centre", "scale"))
+    slope = (h @ z[..., None])[..., 0] - q
+    slope[:, :n] += lam[:, None] * np.einsum("bij,bj->bi", penalty_batch(np.linspace(model.vmin, model.vmax, n), s0, vc, model.step), z[:, :n])
+    if model.nc:
+        d = difference_matrix(model.nc, 2)
+        slope[:, n : n + model.nc] += (model.lam_cont / scale**2)[:, None] * (z[:, n : n + model.nc] @ (d.T @ d))
+    low = np.full(t, -np.inf)
+    low[:n], low[n + model.nc :] = FLOOR, 0.0
+    free = z > np.where(np.isfinite(low), low + 1e-9, low)
+    gap = np.zeros(len(z))
+    for s in model.sums:
+        price = np.where(free[:, s], slope[:, s], 0.0).sum(1) / np.maximum(free[:, s].sum(1), 1)
+        slope[:, s] -= price[:, None]
+        gap = np.maximum(gap, np.abs(z[:, s].sum(1) - 1))
+    # In units of what a change of the unknown by its own size does to the objective.
+    size = np.sqrt(np.maximum(np.einsum("bii->bi", h), 1e-300)) * np.sqrt(np.maximum(yy, 1e-300))[:, None]
+    off = np.where(free, np.abs(slope), np.maximum(-slope, 0.0)) / size
+    return pa.RecordBatch.from_arrays([b.column("object_id"), b.column("lam"), pa.array(off.max(1)), pa.array(gap)], ["object_id", "lam", "stationarity", "sum_gap"])
+
+
 def _optimality(model: Model):
-    n, t = model.n, model.total
+    """From the pixels where a series is one block, else from the sums ``_s`` over its blocks."""
+    t = model.total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for big in batches for part in _slices(big, _solve_rows(model))):
-            h, q, z = _stack(b, "_gram").reshape(-1, t, t), _stack(b, "_rhs"), _stack(b, "z")
-            lam, s0, vc, scale = (np.asarray(b.column(c), float) for c in ("lam", "sigma0", "centre", "scale"))
-            slope = np.einsum("bij,bj->bi", h, z) - q
-            slope[:, :n] += lam[:, None] * np.einsum("bij,bj->bi", penalty_batch(np.linspace(model.vmin, model.vmax, n), s0, vc, model.step), z[:, :n])
-            if model.nc:
-                d = difference_matrix(model.nc, 2)
-                slope[:, n : n + model.nc] += (model.lam_cont / scale**2)[:, None] * (z[:, n : n + model.nc] @ (d.T @ d))
-            low = np.full(t, -np.inf)
-            low[:n], low[n + model.nc :] = FLOOR, 0.0
-            free = z > np.where(np.isfinite(low), low + 1e-9, low)
-            gap = np.zeros(len(z))
-            for s in model.sums:
-                price = np.where(free[:, s], slope[:, s], 0.0).sum(1) / np.maximum(free[:, s].sum(1), 1)
-                slope[:, s] -= price[:, None]
-                gap = np.maximum(gap, np.abs(z[:, s].sum(1) - 1))
-            # In units of what a change of the unknown by its own size does to the objective.
-            size = np.sqrt(np.maximum(np.einsum("bii->bi", h), 1e-300)) * np.sqrt(np.maximum(np.asarray(b.column("_yy").flatten(), float), 1e-300))[:, None]
-            off = np.where(free, np.abs(slope), np.maximum(-slope, 0.0)) / size
-            yield pa.RecordBatch.from_arrays([b.column("object_id"), b.column("lam"), pa.array(off.max(1)), pa.array(gap)], ["object_id", "lam", "stationarity", "sum_gap"])
+        for big in batches:
+            for b in _pixel_slices(big, model) if model.single else _slices(big, _solve_rows(model)):
+                sums = _blocks_of(model, b).normals(_stack(b, "z")) if model.single else _stack(b, "_s")
+                yield _distance(model, b, sums[:, : t * t].reshape(-1, t, t), sums[:, t * t : -3], sums[:, -3])
 
     return run
 
@@ -695,6 +793,11 @@ def optimality(blocks: DataFrame, ends: DataFrame, fits: DataFrame, model: Model
 
     A pass over the pixels of its own at the fit, so it does not rest on what the rounds report.
     """
-    gram = normal_equations(blocks, ends, fits, model).select(*OBJ, "_gram", "_rhs", "_yy")
-    rows = gram.join(fits.select(*OBJ, "lam", "z", "sigma0", "centre"), OBJ).join(ends.select(*OBJ, "scale"), OBJ)
+    keys, about = [*OBJ, "lam"], ["sigma0", "centre", "scale", "z"]
+    facts = ends.select(*OBJ, "x0", "x1", "last", "scale").join(fits.select(*keys, "sigma0", "centre", "z"), OBJ)
+    rows = with_blocks(blocks, facts, model)
+    if not model.single:
+        parts = rows.select(*keys, "_blk", "px", F.col("z").alias("cand"), "x0", "x1", "last").mapInArrow(_pass(model, keys), "object_id long, lam double, _s array<double>")
+        rows = add_arrays(parts, keys).join(facts, keys)
+    rows = rows.select(*keys, *about, *(["_blk", "px", "x0", "x1", "last"] if model.single else ["_s"]))
     return rows.mapInArrow(_optimality(model), "object_id long, lam double, stationarity double, sum_gap double")

@@ -118,3 +118,18 @@ def test_run_log_files_are_small_and_bounded(spark, tmp_path, monkeypatch):
     assert len(files) == 8 and sum(f.stat().st_size for f in files) < plain
     back = runlog.read_run_log(spark, str(path))
     assert back.count() == 2000 and back.agg(F.sum("seed")).first()[0] == 999000
+
+
+def test_blocks_of_a_batch_share_their_passes():
+    """Blocks of several lengths stacked together give what each gives alone."""
+    model = recovery.Model(9, -300.0, 300.0, 1.5, True, 4, n_fine=22, templates=2)
+    rng, sizes = np.random.default_rng(0), [40, 17, 40, 0, 25]
+    px = [np.column_stack([np.arange(m), 8470 + 1.5 * np.arange(m), rng.random(m) + 1, rng.integers(0, 2, m), np.ones(m), 1 + rng.random((m, 2))]) for m in sizes]
+    ends = [(p[0, 1], p[-1, 1], m - 1) if m else (0.0, 0.0, 0) for p, m in zip(px, sizes)]
+    x0, x1, last = (np.array(c) for c in zip(*ends))
+    z, at = rng.random((len(sizes), model.total)), np.cumsum([0, *sizes])
+    many = recovery.Stack(model, np.zeros(len(sizes), np.int64), np.concatenate(px), at, x0, x1, last).normals(z[[0, 1, 3, 4]], np.array([0, 1, 3, 4]))
+    for row, i in enumerate([0, 1, 3, 4]):
+        one = recovery.Stack(model, np.zeros(1, np.int64), px[i], np.array([0, sizes[i]]), x0[i : i + 1], x1[i : i + 1], last[i : i + 1]).normals(z[i : i + 1])
+        assert np.allclose(many[row], one[0], rtol=1e-12, atol=1e-12)
+        assert many[row][-1] == px[i][:, 3].sum()
