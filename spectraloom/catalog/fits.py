@@ -87,13 +87,9 @@ def recover_joint(spark, sf):
 def recover_optimality(spark, sf):
     """Every strength of a grid; fits away from the middle strength stand on its linear model, so each is a fit of its own here."""
     blocks, ends, model = recovery.pack_blocks(planted(spark, sf), NB, VLO, VHI, STEP)
-    out = None
-    for lam in (1e2, 1e4, 1e6):
-        fits = cut(recovery.solve_rounds(blocks, recovery.start_state(ends, model), model, recovery.Plan(grid=(lam,))))
-        rows = fits.select(*OBJ, "lam", "converged").join(recovery.optimality(blocks, ends, fits, model), [*OBJ, "lam"])
-        rows = rows.select("object_id", "lam", (F.col("stationarity") < 1e-6).alias("stationary"), "converged")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    fits = cut(recovery.solve_each(blocks, ends, model, (1e2, 1e4, 1e6)))
+    rows = fits.select(*OBJ, "lam", "converged").join(recovery.optimality(blocks, ends, fits, model), [*OBJ, "lam"])
+    return rows.select("object_id", "lam", (F.col("stationarity") < 1e-6).alias("stationary"), "converged")
 
 
 @query("auto_lambda")

@@ -133,3 +133,17 @@ def test_blocks_of_a_batch_share_their_passes():
         one = recovery.Stack(model, np.zeros(1, np.int64), px[i], np.array([0, sizes[i]]), x0[i : i + 1], x1[i : i + 1], last[i : i + 1]).normals(z[i : i + 1])
         assert np.allclose(many[row], one[0], rtol=1e-12, atol=1e-12)
         assert many[row][-1] == px[i][:, 3].sum()
+
+
+def test_all_strengths_of_short_series_are_one_pass(spark, monkeypatch):
+    blocks, ends, model = recovery.pack_blocks(_spectra(spark), 9, -300.0, 300.0, 1.5)
+    alone = {(r.object_id, r.lam): r for x in (1e2, 1e6) for r in recovery.solve_rounds(blocks, recovery.start_state(ends, model), model, recovery.Plan(grid=(x,))).collect()}
+    written = []
+    monkeypatch.setattr(recovery, "cut", lambda df: written.append(1) or cut(df))
+    fits = cut(recovery.solve_each(blocks, ends, model, (1e2, 1e6)))
+    assert len(written) == 2
+    got = {(r.object_id, r.lam): r for r in fits.collect()}
+    assert got.keys() == alone.keys() and all(np.allclose(got[k].b, alone[k].b, atol=1e-9) and got[k].converged == alone[k].converged for k in got)
+    plan = recovery.optimality(blocks, ends, fits, model)
+    assert {(r.object_id, r.lam) for r in plan.collect() if r.stationarity < 1e-6} == set(got)
+    assert plan_of(plan).count("MapInArrow") == 1  # no table of normal matrices between the pixels and the answer
