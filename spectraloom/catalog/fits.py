@@ -9,7 +9,7 @@ from spectraloom.catalog.histograms import BOUNDS, MOM, _point
 from spectraloom.operators import errors as E
 from spectraloom.operators import products, recovery, shapes, solve
 from spectraloom.operators import stats as S
-from spectraloom.operators.describe import gh_fit, gh_fit_higher
+from spectraloom.operators.describe import gh_fit, gh_fit_higher, gh_fit_packed
 from spectraloom.operators.mocks import truth_losvd
 from spectraloom.operators.resample import convolve_losvd, fine_losvd
 from spectraloom.plans import pipelines
@@ -162,9 +162,10 @@ def residual_bootstrap(spark, sf):
     packed = blocks, ends, model = recovery.pack_blocks(px, NB, VLO, VHI, STEP)
     fits = cut(recovery.solve_rounds(blocks, recovery.start_state(ends, model), model, recovery.Plan(grid=(1e4,))))
     fitted = cut(px.join(recovery.model_pixels(blocks, ends, fits, model).drop("cont"), [*OBJ, "pix"]))
-    rep = cut(E.bootstrap_losvd(packed, fitted, fits, 10))
-    point = solve.bins_from_packed(fits, VLO, VHI, NB, OBJ)
-    return E.ensemble_errors(point, rep)["moments"].select("object_id", "parameter", "value", "err", "lo", "hi")
+    rep = cut(E.bootstrap_fits(packed, fitted, fits, 10))
+    point, bins = solve.bins_from_packed(fits, VLO, VHI, NB, OBJ), solve.bins_from_packed(rep, VLO, VHI, NB, E.REP)
+    described, best = gh_fit_packed(rep, VLO, VHI, NB, E.REP), gh_fit_packed(fits, VLO, VHI, NB)
+    return E.ensemble_errors(point, bins, described=described, best=best)["moments"].select("object_id", "parameter", "value", "err", "lo", "hi")
 
 
 JAC = """s AS (SELECT object_id, sum(b) AS s0, sum(b * v) AS s1, sum(b * v * v) AS s2 FROM pt GROUP BY 1),

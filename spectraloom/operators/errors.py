@@ -20,6 +20,12 @@ REP = ["object_id", "rep"]
 PACKED = ("spectraloom.packedDraws", 4_096)
 
 
+def _flagged(pix: DataFrame, model: str) -> tuple[DataFrame, DataFrame]:
+    """Pixels with their model and whether they are valid, and the valid ones."""
+    flagged = pix.select(*OBJ, "pix", "g", "gerr", F.col(model).alias("_m"), valid_pixel(model=model).alias("_ok"))
+    return flagged, flagged.filter("_ok")
+
+
 def bootstrap_draws(pix: DataFrame, n: int, block: int = 1, model: str = "model") -> DataFrame:
     """``n`` replicates per object: ``(object_id, rep, pix, g)``.
 
@@ -28,9 +34,7 @@ def bootstrap_draws(pix: DataFrame, n: int, block: int = 1, model: str = "model"
     draw is a counter hash of (object, replicate, block), so it does not depend on partitioning. A short series is packed
     into one row that draws from itself; residuals of a long one are fetched by an equi-join on (object, position).
     """
-    ok = valid_pixel(model=model)
-    flagged = pix.select(*OBJ, "pix", "g", "gerr", F.col(model).alias("_m"), ok.alias("_ok"))
-    valid = flagged.filter("_ok")
+    flagged, valid = _flagged(pix, model)
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     kept = flagged.filter("NOT _ok").withColumn("rep", each).select(*REP, "pix", "g")
     limit = setting(pix.sparkSession, PACKED)
@@ -52,14 +56,26 @@ def _source(k, total, block: int):
 
 def _packed_draws(good: DataFrame, n: int, block: int) -> DataFrame:
     """Draws of series that fit one row each: every pixel is shuffled once, whatever the number of replicates."""
-    row = F.struct(F.col("pix").alias("pix"), F.col("_m").alias("m"), F.col("gerr").alias("e"), ((F.col("g") - F.col("_m")) / F.col("gerr")).alias("r"))
-    packed = good.groupBy(*OBJ).agg(F.sort_array(F.collect_list(row)).alias("_p"))
-    slots = packed.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    slots = _drawn_slots(good, n)
     slots = slots.select(*REP, "_p", F.posexplode("_p").alias("_k", "_e"))
     at = _source(F.col("_k").cast("long"), F.size("_p"), block).cast("int")
     return slots.select(*REP, F.col("_e.pix").alias("pix"), (F.col("_e.m") + F.col("_e.e") * F.get(F.col("_p.r"), at)).alias("g"))
 
 
+def _whole_draws(pix: DataFrame, n: int, block: int) -> DataFrame:
+    """The same with the positions and values of a replicate as arrays."""
+    at = lambda k: _source(k.cast("long"), F.size("_p"), block).cast("int")
+    drawn = F.transform("_p", lambda e, k: e["m"] + e["e"] * F.get(F.col("_p.r"), at(k)))
+    return _drawn_slots(pix, n).select(*REP, F.col("_p.pix").cast("array<long>").alias("pix"), drawn.alias("g"))
+
+
+def _drawn_slots(pix: DataFrame, n: int) -> DataFrame:
+    """A row per (object, replicate) with the valid pixels, none where an object has none."""
+    row = F.struct(F.col("pix").alias("pix"), F.col("_m").alias("m"), F.col("gerr").alias("e"), ((F.col("g") - F.col("_m")) / F.col("gerr")).alias("r"))
+    packed = pix.groupBy(*OBJ).agg(F.sort_array(F.collect_list(F.when(F.col("_ok"), row))).alias("_p"))
+    return packed.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+
+
 def _joined_draws(valid: DataFrame, total: DataFrame, n: int, block: int) -> DataFrame:
     """The same for series of any length."""
     good = number_rows(valid, OBJ, ["pix"], "_k")
@@ -70,26 +86,35 @@ def _joined_draws(valid: DataFrame, total: DataFrame, n: int, block: int) -> Dat
     )
 
 
-def bootstrap_losvd(packed: tuple[DataFrame, DataFrame, Model], pix: DataFrame, fits: DataFrame, n: int, block: int = 1) -> DataFrame:
-    """Refit ``n`` residual replicates of every object, plain or joint: ``(object_id, rep, bin, v, b)``.
+def bootstrap_fits(packed: tuple[DataFrame, DataFrame, Model], pix: DataFrame, fits: DataFrame, n: int, block: int = 1) -> DataFrame:
+    """Refit ``n`` residual replicates of every object, plain or joint: ``(object_id, rep, b)``, the converged ones.
 
-    ``packed`` is what ``pack_blocks`` made of the fitted pixels; ``pix`` has the model, ``fits`` one fit per object.
+    ``packed`` is what ``pack_blocks`` made of the fitted pixels; ``pix`` has the model, ``fits`` one fit per object. Where
+    every series draws inside one row, a replicate stays one row from draw to fit.
     """
     blocks, ends, model = packed
-    out = refit_replicates(blocks, ends, fits, bootstrap_draws(pix, n, block), model)
-    return bins_from_packed(out.filter("converged"), model.vmin, model.vmax, model.n, REP)
+    short = model.single and (ends.agg(F.max("last")).first()[0] or 0) < setting(pix.sparkSession, PACKED)
+    draws = _whole_draws(_flagged(pix, "model")[0], n, block) if short else bootstrap_draws(pix, n, block)
+    return refit_replicates(blocks, ends, fits, draws, model).filter("converged").select(*REP, "b")
+
+
+def bootstrap_losvd(packed: tuple[DataFrame, DataFrame, Model], pix: DataFrame, fits: DataFrame, n: int, block: int = 1) -> DataFrame:
+    """``bootstrap_fits`` with a row for each bin: ``(object_id, rep, bin, v, b)``."""
+    model = packed[2]
+    return bins_from_packed(bootstrap_fits(packed, pix, fits, n, block), model.vmin, model.vmax, model.n, REP)
 
 
-def ensemble_errors(point: DataFrame, reps: DataFrame, confidence: float = 0.68) -> dict[str, DataFrame]:
+def ensemble_errors(point: DataFrame, reps: DataFrame, confidence: float = 0.68, described: DataFrame | None = None, best: DataFrame | None = None) -> dict[str, DataFrame]:
     """Histogram and moment errors of a bootstrap ensemble, plus its diagnostics.
 
-    Replicates without a finite description count as failed. ``point(object_id, bin, v, b)``.
+    Replicates without a finite description count as failed. ``point(object_id, bin, v, b)``. ``described`` and ``best`` are the
+    descriptions of the replicates and of the point, where they are known already.
     """
     by = ["object_id", "bin"]
     spread = S.replicate_spread(reps, by).select(*by, F.col("spread").alias("err"))
     losvd = S.anchored_bounds(point, reps, by, confidence).join(spread, by, "left")
-    described = cut(gh_fit(reps, REP))
-    best = gh_fit(point, OBJ)
+    described = cut(gh_fit(reps, REP) if described is None else described)
+    best = gh_fit(point, OBJ) if best is None else best
     names = ["vel", "sigma", "h3", "h4"]
 
     def long(df, keys):

@@ -147,3 +147,17 @@ def test_all_strengths_of_short_series_are_one_pass(spark, monkeypatch):
     plan = recovery.optimality(blocks, ends, fits, model)
     assert {(r.object_id, r.lam) for r in plan.collect() if r.stationarity < 1e-6} == set(got)
     assert plan_of(plan).count("MapInArrow") == 1  # no table of normal matrices between the pixels and the answer
+
+
+def test_replicates_of_short_series_stay_one_row_each(spark):
+    px = _spectra(spark).withColumn("good", ~((F.col("pix") == 5) & (F.col("object_id") == 1)) & (F.col("object_id") < 2))
+    px = px.withColumn("g", F.col("g") + 0.01 * (F.col("pix") % 7))
+    packed = blocks, ends, model = recovery.pack_blocks(px, 9, -300.0, 300.0, 1.5)
+    fits = cut(recovery.solve_rounds(blocks, recovery.start_state(ends, model), model, recovery.Plan(grid=(1e4,))))
+    fitted = cut(px.join(recovery.model_pixels(blocks, ends, fits, model).drop("cont"), ["object_id", "pix"]))
+    got = errors.bootstrap_fits(packed, fitted, fits, 4)
+    assert "posexplode" not in plan_of(got)
+    by_pixel = recovery.refit_replicates(blocks, ends, fits, errors.bootstrap_draws(fitted, 4), model).filter("converged")
+    rows = lambda df: {(r.object_id, r.rep): r.b for r in df.collect()}
+    one, many = rows(got), rows(by_pixel)
+    assert one.keys() == many.keys() and len(one) >= 8 and all(np.allclose(one[k], many[k], atol=1e-9) for k in one)
