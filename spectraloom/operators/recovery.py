@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from spectraloom.functions.columns import C_KMS, valid_pixel
 from spectraloom.operators.pixels import OBJ
-from spectraloom.operators.solve import FLOOR, difference_matrix, penalty_batch, start_shape
+from spectraloom.operators.solve import FLOOR, difference_matrix, penalty_batch, spline_basis, start_shape
 from spectraloom.operators.strength import count_peaks, search
 from spectraloom.plans.scale import BLOCK_ROWS, cut, is_small, setting, spread
 
@@ -170,35 +170,6 @@ def pack_blocks(pix: DataFrame, n: int, vmin: float, vmax: float, step: float, j
     return cut(blocks), ends, model
 
 
-def spline_basis(x: np.ndarray, lo: float, hi: float, interior: int, degree: int = 3) -> np.ndarray:
-    """Clamped uniform B-splines at ``x``: (points, interior + degree + 1)."""
-    k = interior + 1
-    out = np.zeros((len(x), k + degree))
-    if hi <= lo:
-        out[:, 0] = 1.0
-        return out
-    at = np.clip(np.floor((x - lo) / (hi - lo) * k).astype(np.int64), 0, k - 1)
-    knots = lo + (hi - lo) / k * np.clip(np.arange(-degree, k + degree), 0, k)
-    near = {j: knots[at + (j + degree)] for j in range(-degree, degree + 1)}
-    knot = near.__getitem__
-    local = [np.ones(len(x))]
-    for p in range(1, degree + 1):
-        old, local = local, []
-        for i in range(p + 1):
-            term = np.zeros(len(x))
-            if i > 0:
-                a, b = knot(i - p), knot(i)
-                term += np.where(b > a, (x - a) / np.where(b > a, b - a, 1.0), 0.0) * old[i - 1]
-            if i < p:
-                a, b = knot(i - p + 1), knot(i + 1)
-                term += np.where(b > a, (b - x) / np.where(b > a, b - a, 1.0), 0.0) * old[i]
-            local.append(term)
-    rows = np.arange(len(x))
-    for i, term in enumerate(local):
-        out[rows, at + i] = term
-    return out
-
-
 def _fine(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Factor of every fine velocity sample, the bin at or below it and the share of the bin above."""
     j = np.arange(model.n_fine)
@@ -241,8 +212,7 @@ class Stack:
                 self.a[i] += np.bincount(flat, s * px[source, 5 + i], m * model.n).reshape(m, model.n)
         self.basis = None
         if model.nc:
-            parts = [spline_basis(self.x[s : s + c], x0[i], x1[i], model.interior) for i, (s, c) in enumerate(zip(self.start, self.count))]
-            self.basis = np.concatenate([np.zeros((0, model.nc)), *parts])
+            self.basis = spline_basis(self.x, x0[self.row], x1[self.row], model.interior)
 
     def groups(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Blocks of one length, a bounded number together: which of ``rows`` they are and their pixels, a row for each."""

@@ -224,6 +224,34 @@ def spline_rows(pix: DataFrame, interior: int = 10, degree: int = 3, keys: list[
     return d.withColumn("_d", full).drop("_lo", "_hi", "_h", "_at", *[f"_n{p}_{i}" for p in range(1, degree + 1) for i in range(p + 1)])
 
 
+def spline_basis(x: np.ndarray, lo, hi, interior: int, degree: int = 3) -> np.ndarray:
+    """Clamped uniform B-splines on [lo, hi] at ``x`` (any shape, the ends broadcast to it), along a last axis of interior + degree + 1."""
+    k = interior + 1
+    x, lo, hi = np.broadcast_arrays(x, lo, hi)
+    wide = hi > lo
+    width = np.where(wide, hi - lo, 1.0)
+    at = np.clip(np.floor((x - lo) / width * k), 0, k - 1).astype(np.int64)
+    knot = lambda j: lo + width / k * np.clip(at + j, 0, k)
+    near = {j: knot(j) for j in range(-degree, degree + 1)}
+    local = [np.ones(x.shape)]
+    for p in range(1, degree + 1):
+        old, local = local, []
+        for i in range(p + 1):
+            term = np.zeros(x.shape)
+            for first, sign in ((i - p, 1) if i > 0 else (None, 0), (i - p + 1, -1) if i < p else (None, 0)):
+                if first is None:
+                    continue
+                a, b = near[first], near[first + p]
+                gap = np.where(b > a, b - a, 1.0)
+                term = term + np.where(b > a, ((x - a) if sign > 0 else (b - x)) / gap, 0.0) * old[i - 1 if sign > 0 else i]
+            local.append(term)
+    out = np.zeros((*x.shape, k + degree))
+    for i, term in enumerate(local):
+        np.put_along_axis(out, (at + i)[..., None], term[..., None], axis=-1)
+    out[~wide] = np.eye(k + degree)[0]
+    return out
+
+
 def difference_matrix(n: int, order: int) -> np.ndarray:
     return np.diff(np.eye(n), order, axis=0)
 
@@ -271,13 +299,17 @@ def asymmetric_baseline(
 ) -> DataFrame:
     """Baseline with weight ``p`` above and 1 - p below it, reweighted ``rounds`` times.
 
-    On a spline basis instead of one unknown per pixel, so a round is one pass over the pixels and one
-    small solve per object. Only the coefficients are carried (and checkpointed) between rounds.
+    On a spline basis instead of one unknown per pixel, so a round is one small solve per object. Series of one block play
+    all rounds in one pass; for longer ones a round is a pass over the pixels, and only the coefficients are carried (and
+    checkpointed) between rounds.
     """
     n = interior + 4
-    base = spline_rows(pix, interior, 3, keys).withColumn("_y", F.array(F.coalesce("g", F.lit(0.0))))
+    base = spline_rows(pix, interior, 3, keys)
     longest = pix.agg(F.max("pix")).first()[0] or 0
-    coef = None
+    if longest < setting(pix.sparkSession, BLOCK_ROWS):
+        coef = cut(_baseline_packed(pix, strength, p, rounds, interior, masked_weight, keys))
+        return attach(base, coef, keys).withColumn(name, dot("_d", "coef")).drop("_d", "coef")
+    base, coef = base.withColumn("_y", F.array(F.coalesce("g", F.lit(0.0)))), None
     for _ in range(rounds):
         if coef is None:
             rows = base.withColumn("_w", F.when(F.col("good"), 1.0).otherwise(masked_weight))
@@ -289,6 +321,53 @@ def asymmetric_baseline(
     return attach(base, coef, keys).withColumn(name, dot("_d", "coef")).drop("_d", "_y", "coef")
 
 
+#: Numbers in the spline rows that are held together.
+BASELINE_VALUES = 250_000
+
+
+def _baseline_packed(pix: DataFrame, strength: float, p: float, rounds: int, interior: int, masked_weight: float, keys: list[str]) -> DataFrame:
+    """(keys, coef): every round of series that are one row each, so pixels are shuffled once."""
+    g = F.col("g").cast("double")
+    level = F.when(g.isNull(), float("-inf")).otherwise(g)  # an unknown value is not above the baseline
+    numbers = F.array(F.col("x").cast("double"), F.coalesce(g, F.lit(0.0)), level, F.coalesce(F.col("good"), F.lit(False)).cast("double"))
+    rows = spread(pix, *keys).groupBy(*keys).agg(F.flatten(F.array_sort(F.collect_list(numbers))).alias("_px"))
+    types = dict(pix.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", coef array<double>"
+    return rows.mapInArrow(_baseline_batches(keys, interior + 4, strength, p, rounds, interior, masked_weight), schema)
+
+
+def _baseline_batches(keys: list[str], n: int, strength: float, p: float, rounds: int, interior: int, masked_weight: float):
+    pen = strength * difference_matrix(n, 2).T @ difference_matrix(n, 2)
+
+    def fit(px: np.ndarray) -> np.ndarray:
+        x, y, level, good = np.moveaxis(px, 2, 0)
+        lo, hi = x.min(1, keepdims=True), x.max(1, keepdims=True)
+        d = spline_basis(x, lo, hi, interior) * (hi > lo)[..., None]
+        w, coef = np.where(good > 0, 1.0, masked_weight), None
+        for _ in range(rounds):
+            if coef is not None:
+                w = np.where(good > 0, np.where(level > (d @ coef[..., None])[..., 0], p, 1 - p), masked_weight)
+            dw = d * w[..., None]
+            gram = np.swapaxes(dw, 1, 2) @ d
+            a = gram + pen + (1e-12 * np.einsum("bii->b", gram)[:, None, None] / n + 1e-300) * np.eye(n)
+            coef = np.linalg.solve(a, (y[:, None] @ dw)[:, 0, :, None])[..., 0]
+        return coef
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            px, at = _matrix(b, "_px", 4), np.asarray(b.column("_px").offsets) // 4
+            start, count, out = at[:-1] - at[0], np.diff(at), np.empty((b.num_rows, n))
+            for m in np.unique(count):
+                which = np.flatnonzero(count == m)
+                some = max(1, BASELINE_VALUES // (m * n))
+                for part in (which[i : i + some] for i in range(0, len(which), some)):
+                    out[part] = fit(px[start[part][:, None] + np.arange(m)])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * n), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], lists], [*keys, "coef"])
+
+    return run
+
+
 # --- influence and library reduction ------------------------------------------------------------------
 
 

@@ -161,3 +161,24 @@ def test_replicates_of_short_series_stay_one_row_each(spark):
     rows = lambda df: {(r.object_id, r.rep): r.b for r in df.collect()}
     one, many = rows(got), rows(by_pixel)
     assert one.keys() == many.keys() and len(one) >= 8 and all(np.allclose(one[k], many[k], atol=1e-9) for k in one)
+
+
+def test_baseline_rounds_of_short_series_are_one_pass(spark, monkeypatch):
+    px = _spectra(spark).withColumn("good", F.col("pix") != 9).withColumn("g", F.when(F.col("pix") != 30, F.col("g") - 1 + 0.1 * (F.col("pix") % 3)))
+    px = px.unionByName(px.filter("object_id = 0 AND pix = 0").withColumn("object_id", F.lit(7).cast("long")))
+    written = []
+    monkeypatch.setattr(solve, "cut", lambda df: written.append(1) or cut(df))
+
+    def fit():
+        written.clear()
+        rows = solve.asymmetric_baseline(px, rounds=5, interior=10).collect()
+        return len(written), {(r.object_id, r.pix): r.baseline for r in rows}
+
+    passes, one = fit()
+    spark.conf.set("spectraloom.blockRows", "20")
+    try:
+        rounds, many = fit()
+    finally:
+        spark.conf.unset("spectraloom.blockRows")
+    assert passes == 1 and rounds == 5
+    assert one.keys() == many.keys() and len(one) == 3 * 64 + 1 and all(abs(one[k] - many[k]) < 1e-8 for k in one)
