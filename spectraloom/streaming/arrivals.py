@@ -18,9 +18,11 @@ from spectraloom.functions.columns import finite, valid_pixel
 from spectraloom.operators import stats as S
 from spectraloom.operators.masks import robust_sigma
 from spectraloom.operators.pixels import OBJ, require_pixels, sanitise, select_region
-from spectraloom.plans.scale import attach, cut, quantiles
+from spectraloom.plans.scale import attach, checked_once, cut, quantiles
 
 BUCKETS, MIN_PIXELS = 256, 2
+#: A bucket is written as one file until the batch's buckets have more rows than this together.
+FILE_ROWS = 4_000_000
 #: A row without a value holds the object's sums, the others how often a valid value stands.
 STATE = "object_id long, g double, n long, ngood long, chi2 double"
 
@@ -51,11 +53,13 @@ def score_state(state: DataFrame, min_pixels: int = MIN_PIXELS) -> DataFrame:
     """``score_batch`` of all samples that went into a merged state."""
     sums = state.filter("g IS NULL").filter(F.col("n") >= min_pixels).select(*OBJ, F.coalesce("chi2", F.lit(float("inf"))).alias("chi2"), "ngood")
     values = state.filter("g IS NOT NULL").select(*OBJ, "g", "n")
-    med = cut(quantiles(values, OBJ, "g", {"_med": 0.5}, "n"))
-    mad = quantiles(attach(values, med, OBJ), OBJ, F.abs(F.col("g") - F.col("_med")), {"_mad": 0.5}, "n")
-    mean = values.groupBy(*OBJ).agg((F.sum(F.col("n") * F.col("g")) / F.sum("n")).alias("_m"))
     away = F.col("g") - F.col("_m")
-    sd = attach(values, mean, OBJ).groupBy(*OBJ).agg(F.sqrt(F.sum(F.col("n") * away * away) / F.sum("n")).alias("_sd"))
+    with checked_once(values, OBJ):
+        mean = values.groupBy(*OBJ).agg((F.sum(F.col("n") * F.col("g")) / F.sum("n")).alias("_m"))
+        middle = cut(quantiles(values, OBJ, "g", {"_med": 0.5}, "n").join(mean, OBJ))
+        around = attach(values, middle, OBJ)
+        mad = quantiles(around, OBJ, F.abs(F.col("g") - F.col("_med")), {"_mad": 0.5}, "n")
+    sd = around.groupBy(*OBJ).agg(F.sqrt(F.sum(F.col("n") * away * away) / F.sum("n")).alias("_sd"))
     sigma = mad.join(sd, OBJ).select(*OBJ, F.when(F.col("_mad") > 0, 1.4826 * F.col("_mad")).otherwise(F.col("_sd")).alias("sigma"))
     return sums.join(sigma, OBJ, "left")
 
@@ -73,7 +77,7 @@ def update_state(spark: SparkSession, target: str, batch_id: int, partial: DataF
     folders. Replaced versions go one batch later.
     """
     bucket = F.pmod(F.xxhash64("object_id"), F.lit(buckets)).cast("int")
-    partial = cut(partial.withColumn("bucket", bucket))
+    partial = partial.withColumn("bucket", bucket)
     touched = sorted(r[0] for r in partial.select("bucket").distinct().collect())  # at most ``buckets`` numbers
     known, gone = {}, []
     if batch_id > 0:
@@ -88,7 +92,8 @@ def update_state(spark: SparkSession, target: str, batch_id: int, partial: DataF
         rows = rows.unionByName(spark.read.schema(STATE).parquet(*old))
     if touched:
         merged = merge_states(rows).withColumn("bucket", bucket)
-        merged.repartition("bucket", F.pmod(F.xxhash64("object_id", "g"), F.lit(8))).write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/state/batch={batch_id}")
+        parts = min(8, 1 + rows.count() // FILE_ROWS)
+        merged.repartition("bucket", F.pmod(F.xxhash64("object_id", "g"), F.lit(parts))).write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/state/batch={batch_id}")
     now = {**{b: (v, None) for b, v in known.items()}, **{b: (batch_id, known.get(b)) for b in touched}}
     rows = [(b, v, r) for b, (v, r) in sorted(now.items())]
     spark.createDataFrame(rows, "bucket int, version long, replaced long").coalesce(1).write.mode("overwrite").parquet(f"{target}/manifest/batch={batch_id}")
@@ -115,7 +120,7 @@ def score_stream(
     def handle(batch: DataFrame, batch_id: int) -> None:
         partial = cut(partial_state(to_pixels(batch), lo, hi))
         state = update_state(batch.sparkSession, target, batch_id, partial, buckets)
-        live = state.join(partial.select(*OBJ).distinct(), OBJ, "left_semi")
+        live = cut(state.join(partial.select(*OBJ).distinct(), OBJ, "left_semi"))  # read often, and the state is many small files
         score_state(live).write.mode("overwrite").parquet(f"{target}/scores/batch={batch_id}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", pattern).parquet(source)

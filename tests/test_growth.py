@@ -182,3 +182,24 @@ def test_baseline_rounds_of_short_series_are_one_pass(spark, monkeypatch):
         spark.conf.unset("spectraloom.blockRows")
     assert passes == 1 and rounds == 5
     assert one.keys() == many.keys() and len(one) == 3 * 64 + 1 and all(abs(one[k] - many[k]) < 1e-8 for k in one)
+
+
+def test_a_bucket_of_the_stream_is_one_file_and_its_state_checked_once(spark, tmp_path, monkeypatch):
+    from spectraloom.plans import scale
+    from spectraloom.streaming import arrivals
+
+    rows = spark.range(4000).select((F.col("id") % 2).alias("object_id"), F.col("id").alias("pix"), F.lit(8410.0).alias("x"), (F.col("id") * 0.5).alias("g"),
+                                    F.lit(1.0).alias("gerr"), F.lit(True).alias("good"), F.lit(2.0).alias("model"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        state = arrivals.update_state(spark, str(tmp_path), 0, cut(arrivals.partial_state(rows, 8400.0, 8500.0)), buckets=2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    folders = list(tmp_path.glob("state/batch=0/bucket=*"))
+    assert folders and all(len(list(f.glob("*.parquet"))) == 1 for f in folders)
+    checks = []
+    monkeypatch.setattr(scale, "cut", lambda df: checks.append(1) or cut(df))
+    got = {r.object_id: r for r in arrivals.score_state(state).collect()}
+    assert len(checks) == 1
+    want = {r.object_id: r for r in arrivals.score_batch(rows, 8400.0, 8500.0).collect()}
+    assert set(got) == set(want) and all(abs(got[o].sigma - want[o].sigma) < 1e-9 and abs(got[o].chi2 / want[o].chi2 - 1) < 1e-12 for o in want)
