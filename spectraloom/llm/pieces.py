@@ -32,6 +32,8 @@ from spectraloom.llm.tables import documents
 from spectraloom.llm.textblock import TextBlock, blocks, mix
 
 MARK, BEST, CHUNK_BYTES = "▁", 4, 4_000_000
+MAYBE_BITS = 20
+MAYBE = np.uint64((1 << MAYBE_BITS) - 1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 NAMES = ["doc_id", "n_pieces", "ids_crc32", "scores", "decoded_equal", "ids", "changes"]
 
@@ -64,11 +66,17 @@ class Pieces:
         key = np.array([_hash(np.array([ord(c) for c in p], np.uint64)) for p in names], np.uint64)
         order = np.argsort(key)
         self.key, self.key_id = key[order], np.array([self.id_of[names[i]] for i in order])
+        self.maybe = np.zeros(1 << MAYBE_BITS, bool)
+        self.maybe[self.key & MAYBE] = True
 
     def lookup(self, key: np.ndarray) -> np.ndarray:
-        """Piece ids of substring hashes, -1 for none."""
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return np.where(self.key[at] == key, self.key_id[at], -1)
+        """Piece ids of substring hashes, -1 for none; most substrings are no piece, so only those of a marked slot are searched."""
+        out = np.full(len(key), -1)
+        some = np.flatnonzero(self.maybe[key & MAYBE])
+        found = key[some]
+        at = np.minimum(np.searchsorted(self.key, found), len(self.key) - 1)
+        out[some] = np.where(self.key[at] == found, self.key_id[at], -1)
+        return out
 
 
 @cache
@@ -97,15 +105,15 @@ def forward(codes: np.ndarray, length: np.ndarray, p: Pieces) -> tuple[np.ndarra
     for k in range(p.longest):
         power[k + 1] = power[k] * _STEP
     for end in range(1, n + 1):
-        key = np.zeros(m, np.uint64)
+        live = np.flatnonzero(length >= end)
+        if not len(live):
+            break
+        key = np.zeros(len(live), np.uint64)
         for k in range(1, min(p.longest, end) + 1):
-            key = key + char[:, end - k] * power[k - 1]
-            rows = np.flatnonzero(length >= end)
-            if not len(rows):
-                break
-            ids = p.lookup(mix(key[rows] + np.uint64(k)))
-            fits = (ids >= 0) | (k == 1)
-            rows, ids = rows[fits], ids[fits]
+            key = key + char[live, end - k] * power[k - 1]
+            ids = p.lookup(mix(key + np.uint64(k)))
+            fits = np.flatnonzero((ids >= 0) | (k == 1))
+            rows, ids = live[fits], ids[fits]
             cost = np.where(ids >= 0, p.score[ids], p.unknown)
             a, b = first[rows, end - k] + cost, second[rows, end - k] + cost
             old = first[rows, end]

@@ -175,3 +175,17 @@ def test_pipeline_stages(spark, tmp_path):
         fill[r.sequence_id] += r.length
     assert max(fill.values()) <= 1024
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_substrings_that_are_no_piece_are_mostly_not_searched(monkeypatch):
+    import public_tokenizers
+
+    from spectraloom.llm import pieces
+
+    p = pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    other = pieces.mix(np.arange(100_000, dtype=np.uint64))
+    other = other[~np.isin(other, p.key)]
+    asked, search = [], np.searchsorted
+    monkeypatch.setattr(pieces.np, "searchsorted", lambda a, v, *rest: asked.append(len(v)) or search(a, v, *rest))
+    assert p.lookup(p.key).tolist() == p.key_id.tolist() and (p.lookup(other) == -1).all()
+    assert asked[0] == len(p.key) and asked[1] < len(other) / 10
