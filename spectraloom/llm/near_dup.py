@@ -13,9 +13,13 @@ chance of fewer is below 1e-8; sets of at most K shingles are retained whole, so
 * Links make components, and only pairs of different components are ever formed. In each of ``ROUNDS`` first rounds a
   class is held against one other: every list proposes a centre (first the class whose values are the most
   frequent, as an original among its copies; then one drawn by hash), and the centre that the most of its lists
-  propose is filtered and confirmed. Then all pairs of one list that are still in different components are
-  formed, filtered by sizes and number of shared sketch values, and confirmed. Large groups of near copies are one component by then and do
-  not become all pairs, and no link between components is lost.
+  propose is filtered and confirmed. A pair that a round's filter (``NEAR`` shared sketch values) leaves out is not lost: the last step
+  forms every pair of different components that may be linked.
+* The last step takes the full sets of the classes whose lists still hold several components. A set A linked with a set B shares at least
+  3/7 (|A| + |B|) shingles with it, so their first common shingle, those of one component first and then rare ones
+  first, has 7 * (its place in A) <= 4|A| - 3|B|. The smaller set of a pair therefore needs lists for a seventh
+  of its shingles and the larger one for a quarter. Members of a large group that differ by more from each other have shingles of
+  their own in these places, and so do not become all pairs. The bound is exact.
 * Confirmation counts common shingles of the full sets.
 
 Defined cases: rows without doc_id go; null text is empty; repeated rows give one row each; an empty table
@@ -36,7 +40,7 @@ from spectraloom.llm.tables import components, documents, only_keys
 from spectraloom.llm.textblock import TextBlock, blocks, mix, ngrams
 from spectraloom.plans.scale import cut
 
-K, SHARED, WORDS, ROUNDS = 48, 18, 5, 3
+K, SHARED, NEAR, WORDS, ROUNDS = 48, 18, 30, 5, 3
 #: Values that the sketches of a set kept whole and of a larger set share at least: of c <= K common values at most
 #: 4c/3 - K lie beyond the larger one's sketch.
 MIXED = 2 * K // 3
@@ -94,7 +98,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     return documents(docs).mapInPandas(_sketches, "doc_id long, n_shingles long, ka long, kb long, sketch array<long>")
 
 
-def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def _estimated(pairs: DataFrame, reps: DataFrame, shared: int = SHARED) -> DataFrame:
     """Pairs (a, b) that the sizes and the number of shared sketch values allow."""
     left = reps.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
     right = reps.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
@@ -102,7 +106,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
         pairs.join(left, "a").join(right, "b")
         .filter("100 * least(na, nb) >= 75 * greatest(na, nb)")
         .withColumn("both", F.array_intersect("sa", "sb"))
-        .filter((F.size("both") >= SHARED) | (F.least("na", "nb") <= K))
+        .filter((F.size("both") >= shared) | (F.least("na", "nb") <= K))
         .filter("na > %d OR nb > %d OR 100 * size(both) >= 75 * (na + nb - size(both))" % (K, K))
         .select("a", "b", "na", "nb")
     )
@@ -125,18 +129,36 @@ def _placed(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return cut(placed.join(mixed, "v"))
 
 
+def _crossing(placed: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked, from the full sets of the classes in ``placed``."""
+    left = cut(placed.select("doc_id", "comp").distinct())
+    full = only_keys(documents(docs), left, "doc_id").mapInPandas(_full, "doc_id long, grams array<long>").dropDuplicates(["doc_id"])
+    rows = full.join(left, "doc_id").select("doc_id", "comp", F.size("grams").alias("n"), F.explode("grams").alias("v"))
+    same, own = Window.partitionBy("v"), Window.partitionBy("doc_id")
+    rows = rows.select("*", F.count(F.lit(1)).over(same).alias("df"), F.min("comp").over(same).alias("lo"), F.max("comp").over(same).alias("hi"))
+    met = rows.filter("lo <> hi").select("v", "doc_id", "comp", "n", "df").withColumn("place", F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("df", "v")) - 1)
+    # With the smallest partner, three quarters as large; ``reach`` is the largest partner that a place allows.
+    met = cut(met.filter("4 * place <= n").select("v", "doc_id", "comp", "n", F.floor((4 * F.col("n") - 7 * F.col("place")) / 3).alias("reach")))
+    x, y = met.filter("reach >= n").alias("x"), met.alias("y")
+    on = "x.v = y.v AND x.comp <> y.comp AND y.n <= x.reach AND x.n <= y.reach AND (x.n < y.n OR x.n = y.n AND x.doc_id < y.doc_id)"
+    return x.join(y, F.expr(on)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach), kept."""
     base = cut(sketches(docs))
     classes = base.filter("n_shingles > 0").groupBy("ka", "kb", "n_shingles").agg(F.min("doc_id").alias("rep"))
     reps = cut(base.filter("n_shingles > 0").join(classes.select("ka", "kb", "n_shingles", F.col("rep").alias("doc_id")), ["ka", "kb", "n_shingles", "doc_id"]).dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sketch"))
-    rows = reps.select("doc_id", "n_shingles", F.explode("sketch").alias("v"))
-    seen = rows.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # The values travel once: both uses keep all columns, so that they read one exchange.
+    rows = reps.select("doc_id", "n_shingles", F.explode("sketch").alias("v")).repartition("v")
+    seen = rows.groupBy("v").agg(F.count(F.lit(1)).alias("df"), F.max("doc_id").alias("top"), F.max("n_shingles").alias("most"))
+    seen = seen.filter("df > 1 AND top IS NOT NULL AND most > 0").select("v", "df")
     spare = F.when(F.col("n_shingles") > K, SHARED - 1).otherwise(F.least(F.ceil(F.col("n_shingles") * 75 / 100), F.lit(MIXED)) - 1)
     own = Window.partitionBy("doc_id")
     rank = F.row_number().over(own.orderBy(F.desc("df"), "v"))
     lists = rows.join(seen, "v").withColumn("weight", F.sum("df").over(own)).withColumn("rank", rank)
-    lists = cut(lists.filter(F.col("rank") > spare).select("v", "doc_id", "n_shingles", "weight"))
+    lists = cut(lists.filter(F.col("rank") > spare).select("v", "doc_id", "weight"))
+    listed = cut(only_keys(reps, lists.select("doc_id").distinct(), "doc_id"))
 
     placed, links = lists.withColumn("comp", F.col("doc_id")), None
     for turn in range(ROUNDS):
@@ -144,13 +166,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         centre = placed.groupBy("v").agg(F.max_by("doc_id", order).alias("a"), F.max_by("comp", order).alias("ca"))
         shared = placed.join(centre, "v").filter("comp <> ca").groupBy("a", F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("lists"))
         most = shared.groupBy("b").agg(F.max(F.struct("lists", "a")).alias("r")).select("r.a", "b")
-        found = _confirmed(_estimated(most, reps), docs)
+        found = _confirmed(_estimated(most, listed, NEAR), docs)
         links = cut(found if links is None else links.union(found))
         placed = _placed(placed.drop("comp"), components(links))
 
-    x, y = placed.alias("x"), placed.alias("y")
-    cross = x.join(y, F.expr("x.v = y.v AND x.doc_id < y.doc_id AND x.comp <> y.comp AND 100 * least(x.n_shingles, y.n_shingles) >= 75 * greatest(x.n_shingles, y.n_shingles)")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    comps = components(links.union(_confirmed(_estimated(cross, reps), docs)))
+    comps = components(links.union(_confirmed(_estimated(_crossing(placed, docs), listed), docs)))
 
     named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("ka", "kb", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
     return base.join(named, ["ka", "kb", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))

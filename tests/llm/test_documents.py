@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -81,6 +82,51 @@ def test_near_duplicates_of_sets_kept_whole_and_larger_ones(spark):
     assert {d: r.component_id for d, r in got.items()} == want and sum(d != c for d, c in want.items()) == len(made) // 2
 
 
+def test_near_duplicates_form_no_pairs_of_members_that_only_share_their_original(spark, monkeypatch):
+    """Copies below the threshold with each other and with their original; some have copies of their own."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    made = [(0, " ".join(base))]
+    for k in range(1, 61):
+        copy = list(base)
+        for j in rng.sample(range(80), 20):
+            copy[5 * j] = f"edit{k}_{j}"
+        made.append((k, " ".join(copy)))
+        if k % 10 == 0:
+            made.append((100 + k, " ".join(copy[3:])))
+    formed, estimated = [], near_dup._estimated
+
+    def counted(pairs, *args):
+        formed.append(pairs.count())
+        return estimated(pairs, *args)
+
+    monkeypatch.setattr(near_dup, "_estimated", counted)
+    got = rows(near_dup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string")))
+    _, want = jaccard_components(dict(made))
+    assert {d: r.component_id for d, r in got.items()} == want and len(set(want.values())) == 61
+    assert max(formed) <= len(made), formed  # all pairs: over 1800
+
+
+def test_near_duplicate_pairs_of_different_components_are_all_formed(spark):
+    """The last step by itself, on overlapping sets of many sizes, against all pairs."""
+    rng = random.Random(8)
+    made = []
+    for k in range(220):
+        n = rng.randrange(8, 60)
+        at = rng.randrange(30)
+        text = [f"w{i}" for i in range(at, at + n)]
+        for _ in range(rng.randrange(3)):
+            text[rng.randrange(n)] = f"own{k}"
+        made.append((k, " ".join(text)))
+    sets, _ = jaccard_components(dict(made))
+    comp = {d: d - d % 2 for d in sets}
+    placed = spark.createDataFrame([(d, c) for d, c in comp.items()], "doc_id long, comp long")
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    got = {tuple(sorted((r.a, r.b))) for r in near_dup._crossing(placed, docs).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and comp[a] != comp[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert len(want) > 100 and want <= got and all(comp[a] != comp[b] for a, b in got)
+
+
 def test_near_duplicate_candidates_carry_no_unused_estimate(spark):
     pairs = spark.createDataFrame([(1, 2)], "a long, b long")
     reps = spark.createDataFrame([(1, 3, [1, 2, 3]), (2, 3, [1, 2, 3])], "doc_id long, n_shingles long, sketch array<long>")
