@@ -18,7 +18,8 @@ bucket holds distinct strings, at most 257**3 for one such three symbols whateve
 symbols are all known to the shorter ones, so exclusion takes one sum for each context.
 
 The base score is an add-one word model. Word counts meet by a shuffle of one row per distinct word and part of
-the corpus, never per word: parts of the corpus hand in their distinct words and get back the counts of exactly those.
+the corpus, never per word: parts of the corpus hand in their distinct words and get back the counts of those that other
+parts have in training texts too; of the others a part's own count is the whole one.
 
 Texts are lower-cased A-Z first. Defined cases: null text is empty (it has the end symbol and the end token
 alone); rows without doc_id go; with no training text the model is uniform; repeated rows give one row each
@@ -27,6 +28,7 @@ and count as often as they stand there; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -224,7 +226,7 @@ def _distinct_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row per part and distinct word, at most HELD / 2 of them at once: how often it stands in training texts."""
     found, size = [], 0
     for f in frames:
-        for at, raw in blocks(f["text"]):
+        for at, raw in blocks(unpacked(f["text"])):
             key, word0 = _word_keys(raw)
             n, of = np.diff(word0), slice(at, at + len(raw))
             keep, part = ~f["held_out"].to_numpy(bool)[of], f["part"].to_numpy()[of]
@@ -272,7 +274,7 @@ def _distinct_strings(order: int):
             by_name = np.argsort(names)
             rank = by_name[np.searchsorted(names[by_name], part)]
             train = (~f["held_out"].to_numpy(bool)).astype(np.int64)
-            for at, raw in blocks(f["text"]):
+            for at, raw in blocks(unpacked(f["text"])):
                 b = TextBlock(raw, lower=True)
                 n, of = b.last - b.first + 1, slice(at, at + len(raw))
                 code = (np.repeat(rank[of] * top, n) + _strings(b, order)) * 2 + np.repeat(train[of], n)
@@ -291,6 +293,33 @@ def _distinct_strings(order: int):
     return run
 
 
+def packed(text: pd.Series) -> pd.Series:
+    """Texts compressed one by one; rows travel and wait in this form."""
+    return text.map(lambda t: zlib.compress(t.encode(), 1))
+
+
+def unpacked(text: pd.Series) -> Iterator[bytes]:
+    return (zlib.decompress(t) for t in text)
+
+
+def own_counts(text: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of a part's training texts and how often they stand there."""
+    keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for at, raw in blocks(unpacked(text["text"])):
+        key, word0 = _word_keys(raw)
+        keep = ~text["held_out"].to_numpy(bool)[at : at + len(raw)]
+        key, n = np.unique(key[np.repeat(keep, np.diff(word0))], return_counts=True)
+        keys.append(key)
+        counts.append(n)
+    return _summed(keys, counts)
+
+
+def shared_words(words: DataFrame, total: DataFrame) -> DataFrame:
+    """(word, part, c): words that a part does not hold all training occurrences of, and the end token, with their counts."""
+    own = words.groupBy("word", "part").agg(F.sum("n").alias("n")).filter("n >= 0")
+    return own.join(total.select("word", "c"), "word").filter((F.col("c") != F.col("n")) | (F.col("word") == int(_END_TOKEN))).select("word", "part", "c")
+
+
 def score_texts(docs: DataFrame, parts: int | None = None, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -305,12 +334,12 @@ def score_texts(docs: DataFrame, parts: int | None = None, order: int = 2) -> Da
 
     # One shuffle of the texts serves the word lists and the scoring; one shuffle of the lists serves both counts.
     shuffles = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = rows.repartition(shuffles, "part")
+    rows = rows.withColumn("text", F.pandas_udf(packed, "binary")("text")).repartition(shuffles, "part")
     words = rows.select("part", "held_out", "text").mapInPandas(_distinct_words, "part int, word long, n long").filter("word IS NOT NULL").repartition(shuffles, "word")
     # Every use of a list keeps all its columns, so that both read one exchange and the texts are not listed twice.
     total = words.groupBy("word").agg(F.sum("n").alias("c"), F.max("part").alias("p")).filter("c > 0 AND p >= 0")
     size = total.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n_train"), F.count(F.lit(1)).alias("n_distinct"))
-    known = words.groupBy("word", "part").agg(F.max("n").alias("n")).filter("n >= 0").join(total.select("word", "c"), "word").crossJoin(F.broadcast(size))
+    known = shared_words(words, total).crossJoin(F.broadcast(size))
     own = F.struct(F.lit(_WORD).cast("byte").alias("kind"), F.col("word").alias("key"), F.col("c").cast("double").alias("value"))
     sizes = F.struct(F.lit(_SIZES).cast("byte").alias("kind"), F.col("n_train").alias("key"), F.col("n_distinct").cast("double").alias("value"))
     counts = known.select("part", F.explode(F.when(F.col("word") == int(_END_TOKEN), F.array(own, sizes)).otherwise(F.array(own))).alias("x")).select("part", "x.*")
@@ -338,11 +367,13 @@ def score_texts(docs: DataFrame, parts: int | None = None, order: int = 2) -> Da
         about = np.flatnonzero(kind == _SIZES)
         n_train, distinct = (int(keys[about[0]]), int(values[about[0]])) if len(about) else (0, 0)
         single = np.flatnonzero(kind == _WORD)
-        single = single[np.argsort(keys[single])]
-        word, c = keys[single], values[single]
+        mine, n = own_counts(text)
+        alone = ~np.isin(mine, keys[single])
+        word, c = np.concatenate((keys[single], mine[alone])), np.concatenate((values[single], n[alone]))
+        word, c = (lambda order: (word[order], c[order]))(np.argsort(word))
         norm = np.log10(n_train + distinct + 1.0)
         out = []
-        for at, raw in blocks(text["text"]):
+        for at, raw in blocks(unpacked(text["text"])):
             k, word0 = _word_keys(raw)
             token = np.concatenate((k, [_END_TOKEN]))
             i = np.minimum(np.searchsorted(word, token), max(len(word) - 1, 0))

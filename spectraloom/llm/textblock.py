@@ -6,7 +6,7 @@ sums, so the hash of a span of up to 256 bytes costs two lookups; a final mixing
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 
@@ -93,7 +93,7 @@ class TextBlock:
         return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def blocks(texts: Sequence[str | bytes | None], size: int = BLOCK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+def blocks(texts: Iterable[str | bytes | None], size: int = BLOCK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """Cut texts (null is empty) into runs of about ``size`` bytes: the first position and the bytes."""
     start, held, now = 0, [], 0
     for i, t in enumerate(texts):

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from compare import compare, connect
 from pyspark.sql import functions as F
@@ -388,6 +389,28 @@ def test_ppm_query_knows_longer_contexts(spark):
         assert math.isclose(got[d].score, want, rel_tol=1e-6), d
 
 
+def test_ppm_parts_get_back_words_of_other_parts_only(spark):
+    """A word that stands in one part only is counted there; its lists may come in several rows."""
+    end = int(ppm._END_TOKEN)
+    listed = [(0, 11, 2), (0, 11, 3), (0, 12, 1), (1, 12, 4), (0, 13, 0), (1, 13, 2), (1, 14, 7), (0, end, 5), (1, end, 0)]
+    listed = spark.createDataFrame(listed, "part int, word long, n long")
+    total = listed.groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0")
+    got = sorted((r.word, r.part, r.c) for r in ppm.shared_words(listed, total).collect())
+    assert got == sorted([(12, 0, 5), (12, 1, 5), (13, 0, 2), (end, 0, 5), (end, 1, 5)])
+
+
+def test_ppm_texts_travel_compressed(texts):
+    """What the part's exchange carries is what comes back, and smaller."""
+    plain = [t or "" for t in texts.values()]
+    small = ppm.packed(pd.Series(plain))
+    assert [t.decode() for t in ppm.unpacked(small)] == plain and sum(map(len, small)) < 0.6 * sum(len(t.encode()) for t in plain)
+
+
+def test_ppm_base_scores_do_not_depend_on_parts(spark, docs):
+    one, many = rows(ppm.score_texts(docs, parts=1)), rows(ppm.score_texts(docs, parts=40))
+    assert all((many[d].n_known, many[d].train_tokens) == (r.n_known, r.train_tokens) and math.isclose(many[d].base_score, r.base_score, rel_tol=1e-9) for d, r in one.items())
+
+
 def test_ppm_without_training_text(spark):
     held = [d for d in range(60) if zlib.crc32(str(d).encode()) % 7 == 2]
     r = ppm.score_texts(spark.createDataFrame([(d, "ab") for d in held], "doc_id long, text string")).first()
