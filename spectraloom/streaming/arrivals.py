@@ -53,14 +53,16 @@ def score_state(state: DataFrame, min_pixels: int = MIN_PIXELS) -> DataFrame:
     """``score_batch`` of all samples that went into a merged state."""
     sums = state.filter("g IS NULL").filter(F.col("n") >= min_pixels).select(*OBJ, F.coalesce("chi2", F.lit(float("inf"))).alias("chi2"), "ngood")
     values = state.filter("g IS NOT NULL").select(*OBJ, "g", "n")
-    away = F.col("g") - F.col("_m")
     with checked_once(values, OBJ):
-        mean = values.groupBy(*OBJ).agg((F.sum(F.col("n") * F.col("g")) / F.sum("n")).alias("_m"))
-        middle = cut(quantiles(values, OBJ, "g", {"_med": 0.5}, "n").join(mean, OBJ))
-        around = attach(values, middle, OBJ)
-        mad = quantiles(around, OBJ, F.abs(F.col("g") - F.col("_med")), {"_mad": 0.5}, "n")
-    sd = around.groupBy(*OBJ).agg(F.sqrt(F.sum(F.col("n") * away * away) / F.sum("n")).alias("_sd"))
-    sigma = mad.join(sd, OBJ).select(*OBJ, F.when(F.col("_mad") > 0, 1.4826 * F.col("_mad")).otherwise(F.col("_sd")).alias("sigma"))
+        middle = cut(quantiles(values, OBJ, "g", {"_med": 0.5}, "n"))
+        mad = cut(quantiles(attach(values, middle, OBJ), OBJ, F.abs(F.col("g") - F.col("_med")), {"_mad": 0.5}, "n"))
+    sigma = mad.filter("_mad > 0").select(*OBJ, (1.4826 * F.col("_mad")).alias("sigma"))
+    flat = mad.filter("NOT coalesce(_mad > 0, false)").select(*OBJ)
+    if not flat.isEmpty():  # half of an object's values are equal: its deviation is asked for, and only then computed
+        few = values.join(flat, OBJ, "left_semi")
+        mean = few.groupBy(*OBJ).agg((F.sum(F.col("n") * F.col("g")) / F.sum("n")).alias("_m"))
+        away = F.col("g") - F.col("_m")
+        sigma = sigma.union(few.join(mean, OBJ).groupBy(*OBJ).agg(F.sqrt(F.sum(F.col("n") * away * away) / F.sum("n")).alias("sigma")))
     return sums.join(sigma, OBJ, "left")
 
 

@@ -119,3 +119,21 @@ def test_stream_reads_and_writes_touched_buckets_only(spark, tmp_path):
     assert set(got) == set(want)
     for o, r in want.items():
         assert got[o].ngood == r.ngood and abs(got[o].chi2 - r.chi2) < 1e-9 and abs(got[o].sigma - r.sigma) < 1e-9
+
+
+def test_stream_computes_deviations_only_where_half_of_the_values_are_equal(spark):
+    """Scores of flat, spread and empty objects equal those of whole series; without a flat object no mean is taken."""
+    from spectraloom.streaming import arrivals
+
+    cols = "object_id long, pix long, x double, g double, gerr double, good boolean, model double"
+    spread = [(0, k, 8410.0 + k / 9, float(k * k), 1.0, True, 2.0) for k in range(30)]
+    flat = [(1, k, 8410.0 + k / 9, 3.0 if k < 25 else float(k), 1.0, True, 2.0) for k in range(30)]
+    none = [(2, k, 8410.0 + k / 9, 3.0, 1.0, False, 2.0) for k in range(30)]
+    for rows in (spread + flat + none, spread + none):
+        pix = spark.createDataFrame(rows, cols)
+        scored = arrivals.score_state(arrivals.partial_state(pix, 8400.0, 8500.0))
+        got = {r.object_id: r.sigma for r in scored.collect()}
+        want = {r.object_id: r.sigma for r in arrivals.score_batch(pix, 8400.0, 8500.0).collect()}
+        assert set(got) == set(want) and got[2] is None and want[2] is None
+        assert all(abs(got[o] - want[o]) < 1e-9 for o in got if o != 2)
+    assert "_m#" not in scored._jdf.queryExecution().optimizedPlan().toString()
