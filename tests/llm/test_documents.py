@@ -219,6 +219,41 @@ def test_line_links_grow_with_the_line(spark):
     assert kept == set(range(len(lines))) - {j for _, j in want}
 
 
+def test_samples_of_lines_are_few_and_lose_no_link(spark):
+    """Spread, clustered and random edits, runs of one word, wide characters, repeated lines and ids, against every pair's distance."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("etaoinsrhldé🙂") for _ in range(rng.randrange(1, 8))) for _ in range(300)]
+    lines = []
+    for n in [40, 41, 45, 59, 60, 77, 99, 100, 150, 159, 160, 161, 199, 260, 399, 400, 401, 640, 1500]:
+        line = " ".join(rng.choice(words) for _ in range(n))[:n]
+        lines.append(line)
+        t = n // 20
+        for edits, spread in ((t, 0), (t, 0), (t, 1), (t, 2), (t + 1, 0), (t - 1, 0), (t // 2, 2)):
+            other = list(line)
+            for e in range(edits):
+                at = [int((e + 0.5 + rng.random() / 3) * n / edits) if edits else 0, n // 3 + e, rng.randrange(n)][spread]
+                at = min(at, len(other) - 1)
+                other[at : at + 1] = rng.choice([["X"], [], [other[at], "Y"]])
+            lines.append("".join(other))
+    lines += ["ab " * 50, "ab " * 49 + "ac ", "ab " * 52, "z" * 90, "z" * 94, "z" * 96, "-" * 40, "-" * 42, "-" * 43]
+    lines = list(dict.fromkeys(lines))
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    a, b = df.toDF("ad", "a"), df.toDF("bd", "b")
+    size = "greatest(least(length(a), length(b)) div 20, 1)"
+    want = {(r.ad, r.bd) for r in a.join(b, F.expr(f"ad < bd AND abs(length(a) - length(b)) <= {size}")).filter(f"levenshtein(a, b, CAST({size} AS INT)) >= 0").collect()}
+    found = line_dedup.classes(df, 1)
+    assert {(r.ad, r.bd) for r in line_dedup.grown_links(df, found).collect()} == want and len(want) > 100
+    once = line_dedup._sampled(df, found).count()
+    long = [(k, " ".join(rng.choice(words) for _ in range(1000))[:1000]) for k in range(200)]
+    many = spark.createDataFrame(long, "doc_id long, text string")
+    assert line_dedup._sampled(many, line_dedup.classes(many, 1)).count() < 0.15 * 200_000  # of 0.28 before, and more where classes of length met
+    copies = df.union(df.selectExpr("doc_id + 1000", "text")).union(df.selectExpr("doc_id + 2000", "text"))
+    assert line_dedup._sampled(copies, line_dedup.classes(copies, 1)).count() == once  # a line of many documents is sampled once
+    same = df.selectExpr("doc_id div 2 AS doc_id", "text")  # two texts have one id
+    pairs = {tuple(sorted((i // 2, j // 2))) for i, j in want if i // 2 != j // 2}
+    assert pairs <= {tuple(sorted((r.ad, r.bd))) for r in line_dedup.grown_links(same, line_dedup.classes(same, 1)).collect()}
+
+
 def test_packing(docs, texts, spark):
     from tokenizers import Tokenizer
 
