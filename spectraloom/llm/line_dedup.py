@@ -31,17 +31,19 @@ they are in ``dedup``; of repeated doc_ids each row is treated alike; an empty t
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectraloom.llm.rules import let
 from spectraloom.llm.tables import BROADCAST_KEYS, SPACES, documents, only_keys
-from spectraloom.plans.scale import cut
+from spectraloom.plans.scale import cut, freed
 
 THRESHOLD, STEP, BLOCK = 1, 20, 4096
 #: Length of samples, how far their middle is compared, shares of a line's substrings that the levels take (up to 1: of the
 #: central ones, then of the others as well), how many levels take central ones alone, and the length below which those are never enough.
-GRAM, REACH, LEVELS, CENTRAL, SHORT = 13, 4, [0.7, 0.8, 0.9, 1.0, 1.04, 1.1, 1.3, 1.99], 4, 60
+GRAM, REACH, LEVELS, CENTRAL, SHORT = 13, 3, [0.55, 0.62, 0.69, 0.77, 0.87, 1.0, 1.15, 1.99], 6, 60
 #: Bits of a sample's key, classes of length for a factor of e, the length up to which samples that lie apart are marked, and the
 #: length from which linked lines have two samples in common.
 KEY_BITS, CLASSES, MARKED, TWICE = 38, 100, 20_000, 160
@@ -260,10 +262,12 @@ def _samples(line: Column, n: Column) -> Column:
             out = out & (at(half) < at(half - j)) & (at(half) <= at(half + j))
         return out
 
+    def rank(t: Column, i: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(F.get(t, i), F.get(t, i + (GRAM - 3))), 34).cast("int")
+
     def ranked(t: Column, starts: Column, first: bool) -> Column:
         """(i, r) of substrings: r is below 2^30 for those whose central characters have the smallest hash, and below 2^31 for the others."""
-        r = lambda i: F.shiftrightunsigned(F.xxhash64(F.get(t, i), F.get(t, i + (GRAM - 3))), 34).cast("int")
-        return F.transform(starts, lambda i: F.struct(i.alias("i"), (r(i) if first else F.when(central(t, i), r(i)).otherwise(r(i) + (1 << 30))).alias("r")))
+        return F.transform(starts, lambda i: F.struct(i.alias("i"), (rank(t, i) if first else F.when(central(t, i), rank(t, i)).otherwise(rank(t, i) + (1 << 30))).alias("r")))
 
     def apart(some: Column, level: int) -> Column:
         """How many of a level's substrings lie apart, counted from the left."""
@@ -275,16 +279,20 @@ def _samples(line: Column, n: Column) -> Column:
         return F.coalesce(*[F.when(apart(some, j) >= wanted, F.lit(j)) for j in levels])
 
     def chosen(t: Column, some: Column, found: Column) -> Column:
-        return let(found, lambda j: let(F.transform(F.filter(some, lambda e: (e["r"] < bound(j)) | (j == last)), lambda e: e["i"]), lambda at: let(marks(at), lambda m: packed(t, at, m, j))))
+        at = lambda j: F.when(j == last, F.sequence(F.lit(0), stop)).otherwise(let(bound(j), lambda top: F.transform(F.filter(some, lambda e: e["r"] < top), lambda e: e["i"])))
+        return let(found, lambda j: let(at(j), lambda at: let(marks(at), lambda m: packed(t, at, m, j))))
 
     def marks(at: Column) -> Column:
-        step = lambda s, i: F.when((F.size(s) < wanted) & (i >= F.coalesce(F.get(s, F.size(s) - 1), F.lit(-GRAM)) + GRAM), F.array_append(s, i)).otherwise(s)
-        return F.when(n <= MARKED, F.aggregate(at, F.array().cast("array<int>"), step))
+        step = lambda w: lambda s, i: F.when((i >= F.coalesce(F.get(s, F.size(s) - 1), F.lit(-GRAM)) + GRAM) & (F.size(s) < w), F.array_append(s, i)).otherwise(s)
+        return F.when(n <= MARKED, let(wanted, lambda w: F.aggregate(at, F.array().cast("array<int>"), step(w))))
 
     def packed(t: Column, at: Column, marks: Column, found: Column) -> Column:
-        x = lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(t, i + j) for j in [*range(0, GRAM - 3, 3), GRAM - 3]]), 64 - KEY_BITS)
         size = F.floor(F.log(n / (2.0 * STEP)) * CLASSES).cast("long")
-        tail = lambda i, many: ((size * 1024 + F.floor(i * 1024.0 / n)) * 8 + found) * 4 + F.when(many, 3).when(F.coalesce(F.array_contains(marks, i), F.lit(True)), 1).otherwise(0)
+        return let(size * (1 << 15) + found * 4, lambda head: rows(t, at, marks, head))
+
+    def rows(t: Column, at: Column, marks: Column, head: Column) -> Column:
+        x = lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(t, i + j) for j in [*range(0, GRAM - 3, 3), GRAM - 3]]), 64 - KEY_BITS)
+        tail = lambda i, many: head + F.floor(i * 1024.0 / n) * 32 + F.when(many, 3).when(F.coalesce(F.array_contains(marks, i), F.lit(True)), 1).otherwise(0)
         step = lambda key, i, many: F.shiftleft(key, 64 - KEY_BITS).bitwiseOR(tail(i, many))
 
         def firsts(s: Column) -> Column:
@@ -296,7 +304,9 @@ def _samples(line: Column, n: Column) -> Column:
         return let(pairs, lambda s: F.when(once(s), F.transform(s, lambda e: step(e["x"], e["i"], F.lit(False)))).otherwise(let(F.array_sort(s), firsts)))
 
     def from_all(t: Column) -> Column:
-        return let(ranked(t, F.sequence(F.lit(0), stop), False), lambda some: chosen(t, some, F.coalesce(level(some, range(CENTRAL, last)), F.lit(last))))
+        under = int((LEVELS[last - 1] - 1) * (1 << 30))
+        some = ranked(t, F.filter(F.sequence(F.lit(0), stop), lambda i: (rank(t, i) < under) | central(t, i)), False)
+        return let(some, lambda s: chosen(t, s, F.coalesce(level(s, range(CENTRAL, last)), F.lit(last))))
 
     def from_central(t: Column) -> Column:
         some = ranked(t, F.filter(F.sequence(F.lit(0), stop), lambda i: central(t, i)), True)
@@ -306,12 +316,12 @@ def _samples(line: Column, n: Column) -> Column:
 
 
 def _unpacked(w: Column) -> dict[str, Column]:
-    """Of a sample: key; smallest and largest length of its line; place in its line, of 1024 parts; level; many places; lies apart."""
+    """Of a sample: key; class of length; smallest and largest length of its line; place in its line, of 1024 parts; level; many places; lies apart."""
     rest = F.shiftright(w, 5)
     size = F.shiftright(rest, 10).bitwiseAND(F.lit(2047))
     length = lambda s: 2.0 * STEP * F.exp(s / CLASSES)
     return {
-        "key": F.shiftrightunsigned(w, 64 - KEY_BITS), "least": length(size) - 0.01, "most": length(size + 1) + 0.01, "place": rest.bitwiseAND(F.lit(1023)),
+        "key": F.shiftrightunsigned(w, 64 - KEY_BITS), "size": size, "least": length(size) - 0.01, "most": length(size + 1) + 0.01, "place": rest.bitwiseAND(F.lit(1023)),
         "level": F.shiftright(w, 2).bitwiseAND(F.lit(7)), "many": w.bitwiseAND(F.lit(2)) > 0, "apart": w.bitwiseAND(F.lit(1)) > 0,
     }
 
@@ -332,12 +342,13 @@ def _proposed(rows: DataFrame) -> DataFrame:
     a, b = rows.alias("a"), rows.alias("b")
     p, q = _unpacked(F.col("a.w")), _unpacked(F.col("b.w"))
     edits = F.least(p["most"], q["most"]) / STEP
-    lengths = (p["least"] - q["most"] <= edits) & (q["least"] - p["most"] <= edits)
+    lengths = F.abs(p["size"] - q["size"]) <= math.ceil(math.log(1 + 1 / STEP) * CLASSES)
     where = lambda s, more: (s["place"] + more) * s["most" if more else "least"] / 1024
-    places = p["many"] | q["many"] | ((where(p, 0) - where(q, 1) <= edits) & (where(q, 0) - where(p, 1) <= edits))
+    # Edits and the difference of the lengths move a place by a STEP-th of the line each.
+    places = p["many"] | q["many"] | ((F.abs(p["place"] - q["place"]) <= 2 * 1024 // STEP + 2) & (where(p, 0) - where(q, 1) <= edits) & (where(q, 0) - where(p, 1) <= edits))
     # A line of the lower level has all its samples among the other's candidates, and one of those that lie apart is common.
     least = F.when(p["level"] < q["level"], p["apart"]).when(p["level"] > q["level"], q["apart"]).otherwise(p["apart"] | q["apart"])
-    pairs = a.join(b, (p["key"] == q["key"]) & F.expr("a.d < b.d OR (a.d = b.d AND a.l < b.l)") & least & lengths & places)
+    pairs = a.join(b, (p["key"] == q["key"]) & lengths & F.expr("a.d < b.d OR (a.d = b.d AND a.l < b.l)") & least & places)
     place = [F.col(f"{x}.{c}").alias(f"{x}{c}") for x in "ab" for c in "dl"]
     pairs = pairs.select(*place, F.when(p["many"] | q["many"], 2).otherwise(1).alias("n"), F.when((p["least"] >= TWICE) & (q["least"] >= TWICE), 2).otherwise(1).alias("least"))
     return pairs.groupBy("ad", "al", "bd", "bl").agg(F.sum("n").alias("n"), F.min("least").alias("least")).filter("n >= least").drop("n", "least")
@@ -345,7 +356,7 @@ def _proposed(rows: DataFrame) -> DataFrame:
 
 def grown_links(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(ad, al, bd, bl): pairs of distinct lines within the threshold of their shorter line."""
-    pairs = cut(_proposed(_sampled(docs, found)))
+    pairs = freed(_proposed(_sampled(docs, found)))
     near = _texts(docs, pairs, every=True).withColumn("t", grown(F.least(F.length("a"), F.length("b")))).withColumn("m", _middles(F.col("a"), F.col("b")))
     near = near.filter("a <> b AND levenshtein(m.a, m.b, t) >= 0")
     both = lambda c: F.struct(F.xxhash64(c).alias("h"), F.xxhash64(F.lit("second"), c).alias("g"))
@@ -362,8 +373,8 @@ def plan(docs: DataFrame, threshold: int | None = THRESHOLD) -> DataFrame:
     ``drop``: line numbers; ``n_links``: links of its lines to different lines; ``sources``: the documents
     where the earliest such lines start.
     """
-    found = cut(classes(docs, threshold or 1))
-    near = cut(links(docs, found, threshold) if threshold else grown_links(docs, found))
+    found = cut(classes(docs, threshold)) if threshold else freed(classes(docs, 1))
+    near = cut(links(docs, found, threshold)) if threshold else freed(grown_links(docs, found))
     sides = near.select(F.struct(F.col("ad").alias("d"), F.col("al").alias("l")).alias("me"), F.struct(F.col("bd").alias("d"), F.col("bl").alias("l")).alias("other"))
     sides = sides.union(near.select(F.struct(F.col("bd").alias("d"), F.col("bl").alias("l")), F.struct(F.col("ad").alias("d"), F.col("al").alias("l"))))
     linked = sides.groupBy(F.col("me.d").alias("d"), F.col("me.l").alias("l")).agg(F.min("other").alias("other"), F.count(F.lit(1)).alias("n_links"))

@@ -15,6 +15,7 @@ per key (map-side combined) decides which one is built.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
@@ -55,6 +56,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def freed(df: DataFrame) -> DataFrame:
+    """As ``cut``; the shuffle files behind it go at once, not when the driver happens to collect its garbage."""
+    out = cut(df)
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for written tables next to the checkpoints."""
     return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
